@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, token_files
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE_SQL = {
