@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_files
+from . import bpe, exact_dedup, simhash, token_files, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_topk": topk.op3_topk,
+    "op4_simhash": simhash.op4_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_token_files": token_files.op10_token_files,
 }
