@@ -156,16 +156,16 @@ def decoded(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>, decoded string for each row of docs, whatever other columns it has.
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of keep, ids array<int>, decoded string for each row of docs, whatever other columns it has.
 
     Null and empty texts have no ids and decode to the empty string; repeated rows give repeated results; an empty
     table gives an empty result; texts of any length are encoded whole. Special tokens' strings inside a text become
     those tokens. Every document is worked on alone, so no row meets another and nothing is shuffled.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return rows.select("doc_id", encoded(F.col("text"), path).alias("ids")).select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text_of(docs, text_col).alias("__text"))
+    return rows.select("doc_id", *keep, encoded(F.col("__text"), path).alias("ids")).select("doc_id", *keep, "ids", decoded(F.col("ids"), path).alias("decoded"))
 
 
 def digests(found: DataFrame) -> DataFrame:

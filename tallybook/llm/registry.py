@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash, token_files, topk
+import corpus_pipeline
+
+from . import bpe, exact_dedup, mixing, simhash, token_files, topk, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_bpe": bpe.op1_bpe,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_topk": topk.op3_topk,
     "op4_simhash": simhash.op4_simhash,
+    "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_token_files": token_files.op10_token_files,
 }
