@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 #: Words or fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
-CACHE = 250_000
+CACHE = 400_000
+FRAGMENTS = 200_000
+#: Rows that a task encodes at a time.
+SLICE = 500
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -35,96 +39,92 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """Tokens, merge ranks and certain cuts of a byte-level BPE file with word ends."""
+    """Tokens, merges and certain cuts of a byte-level BPE file with word ends. Symbols are handled by their ids."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = model["vocab"]
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        end, ids = model["end_of_word_suffix"] or "", model["vocab"]
+        self.special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
+        self.tokens = {i: t for t, i in [*ids.items(), *((k.decode(), i) for k, i in self.special.items())]}
         self.size = max(self.tokens) + 1
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.bytes = byte_symbols()
-        self.inside = {pair for token in self.ids for s in [self.symbols(token)] for pair in zip(s, s[1:])}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
-        self.words: dict[str, bytes] = {}
-
-    def symbols(self, token: str) -> list[str]:
-        """A token as its byte symbols; the last one carries the word end."""
-        if self.end and token.endswith(self.end) and token != self.end:
-            body = token[: -len(self.end)]
-            return [*body[:-1], body[-1] + self.end]
-        return list(token)
-
-    def cut(self, symbols: list[str]) -> Iterator[tuple[str, ...]]:
+        self.marks = regex.compile(b"(" + b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + b")")
+        table = byte_symbols()
+        self.plain, self.last = [ids[c] for c in table], [ids[c + end] for c in table]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        #: Rank of a pair of symbols, and the symbol that the merge of each rank makes.
+        self.ranks = {ids[a] << 20 | ids[b]: i for i, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
+        #: Pairs of single-byte symbols that stand side by side inside some token.
+        self.inside = set()
+        for token in ids:
+            body = token.removesuffix(end) if end and token != end else token
+            if len(body) > 1 and all(c in ids for c in body):
+                symbols = [ids[c] for c in body]
+                if body != token:
+                    symbols[-1] = ids[body[-1] + end]
+                self.inside.update(a << 20 | b for a, b in zip(symbols, symbols[1:]))
+        self.fragments: dict[tuple[int, ...], list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def cut(self, symbols: list[int]) -> Iterator[list[int]]:
         """The fragments between the certain cuts."""
         begin = 0
-        for i in range(1, len(symbols)):
-            if (symbols[i - 1], symbols[i]) not in self.inside:
-                yield tuple(symbols[begin:i])
+        for i, (a, b) in enumerate(zip(symbols, symbols[1:]), 1):
+            if a << 20 | b not in self.inside:
+                yield symbols[begin:i]
                 begin = i
-        yield tuple(symbols[begin:])
-
-    def fragment(self, symbols: tuple[str, ...]) -> list[int]:
-        """Ids of one fragment: the lowest-ranked pair is merged first, everywhere from left to right."""
-        parts, ranks = list(symbols), self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
-                break
-            whole, i, out = best[0] + best[1], 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(whole)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids[p] for p in parts if p in self.ids]
-
-    def piece(self, piece: str) -> list[int]:
-        table = self.bytes
-        symbols = [table[b] for b in piece.encode()]
-        symbols[-1] += self.end
+        yield symbols[begin:]
+
+    def fragment(self, parts: list[int]) -> list[int]:
+        """Ids of one fragment: the pair of lowest rank, the leftmost of several, is merged until none has a rank."""
+        none, rank_of, made = 1 << 60, self.ranks.get, self.made
+        ranks = [rank_of(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != none:
+            i = ranks.index(least)
+            parts[i : i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(parts[i - 1] << 20 | parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank_of(parts[i] << 20 | parts[i + 1], none)
+        return parts
+
+    def piece(self, piece: bytes) -> list[int]:
+        symbols = [self.plain[b] for b in piece]
+        symbols[-1] = self.last[piece[-1]]
         out: list[int] = []
         for part in self.cut(symbols):
-            known = self.fragments.get(part)
+            known = self.fragments.get(key := tuple(part))
             if known is None:
-                if len(self.fragments) >= CACHE:
+                if len(self.fragments) >= FRAGMENTS:
                     self.fragments.clear()
-                known = self.fragments[part] = self.fragment(part)
+                known = self.fragments[key] = self.fragment(part)
             out += known
         return out
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: bytes) -> bytes:
         """Ids of a text without ASCII white space, as 32-bit integers."""
         out: list[int] = []
-        for i, part in enumerate(self.marks.split(word) if "<" in word else [word]):
+        for i, part in enumerate(self.marks.split(word) if b"<" in word else [word]):
             if i % 2:
                 out.append(self.special[part])
             elif part:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                plain = unicodedata.normalize("NFC", part.decode()).replace("Σ", "σ").lower()
                 for piece in self.pieces.findall(plain):
-                    out += self.piece(piece)
-        return np.array(out, "<i4").tobytes()
+                    out += self.piece(piece.encode())
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        words, found = text.split(" ") if text.isascii() and text.isprintable() else regex.split(r"[\x20\x09-\x0D]+", text), []
-        known = self.words
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[w] = self.word(w)
-            found.append(ids)
-        return np.frombuffer(b"".join(found), "<i4")
+        words, known = text.encode().split(), self.words
+        if new := [w for w in words if w not in known]:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = words
+            known.update((w, self.word(w)) for w in set(new))
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -136,24 +136,38 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """array<int>: the ids of a text column without nulls."""
+def _mapped(rows: DataFrame, name: str, kind: str, make: Callable[[pa.Array], pa.Array], of: str) -> DataFrame:
+    """rows with a column made from the column of; the tasks work on slices, so a batch of long texts stays small."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(vocabulary(path).encode)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(of))], [*part.schema.names, name])
 
-    return encode(text)
+    return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{name}` {kind}")
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """string: the tokens of a column of ids, joined by one space, as a vocabulary without decoder gives them."""
+def _ids(path: str) -> Callable[[pa.Array], pa.Array]:
+    def make(texts: pa.Array) -> pa.Array:
+        found = [vocabulary(path).encode(t) for t in texts.to_pylist()]
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype="i4"), np.concatenate(found))
 
-    @F.pandas_udf("string")
-    def decode(batch: pd.Series) -> pd.Series:
-        return batch.map(vocabulary(path).decode)
+    return make
 
-    return decode(ids)
+
+def _texts(path: str) -> Callable[[pa.Array], pa.Array]:
+    return lambda ids: pa.array([vocabulary(path).decode(np.asarray(x.values)) for x in ids], pa.string())
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """docs with ids array<int> of a text column that has no nulls."""
+    return _mapped(docs, ids_col, "array<int>", _ids(path), text_col)
+
+
+def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """docs with a string: the tokens of ids, joined by one space, as a vocabulary without decoder gives them."""
+    return _mapped(docs, text_col, "string", _texts(path), ids_col)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -161,11 +175,22 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     Null and empty texts have no ids and decode to the empty string; repeated rows give repeated results; an empty
     table gives an empty result; texts of any length are encoded whole. Special tokens' strings inside a text become
-    those tokens. Every document is worked on alone, so no row meets another and nothing is shuffled.
+    those tokens. Every document is worked on alone, so no row meets another and nothing is shuffled. Encoding and
+    decoding run in one pass over a task's rows.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text_of(docs, text_col).alias("__text"))
-    return rows.select("doc_id", *keep, encoded(F.col("__text"), path).alias("ids")).select("doc_id", *keep, "ids", decoded(F.col("ids"), path).alias("decoded"))
+    to_ids, to_text = _ids(path), _texts(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                ids = to_ids(part.column("__text"))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, to_text(ids)], [*part.schema.names[:-1], "ids", "decoded"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    return rows.mapInArrow(run, f"{kept}, ids array<int>, decoded string")
 
 
 def digests(found: DataFrame) -> DataFrame:

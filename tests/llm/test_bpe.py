@@ -32,9 +32,17 @@ def test_any_text(text):
     same(text)
 
 
-def test_cuts_never_cross_a_token():
+def test_cuts_are_where_no_token_has_the_pair():
     v = bpe.vocabulary(PATH)
-    assert list(v.cut(["z", "q", "a</w>"]))[0] == ("z",)
+    z, q, a = (v.plain[ord(c)] for c in "zqa")
+    assert list(v.cut([z, q, a])) == [[z], [q, a]]
+    assert not any("zq" in t for t in v.tokens.values()) and any("qa" in t for t in v.tokens.values())
+
+
+def test_decode_undoes_encode_on_spark(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "")], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(docs, PATH), PATH).orderBy("doc_id").collect()
+    assert [r.decoded for r in got] == ["one</w> two</w>", ""]
 
 
 def test_query_rows(spark):
