@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, mixing, simhash, token_files, topk, toxicity
+from . import bpe, exact_dedup, mixing, quality, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_token_files": token_files.op10_token_files,
 }
 
