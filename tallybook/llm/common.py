@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import numpy as np
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +44,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
+
+
+def uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a file from a task: under another name first, so that a lost or repeated task leaves no half file."""
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(os.path.dirname(at), recursive=True)
+    tmp = f"{at}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
+    with store.open_output_stream(tmp) as f:
+        f.write(data)
+    store.move(tmp, at)
+
+
+def mapped(path: str) -> np.ndarray:
+    """The bytes of a file: mapped into memory where the folder is mounted, else from a copy that is mapped."""
+    store, at = fs.FileSystem.from_uri(path)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(at, np.uint8, "r")
+    with store.open_input_stream(at) as f, tempfile.TemporaryFile() as copy:
+        while part := f.read(1 << 24):
+            copy.write(part)
+        copy.flush()
+        return np.memmap(copy, np.uint8, "r")  # the mapping outlives the unlinked file

@@ -24,12 +24,11 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of, written
+from .common import mapped, put, shared_dir, text_of, uri, written
 
 MAGIC = b"TBITS\x00\x00\x01"
 BLOCK = 8192
@@ -114,28 +113,6 @@ def _encoder(path: str):
     return encode
 
 
-def _put(path: str, data: bytes) -> None:
-    """Writes a file under another name first, so that a lost or repeated task leaves no half file."""
-    store, at = fs.FileSystem.from_uri(path)
-    store.create_dir(os.path.dirname(at), recursive=True)
-    tmp = f"{at}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
-    with store.open_output_stream(tmp) as f:
-        f.write(data)
-    store.move(tmp, at)
-
-
-def _get(path: str) -> np.ndarray:
-    store, at = fs.FileSystem.from_uri(path)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(at, np.uint8, "r")
-    with store.open_input_file(at) as f:
-        return np.frombuffer(f.read(), np.uint8)
-
-
-def _uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
-
-
 MANIFEST = "part long, seq long, path string, n_docs long, n_ids long"
 
 
@@ -147,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    folder = _uri(folder or shared_dir(spark))
+    folder = uri(folder or shared_dir(spark))
     if vocabulary_size is None:
         from tokenizers import Tokenizer
 
@@ -160,7 +137,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
 
         def close():
             name = f"{folder}/part-{part:06d}-{seq:06d}.tbits"
-            _put(name, packed_file(ids, found, bits))
+            put(name, packed_file(ids, found, bits))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [name], "n_docs": [len(ids)], "n_ids": [n]})
 
         for batch in batches:
@@ -188,7 +165,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, start in zip(batch.path, batch.before):
-                file = TokenFile(_get(name))
+                file = TokenFile(mapped(name))
                 for i in range(0, len(file.doc_ids), 1024):
                     k = range(i, min(i + 1024, len(file.doc_ids)))
                     found = [file.document(j).astype("<u4") for j in k]
