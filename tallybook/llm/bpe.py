@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .words import RecentWords
 
-#: Words or fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
-CACHE = 400_000
+#: Fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
 FRAGMENTS = 200_000
 #: Rows that a task encodes at a time.
 SLICE = 500
@@ -67,7 +67,7 @@ class Vocabulary:
                     symbols[-1] = ids[body[-1] + end]
                 self.inside.update(a << 20 | b for a, b in zip(symbols, symbols[1:]))
         self.fragments: dict[tuple[int, ...], list[int]] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.recent = RecentWords(lambda new: [self.word(w) for w in new])
 
     def cut(self, symbols: list[int]) -> Iterator[list[int]]:
         """The fragments between the certain cuts."""
@@ -117,14 +117,8 @@ class Vocabulary:
                     out += self.piece(piece.encode())
         return array("i", out).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        words, known = text.encode().split(), self.words
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = words
-            known.update((w, self.word(w)) for w in set(new))
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.recent.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -150,7 +144,7 @@ def _mapped(rows: DataFrame, name: str, kind: str, make: Callable[[pa.Array], pa
 
 def _ids(path: str) -> Callable[[pa.Array], pa.Array]:
     def make(texts: pa.Array) -> pa.Array:
-        found = [vocabulary(path).encode(t) for t in texts.to_pylist()]
+        found = vocabulary(path).encode(texts.to_pylist())
         return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype="i4"), np.concatenate(found))
 
     return make

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, put, shared_dir, text_of, uri, written
+from .words import RecentWords
 
 MAGIC = b"TBITS\x00\x00\x01"
 BLOCK = 8192
 #: A task closes a file and opens the next after so many ids.
 FILE_IDS = 4_000_000
-CACHE = 250_000
+#: Documents that a task encodes at a time.
+SLICE = 1000
 NULL_ID = np.iinfo(np.int64).min
 END = 1
 
@@ -91,26 +93,31 @@ class TokenFile:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str):
-    """A function from texts to arrays of ids; words between ASCII white space are encoded once and held in a bounded cache."""
+def _encoder(path: str) -> RecentWords:
+    """The tokenizers library behind a bounded memory of words: new words are encoded together, with marks in between."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library, known = Tokenizer.from_file(path), {}
+    library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
 
-    def encode(text: str) -> np.ndarray:
-        words = text.encode().split()
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) >= CACHE:
-                known.clear()
-                new = list(set(words))
-            for w, found in zip(new, library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(found.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+    def ids(text: str) -> np.ndarray:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    return encode
+    mark = ids("\x00")
+
+    def make(words: list[bytes]) -> list[bytes]:
+        if len(mark) != 1:
+            return [ids(w.decode()).tobytes() for w in words]
+        plain = [w for w in words if b"\x00" not in w]
+        found = ids(b" \x00 ".join(plain).decode())
+        at = 4 * np.flatnonzero(found == mark[0])
+        data = found.tobytes()
+        known = dict(zip(plain, (data[i:j] for i, j in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)]))))
+        return [known[w] if w in known else ids(w.decode()).tobytes() for w in words]
+
+    return RecentWords(make)
 
 
 MANIFEST = "part long, seq long, path string, n_docs long, n_ids long"
@@ -132,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     bits = bits_for(max(vocabulary_size, (end_id or 0) + 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, ids, found, n = _encoder(path), TaskContext.get().partitionId(), 0, [], [], 0
+        encode, part, seq, ids, found, n = _encoder(path).encode, TaskContext.get().partitionId(), 0, [], [], 0
         tail = np.array([] if end_id is None else [end_id], "<u4")
 
         def close():
@@ -141,14 +148,15 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [name], "n_docs": [len(ids)], "n_ids": [n]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = np.concatenate([encode(text.as_py()), tail])
-                ids.append(NULL_ID if doc_id is None else doc_id)
-                found.append(one)
-                n += len(one)
-                if n >= FILE_IDS:
-                    yield close()
-                    seq, ids, found, n = seq + 1, [], [], 0
+            for i in range(0, batch.num_rows, SLICE):
+                some = batch.slice(i, SLICE).to_pydict()
+                for doc_id, own in zip(some["doc_id"], encode(some["text"])):
+                    ids.append(NULL_ID if doc_id is None else doc_id)
+                    found.append(np.concatenate([own.view("<u4"), tail]))
+                    n += len(found[-1])
+                    if n >= FILE_IDS:
+                        yield close()
+                        seq, ids, found, n = seq + 1, [], [], 0
         if ids:
             yield close()
 
