@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, mixing, ngram, quality, simhash, token_files, topk, toxicity
+from . import bpe, exact_dedup, mixing, ngram, pii, quality, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_topk": topk.op3_topk,
     "op4_simhash": simhash.op4_simhash,
     "op5_ngram": ngram.op5_ngram,
+    "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": quality.op9_quality,
