@@ -345,3 +345,300 @@ def _(b):
 @query("x7_reconciliation", _REC, "SELECT account_id, label AS Statement, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS Status, nc AS parsed_credit_count, credit_count, nd AS parsed_debit_count, debit_count, pc AS parsed_credits, total_credits, pd AS parsed_debits, total_debits, beginning_balance, ending_balance, calculated_ending, CASE WHEN balance_ok THEN 'Yes' ELSE 'No' END AS BalanceOK, array_to_string(warnings, '; ') AS Warnings FROM rec", "parsed_credits total_credits parsed_debits total_debits beginning_balance ending_balance calculated_ending")
 def _(b):
     return export.reconciliation(reconcile.reconcile(b.st, b.ledger))
+
+
+# Figures
+
+_TXQ = pl_sql()
+
+
+@query("a12_kpis", _TXQ + f""", mon AS (SELECT account_id, count(*) AS months, arg_max(ending_balance, statement_dt) AS last_balance FROM st GROUP BY ALL
+), amt AS (SELECT account_id, sum(amount) AS s, count(*) AS n, coalesce(max(amount) FILTER (is_credit), 0) AS largest_income, coalesce(max(amount) FILTER (NOT is_credit), 0) AS largest_expense FROM tx GROUP BY ALL
+), bal AS (SELECT account_id, min(b) AS min_balance, max(b) AS max_balance FROM (SELECT account_id, ending_balance AS b FROM st UNION ALL SELECT account_id, balance FROM db) GROUP BY ALL
+), k AS (SELECT *, total_direct_costs + total_operating_expenses AS total_expenses FROM wide JOIN mon USING (account_id) JOIN amt USING (account_id) JOIN bal USING (account_id))""",
+"""SELECT account_id, gross_profit::DOUBLE / total_revenue::DOUBLE AS gross_ratio, operating_profit::DOUBLE / total_revenue::DOUBLE AS operating_ratio, net_profit::DOUBLE / total_revenue::DOUBLE AS net_ratio, total_expenses::DOUBLE / total_revenue::DOUBLE AS expense_ratio,
+ total_revenue, total_expenses, net_profit AS net_income, round(total_revenue::DOUBLE / months, 2) AS avg_monthly_revenue, round(total_expenses::DOUBLE / months, 2) AS avg_monthly_expenses, round(net_profit::DOUBLE / months, 2) AS avg_monthly_net, round(s::DOUBLE / n, 2) AS avg_transaction,
+ largest_income, largest_expense, min_balance, max_balance, CASE WHEN total_expenses > 0 AND last_balance > 0 THEN round(last_balance::DOUBLE / (total_expenses::DOUBLE / months), 4) END AS runway_months FROM k""",
+"total_revenue total_expenses net_income largest_income largest_expense min_balance max_balance")
+def _(b):
+    return insights.kpis(b.wide(), b.tx, b.st, b.db)
+
+
+_QUALITY = "SELECT account_id, count(*) AS total, count(*) FILTER (cpa_review) AS review, coalesce(sum(amount) FILTER (cpa_review AND is_credit), 0) AS review_credits, coalesce(sum(amount) FILTER (cpa_review AND NOT is_credit), 0) AS review_debits FROM tx GROUP BY ALL"
+
+
+@query("a13_classification", TX + f", q AS ({_QUALITY}), p AS (SELECT *, (total - review)::DOUBLE / greatest(total, 1) * 100 AS pct FROM q)", "SELECT account_id, total, review, review_credits, review_debits, round(pct, 4) AS classified_pct, CASE WHEN pct < 50 THEN 'Highly Preliminary — majority unclassified' WHEN pct < 80 THEN 'Preliminary — classification incomplete' ELSE 'Substantially classified' END AS pnl_status FROM p", "review_credits review_debits")
+def _(b):
+    return insights.classification(b.tx)
+
+
+@query("a14_executive", _TXQ + ", c AS (SELECT account_id, sum(total_credits) AS cash_in, sum(total_debits) AS cash_out, arg_min(beginning_balance, statement_dt) AS start_balance, arg_max(ending_balance, statement_dt) AS end_balance, count(*) AS n FROM st GROUP BY ALL), t AS (SELECT account_id, count(*) AS transactions, count(*) FILTER (cpa_review OR business_category = 'Uncategorized') AS to_review FROM tx GROUP BY ALL)", "SELECT account_id, cash_in, cash_out, start_balance, end_balance, end_balance - start_balance AS net_change, end_balance - start_balance - net_profit AS change_less_profit, transactions, to_review, greatest(0, 12 - n) AS months_missing FROM c JOIN t USING (account_id) JOIN wide USING (account_id)", "cash_in cash_out start_balance end_balance net_change change_less_profit")
+def _(b):
+    return insights.executive(b.wide(), b.tx, b.st)
+
+
+_BRIDGE = [(n, name, " + ".join(f"({s}) * {c}" for c, s in parts.items())) for n, (name, parts) in enumerate([*insights.BRIDGE, ("Net Cash Change", {c: s for _, p in insights.BRIDGE for c, s in p.items()})], 1)]
+
+
+@query("a15_bridge", _TXQ, " UNION ALL ".join(f"SELECT account_id, {n} AS ord, '{name}' AS line, {e} AS amount FROM wide" for n, name, e in _BRIDGE), "amount")
+def _(b):
+    return insights.bridge(b.wide())
+
+
+@query("a16_tax_categories", TX, "SELECT account_id, tax_category, count(*) AS n, sum(amount) AS total, array_to_string(list_sort(list(DISTINCT business_category)), ', ') AS categories, bool_or(cpa_review) AS review FROM tx WHERE NOT is_credit AND NOT is_transfer AND NOT is_fixed_asset AND NOT is_owner_related AND NOT (is_loan AND NOT include_in_pnl) GROUP BY ALL", "total")
+def _(b):
+    return insights.by_tax_category(b.tx)
+
+
+@query("a18_merchant_template", TX + f", m AS (SELECT account_id, {M('description')} AS merchant, arg_min(business_category, {{'m': month, 's': sequence}}) AS category, arg_min(tax_category, {{'m': month, 's': sequence}}) AS tax_category, count(*) AS n, sum(amount) AS total FROM tx GROUP BY ALL)", "SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, merchant) AS rank FROM m", "total")
+def _(b):
+    return insights.merchant_template(b.tx)
+
+
+def _merchants(where: str, k: int) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, merchant) AS rank FROM (SELECT account_id, {M('description')} AS merchant, count(*) AS n, sum(amount) AS total FROM tx WHERE {where} GROUP BY ALL) QUALIFY rank <= {k}"
+
+
+@query("k01_income_sources", TX, _merchants("is_credit AND include_in_pnl", 20), "total")
+def _(b):
+    return insights.income_sources(b.tx)
+
+
+@query("k01_vendors", TX, _merchants("NOT is_credit AND include_in_pnl", 20), "total")
+def _(b):
+    return insights.vendors(b.tx)
+
+
+_EXP = "SELECT account_id, CASE WHEN section = 'direct_costs' THEN '[COGS] ' || category ELSE category END AS category, amount FROM pl WHERE section IN {} AND amount > 0"
+
+
+@query("a22_expense_pie", _TXQ + f", e AS ({_EXP.format(names(('direct_costs', 'operating_expenses', 'other_expense')))}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, category) AS n FROM e)", "SELECT account_id, CASE WHEN n <= 10 THEN category ELSE 'Other' END AS category, sum(amount) AS amount FROM r GROUP BY ALL", "amount")
+def _(b):
+    return insights.expense_pie(b.pl())
+
+
+@query("a23_revenue_pie", _TXQ, "SELECT account_id, category, amount, row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, category) AS rank FROM pl WHERE section = 'revenue' AND amount > 0 OR section = 'other_income' QUALIFY rank <= 8", "amount")
+def _(b):
+    return insights.revenue_pie(b.pl())
+
+
+@query("a28_expense_analysis", _TXQ + f", e AS ({_EXP.format(names(('direct_costs', 'operating_expenses')))}), s AS (SELECT *, sum(amount) OVER (PARTITION BY account_id) AS whole FROM e)", f"SELECT account_id, category, amount, {pct('amount', 'whole')} AS of_total, row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, category) AS rank FROM s", "amount")
+def _(b):
+    return insights.expense_analysis(b.pl())
+
+
+@query("a29_vehicle_costs", TX, f"SELECT account_id, coalesce(business_category, 'Total Vehicle Costs') AS category, sum(amount) AS amount FROM tx WHERE business_category IN {names(insights.VEHICLE)} AND NOT is_credit GROUP BY GROUPING SETS ((account_id, business_category), (account_id))", "amount")
+def _(b):
+    return insights.vehicle_costs(b.tx)
+
+
+@query("a27_cash_by_month", LEDGER, "SELECT account_id, month, total_credits, total_debits, total_credits - total_debits AS net_flow, beginning_balance, ending_balance FROM st", "total_credits total_debits net_flow beginning_balance ending_balance", "month")
+def _(b):
+    return insights.cash_by_month(b.st)
+
+
+@query("a32_statement_table", LEDGER, "SELECT account_id, statement_id, strftime(statement_dt, '%B %Y') AS label, beginning_balance, ending_balance, total_credits, total_debits, ending_balance - beginning_balance AS net_change FROM st", "beginning_balance ending_balance total_credits total_debits net_change")
+def _(b):
+    return insights.statement_table(b.st)
+
+
+@query("a33_count_totals", LEDGER, "SELECT account_id, credits, debits, expected, parsed FROM (SELECT account_id, sum(total_credits) AS credits, sum(total_debits) AS debits, sum(credit_count + debit_count)::BIGINT AS expected FROM st GROUP BY ALL) JOIN (SELECT account_id, count(*) AS parsed FROM led GROUP BY ALL) USING (account_id)", "credits debits")
+def _(b):
+    return insights.count_totals(b.st, b.ledger)
+
+
+@query("a25_weekly_balance", LEDGER, "SELECT account_id, strftime(bal_dt, '%G-W%V') AS week, round(sum(balance)::DOUBLE / count(*), 4) AS avg_balance FROM db GROUP BY ALL")
+def _(b):
+    return insights.weekly_balance(b.db)
+
+
+@query("a26_daily_series", LEDGER, "SELECT account_id, bal_dt, arg_max(balance, statement_id) AS balance FROM db GROUP BY ALL", "balance", "bal_dt")
+def _(b):
+    return insights.daily_series(b.db)
+
+
+@query("a30_tax_summary", _TXQ + f", q AS ({_QUALITY}), n AS (SELECT account_id, count(*) AS statements FROM st GROUP BY ALL), t AS (SELECT *, uncategorized_non_pnl_credits > total_revenue * 2 AS xc, uncategorized_non_pnl_debits > (total_direct_costs + total_operating_expenses) * 2 AS xd, review::DOUBLE / greatest(total, 1) * 100 > 50 AS low FROM wide JOIN q USING (account_id) JOIN n USING (account_id)), h AS (SELECT *, statements < 12 OR low OR net_profit <= 0 OR xc OR xd AS held, array_to_string(list_filter([CASE WHEN statements < 12 THEN 'partial-year report' END, CASE WHEN low THEN 'classification incomplete' END, CASE WHEN xc THEN 'unclassified credits exceed classified revenue' END, CASE WHEN xd THEN 'unclassified debits exceed classified expenses' END], lambda x: x IS NOT NULL), '; ') AS why FROM t)", "SELECT account_id, total_revenue, net_profit, CASE WHEN held THEN 0.0 ELSE round(net_profit::DOUBLE * 0.25, 2) END AS reserve, CASE WHEN NOT held THEN '' WHEN why = '' THEN 'net loss — no reserve needed' ELSE why END AS withheld FROM h", "total_revenue net_profit reserve")
+def _(b):
+    return insights.tax_summary(b.wide(), insights.classification(b.tx), b.st)
+
+
+_ASSET = f"NOT is_credit AND amount >= 500 AND NOT is_transfer AND NOT is_loan AND NOT is_owner_related AND business_category NOT IN {names(insights.NO_ASSET)} AND NOT contains(upper(description), 'RETURNED ITEM')"
+
+
+@query("a31_owner_questions", TX, f"SELECT account_id, count(*) FILTER (cpa_review AND is_credit) AS deposits, count(*) FILTER (cpa_review AND NOT is_credit) AS debits, count(*) FILTER (cpa_review AND is_transfer) AS transfers, count(*) FILTER (cpa_review AND is_loan) AS loans, count(*) FILTER ({_ASSET}) AS large_purchases FROM tx GROUP BY ALL")
+def _(b):
+    return insights.owner_questions(b.tx)
+
+
+@query("w10_gates", _TXQ + _REC.removeprefix(LEDGER) + f", q AS ({_QUALITY}), n AS (SELECT account_id, count(*) AS statements FROM st GROUP BY ALL), g AS (SELECT account_id, bool_and(passed) AS all_passed FROM (SELECT account_id, passed FROM rec UNION ALL SELECT account_id, false FROM brk) GROUP BY ALL)", "SELECT account_id, all_passed AS may_report, CASE WHEN total_revenue = 0 THEN 'no revenue' WHEN review > 5 * statements THEN 'too much to review' ELSE '' END AS projections_held FROM g JOIN q USING (account_id) JOIN n USING (account_id) JOIN wide USING (account_id)")
+def _(b):
+    status = reconcile.status(reconcile.reconcile(b.st, b.ledger), reconcile.continuity(b.st))
+    quality = insights.classification(b.tx).select("account_id", F.col("review").alias("review_count")).join(b.st.groupBy("account_id").agg(F.count("*").alias("statements")), "account_id")
+    return periods.gates(status, quality, b.wide().select("account_id", "total_revenue"))
+
+
+# Lists
+
+_LIST = (*PICK, "amount", "rank")
+
+
+@query("k02_large_deposits", TX, ranked("is_credit AND amount >= 1000", "amount DESC", 20), "amount")
+def _(b):
+    return insights.large_deposits(b.tx).select(*_LIST)
+
+
+@query("k03_deductions", TX, ranked("NOT is_credit AND include_in_pnl AND amount > 0", "amount DESC", 100, f", {M('description')} AS merchant, CASE WHEN cpa_review THEN substr(review_reason, 1, 30) ELSE '' END AS review_note"), "amount")
+def _(b):
+    return insights.deductions(b.tx).select(*_LIST, "merchant", "review_note")
+
+
+_REASON = f"""CASE WHEN is_fixed_asset THEN 'Review needed' WHEN is_loan OR business_category IN ('Loan Proceeds', 'Loan Principal Payment', 'Loan Interest') THEN 'Loan/Financing'
+ WHEN is_owner_related OR business_category IN {names(insights.OWNER)} THEN 'Owner Activity' WHEN contains(business_category, 'Insurance') OR contains(upper(description), 'PROG') THEN 'Insurance Payment'
+ WHEN business_category = 'Fuel' THEN 'Fuel Purchase' WHEN contains(business_category, 'Rent') OR contains(business_category, 'Lease') THEN 'Rent/Lease'
+ WHEN business_category IN ('Repairs and Maintenance', 'Equipment Maintenance', 'Vehicle Expense') THEN 'Repair/Maintenance' WHEN is_transfer OR business_category IN ('Account Transfer', 'Credit Card Payment') THEN 'Account Transfer'
+ WHEN business_category IN ('Payroll', 'Payroll Taxes') THEN 'Payroll' WHEN business_category = 'Bank and Merchant Fees' THEN 'Bank Fees' WHEN business_category IN ('Software and Cloud Services', 'Telephone and Internet') THEN 'Technology/Utilities'
+ ELSE 'Unidentified — CPA review' END AS reason, CASE WHEN is_fixed_asset THEN 'Flagged by category rule - verify asset treatment' WHEN amount >= 2500 THEN 'CPA review' ELSE 'Review' END AS note"""
+
+
+@query("k04_fixed_assets", TX, ranked(_ASSET, "amount DESC", 30, f", is_fixed_asset, {_REASON}", "account_id, is_fixed_asset"), "amount")
+def _(b):
+    return insights.fixed_assets(b.tx).select(*_LIST, "is_fixed_asset", "reason", "note")
+
+
+@query("k05_payroll", TX, ranked(f"NOT is_credit AND business_category IN {names(insights.STAFF)}", "amount DESC", 50, ", CASE WHEN business_category IN ('Contract Labor', 'Subcontractors') THEN 'Verify worker classification / 1099 requirement' ELSE '' END AS note"), "amount")
+def _(b):
+    return insights.payroll(b.tx).select(*_LIST, "note")
+
+
+_TYPE = "CASE business_category WHEN 'Loan Proceeds' THEN 'Proceeds' WHEN 'Loan Principal Payment' THEN 'Principal' WHEN 'Loan Interest' THEN 'Interest' ELSE CASE WHEN is_credit THEN 'Proceeds' ELSE 'Payment' END END AS type"
+
+
+@query("k06_loans", TX, ranked(f"(is_loan OR contains(upper(description), 'LOAN') OR business_category IN {names(insights.LOANS)})", "post_dt DESC", 50, f", {_TYPE}"), "amount")
+def _(b):
+    return insights.loans(b.tx).select(*_LIST, "type")
+
+
+@query("k07_owner_activity", TX, ranked(f"(is_owner_related OR business_category IN {names(insights.OWNER)})", "post_dt DESC", 50, ", CASE WHEN is_credit THEN 'Contribution' ELSE 'Draw/Distribution' END AS type"), "amount")
+def _(b):
+    return insights.owner_activity(b.tx).select(*_LIST, "type")
+
+
+@query("k08_taxes", TX, ranked(f"(business_category IN {names(insights.TAXES)} OR contains(upper(description), 'TAX'))", "post_dt DESC", 50), "amount")
+def _(b):
+    return insights.taxes(b.tx).select(*_LIST)
+
+
+@query("k09_to_review", TX, f"SELECT {KEYS}, CASE WHEN review_reason = '' THEN 'Uncategorized' ELSE review_reason END AS reason FROM tx WHERE cpa_review OR business_category IN {names(insights.OPEN)}")
+def _(b):
+    return insights.to_review(b.tx).select(*PICK, "reason")
+
+
+@query("k10_newest", TX, "SELECT account_id, statement_id, sequence, amount, row_number() OVER (PARTITION BY statement_id ORDER BY post_dt DESC, sequence) AS rank FROM tx QUALIFY rank <= 20", "amount")
+def _(b):
+    return insights.newest(b.tx, 20).select(*_LIST)
+
+
+# Personal profile
+
+_PTX = personal_sql()
+_PAY = f"SELECT KEY, {M('description')} AS merchant, sum(amount) AS total FROM ptx WHERE NOT is_credit AND category NOT IN {names(insights.PERSONAL_OUT)} GROUP BY ALL"
+
+
+@query("k12_payees", _PTX, f"SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, merchant) AS rank FROM ({_PAY.replace('KEY', 'account_id')}) QUALIFY rank <= 15", "total")
+def _(b):
+    return insights.personal_payees(b.personal)
+
+
+@query("k12_payees_by_statement", _PTX, f"SELECT *, row_number() OVER (PARTITION BY account_id, statement_id ORDER BY total DESC, merchant) AS rank FROM ({_PAY.replace('KEY', 'account_id, statement_id')}) QUALIFY rank <= 10", "total")
+def _(b):
+    return insights.personal_payees(b.personal, 10, ("account_id", "statement_id"))
+
+
+_CAT = "SELECT account_id, category, sum(amount) AS total FROM ptx WHERE NOT is_credit GROUP BY ALL"
+
+
+@query("a20_category_shares", _PTX + f", c AS ({_CAT}), s AS (SELECT *, CASE WHEN sum(total) OVER (PARTITION BY account_id) = 0 THEN 0 ELSE total::DOUBLE / (sum(total) OVER (PARTITION BY account_id))::DOUBLE * 100 END AS p FROM c)", "SELECT account_id, category, total, CASE WHEN p > 0 AND p < 0.1 THEN '<0.1%' ELSE printf('%.1f%%', p) END AS share FROM s", "total")
+def _(b):
+    return insights.category_shares(b.personal)
+
+
+@query("a21_category_pie", _PTX + f", c AS ({_CAT}), s AS (SELECT *, total::DOUBLE / (sum(total) OVER (PARTITION BY account_id))::DOUBLE AS p FROM c)", "SELECT account_id, CASE WHEN p >= 0.03 THEN category ELSE 'Other (<3% each)' END AS category, sum(total) AS total FROM s GROUP BY ALL", "total")
+def _(b):
+    return insights.category_pie(b.personal)
+
+
+@query("a24_category_by_month", _PTX + f", c AS ({_CAT}), t AS (SELECT account_id, category FROM c QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY total DESC, category) <= 8)", "SELECT account_id, category, " + ", ".join(f"coalesce(sum(amount) FILTER (strftime(post_dt, '%Y-%m') = '{m}'), 0) AS m_{m.replace('-', '_')}" for m in _MONTHS) + " FROM ptx SEMI JOIN t USING (account_id, category) WHERE NOT is_credit GROUP BY ALL", _M6_MONEY)
+def _(b):
+    return insights.category_by_month(b.personal.withColumn("period", pnl.month_period()), _MONTHS)
+
+
+# Projections
+
+_OPT = project.Options(6, 3, 0.03, 0.02, 0.30, 0.25, 1000.0, {"1": 1.2, "7": 0.8}, {"conservative": 0.01, "base": 0.03, "growth": 0.06})
+
+
+def _projected(b: Book) -> DataFrame:
+    wide = b.wide(pnl.month_period())
+    history = wide.select("account_id", "period", F.col("total_revenue").alias("revenue"), F.col("total_operating_expenses").alias("expenses"))
+    cash = b.st.groupBy("account_id").agg(F.max_by("ending_balance", "statement_dt").alias("starting_cash"), F.date_add(F.max("statement_dt"), 1).alias("start_dt"))
+    return project.project(history, cash, _OPT)
+
+
+_PROJ = pl_sql("strftime(post_dt, '%Y-%m')") + """, hist AS (SELECT account_id, sum(total_revenue)::DOUBLE / count(*) AS br, sum(total_operating_expenses)::DOUBLE / count(*) AS be FROM (SELECT * FROM wide QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY period DESC) <= 3) GROUP BY ALL
+), c AS (SELECT account_id, arg_max(ending_balance, statement_dt) AS cash0, max(statement_dt) + 1 AS start_dt FROM st GROUP BY ALL
+), p AS (SELECT *, (start_dt + to_months(i - 1))::DATE AS month_dt FROM hist JOIN c USING (account_id), (VALUES ('conservative', 0.01::DOUBLE), ('base', 0.03::DOUBLE), ('growth', 0.06::DOUBLE)) v(scenario, g), (SELECT unnest(range(1, 7))::INT AS i)
+), f AS (SELECT *, CASE month(month_dt) WHEN 1 THEN 1.2::DOUBLE WHEN 7 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS season FROM p
+), r AS (SELECT *, br * pow(1 + g, i) * season AS rev, be * pow(1.02::DOUBLE, i) * season AS exp FROM f
+), n AS (SELECT *, rev * (1 - 0.30::DOUBLE) AS gross, rev * (1 - 0.30::DOUBLE) - exp AS net FROM r
+), o AS (SELECT *, cash0::DOUBLE + sum(net) OVER w AS cash, sum(greatest(net, 0) * 0.25) OVER w AS reserve FROM n WINDOW w AS (PARTITION BY account_id, scenario ORDER BY i ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("m01_projection", _PROJ, "SELECT account_id, scenario, i AS month_idx, month_dt, round(rev, 2) AS revenue, round(exp, 2) AS expenses, round(gross, 2) AS gross_profit, round(net, 2) AS net_income, round(cash, 2) AS ending_cash, round(reserve, 2) AS tax_reserve, cash < 1000 AS low_cash FROM o", "revenue expenses gross_profit net_income ending_cash tax_reserve", "month_dt")
+def _(b):
+    return _projected(b)
+
+
+@query("m04_low_months", _PROJ, "SELECT account_id, scenario, coalesce(array_to_string(list_sort(list(i) FILTER (cash < 1000)), ','), '') AS months FROM o GROUP BY ALL")
+def _(b):
+    return project.low_months(_projected(b))
+
+
+@query("m06_compare", _PROJ, "SELECT account_id, i AS month_idx, sum(round(net, 2)) FILTER (scenario = 'conservative') AS conservative, sum(round(net, 2)) FILTER (scenario = 'base') AS base, sum(round(net, 2)) FILTER (scenario = 'growth') AS growth FROM o GROUP BY ALL", "conservative base growth")
+def _(b):
+    return project.compare(_projected(b))
+
+
+@query("m07_actual_and_projected", _PROJ, "SELECT account_id, period, 'actual' AS kind, total_revenue::DOUBLE AS revenue FROM wide UNION ALL SELECT account_id, strftime(month_dt, '%Y-%m'), scenario, round(rev, 2)::DOUBLE FROM o")
+def _(b):
+    actual = b.wide(pnl.month_period()).select("account_id", "period", F.lit("actual").alias("kind"), F.col("total_revenue").cast("double").alias("revenue"))
+    return actual.unionByName(_projected(b).select("account_id", F.date_format("month_dt", "yyyy-MM").alias("period"), F.col("scenario").alias("kind"), F.col("revenue").cast("double").alias("revenue")))
+
+
+# Extracts
+
+_YN = "CASE WHEN {} THEN 'Yes' ELSE 'No' END AS {}"
+_SAFE = "CASE WHEN regexp_matches({0}, '^[=+\\-@]') THEN '''' || {0} ELSE {0} END"
+
+
+@query("s06_audit", TX, f"SELECT account_id, strftime(last_day(month), '%B %Y') AS Statement, strftime(post_dt, '%m/%d/%Y') AS PostDate, description AS Description, (CASE WHEN is_credit THEN amount ELSE -amount END)::DOUBLE AS Amount, CASE WHEN is_credit THEN 'Credit' ELSE 'Debit' END AS Type, balance::DOUBLE AS Balance, business_category AS BusinessCategory, tax_category AS TaxCategory, deductibility AS Deductibility, review_reason AS ReviewReason, {M('description')} AS Merchant, statement_id AS SourceStatement, " + ", ".join(_YN.format(c, f'"{n}"') for n, c in (("P&LIncluded", "include_in_pnl"), ("CPAReview", "cpa_review"), ("IsTransfer", "is_transfer"), ("IsOwnerRelated", "is_owner_related"), ("IsFixedAsset", "is_fixed_asset"), ("IsLoan", "is_loan"))) + " FROM tx")
+def _(b):
+    return export.audit(b.dated)
+
+
+@query("s07_profit_and_loss", _TXQ, "SELECT account_id, CASE section WHEN 'revenue' THEN 1 WHEN 'direct_costs' THEN 2 ELSE 3 END AS ord, category, CASE section WHEN 'revenue' THEN 'Revenue' WHEN 'direct_costs' THEN 'COGS/Direct Cost' ELSE 'Operating Expense' END AS type, amount FROM pl WHERE section IN ('revenue', 'direct_costs', 'operating_expenses') UNION ALL " + " UNION ALL ".join(f"SELECT account_id, {i}, '{n}', '{t}', {c} FROM wide" for i, (n, t, c) in enumerate((("Total Revenue", "Revenue", "total_revenue"), ("Total COGS", "COGS", "total_direct_costs"), ("Gross Profit", "Profit", "gross_profit"), ("Total OpEx", "Expense", "total_operating_expenses"), ("Operating Profit", "Profit", "operating_profit"), ("Net Profit", "Profit", "net_profit")), 11)), "amount")
+def _(b):
+    return export.profit_and_loss(b.pl(), b.wide())
+
+
+_D = "account_id, strftime(post_dt, '%m/%d/%Y') AS Date, description AS Description"
+_K = "CASE WHEN is_credit THEN 'Credit' ELSE 'Debit' END AS Type"
+_EXTRACTS = {
+    "x1_revenue_detail": ("revenue_detail", f"SELECT {_D}, business_category AS Category, amount::VARCHAR AS Amount FROM tx WHERE is_credit AND include_in_pnl"),
+    "x2_expense_detail": ("expense_detail", f"SELECT {_D}, business_category AS Category, tax_category AS TaxCategory, amount::VARCHAR AS Amount, deductibility AS Deductibility, {_YN.format('cpa_review', 'CPAReview')} FROM tx WHERE NOT is_credit AND include_in_pnl"),
+    "x3_fixed_assets": ("fixed_assets", f"SELECT {_D}, {M('description')} AS Vendor, amount::VARCHAR AS Amount FROM tx WHERE {_ASSET}"),
+    "x4_loan_activity": ("loan_activity", f"SELECT {_D}, business_category AS Category, amount::VARCHAR AS Amount, {_K} FROM tx WHERE is_loan OR contains(upper(description), 'LOAN')"),
+    "x5_owner_activity": ("owner_activity", f"SELECT {_D}, business_category AS Category, amount::VARCHAR AS Amount, CASE WHEN is_credit THEN 'Contribution' ELSE 'Draw' END AS Type FROM tx WHERE is_owner_related OR business_category IN {names(insights.OWNER)}"),
+    "x6_uncategorized": ("uncategorized", f"SELECT {_D}, amount::VARCHAR AS Amount, {_K}, review_reason AS ReviewReason FROM tx WHERE cpa_review"),
+}
+for _name, (_key, _sql) in _EXTRACTS.items():
+    query(_name, TX, _sql)(lambda b, key=_key: export.extracts(b.tx)[key])
