@@ -103,10 +103,14 @@ def ordered(custom: list[Rule] = (), defaults: list[Rule] | None = None) -> list
     return [*sorted(custom, key=by), *sorted(default_rules() if defaults is None else defaults, key=by)]
 
 
-def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """rule_id (from 1, in the order in which rules are tried) and the attributes."""
+#: What holds for a row that no rule knows.
+NO_RULE = Rule("", "Uncategorized", include_in_pnl=False)
+
+
+def rules_frame(spark: SparkSession, rules: list[Rule], first: int = 1) -> DataFrame:
+    """rule_id (from first on, in the order in which rules are tried) and the attributes."""
     schema = "rule_id int, pattern string, category string, tax_category string, deductibility string, is_income boolean, include_in_pnl boolean, is_transfer boolean, is_owner_related boolean, is_fixed_asset boolean, is_loan boolean, direction string, priority int"
-    return spark.createDataFrame([(i, *astuple(r)) for i, r in enumerate(rules, 1)], schema)
+    return spark.createDataFrame([(i, *astuple(r)) for i, r in enumerate(rules, first)], schema)
 
 
 def _upper_pattern(pattern: str) -> str:
@@ -139,19 +143,23 @@ def categorise(tx: DataFrame, rules: list[Rule], aliases: dict[str, str] | None
     Rules are tried on distinct descriptions and joined back: a ledger has far fewer of them than rows.
     """
     keys = tx.select("description", "is_credit").distinct()
-    found = keys.withColumn("rule_id", first_rule(F.upper(with_aliases(F.col("description"), aliases or {})), F.col("is_credit"), rules))
-    attributes = rules_frame(tx.sparkSession, rules).drop("pattern", "direction", "priority", "is_income")
-    ruled = found.join(F.broadcast(attributes), "rule_id", "left").drop("rule_id")
-    known = F.col("category").isNotNull()
-    review = F.col("category").isin(*REVIEWED) | (F.col("tax_category") == "non-pl")
+    # rule 0 stands for no rule: no null that a filter could push down as the whole chain
+    rule_id = F.coalesce(first_rule(F.upper(with_aliases(F.col("description"), aliases or {})), F.col("is_credit"), rules), F.lit(0))
+    attributes = rules_frame(tx.sparkSession, [NO_RULE, *rules], 0).drop("pattern", "direction", "priority", "is_income")
+    ruled = keys.withColumn("rule_id", rule_id).join(F.broadcast(attributes), "rule_id")
+    known, review = F.col("rule_id") > 0, F.col("category").isin(*REVIEWED) | (F.col("tax_category") == "non-pl")
     ruled = ruled.select(
         "description",
         "is_credit",
-        F.coalesce("category", F.lit("Uncategorized")).alias("business_category"),
-        F.when(known, F.col("tax_category")).otherwise("CPA Review").alias("tax_category"),
-        F.when(known, F.col("deductibility")).otherwise("unknown").alias("deductibility"),
-        *(F.coalesce(c, F.lit(False)).alias(c) for c in ("include_in_pnl", "is_transfer", "is_owner_related", "is_fixed_asset", "is_loan")),
-        F.when(known, review).otherwise(True).alias("cpa_review"),
+        F.col("category").alias("business_category"),
+        "tax_category",
+        "deductibility",
+        "include_in_pnl",
+        "is_transfer",
+        "is_owner_related",
+        "is_fixed_asset",
+        "is_loan",
+        review.alias("cpa_review"),
         F.when(~known, "No category rule matched").when(review, F.concat(F.lit("Matched '"), "category", F.lit("' rule — requires CPA verification"))).otherwise("").alias("review_reason"),
     )
     old = [f for f in ruled.columns if f in tx.columns and f not in ("description", "is_credit")]

@@ -64,6 +64,8 @@ def route(tx: DataFrame) -> DataFrame:
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     """Matches one group: each reversal in order takes the unused debit of highest score, the first of several."""
+    if rows.is_reversal.all():
+        return pd.DataFrame(columns=[c.split()[0] for c in MATCH.split(", ")])
     rows = rows.sort_values(["statement_dt", "sequence"], kind="stable")
     debit, back = rows[~rows.is_reversal], rows[rows.is_reversal]
     amount, day, used = debit.cents.to_numpy(float), debit.day.to_numpy(), np.zeros(len(debit), bool)
@@ -98,9 +100,25 @@ def _reversals(tx: DataFrame, period: Column) -> DataFrame:
 
 
 def match_reversals(tx: DataFrame, period: Column) -> DataFrame:
-    """One row per reversal that finds a debit: both, the debit's category and the amount applied. No debit is used twice."""
+    """One row per reversal that finds a debit: both, the debit's category and the amount applied. No debit is used twice.
+
+    Rows are dealt by group and sorted, so that a task goes through its groups one after the other and holds one at a time.
+    """
+    key = ["account_id", "period", "merchant"]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (rows[key] == rows[key].iloc[-1]).all(axis=1)
+            held, whole = rows[last], rows[~last]
+            if len(whole):
+                yield pd.concat([_greedy(g) for _, g in whole.groupby(key, sort=False)], ignore_index=True)
+        if held is not None and len(held):
+            yield _greedy(held)
+
     rows = _reversals(tx, period).withColumn("statement_dt", F.col("statement_dt").cast("string"))
-    return rows.groupBy("account_id", "period", "merchant").applyInPandas(_greedy, MATCH)
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, MATCH)
 
 
 def best_candidates(tx: DataFrame, period: Column) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..operators import classify, export, insights, periods, pnl, project, reconcile, redact
-from ..sources import adapters
+from ..operators import classify, export, insights, parse, periods, pnl, project, reconcile, redact
+from ..sources import adapters, texts
 from .book import LEDGER, TX, Book, merchant_sql, names, personal_sql, pl_sql, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,7 +178,8 @@ def _(b):
 
 @query("c01_rules", f"{TX}", "SELECT rule_id, category, r_tax AS tax_category, r_ded AS deductibility, r_pnl AS include_in_pnl, r_transfer AS is_transfer, r_owner AS is_owner_related, r_asset AS is_fixed_asset, r_loan AS is_loan FROM rules JOIN (SELECT DISTINCT rule_id FROM ruled) USING (rule_id)")
 def _(b):
-    used = b.ledger.select("description", "is_credit").distinct().select(classify.first_rule(F.upper("description"), F.col("is_credit"), rules()).alias("rule_id")).distinct()
+    found = F.coalesce(classify.first_rule(F.upper("description"), F.col("is_credit"), rules()), F.lit(0))
+    used = b.ledger.select("description", "is_credit").distinct().select(found.alias("rule_id")).distinct()
     return classify.rules_frame(b.spark, rules()).join(used, "rule_id").drop("pattern", "is_income", "direction", "priority")
 
 
@@ -642,3 +643,53 @@ _EXTRACTS = {
 }
 for _name, (_key, _sql) in _EXTRACTS.items():
     query(_name, TX, _sql)(lambda b, key=_key: export.extracts(b.tx)[key])
+
+
+# Statement texts: printed from the ledger and read back
+
+
+def _texts(b: Book) -> DataFrame:
+    return texts.printed(b.st, b.ledger, b.db)
+
+
+def _clean_sql(text: str) -> str:
+    for pattern, by in ((r"\d\s+\d{2}/\d{2}", ""), (r"\s+\d{1,2}\s*$", ""), (r"\b\w{50,}\b", ""), (r"\b([A-Za-z]+)\d{1,2}\b", r"\1"), (r"\s+", " ")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"trim({text})"
+
+
+@query("p01_statements", LEDGER, "SELECT statement_id AS doc_id, strftime(statement_dt, '%m/%d/%Y') AS statement_date, 'XXXXXXXXXX' || lpad(account_id::VARCHAR, 4, '0') AS account_number, beginning_balance, ending_balance, total_credits, total_debits, credit_count, debit_count FROM st", "beginning_balance ending_balance total_credits total_debits")
+def _(b):
+    return parse.statements(_texts(b))[0]
+
+
+@query("p03_transactions", LEDGER, f"SELECT statement_id AS doc_id, sequence, strftime(post_dt, '%m/%d/%Y') AS post_date, {_clean_sql('description')} || CASE WHEN sequence % 3 = 2 THEN ' REF TEXT' ELSE '' END AS description, amount, is_credit, balance FROM led", "amount balance")
+def _(b):
+    return parse.statements(_texts(b))[1]
+
+
+@query("p11_checks", LEDGER, "SELECT statement_id AS doc_id, 101 AS number, statement_dt AS check_dt, total_debits AS amount FROM st", "amount", "check_dt")
+def _(b):
+    return parse.checks(parse.lines_of(_texts(b))).drop("n")
+
+
+@query("p12_daily", LEDGER, "SELECT statement_id AS doc_id, bal_dt, balance FROM db", "balance", "bal_dt")
+def _(b):
+    return parse.daily(parse.lines_of(_texts(b))).drop("n", "i")
+
+
+@query("p13_fees", LEDGER, "SELECT statement_id AS doc_id, 12.5::DOUBLE AS overdraft_fees, 0::DOUBLE AS returned_item_fees FROM st")
+def _(b):
+    return parse.fees(parse.lines_of(_texts(b)))
+
+
+@query("p14_validate", LEDGER, "SELECT statement_id AS doc_id, '' AS errors, CASE WHEN beginning_balance = 0 AND ending_balance = 0 THEN 'Summary balances not found (beginning/ending)' ELSE '' END AS warnings, 'accepted' AS outcome FROM st")
+def _(b):
+    parsed, tx = parse.statements(_texts(b))
+    return parse.validate(parsed, tx).select("doc_id", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "outcome")
+
+
+@query("s02_distinct_texts", None, "SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS hash FROM documents GROUP BY ALL")
+def _(b):
+    files = adapters.table(b.spark, b.sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.distinct_texts(files)[0].select(F.col("path").cast("long").alias("doc_id"), "hash")
