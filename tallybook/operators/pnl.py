@@ -62,25 +62,36 @@ def route(tx: DataFrame) -> DataFrame:
     })
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Matches one group: each reversal in order takes the unused debit of highest score, the first of several."""
-    if rows.is_reversal.all():
-        return pd.DataFrame(columns=[c.split()[0] for c in MATCH.split(", ")])
-    rows = rows.sort_values(["statement_dt", "sequence"], kind="stable")
-    debit, back = rows[~rows.is_reversal], rows[rows.is_reversal]
-    amount, day, used = debit.cents.to_numpy(float), debit.day.to_numpy(), np.zeros(len(debit), bool)
-    category, out = debit.business_category.to_numpy(), []
-    for r in back.itertuples():
-        days = r.day - day
-        high = np.maximum(amount, r.cents)
-        part = np.where((amount == 0) | (r.cents == 0), 0.0, np.minimum(amount, r.cents) / np.where(high == 0, 1, high))
-        ok = ~used & (days >= 0) & (days <= DAYS) & ~((r.cents < amount) & (part < LEAST_RATIO))
-        if not ok.any():
-            continue
-        i = int(np.argmax(np.where(ok, part - days / 36500, -np.inf)))
-        used[i] = True
-        out.append((r.account_id, r.period, r.merchant, r.statement_id, r.sequence, debit.statement_id.iloc[i], debit.sequence.iloc[i], category[i], int(min(amount[i], r.cents))))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in MATCH.split(", ")])
+def _greedy(cents: np.ndarray, day: np.ndarray, back: np.ndarray) -> list[tuple[int, int]]:
+    """(reversal, debit) pairs of one group in list order: each reversal takes the unused debit of highest score."""
+    debits, out = np.flatnonzero(~back), []
+    amount, when = cents[debits].astype(float), day[debits]
+    used = np.zeros(len(debits), bool)
+    for r in np.flatnonzero(back) if len(debits) else ():
+        days = day[r] - when
+        high = np.maximum(amount, cents[r])
+        part = np.where((amount == 0) | (cents[r] == 0), 0.0, np.minimum(amount, cents[r]) / np.where(high == 0, 1, high))
+        ok = ~used & (days >= 0) & (days <= DAYS) & ~((cents[r] < amount) & (part < LEAST_RATIO))
+        if ok.any():
+            i = int(np.argmax(np.where(ok, part - days / 36500, -np.inf)))
+            used[i] = True
+            out.append((int(r), int(debits[i])))
+    return out
+
+
+def _matched(rows: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of rows sorted by group and list order."""
+    same = np.ones(len(rows), bool)
+    for c in ("account_id", "period", "merchant"):
+        x = rows[c].to_numpy()
+        same[1:] &= x[1:] == x[:-1]
+    same[0] = False
+    edges = [*np.flatnonzero(~same), len(rows)]
+    cents, day, back = (rows[c].to_numpy() for c in ("cents", "day", "is_reversal"))
+    pairs = [(a + r, a + d) for a, b in zip(edges, edges[1:]) if not back[a:b].all() for r, d in _greedy(cents[a:b], day[a:b], back[a:b])]
+    r, d = (rows.iloc[[p[k] for p in pairs]].reset_index(drop=True) for k in (0, 1))
+    out = r[["account_id", "period", "merchant", "statement_id", "sequence"]].rename(columns={"statement_id": "reversal_statement", "sequence": "reversal_sequence"})
+    return out.assign(debit_statement=d.statement_id, debit_sequence=d.sequence, debit_category=d.business_category, cents=np.minimum(r.cents, d.cents))
 
 
 MATCH = "account_id int, period string, merchant string, reversal_statement string, reversal_sequence int, debit_statement string, debit_sequence int, debit_category string, cents long"
@@ -110,15 +121,17 @@ def match_reversals(tx: DataFrame, period: Column) -> DataFrame:
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (rows[key] == rows[key].iloc[-1]).all(axis=1)
-            held, whole = rows[last], rows[~last]
+            last = np.ones(len(rows), bool)
+            for c in key:
+                last &= rows[c].to_numpy() == rows[c].iloc[-1]
+            held, whole = rows[last].reset_index(drop=True), rows[~last].reset_index(drop=True)
             if len(whole):
-                yield pd.concat([_greedy(g) for _, g in whole.groupby(key, sort=False)], ignore_index=True)
+                yield _matched(whole)
         if held is not None and len(held):
-            yield _greedy(held)
+            yield _matched(held)
 
     rows = _reversals(tx, period).withColumn("statement_dt", F.col("statement_dt").cast("string"))
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, MATCH)
+    return rows.repartition(*key).sortWithinPartitions(*key, "statement_dt", "statement_id", "sequence").mapInPandas(run, MATCH)
 
 
 def best_candidates(tx: DataFrame, period: Column) -> DataFrame:
