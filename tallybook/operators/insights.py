@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.document_values import DOCUMENTS, STATUS
 from ..functions.scalars import MONEY, divided, iso_week, merchant, month_label, percent, ratio, share_label
 
 VEHICLE = ("Fuel", "Vehicle Expense", "Equipment Maintenance", "Repairs and Maintenance", "Tolls and Scale Fees")
@@ -292,3 +293,20 @@ def category_by_month(tx: DataFrame, months: list[str], k: int = 8) -> DataFrame
     largest = top(debit.groupBy("account_id", "category").agg(F.sum("amount").alias("total")), k, [F.desc("total")], tail=("category",)).select("account_id", "category")
     wide = debit.join(largest, ["account_id", "category"], "left_semi").groupBy("account_id", "category").pivot("period", months).agg(F.sum("amount"))
     return wide.select("account_id", "category", *(F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast(MONEY).alias(f"m_{m.replace('-', '_')}") for m in months))
+
+
+def document_status(accounts: DataFrame, given: DataFrame) -> DataFrame:
+    """account_id, document, label, status of every required document; given: account_id, document, status."""
+    spark = accounts.sparkSession
+    required = spark.createDataFrame(list(DOCUMENTS.items()), "document string, label string")
+    shown = spark.createDataFrame(list(STATUS.items()), "status string, shown string")
+    rows = accounts.select("account_id").distinct().crossJoin(F.broadcast(required)).join(given, ["account_id", "document"], "left")
+    rows = rows.withColumn("status", F.coalesce("status", F.lit("not-provided"))).join(F.broadcast(shown), "status", "left")
+    return rows.select("account_id", "document", "label", F.coalesce("shown", F.concat(F.lit("[ ] "), "status")).alias("status"))
+
+
+def personal_audit(tx: DataFrame, text: Column | None = None) -> DataFrame:
+    """Seven columns per row of the personal ledger (with statement_dt)."""
+    text = F.col("description") if text is None else text
+    signed_amount = F.when(F.col("is_credit"), F.col("amount")).otherwise(-F.col("amount")).cast(MONEY)
+    return tx.select("account_id", month_label(F.col("statement_dt")).alias("Statement"), F.date_format("post_dt", "MM/dd/yyyy").alias("PostDate"), text.alias("Description"), signed_amount.alias("Amount"), F.when(F.col("is_credit"), "Credit").otherwise("Debit").alias("Type"), F.col("balance").alias("Balance"), F.col("category").alias("Category"))

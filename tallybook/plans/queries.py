@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..functions.document_values import DOCUMENTS
 from ..operators import classify, export, insights, parse, periods, pnl, project, reconcile, redact
 from ..sources import adapters, texts
 from .book import LEDGER, TX, Book, merchant_sql, names, personal_sql, pl_sql, rules
@@ -693,3 +694,63 @@ def _(b):
 def _(b):
     files = adapters.table(b.spark, b.sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.distinct_texts(files)[0].select(F.col("path").cast("long").alias("doc_id"), "hash")
+
+
+# The rest of the personal profile, documents, calendars
+
+
+@query("k11_newest_personal", _PTX, "SELECT account_id, statement_id, sequence, amount, category, row_number() OVER (PARTITION BY statement_id ORDER BY post_dt DESC, sequence) AS rank FROM ptx QUALIFY rank <= 40", "amount")
+def _(b):
+    return insights.newest(b.personal, 40).select(*PICK, "amount", "category", "rank")
+
+
+@query("s10_personal_audit", _PTX, "SELECT account_id, strftime(last_day(month), '%B %Y') AS Statement, strftime(post_dt, '%m/%d/%Y') AS PostDate, regexp_replace(description, '\\bX{2,}\\d{4}\\b', '[ID REDACTED]', 'g') AS Description, (CASE WHEN is_credit THEN amount ELSE -amount END)::DOUBLE AS Amount, CASE WHEN is_credit THEN 'Credit' ELSE 'Debit' END AS Type, balance::DOUBLE AS Balance, category AS Category FROM ptx")
+def _(b):
+    tx = b.personal.join(b.st.select("statement_id", "statement_dt"), "statement_id")
+    return insights.personal_audit(tx, redact.mask_personal(F.col("description")))
+
+
+@query("s10_personal_other", _PTX, f"SELECT {KEYS}, substr(description, 1, 90) AS description FROM ptx WHERE category = 'Other'")
+def _(b):
+    return b.personal.where("category = 'Other'").select(*PICK, F.substring("description", 1, 90).alias("description"))
+
+
+@query("w06_calendar", LEDGER + ", cal AS (SELECT 'month' AS kind, strftime(make_date(1999, i, 1), '%B %Y') AS label, make_date(1999, i, 1) AS first_dt, last_day(make_date(1999, i, 1)) AS last_dt FROM (SELECT unnest(range(1, 13))::INT AS i) UNION ALL SELECT 'quarter', 'Q' || q || ' 1999', make_date(1999, 3 * q - 2, 1), last_day(make_date(1999, 3 * q, 1)) FROM (SELECT unnest(range(1, 5))::INT AS q))", "SELECT kind, label, first_dt, last_dt, count(statement_id) AS statements, coalesce(sum(total_credits), 0) AS credits FROM cal LEFT JOIN st ON statement_dt BETWEEN first_dt AND last_dt GROUP BY ALL", "credits", "first_dt last_dt")
+def _(b):
+    calendar = F.broadcast(periods.calendar(b.spark, 1999))
+    found = calendar.join(b.st, F.col("statement_dt").between(F.col("first_dt"), F.col("last_dt")), "left")
+    return found.groupBy("kind", "label", "first_dt", "last_dt").agg(F.count("statement_id").alias("statements"), F.coalesce(F.sum("total_credits"), F.lit(0)).alias("credits"))
+
+
+@query("w08_predicate", pl_sql().replace("  FROM tx\n), pl AS", "  FROM tx WHERE amount > 50000\n), pl AS"), "SELECT account_id, total_revenue, net_profit FROM wide", "total_revenue net_profit")
+def _(b):
+    return pnl.summary(pnl.lines(b.tx.where(F.col("amount") > 50000), pnl.total_period(), matched=False)).select("account_id", "total_revenue", "net_profit")
+
+
+
+
+
+@query("j07_document_status", LEDGER + ", acc AS (SELECT DISTINCT account_id FROM st), req(document, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in DOCUMENTS.items()) + "), given AS (SELECT account_id, 'bank_statements' AS document, CASE WHEN count(*) >= 78 THEN 'provided' ELSE 'partial' END AS status FROM st GROUP BY ALL)", "SELECT account_id, document, label, CASE coalesce(status, 'not-provided') WHEN 'provided' THEN '[x] Provided' WHEN 'partial' THEN '[~] Partial' ELSE '[ ] Not Provided' END AS status FROM acc CROSS JOIN req LEFT JOIN given USING (account_id, document)")
+def _(b):
+    given = b.st.groupBy("account_id").agg(F.when(F.count("*") >= 78, "provided").otherwise("partial").alias("status")).select("account_id", F.lit("bank_statements").alias("document"), "status")
+    return insights.document_status(b.st, given)
+
+
+_RATES = {s: project.assumptions(_OPT, s) for s in project.SCENARIOS}
+
+
+@query("m09_assumptions", _PROJ + ", low AS (SELECT account_id, scenario, coalesce(array_to_string(list_sort(list(i) FILTER (cash < 1000)), ','), '') AS months FROM o GROUP BY ALL), rates(scenario, item, value) AS (VALUES " + ", ".join(f"('{s}', '{k}', '{v}')" for s, rows in _RATES.items() for k, v in rows.items()) + ")", "SELECT account_id, scenario, item, value, months AS low_cash_months FROM low JOIN rates USING (scenario)")
+def _(b):
+    rates = b.spark.createDataFrame([(s, k, v) for s, rows in _RATES.items() for k, v in rows.items()], "scenario string, item string, value string")
+    return project.low_months(_projected(b)).join(F.broadcast(rates), "scenario").select("account_id", "scenario", "item", "value", F.col("months").alias("low_cash_months"))
+
+
+@query("m08_month_labels", _PROJ, "SELECT account_id, i AS month_idx, strftime(month_dt, '%b %y') AS label FROM o WHERE scenario = 'base'")
+def _(b):
+    return _projected(b).where("scenario = 'base'").select("account_id", "month_idx", F.date_format("month_dt", "MMM yy").alias("label"))
+
+
+@query("f17_iso_weeks", None, "SELECT user_id, strftime(ts, '%G-W%V') AS week, count(*) AS n, sum(round(value, 2)::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL")
+def _(b):
+    rows = adapters.table(b.spark, b.sf_dir, "events").select("user_id", S.iso_week(F.to_date("ts")).alias("week"), F.round("value", 2).cast(S.MONEY).alias("v"))
+    return rows.groupBy("user_id", "week").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
