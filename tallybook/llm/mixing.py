@@ -128,3 +128,23 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return mix(docs, tie_cols=()).select("doc_id", "source", "block", "slot", "position")
+
+
+OP7_SQL = f"""
+WITH RECURSIVE src AS (SELECT coalesce(source, '') AS s, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY ALL
+), ex AS (SELECT s, n, w / sum(w) OVER () * per AS x, per FROM src, (SELECT greatest({PERIOD}, 10 * count(*)) AS per FROM src)
+), fl AS (SELECT s, n, per, greatest(1, floor(x))::BIGINT AS base, row_number() OVER (ORDER BY floor(x) - x, s) AS r FROM ex
+), sl AS (SELECT s, n, base + CASE WHEN r <= greatest(0, per - sum(base) OVER ()) THEN 1 ELSE 0 END AS a, row_number() OVER (ORDER BY s) AS i FROM fl
+), par AS (SELECT list(a ORDER BY s)::BIGINT[] AS a, list(n ORDER BY s)::BIGINT[] AS n, sum(a)::BIGINT AS period, count(*)::BIGINT AS sources FROM sl
+), run AS (
+  SELECT -1::BIGINT AS t, list_transform(range(sources), lambda i: 0::BIGINT) AS k, NULL::BIGINT AS pick FROM par
+  UNION ALL
+  SELECT t, k, list_sort(list_transform(list_filter(range(1, sources + 1), lambda i: k[i] < a[i] AND k[i] * period // a[i] <= t), lambda i: {{'deadline': ((k[i] + 1) * period + a[i] - 1) // a[i], 'i': i}}))[1].i
+  FROM (SELECT t + 1 AS t, CASE WHEN pick IS NULL THEN k ELSE list_transform(range(1, sources + 1), lambda i: k[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) END AS k, a, period, sources FROM run, par WHERE t + 1 < period)
+), plan AS (SELECT t, k, pick, k[pick] AS nth_block FROM run WHERE t >= 0
+), docs AS (SELECT doc_id, source, sl.i, sl.a, row_number() OVER (PARTITION BY sl.s ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS nth FROM documents JOIN sl ON sl.s = coalesce(source, '')
+), placed AS (SELECT *, nth // {BLOCK} AS block, nth // {BLOCK} // a AS turn FROM docs)
+SELECT doc_id, source, block, turn * period + t AS slot,
+       list_sum(list_transform(range(1, sources + 1), lambda j: least(par.n[j], {BLOCK} * (turn * par.a[j] + k[j]))))::BIGINT + nth - block * {BLOCK} AS position
+FROM placed JOIN plan ON pick = i AND nth_block = block % placed.a CROSS JOIN par
+"""

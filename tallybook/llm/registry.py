@@ -21,5 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_topk": topk.OP3_SQL,
+    "op7_mixing": mixing.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

@@ -181,3 +181,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, bucket: int = B
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.q, b.q) DESC, b.vec_id)::INT AS rank, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q) QUALIFY rank <= 5
+"""
