@@ -95,7 +95,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, paired: int = PAIRED, id_co
 WIDE_PRINTS, WIDE_BLOCK, WIDE_WORDS = 16, 22, 5
 #: Bits that may differ: 15.2 % of them and one standard deviation.
 WIDE_DISTANCE = 167
-#: In a block shared by more texts than this each is compared with the first and with the one before it.
+#: In every shared block each text is compared with the first and with the one before it; in blocks of up to so many
+#: texts also with all others that are not in its component by then.
 WIDE_PAIRED = 64
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(WIDE_PRINTS)], np.uint64)
 
@@ -136,16 +137,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = nodes.select("id", F.posexplode("blocks").alias("block", "value"))
     shared = keys.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keys.join(shared, ["block", "value"]))
-    few, many = met.where(F.col("n") <= WIDE_PAIRED), met.where(F.col("n") > WIDE_PAIRED)
-    a, b = (few.select("block", "value", F.col("id").alias(x)) for x in "uv")
-    pairs = a.join(b, ["block", "value"]).where("u > v").select("u", "v")
-    inside = Window.partitionBy("block", "value").orderBy("id")
-    chain = many.select(F.col("id").alias("u"), F.lag("id").over(inside).alias("prev"), F.first("id").over(inside).alias("first")).where("prev is not null")
-    pairs = pairs.unionByName(chain.select("u", F.explode(F.array("prev", "first")).alias("v"))).distinct()
     left, right = (nodes.select(F.col("id").alias(x), F.col("wide").alias(f"w{x}")) for x in "uv")
     differ = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = pairs.join(left, "u").join(right, "v").where(differ <= WIDE_DISTANCE).select("u", "v")
-    roots = components(close)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(left, "u").join(right, "v").where(differ <= WIDE_DISTANCE).select("u", "v")
+
+    inside = Window.partitionBy("block", "value").orderBy("id")
+    chain = met.select(F.col("id").alias("u"), F.lag("id").over(inside).alias("prev"), F.first("id").over(inside).alias("first")).where("prev is not null")
+    linked = written(close(chain.select("u", F.explode(F.array("prev", "first")).alias("v"))))
+    # what the chains have joined need not be compared again: only pairs from different components are left
+    joined = written(components(linked)).select(F.col("node").alias("id"), "root")
+    few = met.where(F.col("n") <= WIDE_PAIRED).join(joined, "id", "left").select("block", "value", "id", F.coalesce("root", "id").alias("root"))
+    a, b = (few.select("block", "value", F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    pairs = a.join(b, (a["block"] == b["block"]) & (a["value"] == b["value"]) & (a["u"] > b["v"]) & (a["ru"] != b["rv"])).select("u", "v")
+    roots = components(linked.unionByName(close(pairs)))
     copies = fps.join(nodes, ["wide", "blocks"]).select("doc_id", "id")
     found = copies.join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("component_id"))
     return found
