@@ -89,72 +89,137 @@ def near_duplicates(docs: DataFrame, words: int = 3, paired: int = PAIRED, id_co
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Similar texts: 1024-bit fingerprints of five-word shingle sets in blocks of 22 bits. At a Jaccard similarity of 0.8
-#: about 15 % of the bits differ, so that a pair agrees in one of the 46 blocks or more with a chance of 0.73, at 0.85 of
-#: 0.90 and at 0.9 of 0.99; unlike texts differ in half of the bits.
-WIDE_PRINTS, WIDE_BLOCK, WIDE_WORDS = 16, 22, 5
-#: Bits that may differ: 15.2 % of them and one standard deviation.
-WIDE_DISTANCE = 167
-#: In every shared block each text is compared with the first and with the one before it; in blocks of up to so many
-#: texts also with all others that are not in its component by then.
+#: Similar texts: sets of five-word shingles, as hashes, with a Jaccard similarity of at least 4/5. In one order of all
+#: shingles two such sets share one of the first n - ceil(4n/5) + 1 of each (n: its size), so texts that share none of
+#: these need not be compared, and no pair is lost. The order is free; it only says how many texts meet by chance.
+WIDE_WORDS = 5
+#: Longs of a sketch: each shingle turns one of its bits over, so two sets differ in as many shingles as sketches in bits, or more.
+WIDE_PRINTS = 16
+#: Shingles that so many of about so many sampled texts have come last in the order, by their number of texts.
+OFTEN, SAMPLED = 4, 4000
+#: Texts that share a shingle meet in tiles of about so many; each tile meets each.
 WIDE_PAIRED = 64
-ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(WIDE_PRINTS)], np.uint64)
 
 
-def wide_print(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """16 signed 64-bit parts of the fingerprint of a text's shingle set, and its blocks as numbers."""
+def shingle_set(text: str) -> np.ndarray:
+    """The sorted hashes of a text's five-word shingles; fewer words are one shingle, and so are none."""
     found = text.encode().lower().split()
     shingles = [b" ".join(found)] if len(found) < WIDE_WORDS else map(b" ".join, zip(*(found[i:] for i in range(WIDE_WORDS))))
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
-    ones = np.zeros(64 * WIDE_PRINTS, np.int64)
-    for i in range(0, len(hashes), 2048):
-        h = hashes[i : i + 2048, None] * ODD
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        ones += np.unpackbits((h ^ (h >> np.uint64(32))).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    bits = 2 * ones > len(hashes)
-    whole = len(bits) // WIDE_BLOCK
-    blocks = bits[: whole * WIDE_BLOCK].reshape(whole, WIDE_BLOCK) @ (1 << np.arange(WIDE_BLOCK))
-    return np.packbits(bits, bitorder="little").view("<i8"), blocks.astype(np.int32)
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes(), SEED)).astype(np.int64))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((hashes % np.uint64(64 * WIDE_PRINTS)).astype(np.int64), minlength=64 * WIDE_PRINTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def prefix(hashes: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of rank (that of often, sorted; 0 for all others), then of the hash."""
+    at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
+    of = np.where(often[at] == hashes, rank[at], 0) if len(often) else np.zeros(len(hashes), np.int64)
+    return hashes[np.argsort(of, kind="stable")][: len(hashes) - (4 * len(hashes) + 4) // 5 + 1]
+
+
+def _often(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a bounded sample of texts have, sorted, and the number of these texts."""
+
+    def shingles(batches):
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"h": shingle_set(text).view(np.int64)})
+
+    part = max(1, docs.count() // SAMPLED)
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(part)) == 0).select(text_of(docs, text_col).alias("text"))
+    found = some.mapInPandas(shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable by links of similar texts, itself included).
 
-    Links are wide fingerprints that agree in a block and differ in at most WIDE_DISTANCE bits: texts whose five-word
-    shingles have a Jaccard similarity of about 0.8 or more. Texts without words are similar to each other. Documents
-    without an id are left out. Documents with one fingerprint take part once.
+    Links are all pairs of texts whose five-word shingles, A-Z in lower case, have a Jaccard similarity of 0.8 or more.
+    Texts without words are similar to each other. Documents without an id are left out. Documents with one set of
+    shingles take part once. Shingles and sets are told apart by 64-bit hashes.
     """
+    given = docs.where(F.col(id_col).isNotNull())
+    often, rank = _often(given, id_col, text_col)
 
-    @F.pandas_udf("struct<wide array<long>, blocks array<int>>")
+    @F.pandas_udf("struct<node long, n int, sketch array<long>, keys array<long>>")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        found = [wide_print(t) for t in texts]
-        return pd.DataFrame({"wide": [f[0] for f in found], "blocks": [f[1] for f in found]})
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), prints(text_of(docs, text_col)).alias("p"))
-    fps = written(rows.select("doc_id", "p.wide", "p.blocks"))
-    nodes = written(fps.groupBy("wide", "blocks").agg(F.min("doc_id").alias("id")))
-    keys = nodes.select("id", F.posexplode("blocks").alias("block", "value"))
-    shared = keys.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keys.join(shared, ["block", "value"]))
-    left, right = (nodes.select(F.col("id").alias(x), F.col("wide").alias(f"w{x}")) for x in "uv")
+        out = []
+        for t in texts:
+            found = shingle_set(t)
+            out.append((set_name(found), len(found), sketch(found), prefix(found, often, rank).view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "n", "sketch", "keys"])
+
+    @F.pandas_udf("struct<node long, hashes binary>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"node": [set_name(f) for f in found], "hashes": [f.astype("<u8").tobytes() for f in found]})
+
+    @F.pandas_udf("int")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b)], dtype="int32")
+
+    rows = given.select(F.col(id_col).alias("doc_id"), prints(text_of(given, text_col)).alias("p"))
+    fps = written(rows.select("doc_id", "p.node", "p.n", "p.sketch", "p.keys"))
+    nodes = written(fps.dropDuplicates(["node"]))
+    keys = nodes.select(F.posexplode("keys").alias("pos", "key"), F.col("node").alias("id"), "n")
+    inside = Window.partitionBy("key").orderBy("id")
+    me = F.struct("id", "n", "pos")
+    met = keys.withColumns({"many": F.count("*").over(Window.partitionBy("key")), "prev": F.lag(me).over(inside), "first": F.first(me).over(inside)}).where("many > 1")
+    met = written(met)
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"w{x}")) for x in "uv")
     differ = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(left, "u").join(right, "v").where(differ <= WIDE_DISTANCE).select("u", "v")
+    def needed(a: Column, b: Column) -> Column:
+        """Shingles that sets of a and of b must share."""
+        return F.floor((4 * (a + b) + 8) / 9)
+
+    def may(a: Column, pa: Column, b: Column, pb: Column) -> Column:
+        """Whether what stands from the shared shingle on can be enough; it is if that is the first one that they share."""
+        return F.least(a - pa, b - pb) >= needed(a, b)
 
-    inside = Window.partitionBy("block", "value").orderBy("id")
-    chain = met.select(F.col("id").alias("u"), F.lag("id").over(inside).alias("prev"), F.first("id").over(inside).alias("first")).where("prev is not null")
-    linked = written(close(chain.select("u", F.explode(F.array("prev", "first")).alias("v"))))
-    # what the chains have joined need not be compared again: only pairs from different components are left
+    def close(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(left, "u").join(right, "v").where(differ <= F.col("nu") + F.col("nv") - 2 * needed(F.col("nu"), F.col("nv")))
+        near = written(near.select("u", "v", "nu", "nv"))
+        used = near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+        texts = given.select(F.col(id_col).alias("doc_id"), text_of(given, text_col).alias("text")).join(used.select("doc_id").distinct(), "doc_id")
+        # an id may have other texts too: only the sets that are asked for
+        held = texts.select(sets("text").alias("s")).select("s.node", "s.hashes").join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        held = written(held)
+        a, b = (held.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
+        return near.join(a, "u").join(b, "v").withColumn("same", common("hu", "hv")).where(9 * F.col("same") >= 4 * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+    def linked_by(name: str) -> DataFrame:
+        x = F.col(name)
+        found = met.where(x.isNotNull() & (x["id"] != F.col("id"))).where(may(F.col("n"), F.col("pos"), x["n"], x["pos"]))
+        return found.select(F.greatest(F.col("id"), x["id"]).alias("u"), F.least(F.col("id"), x["id"]).alias("v"))
+
+    linked = written(close(linked_by("prev").unionByName(linked_by("first"))))
+    # what these have joined need not be compared again: of shared shingles whose texts are in several components all pairs
+    # from different ones are left; a shingle of many texts is dealt in tiles
     joined = written(components(linked)).select(F.col("node").alias("id"), "root")
-    few = met.where(F.col("n") <= WIDE_PAIRED).join(joined, "id", "left").select("block", "value", "id", F.coalesce("root", "id").alias("root"))
-    a, b = (few.select("block", "value", F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
-    pairs = a.join(b, (a["block"] == b["block"]) & (a["value"] == b["value"]) & (a["u"] > b["v"]) & (a["ru"] != b["rv"])).select("u", "v")
-    roots = components(linked.unionByName(close(pairs)))
-    copies = fps.join(nodes, ["wide", "blocks"]).select("doc_id", "id")
-    found = copies.join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("component_id"))
-    return found
+    rest = met.select("key", "id", "n", "pos", "many").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = written(rest)
+    open_keys = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    tiles = F.ceil(F.col("many") / WIDE_PAIRED).cast("int")
+    rest = written(rest.join(open_keys, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id", F.lit(1)), "tiles").cast("int")))
+    a = rest.select("key", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), *(F.col(c).alias(f"{c}u") for c in ("id", "n", "pos", "root")))
+    b = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("i"), F.col("tile").alias("j"), *(F.col(c).alias(f"{c}v") for c in ("id", "n", "pos", "root")))
+    meet = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & ((a["i"] < a["j"]) | (a["idu"] > b["idv"])) & (a["rootu"] != b["rootv"])
+    pairs = a.join(b, meet & may(a["nu"], a["posu"], b["nv"], b["posv"])).select(F.greatest("idu", "idv").alias("u"), F.least("idu", "idv").alias("v"))
+    roots = written(components(linked.unionByName(close(pairs))))
+    named = fps.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = written(named)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

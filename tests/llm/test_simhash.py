@@ -108,3 +108,37 @@ def test_a_large_group_stays_together(spark, monkeypatch):
     docs = [(i, " ".join([*words[: i % 290], "new", *words[i % 290 + 1 :]])) for i in range(200)]
     got = {r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+def brute_groups(texts):
+    """The smallest number reachable by pairs of a shingle similarity of 0.8 or more, compared one with one."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def groups_found(spark, texts):
+    rows = list(enumerate(texts))
+    random.Random(14).shuffle(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("paired", [64, 3])
+def test_interleaved_families_around_one_passage(spark, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "WIDE_PAIRED", paired)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(4000)]
+    words = lambda n: [rng.choice(base) for _ in range(n)]
+    shared, texts = words(90), []
+    ends = [words(rng.randrange(18, 40)) for _ in range(12)]
+    for k in range(120):
+        end = list(ends[k % 12]) if k % 3 else words(30)
+        end[rng.randrange(len(end))] = rng.choice(base)
+        texts.append(" ".join(shared + end))
+    assert groups_found(spark, texts) == brute_groups(texts)
