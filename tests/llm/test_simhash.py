@@ -142,3 +142,17 @@ def test_interleaved_families_around_one_passage(spark, monkeypatch, paired):
         end[rng.randrange(len(end))] = rng.choice(base)
         texts.append(" ".join(shared + end))
     assert groups_found(spark, texts) == brute_groups(texts)
+
+
+def test_similarity_at_the_threshold(spark):
+    rng = random.Random(15)
+    base, texts = [f"w{i}" for i in range(4000)], []
+    words = lambda n: [rng.choice(base) for _ in range(n)]
+    for own in (96, 99, 100, 101, 104):  # 800 shared shingles and so many of each text's own
+        both = words(804)
+        texts += [" ".join(both + words(own)), " ".join(both + words(own))]
+    for n in (8, 7):  # four shingles against five, which is 0.8, and three against four, which is less
+        for _ in range(20):
+            short = words(n)
+            texts += [" ".join(short), " ".join([*short, "more"])]
+    assert groups_found(spark, texts) == brute_groups(texts)
