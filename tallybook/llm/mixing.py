@@ -6,7 +6,9 @@ weights sum to one, every block meets its deadline, so at every slot each source
 but for less than one block.
 
 Weights are whole numbers of slots in a period, so the schedule repeats: it is worked out once for one period, and the
-slot of any block is arithmetic. The position of a row is a sum over the sources as well, so no step runs through the
+slot of any block is arithmetic. A period has at least FINER slots for each block of the input, and a share of the slots
+is off by no more than one slot a period, so in as many slots as there are blocks rounding adds 1 / FINER of a block at
+most. The position of a row is a sum over the sources as well, so no step runs through the
 rows one after the other. When a source has no rows left its slots stay empty, and the others go on in proportion.
 """
 
@@ -18,10 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 #: Slots in a period at least; weights are rounded to whole slots.
 PERIOD = 1000
+#: Slots of a period for each block of the input at least.
+FINER = 4
 #: Rows in a block.
 BLOCK = 64
 #: A mix of more sources than this is refused: the table of one period grows with them.
@@ -47,6 +51,15 @@ def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return slots
 
 
+def period_for(weights: dict[str, float], blocks: int) -> int:
+    """Slots of a period, so that rounding to whole slots moves no source by more than 1 / FINER of a block in so many.
+
+    Sources that get their one slot for less than a slot's weight make all the others' shares smaller, so they count too.
+    """
+    period, total = max(PERIOD, FINER * blocks), math.fsum(weights.values())
+    return period * (1 + sum(w * period < total for w in weights.values()))
+
+
 def schedule(slots: dict[str, int]) -> list[str]:
     """The source of each slot of one period: among released blocks the earliest deadline, ties by name."""
     period, released, waiting, out = sum(slots.values()), [], [], []
@@ -81,12 +94,12 @@ def numbered(df: DataFrame, source: Column, key: Column, tie: list[Column]) -> D
     return ranked.join(written(before), ["__source", "__part"]).withColumn("__nth", F.col("__before") + F.col("__in"))
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", tie_cols: tuple[str, ...] = ("text",), block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", tie_cols: tuple[str, ...] = ("text",), block: int = BLOCK, period: int | None = None) -> DataFrame:
     """df with block (number within the source), slot and position (from 0, the row's place in the mix) at the end.
 
     weights: target weight by source; without it, the sources' rows to the power FLATTEN. Every row stays. Null sources
     are the source ''; a source that has rows and no weight is an error. Within a source rows come in the order of the
-    MD5 of the id (null as empty), then by tie_cols; rows alike in all of these are interchangeable. Texts are not
+    MD5 of the id (null as empty), then by tie_cols; a period given is taken as it is, however coarse. Rows alike in all of these are interchangeable. Texts are not
     changed. An empty table gives an empty result. Columns of df that have these names are replaced.
     """
     spark = df.sparkSession
@@ -97,7 +110,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source_col: str
     weights = weights or {s: n**FLATTEN for s, n in sizes.items()}
     if missing := sorted(set(sizes) - set(weights)):
         raise ValueError(f"no weight for sources {missing[:5]}")
-    slots = slots_of({s: weights[s] for s in sizes}, period)
+    used = {s: weights[s] for s in sizes}
+    slots = slots_of(used, period or period_for(used, sum(-(-n // block) for n in sizes.values())))
     plan, names = schedule(slots), sorted(slots)
     done = dict.fromkeys(names, 0)
     table = []
@@ -108,7 +122,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source_col: str
     per = F.create_map(*(x for s in names for x in (F.lit(s), F.lit(slots[s]).cast("long"))))
     placed = numbered(rows, F.col(source_col), F.col(id_col), [F.col(c) for c in tie_cols])
     placed = placed.withColumn("block", F.floor(F.col("__nth") / block)).withColumn("__per", F.element_at(per, F.col("__source")))
-    placed = placed.withColumns({"__turn": F.expr("block div __per"), "__k": F.expr("block % __per")}).join(F.broadcast(one), ["__source", "__k"])
+    placed = placed.withColumns({"__turn": F.expr("block div __per"), "__k": F.expr("block % __per")}).join(small(one), ["__source", "__k"])
     counts = F.array(*(F.lit(sizes[s]).cast("long") for s in names))
     before = F.aggregate(
         F.zip_with("__done", F.zip_with(F.array(*(F.lit(slots[s]).cast("long") for s in names)), counts, lambda a, n: F.struct(a.alias("a"), n.alias("n"))), lambda d, x: F.least(x["n"], F.lit(block).cast("long") * (F.col("__turn") * x["a"] + d))),

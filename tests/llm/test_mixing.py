@@ -57,3 +57,20 @@ def test_empty_table_and_missing_weight(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
         mixing.mix(docs, {"b": 1})
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 1 - 1e-4, "b": 1e-4}, {"a": 1, "b": 2, **{f"t{i}": 1e-9 for i in range(4)}}])
+def test_target_weights_hold_over_many_blocks(weights):
+    blocks, total = 102_000, sum(weights.values())
+    plan = mixing.schedule(mixing.slots_of(weights, mixing.period_for(weights, blocks)))
+    done = Counter()
+    for t, s in enumerate(plan[:blocks], 1):
+        done[s] += 1
+        if t % 7 == 0:
+            assert all(abs(done[x] - t * w / total) < 1 + 1 / mixing.FINER for x, w in weights.items())
+
+
+def test_mix_takes_a_period_for_all_blocks(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "'x' AS text")
+    got = mixing.mix(docs, {"s0": 1, "s1": 1, "s2": 1}, block=1)
+    assert got.where("abs(block - position / 3D) >= 1.25").count() == 0
