@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from tallybook.llm.common import small, written
+from tallybook.llm.common import small, text_of, written
+from tallybook.llm.graph import components
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +21,17 @@ def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by close or by wide fingerprints the one with the smallest doc_id stays."""
-    close = simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id")
-    similar = simhash.similar_documents(docs).where("doc_id != component_id").select("doc_id")
-    dropped = written(close.unionByName(similar).distinct())
-    return docs.join(small(dropped), "doc_id", "left_anti")
+    """Of documents joined by links of close fingerprints or of similar texts, or both in turn, the one with the smallest doc_id stays.
+
+    A row is known by its id and text, as an id may stand for several texts. Rows without an id stay.
+    """
+    rows = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text_of(docs))))
+    links = [f(rows, id_col="__key").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).where("u != v") for f in (simhash.near_duplicates, simhash.similar_documents)]
+    groups = components(links[0].unionByName(links[1])).withColumnRenamed("node", "__key")
+    members = written(rows.select("__key", "doc_id").join(small(groups), "__key"))
+    stay = members.groupBy("root").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
+    dropped = written(members.join(small(stay), "root").where(F.col("__key") != F.col("first.__key")).select("__key").distinct())
+    return rows.join(small(dropped), "__key", "left_anti").drop("__key")
 
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -27,3 +29,14 @@ def test_stages_on_planted_documents(spark, tmp_path):
 def test_stages_named_and_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
     assert {k.split("_")[0] for k in registry.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+
+
+def test_one_of_a_group_stays_whatever_links_it(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    again, one, other, clean, passage = "p q r " * 3000, words(30), words(30), words(60), words(200)
+    # 3 is linked with 1 only by its close fingerprint, with 2 only by its shingle set; 10 stands for two texts
+    rows = [(1, again + one), (2, "p q r p q r p q r " + other), (3, again + other), (5, passage), (10, clean), (10, passage + " more"), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_out(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, rows[0][1]), (5, passage), (10, clean), (None, passage)} and len(got) == 4
