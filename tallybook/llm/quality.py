@@ -9,7 +9,8 @@ share of the class scores is fixed once trained, so scoring sums a bounded cache
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -35,14 +36,14 @@ GOOD = 0.3
 SLICE = 500
 #: Words that a worker keeps; all are dropped when it is full, which changes no score.
 CACHE = 400_000
-#: A longer word counts with its first and last characters.
+#: A longer word counts in pieces of so many characters; its n-grams go over the pieces' ends. It is not kept in the cache.
 LONGEST = 40
+#: Characters of a longer word that are worked on at a time (a multiple of LONGEST), and such parts at a time.
+PART, PARTS = 100 * LONGEST, 50
 #: Buckets beyond the hashed ones: a word that repeats the one before, a text without words. Each weighs like a usual word.
 REPEAT, EMPTY, WEIGHT = BUCKETS, BUCKETS + 1, 8
 P, M = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(LONGEST, P)]))
-#: Features of a word by its length with marks: itself and its n-grams.
-COUNTS = np.array([1 + sum(max(0, n - g + 1) for g in GRAMS) for n in range(LONGEST + 1)])
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -50,30 +51,53 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * M >> np.uint64(32)) % np.uint64(BUCKETS)
 
 
-def _marked(word: str) -> str:
+def counts(size: np.ndarray) -> np.ndarray:
+    """Features of words by their length with marks: their pieces (one up to LONGEST) and their n-grams."""
+    return -(-size // LONGEST) + sum(np.maximum(0, size - g + 1) for g in GRAMS)
+
+
+def is_long(word: str) -> bool:
+    return len(word) + 2 > LONGEST
+
+
+def parts_of(word: str) -> Iterator[str]:
+    """A word with marks in parts of PART characters, each with those that its last n-grams need of the next one."""
     word = f"<{word}>"
-    return word if len(word) <= LONGEST else word[: LONGEST // 2] + word[-LONGEST // 2 :]
+    return (word[i : i + PART + max(GRAMS) - 1] for i in range(0, len(word), PART))
+
+
+def long_features(words: Iterable[str]) -> Iterator[np.ndarray]:
+    """The buckets of long words, a bounded number at a time."""
+    parts = (part for word in words for part in parts_of(word))
+    while some := list(islice(parts, PARTS)):
+        yield features_of(some)[0]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words and of their character n-grams, word after word, and where each word's begin."""
-    marked = list(map(_marked, words))
+    return features_of([f"<{w}>" for w in words])
+
+
+def features_of(marked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of words with marks, or parts of them: what begins in the first PART characters."""
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     begin = np.cumsum(size) - size
-    owner, place = np.repeat(np.arange(len(words)), size), np.arange(len(chars))
-    left = np.repeat(begin + size, size) - place
-    found, owners = [_bucket(np.add.reduceat(chars * POWERS[place - np.repeat(begin, size)], begin), 0)], [np.arange(len(words))]
+    owner, place = np.repeat(np.arange(len(marked)), size), np.arange(len(chars))
+    left, inside = np.repeat(begin + size, size) - place, place - np.repeat(begin, size)
+    own = inside < PART
+    heads = np.flatnonzero(own & (inside % LONGEST == 0))
+    found, owners = [_bucket(np.add.reduceat(np.where(own, chars * POWERS[inside % LONGEST], np.uint64(0)), heads), 0)], [owner[heads]]
     for n in GRAMS:
-        at = place[left >= n]
+        at = place[own & (left >= n)]
         h = np.zeros(len(at), np.uint64)
         for k in range(n):
             h = h * P + chars[at + k]
         found.append(_bucket(h, n))
         owners.append(owner[at])
-    order = np.argsort(np.concatenate(owners), kind="stable")
-    counts = COUNTS[size]
-    return np.concatenate(found)[order].astype(np.int64), np.cumsum(counts) - counts
+    owners = np.concatenate(owners)
+    order, each = np.argsort(owners, kind="stable"), np.bincount(owners, minlength=len(marked))
+    return np.concatenate(found)[order].astype(np.int64), np.cumsum(each) - each
 
 
 def repeats(words: list[str]) -> int:
@@ -88,10 +112,11 @@ class Model:
 
     def scores(self, texts: list[str]) -> list[float]:
         docs, known = [t.split() for t in texts], self.words
-        new = [w for w in set().union(*docs) if w not in known]
+        every = [w for w in set().union(*docs) if not is_long(w)]
+        new = [w for w in every if w not in known]
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(set().union(*docs))
+            new = every
         if new:
             at, begin = word_features(new)
             known.update(zip(new, np.add.reduceat(self.gain[at], begin).tolist()))
@@ -99,8 +124,12 @@ class Model:
         for words in docs:
             again = WEIGHT * repeats(words)
             if words:
-                total = sum(map(known.__getitem__, words)) + again * self.gain[REPEAT]
-                n = int(COUNTS[np.minimum(np.fromiter(map(len, words), np.int64, len(words)) + 2, LONGEST)].sum()) + again
+                size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+                n, total = int(counts(size).sum()) + again, again * self.gain[REPEAT]
+                if size.max() > LONGEST:
+                    total += sum(float(self.gain[at].sum()) for at in long_features(filter(is_long, words)))
+                    words = [w for w in words if not is_long(w)]
+                total += sum(map(known.__getitem__, words))
             else:
                 total, n = WEIGHT * self.gain[EMPTY], WEIGHT
             out.append(float(1 / (1 + np.exp(np.clip(-(total / n + self.offset), -60, 60)))))
@@ -112,10 +141,14 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.array([EMPTY]), np.ones(1)
-    counted = Counter(words)
-    at, begin = word_features(list(counted))
-    weight = np.repeat(np.array(list(counted.values())), np.diff(np.append(begin, len(at))))
-    total = np.bincount(np.append(at, REPEAT), np.append(weight, WEIGHT * repeats(words)))
+    counted = Counter(w for w in words if not is_long(w))
+    total = np.zeros(REPEAT + 1)
+    total[REPEAT] = WEIGHT * repeats(words)
+    if counted:
+        at, begin = word_features(list(counted))
+        total += np.bincount(at, np.repeat(np.array(list(counted.values())), np.diff(np.append(begin, len(at)))), REPEAT + 1)
+    for at in long_features(filter(is_long, words)):
+        total += np.bincount(at, minlength=REPEAT + 1)
     used = np.flatnonzero(total)
     return used, total[used] / total.sum()
 

@@ -1,6 +1,7 @@
 """Severity and quality models, on a small corpus of which each knows one half."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,3 +84,28 @@ def test_quality_without_labels(frames):
     assert quality.train(docs, known.where("quality = 1")) is None
     assert {r.score for r in quality.quality(docs, None).collect()} == {0.5}
     assert quality.quality(docs.limit(0), None).collect() == []
+
+
+def test_long_words_count_whole():
+    rng = random.Random(5)
+    word = "".join(rng.choice("abcdefgh") for _ in range(9001))
+    other = word[:4500] + "z" + word[4501:]
+    gain = np.random.default_rng(6).normal(0, 1, quality.BUCKETS + 2)
+    model = quality.Model(np.stack([gain, np.zeros_like(gain)], 1), np.array([[0.0, 1.0], [0.0, 0.0]]), np.zeros(2))
+    assert model.scores([word]) != model.scores([other]) and not model.words
+    marked = f"<{word}>"
+    grams = sum(len(marked) - n + 1 for n in quality.GRAMS)
+    assert sum(len(at) for at in quality.long_features([word])) == grams + -(-len(marked) // quality.LONGEST)
+    # all of its n-grams, whatever the size of the parts
+    whole = Counter()
+    for at in quality.long_features([word]):
+        whole.update(at.tolist())
+    for n in quality.GRAMS:
+        for i in range(0, len(marked) - n + 1, 97):
+            h = np.zeros(1, np.uint64)
+            for c in marked[i : i + n]:
+                h = h * quality.P + np.uint64(ord(c))
+            assert whole[int(quality._bucket(h, n)[0])]
+    for text in (f"short {word} words short", f"{word} {word}"):
+        at, share = quality.document_features(text)
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-float((gain[at] * share).sum()))))
