@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 from .words import RecentWords
 
 #: Fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
@@ -172,6 +172,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     those tokens. Every document is worked on alone, so no row meets another and nothing is shuffled. Encoding and
     decoding run in one pass over a task's rows.
     """
+    small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text_of(docs, text_col).alias("__text"))
     to_ids, to_text = _ids(path), _texts(path)

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +19,30 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of an Arrow batch between the JVM and Python at most, so that batches of long texts stay small.
+BATCH = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary folder only where that setting is absent (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that setting is absent, a temporary folder in local mode, else an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallybook.shared.dir", None)
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("tallybook.shared.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, "").rstrip("b")
+    if not given.isdigit() or int(given) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends, and any executor may be lost."""
     spark = df.sparkSession
@@ -36,6 +51,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_backed(df: DataFrame) -> bool:
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+        return True
+    except AnalysisException:
+        return False
+
+
+def located(df: DataFrame) -> DataFrame:
+    """df with the place of each row, __file and __row (in the file), at the end; rows from no file are written first."""
+    if not file_backed(df):
+        df = written(df)
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
+PLACE = ["__file", "__row"]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Asks for a broadcast of df if a count of it stays within rows, else leaves the join to a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, shared_dir, small, text_of, written
+from .common import BLANKS, file_backed, shared_dir, small, text_of, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -32,17 +31,9 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _file_backed(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-        return True
-    except AnalysisException:
-        return False
-
-
 def _located(docs: DataFrame, *cols: Column) -> DataFrame:
     """cols and the place of each row: its file and the row in it; rows from no file are written first and numbered."""
-    if _file_backed(docs):
+    if file_backed(docs):
         return docs.select(*cols, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     return written(docs.select(*cols, F.lit("").alias("__file"), F.monotonically_increasing_id().alias("__row")))
 
@@ -120,7 +111,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns and all other rows stay."""
     found = exact_dedup(docs, id_col, text_col)
-    if not _file_backed(docs):
+    if not file_backed(docs):
         raise ValueError("keep_first needs documents read from files: rows are found again by file and row")
     dropped = small(written(found.where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))))
     return _located(docs, F.col("*")).join(dropped, ["__file", "__row"], "left_anti").drop("__file", "__row")

@@ -3,162 +3,252 @@
 Time is cut into slots of one block each. A source of weight w may run its k-th block (from 0) from slot floor(k / w) on
 and must have run it by slot ceil((k + 1) / w). In every slot the released block with the earliest deadline runs. As the
 weights sum to one, every block meets its deadline, so at every slot each source has had its weight's share of the slots
-but for less than one block.
+but for less than one block. Weights are whole numbers and all of this is integer arithmetic, so nothing drifts.
 
-Weights are whole numbers of slots in a period, so the schedule repeats: it is worked out once for one period, and the
-slot of any block is arithmetic. A period has at least FINER slots for each block of the input, and a share of the slots
-is off by no more than one slot a period, so in as many slots as there are blocks rounding adds 1 / FINER of a block at
-most. The position of a row is a sum over the sources as well, so no step runs through the
-rows one after the other. When a source has no rows left its slots stay empty, and the others go on in proportion.
+What has run by slot t does not need the slots before to be gone through: blocks due by t have run, and of each source
+at most one more, its open block. Which of the open blocks have run follows from the slots that are left between their
+releases and t (state). So the schedule is cut into stretches that tasks work out on their own, each from its state.
+
+When a source has no rows left its slots stay empty, and the others go on in proportion. From the slot by which sources of
+half the weight must have ended, a new phase begins, with the sources and blocks that are left and slots from 0, so
+at most about half of the slots are empty. Within a phase the bound of one block holds for what is left when it begins.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import PLACE, located, written
 
-#: Slots in a period at least; weights are rounded to whole slots.
-PERIOD = 1000
-#: Slots of a period for each block of the input at least.
-FINER = 4
 #: Rows in a block.
 BLOCK = 64
-#: A mix of more sources than this is refused: the table of one period grows with them.
+#: The largest weight as a whole number. A weight counts as at least one of so many parts of all weights.
+WHOLE, PARTS = 1 << 40, 1 << 22
+#: A mix of more sources than this is refused: the driver and every task know each source's weight and rows.
 MOST_SOURCES = 10_000
 #: Weights of the sources, without others given: their rows to this power.
 FLATTEN = 0.5
-#: Hexadecimal digits of a row's hash that split a source for numbering its rows.
-SPLIT = 3
+#: Slots that a task works out at a time.
+STRETCH = 1 << 16
+#: Rows of a source that are numbered together, about; at least 16**2 parts.
+TOGETHER = 1 << 18
 
 
-def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots per period for each source, by largest remainder, one at least. The sum is the length of a period."""
-    total = math.fsum(weights.values())
-    if any(not w > 0 for w in weights.values()) or not math.isfinite(total):
+def whole(weights: list[float]) -> list[int]:
+    """The weights in proportion as whole numbers, the largest as WHOLE."""
+    top = max(weights)
+    if any(not w > 0 for w in weights) or not math.isfinite(top):
         raise ValueError("weights must be finite and above zero")
-    if len(weights) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    exact = {s: w / total * max(period, 10 * len(weights)) for s, w in weights.items()}
-    slots = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    spare = max(period, 10 * len(weights)) - sum(slots.values())
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: max(0, spare)]:
-        slots[s] += 1
-    return slots
-
+    a = [math.floor(w / top * WHOLE) for w in weights]
+    return [max(x, sum(a) // PARTS) for x in a]
+
+
+def state(a: list[int], t: int) -> list[int]:
+    """Blocks of each source that have run before slot t, for weights a."""
+    total = sum(a)
+    done = [x * t // total for x in a]  # due by t
+    spare = t - sum(done)
+    if not spare:
+        return done
+    # open blocks, the latest release first: release, deadline, source
+    waiting = sorted(((k * total // x, -((k + 1) * total // -x), s) for s, (x, k) in enumerate(zip(a, done)) if x * t % total), reverse=True)
+    first = waiting[-1][0]
+    due = np.zeros(t - first, np.int64)  # blocks due by t, by release
+    for x, end in zip(a, done):
+        begin = -(first * x // -total)
+        if begin < end:
+            (q, r), i = divmod(begin * total, x), np.arange(end - begin)
+            due += np.bincount(q - first + i * (total // x) + (r + i * (total % x)) // x, minlength=len(due))
+    room = np.arange(t - first, 0, -1) - np.cumsum(due[::-1])[::-1]  # slots from here to t, but for those blocks
+    # from t back: if more open blocks are released from here on than there is room, those with the latest deadlines wait
+    kept: list[tuple[int, int]] = []
+    upto = len(room)
+
+    def checked(at: int) -> None:
+        nonlocal upto
+        if at < upto:
+            least = room[at:upto].min()
+            while len(kept) > least:
+                heapq.heappop(kept)
+            upto = at
+
+    for release, deadline, s in waiting:
+        checked(release - first + 1)
+        heapq.heappush(kept, (-deadline, -s))
+    checked(0)
+    while len(kept) > spare:
+        heapq.heappop(kept)
+    for _, s in kept:
+        done[-s] += 1
+    return done
+
+
+@dataclass(frozen=True)
+class Phase:
+    """From slot begin on, so many slots: weights of the sources (0: none left), blocks that ran before, blocks left."""
+
+    begin: int
+    slots: int
+    weights: list[int]
+    ran: list[int]
+    left: list[int]
+
+
+def phases(a: list[int], blocks: list[int]) -> list[Phase]:
+    """a: weights; blocks: how many each source has."""
+    begin, ran, out = 0, [0] * len(a), []
+    while any(left := [b - r for b, r in zip(blocks, ran)]):
+        now = [x if n else 0 for x, n in zip(a, left)]
+        total, gone = sum(now), 0
+        for end, x in sorted((-(n * total // -x), x) for x, n in zip(now, left) if n):  # the last block's deadline
+            gone += x
+            if 2 * gone >= total:
+                break
+        out.append(Phase(begin, end, now, ran, left))
+        of = [s for s, x in enumerate(now) if x]
+        done = dict(zip(of, state([now[s] for s in of], end)))
+        ran, begin = [r + min(n, done.get(s, 0)) for s, (r, n) in enumerate(zip(ran, left))], begin + end
+    return out
 
-def period_for(weights: dict[str, float], blocks: int) -> int:
-    """Slots of a period, so that rounding to whole slots moves no source by more than 1 / FINER of a block in so many.
 
-    Sources that get their one slot for less than a slot's weight make all the others' shares smaller, so they count too.
-    """
-    period, total = max(PERIOD, FINER * blocks), math.fsum(weights.values())
-    return period * (1 + sum(w * period < total for w in weights.values()))
-
-
-def schedule(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: among released blocks the earliest deadline, ties by name."""
-    period, released, waiting, out = sum(slots.values()), [], [], []
-    for s in sorted(slots):
-        heapq.heappush(waiting, (0, s, 0))
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(released, (-((k + 1) * period // -slots[s]), s, k))
-        deadline, s, k = heapq.heappop(released)
-        if deadline <= t:
+def stretch(phase: Phase, rows: list[int], block: int, t: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, slot, position of its first row) of the blocks that run in slots t to end of a phase."""
+    of = [s for s, x in enumerate(phase.weights) if x]
+    a, total = [phase.weights[s] for s in of], sum(phase.weights)
+    done, released, waiting = state(a, t), [], []
+    so_far = dict(zip(of, done))
+    position = sum(min(n, block * (r + min(left, so_far.get(s, 0)))) for s, (n, r, left) in enumerate(zip(rows, phase.ran, phase.left)))
+    for i, (x, k) in enumerate(zip(a, done)):
+        heapq.heappush(waiting, (k * total // x, i))
+    for now in range(t, end):
+        while waiting and waiting[0][0] <= now:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(released, (-((done[i] + 1) * total // -a[i]), i))
+        deadline, i = heapq.heappop(released)
+        if deadline <= now:
             raise AssertionError("a block missed its deadline")
-        out.append(s)
-        if k + 1 < slots[s]:
-            heapq.heappush(waiting, ((k + 1) * period // slots[s], s, k + 1))
-    return out
+        s, k = of[i], done[i]
+        if k < phase.left[s]:
+            yield s, phase.ran[s] + k, phase.begin + now, position
+            position += min(block, rows[s] - block * (phase.ran[s] + k))
+        done[i] += 1
+        heapq.heappush(waiting, (done[i] * total // a[i], i))
 
 
-def numbered(df: DataFrame, source: Column, key: Column, tie: list[Column]) -> DataFrame:
-    """df with __source, __nth (from 0, within the source, in the order of the key's hash) and __rows (of the source).
+def schedule(spark: SparkSession, names: list[str], rows: list[int], a: list[int], block: int, size: int = STRETCH) -> DataFrame:
+    """__source, __block, __slot, __first (position of its first row) of every block."""
+    plan = phases(a, [-(-n // block) for n in rows])
 
-    A source is split by its rows' hash; the parts are numbered each on its own and moved on by the rows of the parts
-    before, so that a source with most of all rows is numbered by many tasks.
-    """
-    rows = df.withColumns({"__source": F.coalesce(source.cast("string"), F.lit("")), "__hash": F.md5(F.coalesce(key.cast("string"), F.lit("")))})
-    rows = rows.withColumn("__part", F.substring("__hash", 1, SPLIT))
-    sizes = rows.groupBy("__source", "__part").agg(F.count("*").alias("n"))
-    of = Window.partitionBy("__source")
-    before = sizes.select("__source", "__part", (F.sum("n").over(of.orderBy("__part")) - F.col("n")).alias("__before"), F.sum("n").over(of).alias("__rows"))
-    inside = Window.partitionBy("__source", "__part").orderBy("__hash", *tie)
-    ranked = rows.withColumn("__in", F.row_number().over(inside) - 1)
-    return ranked.join(written(before), ["__source", "__part"]).withColumn("__nth", F.col("__before") + F.col("__in"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, i in zip(batch.phase.tolist(), batch.i.tolist()):
+                found = list(stretch(plan[p], rows, block, i * size, min(plan[p].slots, (i + 1) * size)))
+                if found:
+                    yield pd.DataFrame([(names[s], *x) for s, *x in found], columns=["__source", "__block", "__slot", "__first"])
 
+    numbers = [(p, -(-phase.slots // size)) for p, phase in enumerate(plan)]
+    todo = spark.createDataFrame(numbers, "phase int, n long").select("phase", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    if (n := sum(n for _, n in numbers)) > 1:
+        todo = todo.repartition(min(n, 10_000), "phase", "i")
+    return todo.mapInPandas(run, "__source string, __block long, __slot long, __first long")
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", tie_cols: tuple[str, ...] = ("text",), block: int = BLOCK, period: int | None = None) -> DataFrame:
-    """df with block (number within the source), slot and position (from 0, the row's place in the mix) at the end.
 
-    weights: target weight by source; without it, the sources' rows to the power FLATTEN. Every row stays. Null sources
-    are the source ''; a source that has rows and no weight is an error. Within a source rows come in the order of the
-    MD5 of the id (null as empty), then by tie_cols; a period given is taken as it is, however coarse. Rows alike in all of these are interchangeable. Texts are not
-    changed. An empty table gives an empty result. Columns of df that have these names are replaced.
+def numbered(rows: DataFrame, most: int) -> DataFrame:
+    """rows (__source, __hash, PLACE) with __nth: the place, from 0, within the source in the order of the hash.
+
+    A source is split by the hash into parts that are numbered each on its own and moved on by the rows of the parts
+    before, so that a source with most of all rows is numbered by many tasks. most: rows of the largest source.
     """
-    spark = df.sparkSession
-    rows = df.drop("block", "slot", "position")
-    sizes = {r.s: r.n for r in rows.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    digits = max(2, math.ceil(math.log(max(1, most / TOGETHER), 16)))
+    rows = rows.withColumn("__part", F.substring("__hash", 1, digits))
+    sizes = rows.groupBy("__source", "__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__source", "__part", (F.sum("n").over(Window.partitionBy("__source").orderBy("__part")) - F.col("n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__source", "__part").orderBy("__hash", *PLACE)) - 1
+    return rows.withColumn("__in", inside).join(written(before), ["__source", "__part"]).withColumn("__nth", F.col("__before") + F.col("__in"))
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """docs with PLACE, and (PLACE, __block, __slot, __position) of each of its rows."""
+    spark = docs.sparkSession
+    docs = located(docs)
+    # rows without an id are spread by their place
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat_ws("#", *PLACE))
+    rows = docs.select(*PLACE, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.md5(key.cast("binary")).alias("__hash"))
+    sizes = {r["__source"]: r.n for r in rows.groupBy("__source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     if not sizes:
-        return rows.withColumns({c: F.lit(0).cast("long") for c in ("block", "slot", "position")})
+        nothing = F.lit(0).cast("long")
+        return docs, rows.select(*PLACE, nothing.alias("__block"), nothing.alias("__slot"), nothing.alias("__position"))
     weights = weights or {s: n**FLATTEN for s, n in sizes.items()}
     if missing := sorted(set(sizes) - set(weights)):
         raise ValueError(f"no weight for sources {missing[:5]}")
-    used = {s: weights[s] for s in sizes}
-    slots = slots_of(used, period or period_for(used, sum(-(-n // block) for n in sizes.values())))
-    plan, names = schedule(slots), sorted(slots)
-    done = dict.fromkeys(names, 0)
-    table = []
-    for t, s in enumerate(plan):
-        table.append((s, done[s], t, [done[x] for x in names]))
-        done[s] += 1
-    one = spark.createDataFrame(table, "__source string, __k long, __slot long, __done array<long>")
-    per = F.create_map(*(x for s in names for x in (F.lit(s), F.lit(slots[s]).cast("long"))))
-    placed = numbered(rows, F.col(source_col), F.col(id_col), [F.col(c) for c in tie_cols])
-    placed = placed.withColumn("block", F.floor(F.col("__nth") / block)).withColumn("__per", F.element_at(per, F.col("__source")))
-    placed = placed.withColumns({"__turn": F.expr("block div __per"), "__k": F.expr("block % __per")}).join(small(one), ["__source", "__k"])
-    counts = F.array(*(F.lit(sizes[s]).cast("long") for s in names))
-    before = F.aggregate(
-        F.zip_with("__done", F.zip_with(F.array(*(F.lit(slots[s]).cast("long") for s in names)), counts, lambda a, n: F.struct(a.alias("a"), n.alias("n"))), lambda d, x: F.least(x["n"], F.lit(block).cast("long") * (F.col("__turn") * x["a"] + d))),
-        F.lit(0).cast("long"),
-        lambda a, x: a + x,
-    )
-    out = placed.withColumns({"slot": F.col("__turn") * len(plan) + F.col("__slot"), "position": before + F.col("__nth") - F.col("block") * block})
-    return out.select(*rows.columns, "block", "slot", "position")
+    names = sorted(sizes)
+    blocks = schedule(spark, names, [sizes[s] for s in names], whole([weights[s] for s in names]), block)
+    at = numbered(rows, max(sizes.values())).withColumn("__block", F.floor(F.col("__nth") / block)).join(blocks, ["__source", "__block"])
+    return docs, at.select(*PLACE, "__block", "__slot", (F.col("__first") + F.col("__nth") - F.col("__block") * block).alias("__position"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """docs with block (number within the source), slot and position (from 0, the row's place in the mix) at the end.
+
+    weights: target weight by source; without it, the sources' rows to the power FLATTEN. Every row stays. Null sources
+    are the source ''; a source that has rows and no weight is an error. Within a source rows come in the order of the
+    MD5 of the id; rows with the same id, and rows without one, in an order that their place in the input files decides.
+    Texts are not read. An empty table gives an empty result. Columns of docs that have these names are replaced.
+    """
+    rows, at = _placed(docs, weights, source_col, id_col, block)
+    out = rows.drop("block", "slot", "position").join(at.hint("shuffle_hash"), PLACE)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "position")]
+    return out.select(*kept, F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """docs in the order of the mix: sorted ranges of position, one for each partition; columns as before."""
-    placed = mix(docs, weights)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
+    """docs in the order of the mix: sorted ranges of positions, one for each partition; columns as before.
+
+    The positions are worked out on narrow rows and written; the whole rows are joined to them once.
+    """
+    rows, at = _placed(docs, weights, "source", "doc_id", BLOCK)
+    out = rows.join(written(at).hint("shuffle_hash"), PLACE)
+    return out.repartitionByRange("__position").sortWithinPartitions("__position").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mix(docs, tie_cols=()).select("doc_id", "source", "block", "slot", "position")
+    return mix(docs).select("doc_id", "source", "block", "slot", "position")
+
 
+#: Slot by slot. run: phase weights a, blocks that ran before, blocks left, end of the phase, first slot of it; in it, blocks done before slot t.
+_END = """list_min(list_filter(list_transform(range(1, n + 1), lambda i: CASE WHEN b[i] > 0 THEN (b[i] * list_sum(w) + w[i] - 1) // greatest(w[i], 1) END),
+  lambda e: 2 * list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN b[i] > 0 AND (b[i] * list_sum(w) + w[i] - 1) // greatest(w[i], 1) <= e THEN w[i] ELSE 0 END)) >= list_sum(w)))"""
 
 OP7_SQL = f"""
-WITH RECURSIVE src AS (SELECT coalesce(source, '') AS s, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY ALL
-), ex AS (SELECT s, n, w / sum(w) OVER () * per AS x, per FROM src, (SELECT greatest({PERIOD}, 10 * count(*)) AS per FROM src)
-), fl AS (SELECT s, n, per, greatest(1, floor(x))::BIGINT AS base, row_number() OVER (ORDER BY floor(x) - x, s) AS r FROM ex
-), sl AS (SELECT s, n, base + CASE WHEN r <= greatest(0, per - sum(base) OVER ()) THEN 1 ELSE 0 END AS a, row_number() OVER (ORDER BY s) AS i FROM fl
-), par AS (SELECT list(a ORDER BY s)::BIGINT[] AS a, list(n ORDER BY s)::BIGINT[] AS n, sum(a)::BIGINT AS period, count(*)::BIGINT AS sources FROM sl
+WITH RECURSIVE src AS (SELECT coalesce(source, '') AS s, count(*) AS n, floor(sqrt(count(*)) / max(sqrt(count(*))) OVER () * {WHOLE})::HUGEINT AS a0 FROM documents GROUP BY ALL
+), par AS (
+  SELECT count(*) AS n, list(greatest(a0, least) ORDER BY s) AS a, list(n ORDER BY s) AS rows, list(((n + {BLOCK} - 1) // {BLOCK})::HUGEINT ORDER BY s) AS blocks, list(s ORDER BY s) AS names
+  FROM (SELECT *, (sum(a0) OVER () // {PARTS})::HUGEINT AS least FROM src)
 ), run AS (
-  SELECT -1::BIGINT AS t, list_transform(range(sources), lambda i: 0::BIGINT) AS k, NULL::BIGINT AS pick FROM par
+  SELECT 0::BIGINT AS slot, 0::HUGEINT AS t, {_END} AS e, w, list_transform(range(1, n + 1), lambda i: 0::HUGEINT) AS ran, b, list_transform(range(1, n + 1), lambda i: 0::HUGEINT) AS k, NULL::BIGINT AS pick
+  FROM (SELECT n, a AS w, blocks AS b FROM par)
   UNION ALL
-  SELECT t, k, list_sort(list_transform(list_filter(range(1, sources + 1), lambda i: k[i] < a[i] AND k[i] * period // a[i] <= t), lambda i: {{'deadline': ((k[i] + 1) * period + a[i] - 1) // a[i], 'i': i}}))[1].i
-  FROM (SELECT t + 1 AS t, CASE WHEN pick IS NULL THEN k ELSE list_transform(range(1, sources + 1), lambda i: k[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) END AS k, a, period, sources FROM run, par WHERE t + 1 < period)
-), plan AS (SELECT t, k, pick, k[pick] AS nth_block FROM run WHERE t >= 0
-), docs AS (SELECT doc_id, source, sl.i, sl.a, row_number() OVER (PARTITION BY sl.s ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS nth FROM documents JOIN sl ON sl.s = coalesce(source, '')
-), placed AS (SELECT *, nth // {BLOCK} AS block, nth // {BLOCK} // a AS turn FROM docs)
-SELECT doc_id, source, block, turn * period + t AS slot,
-       list_sum(list_transform(range(1, sources + 1), lambda j: least(par.n[j], {BLOCK} * (turn * par.a[j] + k[j]))))::BIGINT + nth - block * {BLOCK} AS position
-FROM placed JOIN plan ON pick = i AND nth_block = block % placed.a CROSS JOIN par
+  SELECT slot + 1, t, e, w, ran, b, k, list_sort(list_transform(list_filter(range(1, n + 1), lambda i: w[i] > 0 AND k[i] * list_sum(w) // greatest(w[i], 1) <= t), lambda i: {{'deadline': ((k[i] + 1) * list_sum(w) + w[i] - 1) // greatest(w[i], 1), 'i': i}}))[1].i
+  FROM (
+    SELECT slot, n, CASE WHEN e0 = t0 THEN 0 ELSE t0 END AS t, CASE WHEN e0 = t0 THEN {_END} ELSE e0 END AS e, w, ran, b, k FROM (
+      SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN b[i] > 0 OR e0 <> t0 THEN w0[i] ELSE 0 END) AS w FROM (
+        SELECT slot, n, t0, e0, w0, CASE WHEN e0 = t0 THEN list_transform(range(1, n + 1), lambda i: ran[i] + least(b[i], k1[i])) ELSE ran END AS ran, CASE WHEN e0 = t0 THEN list_transform(range(1, n + 1), lambda i: b[i] - least(b[i], k1[i])) ELSE b END AS b, CASE WHEN e0 = t0 THEN list_transform(range(1, n + 1), lambda i: 0::HUGEINT) ELSE k1 END AS k
+        FROM (SELECT slot, n, e AS e0, w AS w0, ran, b, CASE WHEN pick IS NULL THEN t ELSE t + 1 END AS t0, list_transform(range(1, n + 1), lambda i: k[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) AS k1 FROM run, par)
+      )))
+  WHERE list_sum(b) > 0
+), plan AS (SELECT slot - 1 AS slot, pick, (ran[pick] + k[pick])::BIGINT AS block, list_transform(range(1, n + 1), lambda i: least(rows[i], {BLOCK} * (ran[i] + least(b[i], k[i])))) AS before FROM run, par WHERE pick IS NOT NULL AND k[pick] < b[pick]
+), docs AS (SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(doc_id::VARCHAR)) - 1 AS nth FROM documents)
+SELECT doc_id, source, block, slot, list_sum(before)::BIGINT + nth - block * {BLOCK} AS position
+FROM docs CROSS JOIN par JOIN plan ON names[pick] = s AND block = nth // {BLOCK}
 """

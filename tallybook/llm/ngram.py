@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import mapped, put, shared_dir, text_of, uri, written
+from .common import mapped, put, shared_dir, small_batches, text_of, uri, written
 
 #: Tokens that a task counts at once, and about as many that fall to a shard.
 CHUNK = 3_000_000
@@ -200,6 +200,7 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK) -> Model:
     """The model of the texts of docs; null and empty texts hold the end alone. Other columns are not read."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = uri(shared_dir(spark))
     texts = docs.select(text_of(docs, text_col).alias("text"))
     size = texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, text_of
+from .common import small, small_batches, text_of
 from .toxicity import sampled
 
 #: The model is trained on at most about so many labelled documents of either class, taken by a hash of the id.
@@ -187,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 at, share = document_features(text)
                 yield pd.DataFrame({"doc_id": [doc_id], "label": [label], "at": [at.astype("<i4").tobytes()], "share": [share.astype("<f4").tobytes()]})
 
+    small_batches(docs.sparkSession)
     chosen = sampled(labels, "quality", sample)
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(small(chosen, 4 * sample), "doc_id")
     rows = texts.mapInPandas(features, "doc_id long, label int, at binary, share binary").toPandas()
@@ -207,6 +208,7 @@ def quality(docs: DataFrame, model: Model | None) -> DataFrame:
     Null and empty texts, and texts of white space only, have one feature of their own; repeated rows score alike; texts are
     read whole; without a model every score is 0.5. Columns other than doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of(docs).alias("text"))
 
     @F.pandas_udf("double")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import small_batches, text_of, written
 from .graph import components
 
 SEED = 42
@@ -79,6 +79,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, paired: int = PAIRED, id_co
     texts: fingerprint zero, linked like any other. Repeated rows share a fingerprint. Null doc_ids take part and never
     name a component that has another id. An empty table gives an empty result. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     fps = written(docs.select(F.col(id_col).alias("doc_id"), fingerprints(text_of(docs, text_col), words).alias("fp")))
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = written(components(links(nodes, paired)))
@@ -147,6 +148,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts without words are similar to each other. Documents without an id are left out. Documents with one set of
     shingles take part once. Shingles and sets are told apart by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     given = docs.where(F.col(id_col).isNotNull())
     often, rank = _often(given, id_col, text_col)
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, put, shared_dir, text_of, uri, written
+from .common import mapped, put, shared_dir, small_batches, text_of, uri, written
 from .words import RecentWords
 
 MAGIC = b"TBITS\x00\x00\x01"
@@ -130,6 +130,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     end_id. An empty table gives an empty manifest. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     folder = uri(folder or shared_dir(spark))
     if vocabulary_size is None:

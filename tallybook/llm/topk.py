@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 BUCKET = 2048
 QUERIES = 1024
@@ -139,6 +139,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, bucket: int = B
     dimension. Repeated candidate rows are candidates each; a vec_id repeated among the queries is answered for its
     smallest vector. Rows without an id are neither queries nor candidates. Empty tables give an empty result.
     """
+    small_batches(candidates.sparkSession)
     candidates = candidates.where("vec_id is not null")
     ordered = candidates.repartitionByRange("dim", F.desc("norm2"), "vec_id").sortWithinPartitions("dim", F.desc("norm2"), "vec_id")
     buckets = written(ordered.mapInPandas(_blocks(bucket), BLOCK_SCHEMA))

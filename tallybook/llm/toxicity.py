@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, text_of, written
+from .common import small, small_batches, text_of, written
 
 #: The model is fitted on at most about so many labelled documents of either label, taken by a hash of the id.
 SAMPLE = 3000
@@ -120,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             rows = [(d, y, f, n) for d, y, t in zip(batch.doc_id, batch.label, batch.text) for f, n in text_features(t).items()]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "feature", "n"])
 
+    small_batches(docs.sparkSession)
     chosen = sampled(labels, "toxic", sample)
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(small(chosen, 4 * sample), "doc_id")
     counts = written(texts.mapInPandas(count, "doc_id long, label int, feature string, n int"))
@@ -153,6 +154,7 @@ def severity(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     Null and empty texts score like texts without any feature; repeated rows score alike; texts are read whole; without
     a model both are 0. Columns of docs that have these names are replaced.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop("p_toxic", "severity")
     if model is None:
         return rows.withColumns({"p_toxic": F.lit(0.0), "severity": F.lit(0.0)})
