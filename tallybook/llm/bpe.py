@@ -9,7 +9,7 @@ cache per Python worker holds their ids.
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,6 +26,8 @@ from .words import RecentWords
 
 #: Fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
 FRAGMENTS = 200_000
+#: Characters from this one on are told apart by the library's own tables, whose age decides what they are.
+LATIN_END = "\u0250"
 #: Rows that a task encodes at a time.
 SLICE = 500
 VOCABULARY = "word_bpe_49k.json"
@@ -39,9 +41,17 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """Tokens, merges and certain cuts of a byte-level BPE file with word ends. Symbols are handled by their ids."""
+    """Tokens, merges and certain cuts of a byte-level BPE file with word ends. Symbols are handled by their ids.
+
+    The library is asked for the file's normal form of a word and, beyond Latin letters, for its pieces.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -52,6 +62,7 @@ class Vocabulary:
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.marks = regex.compile(b"(" + b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + b")")
         table = byte_symbols()
+        self.byte_of = {c: b for b, c in enumerate(table)}
         self.plain, self.last = [ids[c] for c in table], [ids[c + end] for c in table]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: Rank of a pair of symbols, and the symbol that the merge of each rank makes.
@@ -105,6 +116,13 @@ class Vocabulary:
             out += known
         return out
 
+    def parts(self, text: str) -> list[bytes]:
+        """The pieces of a text without special tokens, in its normal form."""
+        plain = text.lower() if text.isascii() else self.normal(text)
+        if plain.isascii() or plain and max(plain) < LATIN_END:
+            return [piece.encode() for piece in self.pieces.findall(plain)]
+        return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in self.split(plain)]
+
     def word(self, word: bytes) -> bytes:
         """Ids of a text without ASCII white space, as 32-bit integers."""
         out: list[int] = []
@@ -112,9 +130,8 @@ class Vocabulary:
             if i % 2:
                 out.append(self.special[part])
             elif part:
-                plain = unicodedata.normalize("NFC", part.decode()).replace("Σ", "σ").lower()
-                for piece in self.pieces.findall(plain):
-                    out += self.piece(piece.encode())
+                for piece in self.parts(part.decode()):
+                    out += self.piece(piece)
         return array("i", out).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -168,12 +185,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     """doc_id, the columns of keep, ids array<int>, decoded string for each row of docs, whatever other columns it has.
 
     Null and empty texts have no ids and decode to the empty string; repeated rows give repeated results; an empty
-    table gives an empty result; texts of any length are encoded whole. Special tokens' strings inside a text become
+    table gives an empty result; texts of any length are encoded whole. Kept columns can't have the names of the result's. Special tokens' strings inside a text become
     those tokens. Every document is worked on alone, so no row meets another and nothing is shuffled. Encoding and
     decoding run in one pass over a task's rows.
     """
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
+    if clash := {"doc_id", "ids", "decoded", "__text"} & set(keep):
+        raise ValueError(f"columns of these names can't be kept: {sorted(clash)}")
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text_of(docs, text_col).alias("__text"))
     to_ids, to_text = _ids(path), _texts(path)
 

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on Arrow batches to BATCH; a lower one stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = spark.conf.get(name, "").rstrip("b")
+    given = spark.conf.get(name).rstrip("b")
     if not given.isdigit() or int(given) > BATCH:
         spark.conf.set(name, f"{BATCH}b")
 
