@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -54,6 +55,75 @@ def test_a_trusted_context_finds_what_the_base_patterns_miss(spark):
     assert all(got[21 + i] == [] for i in range(20)) and all(len(got[i]) == 1 for i in range(20))
 
 
+def test_secrets_of_a_trusted_context(spark):
+    rng = random.Random(5)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    rows = [f'{word()} {word()}\n token = "{key()}" {word()}' for _ in range(20)]
+    rows += [f'{word()} TOKEN = "{key().upper()}"### {word()}', f"{word()} token =  'pass-4711'. {word()}", 'token = "zz9"']
+    alone = [f"{word()} {key()} {word()}" for _ in range(8)] + [f"{word()} {rng.randrange(10**6)} {word()}" for _ in range(20)]
+    far = [f"secretkey={key(32)} {'x' * 30_000}" for _ in range(12)] + [f"secretkey=abc-1 {'x' * 30_000}"]
+    texts = [*rows, *alone, *far]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    named = {i: [texts[i][a:b] for k, a, b in got[i].spans if k == 4] for i in got}
+    assert [named[i] for i in range(len(rows))] == [[re.search(r"= +[\"']([\w-]+)", t)[1]] for t in rows]
+    assert all(named[i] == [] for i in range(len(rows), len(rows) + len(alone)))
+    assert [named[len(texts) - len(far) + i] for i in range(len(far))] == [[t.split()[0].split("=")[1]] for t in far]
+    assert all(got[i].base == [] for i in range(len(rows)))
+
+
+def graph_by_hand(occurrences, rounds, trusted, support, added):
+    """Spans that bootstrapping adds, from (rid, start, end, instance, base, kind, patterns)."""
+    edges, seeds = {}, {}
+    for _, _, _, instance, _, kind, patterns in occurrences:
+        for p in patterns:
+            edges.setdefault(p, set()).add(instance)
+        if kind is not None and patterns:
+            seeds[instance] = min(kind, seeds.get(instance, 99))
+    known, scored = {i: (k, 1.0) for i, k in seeds.items()}, {}
+    for _ in range(rounds):
+        scored, sure = {}, {}
+        for p, instances in edges.items():
+            for kind in {known[i][0] for i in instances if i in known}:
+                own = [known[i][1] for i in instances if i in known and known[i][0] == kind]
+                if sum(x >= 0.5 for x in own) >= support and sum(own) / len(instances) >= trusted:
+                    sure.setdefault(p, []).append((sum(own) / len(instances), -kind))
+        for p, found in sure.items():
+            for i in edges[p]:
+                scored.setdefault(i, []).extend(found)
+        scored = {i: (-max(f)[1], 1 - math.prod(max(1e-12, 1 - c) for c, _ in f)) for i, f in scored.items()}
+        more = {i: x for i, x in scored.items() if i not in seeds}
+        if not more:
+            break
+        known = {i: (k, 1.0) for i, k in seeds.items()} | more
+    return {(rid, scored[i][0], a, b) for rid, a, b, i, base, _, _ in occurrences if not base and i in scored and scored[i][1] >= added}
+
+
+def test_bootstrap_as_by_hand(spark):
+    rng = random.Random(9)
+    sizes = set()
+    for case in range(3):
+        kind_of = {f"i{n}": rng.choice([0, 0, 1, 4, None, None]) for n in range(60)}
+        rows = []
+        for rid in range(400):
+            i = f"i{rng.randrange(60)}"
+            kind = kind_of[i] if rng.random() < 0.8 else None
+            own = {f"p{rng.randrange(30)}"} | ({f"k{kind_of[i]}"} if rng.random() < 0.5 else set())
+            rows.append((rid, 0, 3, i, kind is not None and kind < 4, kind, sorted(own)))
+        docs = spark.createDataFrame(rows, "rid long, start int, end int, instance string, base boolean, kind int, patterns array<string>")
+        got = {(r.rid, r.kind, r.start, r.end) for r in pii.bootstrap(docs, 3, 0.6, 2, 0.7).collect()}
+        assert got == graph_by_hand(rows, 3, 0.6, 2, 0.7)
+        sizes.add(len(got))
+    assert max(sizes) > 10
+
+
+def test_many_matches_in_a_text(spark):
+    text = "é 1.2.3.4 a@b.c, " * 3000
+    docs = spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")
+    got = pii.personal_data(docs).select("doc_id", pii._listed(pii.F.col("base")).alias("base")).collect()
+    assert sorted(r.base for r in got) == sorted(["", *[",".join(brute(text))] * 2])
+
+
 def test_empty_table_and_digest(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(none).collect() == []
