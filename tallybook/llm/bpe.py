@@ -25,7 +25,9 @@ from .common import small_batches, text_of
 from .words import RecentWords
 
 #: Fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
-FRAGMENTS = 200_000
+FRAGMENTS = 60_000
+#: Words in a generation of a worker's recent words.
+WORDS = 120_000
 #: Characters from this one on are told apart by the library's own tables, whose age decides what they are.
 LATIN_END = "\u0250"
 #: Rows that a task encodes at a time.
@@ -78,7 +80,7 @@ class Vocabulary:
                     symbols[-1] = ids[body[-1] + end]
                 self.inside.update(a << 20 | b for a, b in zip(symbols, symbols[1:]))
         self.fragments: dict[tuple[int, ...], list[int]] = {}
-        self.recent = RecentWords(lambda new: [self.word(w) for w in new])
+        self.recent = RecentWords(lambda new: [self.word(w) for w in new], WORDS)
 
     def cut(self, symbols: list[int]) -> Iterator[list[int]]:
         """The fragments between the certain cuts."""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, file_backed, shared_dir, small, text_of, written
+from .common import BLANKS, PLACE, file_backed, located, shared_dir, small, text_of, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -31,13 +31,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _located(docs: DataFrame, *cols: Column) -> DataFrame:
-    """cols and the place of each row: its file and the row in it; rows from no file are written first and numbered."""
-    if file_backed(docs):
-        return docs.select(*cols, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return written(docs.select(*cols, F.lit("").alias("__file"), F.monotonically_increasing_id().alias("__row")))
-
-
 def _rank(id_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
 
@@ -77,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and whose bytes are not are told apart by the full text.
     """
     spark = docs.sparkSession
-    rows = _located(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = located(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *PLACE)
     norm = normalised(rows)
     path = shared_dir(spark)
     rows.select("id", digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), "__file", "__row").write.parquet(path)
@@ -110,11 +103,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns and all other rows stay."""
-    found = exact_dedup(docs, id_col, text_col)
-    if not file_backed(docs):
-        raise ValueError("keep_first needs documents read from files: rows are found again by file and row")
-    dropped = small(written(found.where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))))
-    return _located(docs, F.col("*")).join(dropped, ["__file", "__row"], "left_anti").drop("__file", "__row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    docs = docs if file_backed(docs) else written(docs)
+    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    return located(docs).join(small(written(dropped)), PLACE, "left_anti").select(columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words in a generation. Two are kept, so a worker holds twice as many at most.
+#: Words in a generation, without another number given. Two are kept, so a worker holds twice as many at most.
 GENERATION = 300_000
 #: A stop or comma between a letter and white space is a piece of its own.
 STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
@@ -28,8 +28,8 @@ def word_keys(text: str) -> list[bytes]:
 class RecentWords:
     """The ids of recent words, as bytes of 32-bit integers. make is asked for those that are in neither generation."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[bytes]]):
-        self.make, self.young, self.old = make, {}, {}
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], generation: int = GENERATION):
+        self.make, self.generation, self.young, self.old = make, generation, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         docs, young, old = [word_keys(t) for t in texts], self.young, self.old
@@ -39,6 +39,6 @@ class RecentWords:
             new = [w for w in new if w not in old]
         young.update(zip(new, self.make(new)))
         found = [np.frombuffer(b"".join(map(young.__getitem__, d)), "<i4") for d in docs]
-        if len(young) > GENERATION:
+        if len(young) > self.generation:
             self.old, self.young = young, {}
         return found

@@ -39,4 +39,14 @@ def test_one_of_a_group_stays_whatever_links_it(spark):
     rows = [(1, again + one), (2, "p q r p q r p q r " + other), (3, again + other), (5, passage), (10, clean), (10, passage + " more"), (None, passage)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_out(spark, docs, "").collect()
-    assert {(r.doc_id, r.text) for r in got} == {(1, rows[0][1]), (5, passage), (10, clean), (None, passage)} and len(got) == 4
+    assert {(r.doc_id, r.text) for r in got} == {(1, rows[0][1]), (5, passage), (10, clean)} and len(got) == 3
+
+
+def test_near_copies_without_ids_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four five six"), (None, None), (7, ""), (7, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_out(spark, docs, "").collect())
+    assert got == [("7", ""), ("None", "one two three four five six")]
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_out, corpus_pipeline.sources_mixed, corpus_pipeline.exact_out):
+        assert stage(spark, docs, "").collect() == []
+    assert corpus_pipeline.tokenised(spark, docs, "").collect() == []

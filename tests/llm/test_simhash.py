@@ -70,89 +70,3 @@ def test_links_of_chosen_fingerprints(spark, paired):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-
-
-def jaccard(a, b, n=5):
-    x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
-    return len(x & y) / len(x | y)
-
-
-def test_similar_documents(spark):
-    rng = random.Random(11)
-    base = [f"w{i}" for i in range(3000)]
-    docs, near, apart = [], [], []
-    for k in range(40):
-        words = [rng.choice(base) for _ in range(rng.randrange(60, 300))]
-        copy = list(words)
-        for _ in range(max(1, len(words) // 75)):
-            copy[rng.randrange(len(words))] = "changed"
-        half = words[: len(words) // 2] + [rng.choice(base) for _ in range(len(words) // 2)]
-        for t, kind in ((words, None), (copy, near), (half, apart)):
-            docs.append((len(docs), " ".join(t)))
-            if kind is not None:
-                kind.append((3 * k, docs[-1][0]))
-    docs += [(500, docs[0][1]), (501, None), (502, " ")]
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame([*docs, (None, "x")], "doc_id long, text string")).collect()}
-    text = dict(docs)
-    assert all(jaccard(text[a], text[b]) > 0.8 for a, b in near) and all(jaccard(text[a], text[b]) < 0.6 for a, b in apart)
-    assert sum(got[b] == got[a] for a, b in near) >= 0.9 * len(near)
-    assert all(got[a] != got[b] for a, b in apart)
-    assert got[500] == got[0] == 0 and got[501] == got[502] == 501 and len(got) == len(docs)
-    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-
-
-def test_a_large_group_stays_together(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE_PAIRED", 5)
-    rng = random.Random(12)
-    words = [f"w{rng.randrange(2000)}" for _ in range(300)]
-    docs = [(i, " ".join([*words[: i % 290], "new", *words[i % 290 + 1 :]])) for i in range(200)]
-    got = {r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {0}
-
-
-def brute_groups(texts):
-    """The smallest number reachable by pairs of a shingle similarity of 0.8 or more, compared one with one."""
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, texts)]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
-    return root
-
-
-def groups_found(spark, texts):
-    rows = list(enumerate(texts))
-    random.Random(14).shuffle(rows)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    return [got[i] for i in range(len(texts))]
-
-
-@pytest.mark.parametrize("paired", [64, 3])
-def test_interleaved_families_around_one_passage(spark, monkeypatch, paired):
-    monkeypatch.setattr(simhash, "WIDE_PAIRED", paired)
-    rng = random.Random(13)
-    base = [f"w{i}" for i in range(4000)]
-    words = lambda n: [rng.choice(base) for _ in range(n)]
-    shared, texts = words(90), []
-    ends = [words(rng.randrange(18, 40)) for _ in range(12)]
-    for k in range(120):
-        end = list(ends[k % 12]) if k % 3 else words(30)
-        end[rng.randrange(len(end))] = rng.choice(base)
-        texts.append(" ".join(shared + end))
-    assert groups_found(spark, texts) == brute_groups(texts)
-
-
-def test_similarity_at_the_threshold(spark):
-    rng = random.Random(15)
-    base, texts = [f"w{i}" for i in range(4000)], []
-    words = lambda n: [rng.choice(base) for _ in range(n)]
-    for own in (96, 99, 100, 101, 104):  # 800 shared shingles and so many of each text's own
-        both = words(804)
-        texts += [" ".join(both + words(own)), " ".join(both + words(own))]
-    for n in (8, 7):  # four shingles against five, which is 0.8, and three against four, which is less
-        for _ in range(20):
-            short = words(n)
-            texts += [" ".join(short), " ".join([*short, "more"])]
-    assert groups_found(spark, texts) == brute_groups(texts)
