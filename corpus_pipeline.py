@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from tallybook.llm.common import small, text_of, written
-from tallybook.llm.graph import components
+from tallybook.llm import bpe, exact_dedup, mixing, similar, toxicity
+from tallybook.llm.common import PLACE, small, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +22,14 @@ def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of close fingerprints or of similar texts, or both in turn, the one with the smallest doc_id stays.
 
-    A row is known by its id and text, as an id may stand for several texts. Rows without an id stay.
+    Rows are known by their place in the files: of rows that share an id the first by place is the smallest, and rows
+    without an id come after all others. Null and empty texts are similar to each other. An empty table gives an empty one.
     """
-    rows = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text_of(docs))))
-    links = [f(rows, id_col="__key").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).where("u != v") for f in (simhash.near_duplicates, simhash.similar_documents)]
-    groups = components(links[0].unionByName(links[1])).withColumnRenamed("node", "__key")
-    members = written(rows.select("__key", "doc_id").join(small(groups), "__key"))
-    stay = members.groupBy("root").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
-    dropped = written(members.join(small(stay), "root").where(F.col("__key") != F.col("first.__key")).select("__key").distinct())
-    return rows.join(small(dropped), "__key", "left_anti").drop("__key")
+    rows, groups = similar.near_groups(docs)
+    groups = written(groups.withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", *PLACE)))
+    stay = groups.groupBy("root").agg(F.min("rank").alias("first"))
+    dropped = written(groups.join(small(stay), "root").where(F.col("rank") != F.col("first")).select(*PLACE))
+    return rows.join(small(dropped), PLACE, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
