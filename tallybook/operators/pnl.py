@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rule_values import EXPENSE, INCOME
@@ -65,24 +65,30 @@ def route(tx: DataFrame) -> DataFrame:
 def _greedy(cents: np.ndarray, day: np.ndarray, back: np.ndarray) -> list[tuple[int, int]]:
     """(reversal, debit) pairs of one group in list order: each reversal takes the unused debit of highest score."""
     debits, out = np.flatnonzero(~back), []
+    debits = debits[np.argsort(day[debits], kind="stable")]
     amount, when = cents[debits].astype(float), day[debits]
     used = np.zeros(len(debits), bool)
-    for r in np.flatnonzero(back) if len(debits) else ():
-        days = day[r] - when
-        high = np.maximum(amount, cents[r])
-        part = np.where((amount == 0) | (cents[r] == 0), 0.0, np.minimum(amount, cents[r]) / np.where(high == 0, 1, high))
-        ok = ~used & (days >= 0) & (days <= DAYS) & ~((cents[r] < amount) & (part < LEAST_RATIO))
+    for r in np.flatnonzero(back):
+        near = slice(*np.searchsorted(when, (day[r] - DAYS, day[r] + 1)))
+        of = amount[near]
+        high = np.maximum(of, cents[r])
+        part = np.where((of == 0) | (cents[r] == 0), 0.0, np.minimum(of, cents[r]) / np.where(high == 0, 1, high))
+        ok = ~used[near] & ~((cents[r] < of) & (part < LEAST_RATIO))
         if ok.any():
-            i = int(np.argmax(np.where(ok, part - days / 36500, -np.inf)))
+            score = np.where(ok, part - (day[r] - when[near]) / 36500, -np.inf)
+            i = near.start + min(np.flatnonzero(score == score.max()), key=lambda k: debits[near][k])  # the first in the list of several
             used[i] = True
             out.append((int(r), int(debits[i])))
     return out
 
 
+KEY = ["account_id", "period", "merchant", "part"]
+
+
 def _matched(rows: pd.DataFrame) -> pd.DataFrame:
     """All pairs of rows sorted by group and list order."""
     same = np.ones(len(rows), bool)
-    for c in ("account_id", "period", "merchant"):
+    for c in KEY:
         x = rows[c].to_numpy()
         same[1:] &= x[1:] == x[:-1]
     same[0] = False
@@ -110,39 +116,63 @@ def _reversals(tx: DataFrame, period: Column) -> DataFrame:
     return near.where(F.col("is_reversal") | F.col("day").between(F.col("first") - DAYS, F.col("last"))).drop("first", "last")
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """rows with part: within a group a new one begins after DAYS without any row, which no match can cross.
+
+    Such a gap lies between months, so first and last days of a group's months tell them.
+    """
+    key = ["account_id", "period", "merchant"]
+    month = F.trunc(F.date_from_unix_date("day"), "MM")
+    rows = rows.withColumn("month", month)
+    days = rows.groupBy(*key, "month").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    order = Window.partitionBy(*key).orderBy("month")
+    new = F.when(F.col("first") - F.lag("last").over(order) > DAYS, 1).otherwise(0)
+    parts = days.withColumn("new", new).select(*key, "month", F.sum("new").over(order).alias("part"))
+    return rows.join(parts, [*key, "month"]).drop("month")
+
+
 def match_reversals(tx: DataFrame, period: Column) -> DataFrame:
     """One row per reversal that finds a debit: both, the debit's category and the amount applied. No debit is used twice.
 
-    Rows are dealt by group and sorted, so that a task goes through its groups one after the other and holds one at a time.
+    Rows are dealt by parts of groups and sorted, so that a task goes through its parts one after the other and holds one
+    at a time.
     """
-    key = ["account_id", "period", "merchant"]
 
     def run(batches):
-        held = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = np.ones(len(rows), bool)
-            for c in key:
-                last &= rows[c].to_numpy() == rows[c].iloc[-1]
-            held, whole = rows[last].reset_index(drop=True), rows[~last].reset_index(drop=True)
-            if len(whole):
-                yield _matched(whole)
-        if held is not None and len(held):
-            yield _matched(held)
-
-    rows = _reversals(tx, period).withColumn("statement_dt", F.col("statement_dt").cast("string"))
-    return rows.repartition(*key).sortWithinPartitions(*key, "statement_dt", "statement_id", "sequence").mapInPandas(run, MATCH)
+            if not len(batch):
+                continue
+            last = np.ones(len(batch), bool)
+            for c in KEY:
+                last &= batch[c].to_numpy() == batch[c].iloc[-1]
+            n = len(batch) - int(last.sum())
+            goes_on = not held or all(held[-1][c].iloc[-1] == batch[c].iloc[0] for c in KEY)
+            if n or not goes_on:
+                yield _matched(pd.concat([*held, batch.iloc[:n]], ignore_index=True))
+                held = []
+            held.append(batch.iloc[n:])
+        if held:
+            yield _matched(pd.concat(held, ignore_index=True))
+
+    rows = _parts(_reversals(tx, period)).withColumn("statement_dt", F.col("statement_dt").cast("string"))
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "statement_dt", "statement_id", "sequence").mapInPandas(run, MATCH)
 
 
 def best_candidates(tx: DataFrame, period: Column) -> DataFrame:
-    """The debit of highest score for each reversal, whether or not another takes it too."""
+    """The debit of highest score for each reversal, whether or not another takes it too.
+
+    Rows meet by stretches of days, so that a reversal only meets debits of its own stretch and the one before.
+    """
     rows = _reversals(tx, period)
     key = ["account_id", "period", "merchant"]
-    back = rows.where("is_reversal").select(*key, F.col("statement_id").alias("r_statement"), F.col("sequence").alias("r_sequence"), F.col("day").alias("r_day"), F.col("cents").alias("r_cents"))
-    debit = rows.where("not is_reversal").select(*key, "statement_id", "sequence", "statement_dt", "day", "cents", "business_category")
+    stretch = F.floor(F.col("day") / (DAYS + 1))
+    rows = rows.withColumn("stretch", F.explode(F.when(F.col("is_reversal"), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))))
+    back = rows.where("is_reversal").select(*key, "stretch", F.col("statement_id").alias("r_statement"), F.col("sequence").alias("r_sequence"), F.col("day").alias("r_day"), F.col("cents").alias("r_cents"))
+    debit = rows.where("not is_reversal").select(*key, "stretch", "statement_id", "sequence", "statement_dt", "day", "cents", "business_category")
     days = F.col("r_day") - F.col("day")
     part = F.when((F.col("cents") == 0) | (F.col("r_cents") == 0), 0.0).otherwise(F.least("cents", "r_cents") / F.greatest("cents", "r_cents"))
-    pairs = back.join(debit, key).where(days.between(0, DAYS)).where(~((F.col("r_cents") < F.col("cents")) & (part < LEAST_RATIO)))
+    pairs = back.join(debit, [*key, "stretch"]).where(days.between(0, DAYS)).where(~((F.col("r_cents") < F.col("cents")) & (part < LEAST_RATIO)))
     best = F.max_by(F.struct("statement_id", "sequence", "business_category", "cents"), F.struct((part - days / 36500).alias("score"), -F.unix_date("statement_dt"), -F.col("sequence")))
     found = pairs.groupBy(*key, "r_statement", "r_sequence", "r_cents").agg(best.alias("d"))
     return found.select(*key, "r_statement", "r_sequence", F.col("d.statement_id").alias("d_statement"), F.col("d.sequence").alias("d_sequence"), F.col("d.business_category").alias("d_category"), F.least("r_cents", "d.cents").alias("applied_cents"))

@@ -10,6 +10,7 @@ from ..functions.rule_values import EXPENSE, INCOME
 from ..functions.scalars import MERCHANT_NOISE
 from ..operators import classify, pnl
 from ..sources import adapters
+from ..sources.shared import written
 
 
 def rules() -> list[classify.Rule]:
@@ -17,18 +18,22 @@ def rules() -> list[classify.Rule]:
 
 
 class Book:
-    """Lazy frames over one folder of tables."""
+    """Frames over one folder of tables. What several reports or steps read is worked out once and written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        return written(adapters.raw_ledger(self.spark, self.sf_dir))
+
     @cached_property
     def ledger(self) -> DataFrame:
-        return adapters.transactions(self.spark, self.sf_dir)
+        return written(adapters.transactions(self.spark, self.sf_dir, self.raw))
 
     @cached_property
     def st(self) -> DataFrame:
-        return adapters.statements(self.spark, self.sf_dir)
+        return adapters.statements(self.spark, self.sf_dir, self.raw)
 
     @cached_property
     def db(self) -> DataFrame:
@@ -36,7 +41,7 @@ class Book:
 
     @cached_property
     def tx(self) -> DataFrame:
-        return classify.mark_deposits(classify.categorise(self.ledger, rules()))
+        return written(classify.mark_deposits(classify.categorise(self.ledger, rules())))
 
     @cached_property
     def dated(self) -> DataFrame:
@@ -46,11 +51,12 @@ class Book:
     def personal(self) -> DataFrame:
         return classify.categorise_personal(self.ledger)
 
-    def pl(self, period=None, matched: bool = False) -> DataFrame:
-        return pnl.lines(self.dated if matched else self.tx, pnl.total_period() if period is None else period, matched)
+    def pl(self, period=None, rows: DataFrame | None = None) -> DataFrame:
+        """Lines of profit and loss, reversals matched within each period."""
+        return pnl.lines(self.dated if rows is None else rows, pnl.total_period() if period is None else period)
 
-    def wide(self, period=None, matched: bool = False) -> DataFrame:
-        return pnl.summary(self.pl(period, matched))
+    def wide(self, period=None, rows: DataFrame | None = None) -> DataFrame:
+        return pnl.summary(self.pl(period, rows))
 
 
 def quoted(text: str) -> str:
@@ -99,11 +105,41 @@ _SECTION = f"""CASE WHEN business_category IN {names(pnl.REVENUE)} THEN 'revenue
   WHEN business_category IN {names(pnl.OTHER_EXPENSE)} THEN 'other_expense' END"""
 
 
-def pl_sql(period: str = "'total'") -> str:
-    """CTEs up to pl(account_id, period, section, category, amount) with all reversals as a bucket, and wide."""
+def _matched_sql(rows: str, period: str) -> str:
+    """CTEs up to hit: the reversals of each group in order, each taking the best debit that none before it took."""
+    return f"""rev AS (
+  SELECT account_id, {period} AS period, {merchant_sql('description')} AS merchant, statement_id, sequence, last_day(month) AS sdt, post_dt, (amount * 100)::BIGINT AS cents, business_category,
+         is_credit AND business_category = 'Payment Reversal' AND NOT is_transfer AND NOT is_owner_related AND NOT (is_loan AND NOT include_in_pnl) AS back, NOT is_credit AND NOT is_transfer AS debit FROM {rows}
+), pairs AS (
+  SELECT r.account_id || '|' || r.period || '|' || r.merchant AS grp, r.sdt AS r_sdt, r.statement_id AS r_statement, r.sequence AS r_sequence, r.cents AS rc, d.sdt AS d_sdt, d.statement_id || '#' || d.sequence AS d_id, d.sequence AS d_sequence, d.cents AS dc,
+         CASE WHEN r.cents = 0 OR d.cents = 0 THEN 0.0::DOUBLE ELSE least(r.cents, d.cents)::DOUBLE / greatest(r.cents, d.cents)::DOUBLE END AS part, date_diff('day', d.post_dt, r.post_dt) AS days
+  FROM rev r JOIN rev d ON r.account_id = d.account_id AND r.period = d.period AND r.merchant = d.merchant WHERE r.back AND d.debit AND r.post_dt >= d.post_dt AND r.post_dt <= d.post_dt + 90
+), cand0 AS (SELECT grp, r_sdt, r_statement, r_sequence, list(d_id ORDER BY part - days::DOUBLE / 36500 DESC, d_sdt, d_sequence) AS cands FROM pairs WHERE NOT (rc < dc AND part < 0.8) GROUP BY ALL
+), cand AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r_sdt, r_sequence) AS n FROM cand0
+), run AS (
+  SELECT DISTINCT grp, 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::VARCHAR AS r_statement, NULL::BIGINT AS r_sequence, NULL::VARCHAR AS pick FROM cand
+  UNION ALL
+  SELECT grp, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, r_statement, r_sequence, pick
+  FROM (SELECT c.grp, c.n, run.used, c.r_statement, c.r_sequence, list_filter(c.cands, lambda x: NOT list_contains(run.used, x))[1] AS pick FROM run JOIN cand c ON c.grp = run.grp AND c.n = run.n + 1)
+), hit AS (
+  SELECT r.account_id, r.period, r.merchant, r.statement_id AS reversal_statement, r.sequence AS reversal_sequence, d.statement_id AS debit_statement, d.sequence AS debit_sequence, d.business_category AS debit_category, least(r.cents, d.cents) AS cents
+  FROM run JOIN rev r ON r.statement_id = run.r_statement AND r.sequence = run.r_sequence JOIN rev d ON d.statement_id || '#' || d.sequence = run.pick
+)"""
+
+
+def hit_sql(period: str) -> str:
+    return f"RECURSIVE {TX}, {_matched_sql('tx', period)}"
+
+
+_HIT_SECTION = f"CASE WHEN debit_category IN {names(pnl.REVENUE)} THEN 'revenue' WHEN debit_category IN {names(pnl.DIRECT)} THEN 'direct_costs' WHEN debit_category IN {names(pnl.OPERATING)} THEN 'operating_expenses' END"
+
+
+def pl_sql(period: str = "'total'", where: str = "true") -> str:
+    """CTEs up to pl(account_id, period, section, category, amount) and wide; matched reversals are off the lines of their debits."""
     totals = ", ".join(f"coalesce(sum(amount) FILTER (section = '{s}'), 0) AS total_{s}" for s in pnl.SECTIONS)
     buckets = ", ".join(f"coalesce(sum(amount) FILTER (section = '{b}'), 0) AS {b}" for b in pnl.BUCKETS)
-    return f"""{TX}, routed AS (
+    return f"""RECURSIVE {TX}, used_tx AS (SELECT * FROM tx WHERE {where}
+), routed AS (
   SELECT *, {_SECTION} AS known,
     CASE WHEN is_transfer THEN CASE WHEN is_credit THEN 'account_transfers_credits' WHEN business_category = 'Credit Card Payment' THEN 'credit_card_transfers' ELSE 'account_transfers_debits' END
          WHEN is_owner_related THEN CASE WHEN is_credit THEN 'owner_contributions' ELSE 'owner_distributions' END
@@ -111,11 +147,14 @@ def pl_sql(period: str = "'total'") -> str:
          WHEN business_category = 'Payment Reversal' THEN CASE WHEN is_credit THEN 'payment_reversal_credits' ELSE 'payment_reversal_debits' END
          WHEN is_fixed_asset THEN 'fixed_asset_purchases'
          WHEN NOT include_in_pnl THEN CASE WHEN is_credit THEN 'uncategorized_non_pnl_credits' ELSE 'uncategorized_non_pnl_debits' END END AS bucket
-  FROM tx
-), pl AS (
-  SELECT account_id, {period} AS period, coalesce(bucket, known, CASE WHEN is_credit THEN 'revenue' ELSE 'operating_expenses' END) AS section, CASE WHEN bucket IS NULL THEN business_category ELSE '' END AS category,
-         sum(CASE WHEN bucket IS NULL AND known IS NOT NULL AND is_credit <> (known IN ('revenue', 'other_income')) THEN -amount ELSE amount END) AS amount
-  FROM routed GROUP BY ALL
+  FROM used_tx
+), {_matched_sql('used_tx', period)}, taken AS (SELECT *, {_HIT_SECTION} AS s, cents::DECIMAL(18,2) / 100 AS x FROM hit), pl AS (
+  SELECT account_id, period, section, category, sum(amount)::DECIMAL(38,2) AS amount FROM (
+    SELECT account_id, {period} AS period, coalesce(bucket, known, CASE WHEN is_credit THEN 'revenue' ELSE 'operating_expenses' END) AS section, CASE WHEN bucket IS NULL THEN business_category ELSE '' END AS category,
+           sum(CASE WHEN bucket IS NULL AND known IS NOT NULL AND is_credit <> (known IN ('revenue', 'other_income')) THEN -amount ELSE amount END)::DECIMAL(38,2) AS amount
+    FROM routed GROUP BY ALL
+    UNION ALL SELECT account_id, period, s, debit_category, -x::DECIMAL(38,2) FROM taken WHERE s IS NOT NULL
+    UNION ALL SELECT account_id, period, 'payment_reversal_credits', '', -x::DECIMAL(38,2) FROM taken WHERE s IS NOT NULL) GROUP BY ALL
 ), wide0 AS (SELECT account_id, period, {totals}, {buckets} FROM pl GROUP BY ALL
 ), wide AS (
   SELECT *, total_revenue - total_direct_costs AS gross_profit, total_revenue - total_direct_costs - total_operating_expenses AS operating_profit,

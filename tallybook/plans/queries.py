@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..functions.document_values import DOCUMENTS
 from ..operators import classify, export, insights, parse, periods, pnl, project, reconcile, redact
 from ..sources import adapters, texts
-from .book import LEDGER, TX, Book, merchant_sql, names, personal_sql, pl_sql, rules
+from .book import LEDGER, TX, Book, hit_sql, merchant_sql, names, personal_sql, pl_sql, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -168,9 +168,9 @@ def _(b):
     return out
 
 
-@query("w09_search", LEDGER, f"SELECT {KEYS}, rank, count(*) OVER (PARTITION BY account_id) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY post_dt, statement_id, sequence) AS rank FROM led WHERE lower(description) LIKE '%old%pilot%') QUALIFY rank <= 500")
+@query("w09_search", LEDGER, f"SELECT {KEYS}, rank, count(*) OVER (PARTITION BY account_id) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY post_dt, statement_id, sequence) AS rank FROM led WHERE lower(description) LIKE '%old%') QUALIFY rank <= 500")
 def _(b):
-    found = periods.search(b.ledger.where(F.lower("description").contains("pilot")), "old")
+    found = periods.search(b.ledger, "old")
     return found.select(*PICK, F.col("n").alias("rank"), "matches")
 
 
@@ -207,56 +207,15 @@ def _(b):
     return b.pl()
 
 
-def _j1(period: str) -> str:
-    """CTEs up to hit: the reversals of each group in order, each taking the best debit that none before it took."""
-    return f"""rev AS (
-  SELECT account_id, {period} AS period, {M('description')} AS merchant, statement_id, sequence, last_day(month) AS sdt, post_dt, (amount * 100)::BIGINT AS cents, business_category,
-         is_credit AND business_category = 'Payment Reversal' AND NOT is_transfer AND NOT is_owner_related AND NOT (is_loan AND NOT include_in_pnl) AS back, NOT is_credit AND NOT is_transfer AS debit FROM tx
-), pairs AS (
-  SELECT r.account_id || '|' || r.period || '|' || r.merchant AS grp, r.sdt AS r_sdt, r.statement_id AS r_statement, r.sequence AS r_sequence, r.cents AS rc, d.sdt AS d_sdt, d.statement_id || '#' || d.sequence AS d_id, d.sequence AS d_sequence, d.cents AS dc,
-         CASE WHEN r.cents = 0 OR d.cents = 0 THEN 0.0::DOUBLE ELSE least(r.cents, d.cents)::DOUBLE / greatest(r.cents, d.cents)::DOUBLE END AS part, date_diff('day', d.post_dt, r.post_dt) AS days
-  FROM rev r JOIN rev d ON r.account_id = d.account_id AND r.period = d.period AND r.merchant = d.merchant WHERE r.back AND d.debit AND r.post_dt >= d.post_dt AND r.post_dt <= d.post_dt + 90
-), cand0 AS (SELECT grp, r_sdt, r_statement, r_sequence, list(d_id ORDER BY part - days::DOUBLE / 36500 DESC, d_sdt, d_sequence) AS cands FROM pairs WHERE NOT (rc < dc AND part < 0.8) GROUP BY ALL
-), cand AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r_sdt, r_sequence) AS n FROM cand0
-), run AS (
-  SELECT DISTINCT grp, 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::VARCHAR AS r_statement, NULL::BIGINT AS r_sequence, NULL::VARCHAR AS pick FROM cand
-  UNION ALL
-  SELECT grp, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, r_statement, r_sequence, pick
-  FROM (SELECT c.grp, c.n, run.used, c.r_statement, c.r_sequence, list_filter(c.cands, lambda x: NOT list_contains(run.used, x))[1] AS pick FROM run JOIN cand c ON c.grp = run.grp AND c.n = run.n + 1)
-), hit AS (
-  SELECT r.account_id, r.period, r.merchant, r.statement_id AS reversal_statement, r.sequence AS reversal_sequence, d.statement_id AS debit_statement, d.sequence AS debit_sequence, d.business_category AS debit_category, least(r.cents, d.cents) AS cents
-  FROM run JOIN rev r ON r.statement_id = run.r_statement AND r.sequence = run.r_sequence JOIN rev d ON d.statement_id || '#' || d.sequence = run.pick
-)"""
-
-
-_HIT_SECTION = f"CASE WHEN debit_category IN {names(pnl.REVENUE)} THEN 'revenue' WHEN debit_category IN {names(pnl.DIRECT)} THEN 'direct_costs' WHEN debit_category IN {names(pnl.OPERATING)} THEN 'operating_expenses' END"
-
-
-def matched_sql(period: str = "'total'") -> str:
-    """As pl_sql, with reversals taken off the lines of the debits that they undo: pl2 and wide2."""
-    totals = ", ".join(f"coalesce(sum(amount) FILTER (section = '{s}'), 0) AS total_{s}" for s in pnl.SECTIONS)
-    buckets = ", ".join(f"coalesce(sum(amount) FILTER (section = '{x}'), 0) AS {x}" for x in pnl.BUCKETS)
-    return f"""RECURSIVE {pl_sql(period)}, {_j1(period)}, taken AS (SELECT *, {_HIT_SECTION} AS s, cents::DECIMAL(18,2) / 100 AS x FROM hit), pl2 AS (
-  SELECT account_id, period, section, category, sum(amount)::DECIMAL(38,2) AS amount FROM (
-    SELECT account_id, period, section, category, amount::DECIMAL(38,2) AS amount FROM pl UNION ALL SELECT account_id, period, s, debit_category, -x::DECIMAL(38,2) FROM taken WHERE s IS NOT NULL
-    UNION ALL SELECT account_id, period, 'payment_reversal_credits', '', -x::DECIMAL(38,2) FROM taken WHERE s IS NOT NULL) GROUP BY ALL
-), wide2a AS (SELECT account_id, period, {totals}, {buckets} FROM pl2 GROUP BY ALL
-), wide2 AS (
-  SELECT *, total_revenue - total_direct_costs AS gross_profit, total_revenue - total_direct_costs - total_operating_expenses AS operating_profit,
-         total_revenue - total_direct_costs - total_operating_expenses + total_other_income - total_other_expense AS net_profit
-  FROM wide2a
-)"""
-
-
-@query("a01_pnl_matched", matched_sql(), "SELECT * FROM pl2", "amount")
+@query("a01_pnl_matched", pl_sql(), "SELECT * FROM pl", "amount")
 def _(b):
-    return b.pl(matched=True)
+    return b.pl()
 
 
 _MONTH = "strftime(post_dt, '%Y-%m')"
 
 
-@query("j01_reversals", f"RECURSIVE {TX}, {_j1(_MONTH)}", "SELECT * FROM hit")
+@query("j01_reversals", hit_sql(_MONTH), "SELECT * FROM hit")
 def _(b):
     return pnl.match_reversals(b.dated, pnl.month_period())
 
@@ -290,9 +249,9 @@ def _(b):
     return b.wide(pnl.month_period())
 
 
-@query("a04_monthly_pnl_matched", matched_sql("strftime(post_dt, '%Y-%m')"), f"SELECT {_WIDE} FROM wide2", _WIDE_MONEY)
+@query("a04_monthly_pnl_matched", pl_sql("strftime(post_dt, '%Y-%m')"), f"SELECT {_WIDE} FROM wide", _WIDE_MONEY)
 def _(b):
-    return b.wide(pnl.month_period(), matched=True)
+    return b.wide(pnl.month_period())
 
 
 _FQ = "'FY' || year(post_dt - INTERVAL 9 MONTH) || ' Q' || quarter(date_trunc('month', post_dt) - INTERVAL 9 MONTH)"
@@ -766,12 +725,9 @@ def _(b):
     return found.groupBy("kind", "label", "first_dt", "last_dt").agg(F.count("statement_id").alias("statements"), F.coalesce(F.sum("total_credits"), F.lit(0)).alias("credits"))
 
 
-@query("w08_predicate", pl_sql().replace("  FROM tx\n), pl AS", "  FROM tx WHERE amount > 50000\n), pl AS"), "SELECT account_id, total_revenue, net_profit FROM wide", "total_revenue net_profit")
+@query("w08_predicate", pl_sql(where="amount > 50000"), "SELECT account_id, total_revenue, net_profit FROM wide", "total_revenue net_profit")
 def _(b):
-    return pnl.summary(pnl.lines(b.tx.where(F.col("amount") > 50000), pnl.total_period(), matched=False)).select("account_id", "total_revenue", "net_profit")
-
-
-
+    return b.wide(rows=b.dated.where(F.col("amount") > 50000)).select("account_id", "total_revenue", "net_profit")
 
 
 @query("j07_document_status", LEDGER + ", acc AS (SELECT DISTINCT account_id FROM st), req(document, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in DOCUMENTS.items()) + "), given AS (SELECT account_id, 'bank_statements' AS document, CASE WHEN count(*) >= 78 THEN 'provided' ELSE 'partial' END AS status FROM st GROUP BY ALL)", "SELECT account_id, document, label, CASE coalesce(status, 'not-provided') WHEN 'provided' THEN '[x] Provided' WHEN 'partial' THEN '[~] Partial' ELSE '[ ] Not Provided' END AS status FROM acc CROSS JOIN req LEFT JOIN given USING (account_id, document)")

@@ -88,9 +88,9 @@ def statements(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
     """The ledger's rows with the balance after each, of the months that have a statement."""
-    ledger = raw_ledger(spark, sf_dir)
+    ledger = raw_ledger(spark, sf_dir) if ledger is None else ledger
     months = month_totals(ledger).select("statement_id", "beginning_balance")
     number = F.year("month") * 12 + F.month("month") + F.col("account_id")
     inside = Window.partitionBy("statement_id").orderBy("sequence")
