@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 import numpy as np
 from pyarrow import fs
@@ -13,6 +12,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 #: ASCII white space, as the contracts of the text operators have it.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A side of a join is sent to every executor only if it was counted and has at most so many narrow rows.
@@ -23,18 +26,6 @@ BROADCAST_ROWS = 200_000
 BATCH = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that setting is absent, a temporary folder in local mode, else an error."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallybook.shared.dir", None)
-    if not base:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("tallybook.shared.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on Arrow batches to BATCH; a lower one stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -43,14 +34,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH}b")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends, and any executor may be lost."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def file_backed(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_path", "_metadata.row_index")
@@ -70,8 +53,8 @@ PLACE = ["__file", "__row"]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Asks for a broadcast of df if a count of it stays within rows, else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Asks for a broadcast of df if a count of it stays within rows, else for a shuffled join that hashes it."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_hash")
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:

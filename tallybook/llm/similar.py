@@ -4,9 +4,9 @@ Two sets with a Jaccard similarity of 4/5 or more share, in one order of all shi
 n - ceil(4n/5) + 1 of each (n: its size). So only texts that share one of these keys are compared, and no pair is lost.
 What meets is told apart by size, by the key's place and by a sketch, none of which can lose a pair, and verified on the sets.
 
-A key that many texts have is not paired out at once. Its texts are compared with one of them, and those that are in
-no group with that one with another of them. Only where a key's texts are in several groups after this are all pairs
-of texts in different groups compared, in tiles that are spread over the tasks.
+A key that many texts have is not paired out at once. Its texts are compared with one of them, and, where very many are
+in no group with that one, these with another in turn. Only where a key's texts are in several groups after this are all
+pairs of texts in different groups compared, in tiles that are spread over the tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, located, small_batches, text_of, written
+from .common import PLACE, located, small, small_batches, text_of, written
 from .graph import components
 from .simhash import SEED, fingerprints, links
 
@@ -29,6 +29,9 @@ SKETCH = 16
 #: Shingles that so many of about so many sampled texts have come last in the order, by their number of texts. The order is
 #: free; it only says how many texts meet by chance.
 OFTEN, SAMPLED = 4, 4000
+#: A key's texts are compared with so many of them in turn at most, one in each round, and only with the first where the keys
+#: that are left have few pairs for their rows.
+HUBS, PAIRS = 4, 300
 #: Texts of a key meet in tiles of about so many; each tile meets each.
 TILE = 128
 
@@ -86,13 +89,15 @@ def prints(text: Column, often: np.ndarray, rank: np.ndarray) -> Column:
     return of(text)
 
 
-def _sets(text: Column) -> Column:
+def _sets(text: Column, asked: Column) -> Column:
+    """Name and hashes of the text's set. asked, a column of the join's other side, keeps the work from being done before the join."""
+
     @F.pandas_udf("struct<node long, hashes binary>")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def of(texts: pd.Series, asked: pd.Series) -> pd.DataFrame:
         found = [shingle_set(t) for t in texts]
         return pd.DataFrame({"node": [set_name(f) for f in found], "hashes": [f.astype("<u8").tobytes() for f in found]})
 
-    return of(text)
+    return of(text, asked)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -120,16 +125,15 @@ def _alike(u: str, v: str) -> Column:
     return differ <= F.col(f"{u}.n") + F.col(f"{v}.n") - 2 * _needed(F.col(f"{u}.n"), F.col(f"{v}.n"))
 
 
-def similar_sets(table: DataFrame, texts: DataFrame) -> DataFrame:
+def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame:
     """(node, root) of the nodes that are linked with others.
 
-    table (written): id, node, n, sketch, keys of each text; texts: id, text, of which only those are read again that
-    may have a partner.
+    table (written): node, n, sketch, keys and the columns at of each text; texts: at, text, of which only those are
+    tokenised again that may have a partner.
     """
-    row = F.struct("id", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)), "keys")
-    nodes = table.groupBy("node").agg(F.min_by(row, "id").alias("x")).select("node", *(f"x.{c}" for c in ("id", "n", "keys")), *(f"x.s{i}" for i in range(SKETCH)))
-    nodes = written(nodes)
     bits = [f"s{i}" for i in range(SKETCH)]
+    row = F.struct("n", "keys", *at, *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
+    nodes = written(table.groupBy("node").agg(F.min_by(row, F.struct(*at)).alias("x")).select("node", "x.*"))
     keys = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n")
     # counted with partial sums: a key that very many texts have is one row for each task
     shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n", "pos")).alias("hub")).where("many > 1")
@@ -137,10 +141,12 @@ def similar_sets(table: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of pairs (u, v: nodes) that are similar enough."""
-        used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
-        held = texts.join(used.select("id").distinct(), "id").select(_sets(F.col("text")).alias("s")).select("s.node", "s.hashes")
-        # an id may have other texts too: only the sets that are asked for, once each
-        held = written(held.join(used.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+        pairs = written(pairs.distinct())
+        used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        places = nodes.join(used, "node").select(*at, F.col("node").alias("asked"))
+        held = texts.join(small(places), at).select(_sets(F.col("text"), F.col("asked")).alias("s")).select("s.node", "s.hashes")
+        # what a place stands for may be several texts: only the sets that are asked for, once each
+        held = written(held.join(used, "node", "left_semi").dropDuplicates(["node"]))
         a, b = (held.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
         both = pairs.join(a, "u").join(b, "v").select("u", "v", (F.octet_length("hu") / 8 + F.octet_length("hv") / 8).alias("n"), _common(F.col("hu"), F.col("hv")).alias("same"))
         return both.where(9 * F.col("same") >= 4 * F.col("n")).select("u", "v")
@@ -150,25 +156,26 @@ def similar_sets(table: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = rows.select(F.struct("node", "n", "pos").alias("a"), F.col("hub").alias("b")).where("a.node != b.node").where(_may("a", "b"))
         pairs = pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
         a, b = (nodes.select(F.col("node").alias(x), F.struct("n", *bits).alias(f"x{x}")) for x in "uv")
-        near = pairs.join(a, "u").join(b, "v").where(_alike("xu", "xv")).select("u", "v")
-        return written(verified(written(near)))
+        return verified(pairs.join(a, "u").join(b, "v").where(_alike("xu", "xv")).select("u", "v"))
 
-    def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    def still_open(links: DataFrame, rows: DataFrame) -> DataFrame:
+        """rows with the node's root, of keys whose nodes are in several groups."""
         found = written(components(links)).withColumnRenamed("root", "found")
-        return rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found")
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        """The rows of keys whose nodes are in several groups."""
-        rows = written(rows)
+        rows = written(rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found"))
         keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        return written(rows.join(keys, "key"))
-
-    links = with_hub(met)
-    rest = still_open(rooted(met, links))
-    hubs = rest.join(rest.where("node = hub.node").select("key", F.col("root").alias("of")), "key").where("root != of")
-    second = hubs.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("hub"))
-    links = written(links.unionByName(with_hub(hubs.drop("hub", "of").join(second, "key"))))
-    rest = still_open(rooted(rest, links))
+        return rows.join(keys, "key")
+
+    links = written(with_hub(met))
+    rest = still_open(links, met)
+    for _ in range(HUBS - 1):
+        rest = written(rest)
+        rows, pairs = rest.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if not rows or pairs <= PAIRS * rows:
+            break
+        others = rest.join(rest.where("node = hub.node").select("key", F.col("root").alias("of")), "key").where("root != of")
+        hubs = others.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("hub"))
+        links = written(links.unionByName(with_hub(others.drop("hub", "of").join(hubs, "key"))))
+        rest = still_open(links, rest.drop("hub").join(hubs, "key"))
 
     tiles = F.ceil(F.col("many") / TILE).cast("int")
     rest = rest.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node", F.lit(1)), tiles).cast("int")}).join(nodes.select("node", *bits), "node")
@@ -176,8 +183,8 @@ def similar_sets(table: DataFrame, texts: DataFrame) -> DataFrame:
     a = rest.select("key", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), F.col("x").alias("a"))
     b = rest.select("key", F.explode(F.sequence(F.lit(0), "tile")).alias("i"), F.col("tile").alias("j"), F.col("x").alias("b"))
     meet = ((F.col("i") < F.col("j")) | (F.col("a.node") > F.col("b.node"))) & (F.col("a.root") != F.col("b.root")) & _may("a", "b") & _alike("a", "b")
-    pairs = a.join(b, ["key", "i", "j"]).where(meet).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-    return written(components(links.unionByName(verified(written(pairs)))))
+    pairs = a.join(b, ["key", "i", "j"]).where(meet).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+    return components(links.unionByName(verified(pairs)))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +199,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     given = docs.where(F.col(id_col).isNotNull())
     rows = given.select(F.col(id_col).alias("id"), prints(text_of(given, text_col), *often_shared(given, id_col, text_col)).alias("p"))
     table = written(rows.select("id", "p.*"))
-    roots = similar_sets(table, given.select(F.col(id_col).alias("id"), text_of(given, text_col).alias("text")))
+    roots = similar_sets(table, given.select(F.col(id_col).alias("id"), text_of(given, text_col).alias("text")), ["id"])
     named = written(table.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     return named.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
@@ -210,10 +217,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = prints(text, *often_shared(docs, id_col, text_col))
     rows = docs.select(*PLACE, F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("id"), fingerprints(text, 3).alias("fp"), found.alias("p"))
     table = written(rows.select(*PLACE, "doc_id", "id", "fp", "p.*"))
-    texts = docs.select(*PLACE, text.alias("text")).join(table.select(*PLACE, "id").hint("shuffle_hash"), PLACE).select("id", "text")
+    texts = docs.select(*PLACE, text.alias("text"))
     edges = []
-    for name, linked in (("fp", components(links(written(table.select("fp").distinct())))), ("node", similar_sets(table, texts))):
-        first = written(table.groupBy(name).agg(F.min("id").alias("v")))
+    for name, linked in (("fp", components(links(table.select("fp").distinct()))), ("node", similar_sets(table, texts, PLACE))):
+        first = table.groupBy(name).agg(F.min("id").alias("v"))
         copies = table.select("id", name).join(first, name).select(F.col("id").alias("u"), "v")
         linked = linked.select(F.col("node").alias(name), F.col("root").alias("to")).join(first.select(name, F.col("v").alias("u")), name)
         edges += [copies, linked.join(first.withColumnRenamed(name, "to"), "to").select("u", "v")]

@@ -33,8 +33,6 @@ COORDINATE = 0.9
 #: Query blocks are broadcast only if they were counted and are at most so many; else they meet the buckets in a shuffle.
 SENT = 16
 SHARES = 64
-#: Products of vectors whose components stay below this are exact in double precision up to 2**20 dimensions.
-EXACT = 2.0**16
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -57,9 +55,16 @@ def _bytes(rows: list) -> bytes:
 
 
 def matrix(data: bytes, n: int, dim: int) -> np.ndarray:
-    """The components, in double precision where that is exact, else in 64-bit integers."""
-    ints = np.frombuffer(data, f"<i{len(data) // (n * dim) if n * dim else 8}").reshape(n, dim)
-    return ints.astype(np.float64) if not ints.size or np.abs(ints).max() < EXACT else ints.astype(np.int64)
+    """The components, in as many bits as they are packed in."""
+    return np.frombuffer(data, f"<i{len(data) // (n * dim) if n * dim else 8}").reshape(n, dim)
+
+
+def exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides in a type in which all of their inner products are exact: doubles, 64-bit integers or Python's."""
+    top = lambda m: max(int(m.max()), -int(m.min())) if m.size else 0
+    most = top(q) * top(x) * max(1, q.shape[1])
+    kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+    return q.astype(kind), x.astype(kind)
 
 
 def _blocks(size: int):
@@ -89,6 +94,7 @@ def _blocks(size: int):
 
 def search_bucket(q_ids, q, floors, ids, x, k: int) -> list[tuple[int, int, int]]:
     """(query_id, vec_id, score) of each query's k best in one bucket (rows by length, longest first) not below its floor."""
+    q, x = exact(q, x)
     q_norm, x_norm = np.linalg.norm(q.astype(float), axis=1), np.linalg.norm(x.astype(float), axis=1)
     out: list[tuple[int, int, int]] = []
     slack = 1e-9
@@ -99,13 +105,13 @@ def search_bucket(q_ids, q, floors, ids, x, k: int) -> list[tuple[int, int, int]
     live = cosine <= 1 + slack
     prefix = np.where(least > 0, np.searchsorted(-x_norm, -(least * (1 - slack)) , side="right"), len(x))
     by_coordinate = live & (cosine >= COORDINATE)
-    unit = x / np.where(x_norm > 0, x_norm, 1)[:, None] if by_coordinate.any() else None
+    unit = x.astype(float) / np.where(x_norm > 0, x_norm, 1)[:, None] if by_coordinate.any() else None
 
     def best(i: int, rows: np.ndarray, scores: np.ndarray) -> None:
         ok = (ids[rows] != q_ids[i]) & (scores >= floors[i])
         rows, scores = rows[ok], scores[ok]
         if len(rows) > k:
-            edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+            edge = np.sort(scores)[len(scores) - k] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
             rows, scores = rows[scores >= edge], scores[scores >= edge]
         order = np.lexsort((ids[rows], -scores))[:k]
         out.extend((int(q_ids[i]), int(ids[rows[o]]), int(scores[o])) for o in order)
@@ -154,7 +160,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, bucket: int = B
                 for query, _, score in search_bucket(q_ids, matrix(r.q_data, r.q_n, r.dim), np.full(r.q_n, -np.inf), np.frombuffer(r.ids, "<i8"), matrix(r.data, r.n, r.dim), k):
                     found.setdefault(query, []).append(score)
                 low = np.array([min(found[i]) if len(found.get(i, ())) == k else -np.inf for i in q_ids.tolist()])
-                yield pd.DataFrame({"dim": [r.dim], "q_block": [r.q_block], "q_n": [r.q_n], "q_ids": [r.q_ids], "q_data": [r.q_data], "floors": [low.tobytes()]})
+                norm = np.linalg.norm(matrix(r.q_data, r.q_n, r.dim).astype(float), axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    least = np.where(norm > 0, low / norm, np.where(low > 0, np.inf, -np.inf)).min()
+                yield pd.DataFrame({"dim": [r.dim], "q_block": [r.q_block], "q_n": [r.q_n], "q_ids": [r.q_ids], "q_data": [r.q_data], "floors": [low.tobytes()], "least": [float(least)]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,15 +174,17 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, bucket: int = B
     longest = buckets.groupBy("dim").agg(F.max_by(F.struct("n", "ids", "data"), F.struct("longest", -F.col("block"))).alias("b")).select("dim", "b.*")
     first = blocks.join(longest, "dim")
     asked_of = "q_n", "q_ids", "q_data"
-    ready = written(first.mapInPandas(floors, "dim int, q_block long, q_n int, q_ids binary, q_data binary, floors binary"))
+    ready = written(first.mapInPandas(floors, "dim int, q_block long, q_n int, q_ids binary, q_data binary, floors binary, least double"))
+    # a bucket whose longest vector is shorter than what every query of a block needs does not meet that block
+    worth = F.col("longest") >= F.col("least") - F.abs("least") * 1e-9
     if blocks.count() <= sent:
-        todo = buckets.join(F.broadcast(ready), "dim")
+        todo = buckets.join(F.broadcast(ready), "dim").where(worth)
     else:
-        # query blocks and buckets meet by number: each bucket goes to every query block of its dimension, spread over shares
-        numbers = ready.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks"))
+        # blocks meet by their numbers first; then the vectors of either side follow, those of a query block in shares
         share = F.pmod(F.xxhash64("block"), F.lit(SHARES))
-        spread = buckets.join(numbers, "dim").select("dim", "n", "ids", "data", share.alias("share"), F.explode("q_blocks").alias("q_block"))
-        todo = spread.join(ready.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))), ["dim", "q_block", "share"])
+        pairs = buckets.select("dim", "block", "longest").join(ready.select("dim", "q_block", "least"), "dim").where(worth).select("block", "q_block", share.alias("share"))
+        shared = ready.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+        todo = pairs.join(buckets.select("block", "n", "ids", "data"), "block").join(shared, ["q_block", "share"])
     found = todo.select("dim", *asked_of, "floors", "n", "ids", "data").mapInPandas(search, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -54,3 +54,13 @@ def test_large_components_and_empty(spark):
     assert {tuple(r) for r in topk.top_k(vectors, vectors).select("query_id", "rank", "vec_id", "score").collect()} == brute(data, every=1)
     none = vectors.limit(0)
     assert topk.top_k(none, none).collect() == []
+
+
+def test_wide_and_narrow_components_meet_exactly(spark):
+    rows = [(1, [2**40 + 1, 3]), (2, [2**15 + 1, 1]), (3, [-(2**20), 2**13]), (4, [7, 2**14 + 1])]
+    df = spark.createDataFrame([(i, 2, v, float(sum(x * x for x in v))) for i, v in rows], "vec_id long, dim int, vec array<long>, norm2 double")
+    for sent in (16, 0):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df.where("vec_id < 1000"), df, 3, bucket=1, sent=sent).collect()}
+        for i, q in rows:
+            want = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i))
+            assert [got[i, n] for n in (1, 2, 3)] == [(j, -s) for s, j in want]
