@@ -13,6 +13,7 @@ from ..functions.personal_values import BANK_FEES_FIRST, PERSONAL, SUBSCRIPTIONS
 from ..functions.rule_values import EXPENSE, INCOME, NON_PNL, TAX_CATEGORY
 from ..functions.scalars import glob
 
+# Categories with a meaning of their own.
 TRANSFERS = ("Account Transfer", "Credit Card Payment")
 LOANS = ("Loan Proceeds", "Loan Principal Payment", "Loan Interest")
 OWNERS = ("Owner Contribution", "Owner Draw or Distribution")
@@ -73,7 +74,7 @@ def configured_rules(rows: list[dict]) -> list[Rule]:
     return out
 
 
-#: Categories that stay out of profit and loss when a configured rule does not say.
+# Categories that stay out of profit and loss when a configured rule does not say.
 NON_PNL_NAMES = (
     "Account Transfer", "Credit Card Payment", "Loan Proceeds", "Loan Principal Payment", "Owner Contribution", "Owner Draw or Distribution",
     "Fixed Asset Purchase", "Tax Payment", "Refund", "Reimbursement", "Opening Balance", "Uncategorized", "CPA Review Required",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.document_values import DOCUMENTS, STATUS
-from ..functions.scalars import MONEY, divided, iso_week, merchant, month_label, percent, ratio, share_label
+from ..functions.scalars import MONEY, divided, dollars, iso_week, merchant, month_label, percent, ratio, share_label
 
 VEHICLE = ("Fuel", "Vehicle Expense", "Equipment Maintenance", "Repairs and Maintenance", "Tolls and Scale Fees")
 STAFF = ("Payroll", "Payroll Taxes", "Employee Benefits", "Contract Labor", "Subcontractors")
@@ -178,6 +178,12 @@ def cash_by_month(st: DataFrame) -> DataFrame:
     return st.select("account_id", "month", "total_credits", "total_debits", (F.col("total_credits") - F.col("total_debits")).cast(MONEY).alias("net_flow"), "beginning_balance", "ending_balance")
 
 
+def profit_by_month(wide: DataFrame) -> DataFrame:
+    """The series of months: revenue and expenses, gross and net profit, direct costs and operating expenses. wide: by month."""
+    expenses = (F.col("total_direct_costs") + F.col("total_operating_expenses")).cast(MONEY)
+    return wide.select("account_id", "period", "total_revenue", expenses.alias("total_expenses"), "gross_profit", "net_profit", "total_direct_costs", "total_operating_expenses")
+
+
 def statement_table(st: DataFrame) -> DataFrame:
     return st.select("account_id", "statement_id", month_label(F.col("statement_dt")).alias("label"), "beginning_balance", "ending_balance", "total_credits", "total_debits", (F.col("ending_balance") - F.col("beginning_balance")).cast(MONEY).alias("net_change"))
 
@@ -268,6 +274,15 @@ def newest(tx: DataFrame, k: int | None = 50) -> DataFrame:
     return tx if k is None else top(tx, k, [F.desc("post_dt")], by=("statement_id",), tail=("sequence",))
 
 
+def transaction_detail(tx: DataFrame, k: int | None = 50) -> DataFrame:
+    """The rows as they are listed for a statement, newest first; k None: all."""
+    order = Window.partitionBy("statement_id").orderBy(F.desc("post_dt"), "sequence")
+    rows = tx.withColumn("rank", F.row_number().over(order))
+    rows = rows if k is None else rows.where(F.col("rank") <= k)
+    amount = F.concat(F.when(F.col("is_credit"), "+").otherwise("-"), dollars(F.col("amount")))
+    return rows.select("account_id", "statement_id", "rank", F.date_format("post_dt", "MM/dd/yyyy").alias("date"), F.substring("description", 1, 50).alias("description"), F.substring("business_category", 1, 18).alias("category"), amount.alias("amount"), dollars(F.col("balance")).alias("balance"), F.when(F.col("cpa_review"), "Yes").otherwise("").alias("review"))
+
+
 # The personal profile: one category per row
 
 

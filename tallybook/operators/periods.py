@@ -26,6 +26,11 @@ def quarter_range(year: Column, quarter: Column, start: int = 1) -> tuple[Column
     return first, F.last_day(F.add_months(first, F.lit(2)))
 
 
+def quarter_months(quarter: Column, start: int = 1) -> Column:
+    """The three calendar months of a fiscal quarter, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.lit(start - 1) + 3 * (quarter - 1) + i) % 12 + 1)
+
+
 def of_quarter(statements: DataFrame, quarter: int, year: int | None = None, start: int = 1) -> DataFrame:
     """Statements whose date lies in a fiscal quarter; without a year, the latest fiscal year of each account."""
     fiscal_year, _ = fiscal(F.col("statement_dt"), start)

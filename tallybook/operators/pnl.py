@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rule_values import EXPENSE, INCOME
 from ..functions.scalars import MONEY, merchant, percent, ratio
 
+# The sections' categories and the names of what lies outside profit and loss.
 OTHER_INCOME = ("Interest Income", "Other Income")
 OTHER_EXPENSE = ("Loan Interest",)
 DIRECT = ("Fuel", "Freight and Shipping", "Subcontractors", "Direct Labor", "Materials and Supplies", "Equipment Rental", "Tolls and Scale Fees", "Other Direct Costs")

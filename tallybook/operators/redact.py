@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import literal
+
+# What is masked in descriptions.
 STREET = r"(?i)\b\d+\s+(?:[NSEW]\s+)?[A-Z0-9.'-]+(?:\s+[A-Z0-9.'-]+){0,4}\s+(?:RD|ROAD|ST|STREET|AVE|AVENUE|DR|DRIVE|LN|LANE|WAY|BLVD|BOULEVARD)\b"
 PHONE = r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
@@ -15,7 +16,7 @@ ACCOUNT = r"X{4,}\d{0,4}"
 
 def _literal(text: str) -> str:
     """A pattern for text itself in any case."""
-    return "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", text)
+    return "(?iu)" + literal(text)
 
 
 def redact(value: Column, names: list[str] = (), addresses: list[str] = (), phones: bool = True, emails: bool = True, mask: bool = True) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.rule_values import EXPENSE, INCOME
 from ..functions.scalars import MERCHANT_NOISE
 from ..operators import classify, pnl
-from ..sources import adapters
+from ..sources import adapters, texts
 from ..sources.shared import written
 
 
@@ -39,6 +39,10 @@ class Book:
     def db(self) -> DataFrame:
         return adapters.daily_balances(self.ledger)
 
+    @cached_property
+    def printed(self) -> DataFrame:
+        return written(texts.printed(self.st, self.ledger, self.db))
+
     @cached_property
     def tx(self) -> DataFrame:
         return written(classify.mark_deposits(classify.categorise(self.ledger, rules())))

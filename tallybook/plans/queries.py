@@ -116,6 +116,17 @@ def _(b):
     return adapters.table(b.spark, b.sf_dir, "documents").select("doc_id", F.md5(redact.redact(F.coalesce("text", F.lit("")))).alias("redacted"))
 
 
+_KNOWN = "regexp_replace(coalesce(text, ''), '(?i)Apache License', '[ADDRESS REDACTED]', 'g')"
+_STREETS = f"regexp_replace({_KNOWN}, '" + redact.STREET.replace("'", "''") + "', '[ADDRESS REDACTED]', 'g')"
+_ENTITIES = f"regexp_replace(regexp_replace({_STREETS}, '(?i)licensed under', 'Entity 001', 'g'), '(?i)token', 'Entity 002', 'g')"
+
+
+@query("f12_redact_known", None, f"SELECT doc_id, md5({_MASKED.format(_ENTITIES)}) AS redacted FROM documents")
+def _(b):
+    text = redact.redact(F.coalesce("text", F.lit("")), ["Licensed under", "TOKEN", "token"], ["apache license"])
+    return adapters.table(b.spark, b.sf_dir, "documents").select("doc_id", F.md5(text).alias("redacted"))
+
+
 @query("f13_pseudonyms", LEDGER, f"SELECT account_id, key, printf('Vendor %03d', row_number() OVER (PARTITION BY account_id ORDER BY first, key)) AS pseudonym FROM (SELECT account_id, lower({M('description')}) AS key, min({{'m': month, 's': sequence}}) AS first FROM led GROUP BY ALL)")
 def _(b):
     return redact.pseudonyms(b.ledger, S.merchant(F.col("description")), [F.col("month"), F.col("sequence")], "Vendor")
@@ -126,6 +137,15 @@ def _(b):
     return b.ledger.select(*PICK, redact.mask_personal(F.col("description"), ["NOBODY"]).alias("masked"), S.shortened(F.col("description"), 45).alias("short"))
 
 
+_NAMED = "regexp_replace(regexp_replace(description || ' 4500 N MAIN ST XX1234', '(?i)pilot travel', '[NAME REDACTED]', 'g'), '(?i)old', '[NAME REDACTED]', 'g')"
+
+
+@query("f14_mask_names", LEDGER, f"SELECT {KEYS}, regexp_replace(regexp_replace({_NAMED}, '" + redact.STREET.replace("'", "''") + "', '[ADDRESS REDACTED]', 'g'), '\\bX{2,}\\d{4}\\b', '[ID REDACTED]', 'g') AS masked FROM led")
+def _(b):
+    text = F.concat("description", F.lit(" 4500 N MAIN ST XX1234"))
+    return b.ledger.select(*PICK, redact.mask_personal(text, ["Pilot Travel", "old"]).alias("masked"))
+
+
 # Periods
 
 
@@ -174,14 +194,24 @@ def _(b):
     return found.select(*PICK, F.col("n").alias("rank"), "matches")
 
 
+@query("w05_quarter_months", LEDGER, "SELECT account_id, statement_id, fs, fq, CASE (fs - 1 + 3 * (fq - 1)) % 12 WHEN 9 THEN '10,11,12' WHEN 0 THEN '1,2,3' WHEN 3 THEN '4,5,6' WHEN 6 THEN '7,8,9' WHEN 10 THEN '11,12,1' WHEN 1 THEN '2,3,4' WHEN 4 THEN '5,6,7' WHEN 7 THEN '8,9,10' END AS months FROM (SELECT *, (month(statement_dt) - fs + 12) % 12 // 3 + 1 AS fq FROM st, (VALUES (10), (2)) v(fs))")
+def _(b):
+    out = []
+    for start in (10, 2):
+        _, quarter = pnl.fiscal(F.col("statement_dt"), start)
+        out.append(b.st.select("account_id", "statement_id", F.lit(start).alias("fs"), quarter.alias("fq"), F.array_join(periods.quarter_months(quarter, start).cast("array<string>"), ",").alias("months")))
+    return out[0].unionByName(out[1])
+
+
 # Classification
 
 
-@query("c01_rules", f"{TX}", "SELECT rule_id, category, r_tax AS tax_category, r_ded AS deductibility, r_pnl AS include_in_pnl, r_transfer AS is_transfer, r_owner AS is_owner_related, r_asset AS is_fixed_asset, r_loan AS is_loan FROM rules JOIN (SELECT DISTINCT rule_id FROM ruled) USING (rule_id)")
+@query("c01_rules", f"{TX}", "SELECT rule_id, category, r_tax AS tax_category, r_ded AS deductibility, r_pnl AS include_in_pnl, r_transfer AS is_transfer, r_owner AS is_owner_related, r_asset AS is_fixed_asset, r_loan AS is_loan, coalesce(texts, 0) AS texts FROM rules LEFT JOIN (SELECT rule_id, count(*) AS texts FROM ruled GROUP BY ALL) USING (rule_id)")
 def _(b):
     found = F.coalesce(classify.first_rule(F.upper("description"), F.col("is_credit"), rules()), F.lit(0))
-    used = b.ledger.select("description", "is_credit").distinct().select(found.alias("rule_id")).distinct()
-    return classify.rules_frame(b.spark, rules()).join(used, "rule_id").drop("pattern", "is_income", "direction", "priority")
+    used = b.ledger.select("description", "is_credit").distinct().groupBy(found.alias("rule_id")).agg(F.count("*").alias("texts"))
+    every = classify.rules_frame(b.spark, rules()).join(used, "rule_id", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    return every.drop("pattern", "is_income", "direction", "priority")
 
 
 @query("c04_categorise", TX, f"SELECT {KEYS}, business_category, tax_category, deductibility, include_in_pnl, is_transfer, is_owner_related, is_fixed_asset, is_loan, cpa_review, review_reason FROM tx")
@@ -189,6 +219,15 @@ def _(b):
     return b.tx.select(*PICK, "business_category", "tax_category", "deductibility", "include_in_pnl", "is_transfer", "is_owner_related", "is_fixed_asset", "is_loan", "cpa_review", "review_reason")
 
 
+_ALIASES = {"*ACME CO": "OFFICE DEPOT", "XX1234*RED*PILOT*": "PAYROLL", "XX1234 DEBIT CARD 01/05 13:02 OLD BOLT*": "MOTEL"}
+_ALIASED = "CASE WHEN upper(description) LIKE '%ACME CO' THEN 'OFFICE DEPOT' WHEN upper(description) LIKE 'XX1234%RED%PILOT%' THEN 'PAYROLL' WHEN upper(description) LIKE 'XX1234 DEBIT CARD 01/05 13:02 OLD BOLT%' THEN 'MOTEL' ELSE description END"
+
+
+@query("c04_aliases", TX.replace("upper(description) AS u", f"upper({_ALIASED}) AS u"), f"SELECT {KEYS}, description, business_category, tax_category, review_reason FROM tx")
+def _(b):
+    return classify.mark_deposits(classify.categorise(b.ledger, rules(), _ALIASES)).select(*PICK, "description", "business_category", "tax_category", "review_reason")
+
+
 @query("c06_personal", personal_sql(), f"SELECT {KEYS}, category FROM ptx")
 def _(b):
     return b.personal.select(*PICK, "category")
@@ -442,6 +481,11 @@ def _(b):
     return insights.cash_by_month(b.st)
 
 
+@query("a27_profit_by_month", pl_sql("strftime(post_dt, '%Y-%m')"), "SELECT account_id, period, total_revenue, total_direct_costs + total_operating_expenses AS total_expenses, gross_profit, net_profit, total_direct_costs, total_operating_expenses FROM wide", "total_revenue total_expenses gross_profit net_profit total_direct_costs total_operating_expenses")
+def _(b):
+    return insights.profit_by_month(b.wide(pnl.month_period()))
+
+
 @query("a32_statement_table", LEDGER, "SELECT account_id, statement_id, strftime(statement_dt, '%B %Y') AS label, beginning_balance, ending_balance, total_credits, total_debits, ending_balance - beginning_balance AS net_change FROM st", "beginning_balance ending_balance total_credits total_debits net_change")
 def _(b):
     return insights.statement_table(b.st)
@@ -538,9 +582,23 @@ def _(b):
     return insights.to_review(b.tx).select(*PICK, "reason")
 
 
-@query("k10_newest", TX, "SELECT account_id, statement_id, sequence, amount, row_number() OVER (PARTITION BY statement_id ORDER BY post_dt DESC, sequence) AS rank FROM tx QUALIFY rank <= 20", "amount")
+@query("k10_newest", TX, "SELECT account_id, statement_id, sequence, amount, row_number() OVER (PARTITION BY statement_id ORDER BY post_dt DESC, sequence) AS rank FROM tx QUALIFY rank <= 50", "amount")
+def _(b):
+    return insights.newest(b.tx, 50).select(*_LIST)
+
+
+_SHOWN = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || '$' || format('{{:,.2f}}', abs({0})::DOUBLE)"
+_DETAIL = f"SELECT account_id, statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY post_dt DESC, sequence) AS rank, strftime(post_dt, '%m/%d/%Y') AS date, substr(description, 1, 50) AS description, substr(business_category, 1, 18) AS category, CASE WHEN is_credit THEN '+' ELSE '-' END || {_SHOWN.format('amount')} AS amount, {_SHOWN.format('balance')} AS balance, CASE WHEN cpa_review THEN 'Yes' ELSE '' END AS review FROM tx"
+
+
+@query("k10_detail", TX, f"{_DETAIL} QUALIFY rank <= 50")
+def _(b):
+    return insights.transaction_detail(b.tx)
+
+
+@query("k10_detail_all", TX, _DETAIL)
 def _(b):
-    return insights.newest(b.tx, 20).select(*_LIST)
+    return insights.transaction_detail(b.tx, None)
 
 
 # Personal profile
@@ -653,12 +711,12 @@ for _name, (_key, _sql) in _EXTRACTS.items():
 
 
 def _texts(b: Book) -> DataFrame:
-    return texts.printed(b.st, b.ledger, b.db)
+    return b.printed
 
 
 def _clean_sql(text: str) -> str:
-    for pattern, by in ((r"\d\s+\d{2}/\d{2}", ""), (r"\s+\d{1,2}\s*$", ""), (r"\b\w{50,}\b", ""), (r"\b([A-Za-z]+)\d{1,2}\b", r"\1"), (r"\s+", " ")):
-        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    for pattern, by in parse.DESCRIPTION_NOISE:
+        text = f"regexp_replace({text}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
     return f"trim({text})"
 
 
@@ -672,6 +730,23 @@ def _(b):
     return parse.statements(_texts(b))[1]
 
 
+_PERSONAL_TEXT = f"{_clean_sql('description')} || CASE WHEN sequence % 3 = 2 THEN ' REF TEXT' ELSE '' END"
+#: The personal profile reads no signs. It tells credits by the column, which long texts move, and if that is unclear by the balance.
+_PLACE = "(CASE WHEN is_credit THEN 107 ELSE 89 END - length(format('{:,.2f}', amount::DOUBLE)) + CASE WHEN sequence % 3 = 1 THEN 0 ELSE greatest(0, length(description) - 60) END)"
+_RISING = "coalesce(abs(balance) > coalesce(lag(abs(balance)) OVER (PARTITION BY led.statement_id ORDER BY sequence), CASE WHEN beginning_balance <> 0 THEN abs(beginning_balance) END), false)"
+_PERSONAL_CREDIT = f"CASE WHEN {_PLACE} >= 99 THEN true WHEN {_PLACE} < 94 THEN false ELSE {_RISING} END"
+
+
+@query("p15_personal_statements", LEDGER, "SELECT statement_id AS doc_id, strftime(statement_dt, '%m/%d/%Y') AS statement_date, '' AS account_number, abs(beginning_balance) AS beginning_balance, abs(ending_balance) AS ending_balance, total_credits, total_debits, credit_count, debit_count FROM st", "beginning_balance ending_balance total_credits total_debits")
+def _(b):
+    return parse.statements(_texts(b), personal=True)[0]
+
+
+@query("p15_personal_transactions", LEDGER, f"SELECT led.statement_id AS doc_id, sequence, strftime(post_dt, '%m/%d/%Y') AS post_date, {_PERSONAL_TEXT} AS description, amount, {_PERSONAL_CREDIT} AS is_credit, abs(balance) AS balance FROM led JOIN st USING (statement_id)", "amount balance")
+def _(b):
+    return parse.statements(_texts(b), personal=True)[1]
+
+
 @query("p11_checks", LEDGER, "SELECT statement_id AS doc_id, 101 AS number, statement_dt AS check_dt, total_debits AS amount FROM st", "amount", "check_dt")
 def _(b):
     return parse.checks(parse.lines_of(_texts(b))).drop("n")

@@ -11,10 +11,10 @@ from ..functions.scalars import dollars
 OWN_REPORTS = r"(?i)(personal|business)_financial_report"
 
 
-def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """path, text of every extracted statement below a folder."""
+def read_texts(spark: SparkSession, folder: str, glob: str = "*.[tT][xX][tT]") -> DataFrame:
+    """path, text of every extracted statement below a folder, in the order of the paths."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike(OWN_REPORTS))
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike(OWN_REPORTS)).orderBy("path")
 
 
 def distinct_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
