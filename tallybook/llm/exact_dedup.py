@@ -7,6 +7,7 @@ row in the file) and the number of arrivals. Digests that were hit more than onc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,32 +36,34 @@ def _rank(id_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
 
 
-def _streamed(arrivals: DataFrame, path: str) -> DataFrame:
-    """(digest, keeper, group_size), from a stream over the table of arrivals at path."""
-    spark = arrivals.sparkSession
+#: Files of arrivals that one batch of the stream takes at most.
+FILES = 1000
+
+
+def _streamed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(digest, keeper, group_size) of all arrivals so far, by going on with the stream over them and its state in folder."""
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
-    out = shared_dir(spark)
     try:
-        state = spark.readStream.schema(arrivals.schema).parquet(path).groupBy("digest").agg(F.min(_rank("id")).alias("keeper"), F.count("*").alias("group_size"))
+        arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/arrivals")
+        state = arrivals.groupBy("digest").agg(F.min(_rank("id")).alias("keeper"), F.count("*").alias("group_size"))
         query = (
             state.writeStream.outputMode("update")
-            .option("checkpointLocation", shared_dir(spark))
+            .option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(availableNow=True)
-            .foreachBatch(lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/of={batch}"))
+            .foreachBatch(lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/digests/of={batch}"))
             .start()
         )
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = state.withColumn("batch", F.lit(0).cast("long")).schema
-    last = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    last = spark.read.schema(state.withColumn("batch", F.lit(0).cast("long")).schema).option("recursiveFileLookup", "true").parquet(f"{folder}/digests")
     return last.groupBy("digest").agg(F.max_by(F.struct("keeper", "group_size"), "batch").alias("s")).select("digest", "s.keeper", "s.group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: str | None = None, before: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, file, row (the row's content locator).
 
     Equal are texts that are identical once runs of ASCII white space are single spaces. The row with the smallest id
@@ -68,29 +71,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as empty, and empty texts are equal to each other. An empty table gives an empty result. Other columns of
     docs are not read, whatever their names. digest may be replaced by a weaker function: rows whose digests are equal
     and whose bytes are not are told apart by the full text.
+
+    state: a folder that all executors share. The stream's state stays there, and a later call with more docs goes on
+    from it: its rows are held against all that came before, and group_size counts these too. before: the documents of
+    the earlier calls, whose texts are read again where a digest is hit.
     """
     spark = docs.sparkSession
-    rows = located(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *PLACE)
+    folder, call = state or shared_dir(spark), uuid.uuid4().hex
+    columns = F.col(id_col).alias("id"), F.col(text_col).alias("text")
+    rows = located(docs).select(*columns, *PLACE)
     norm = normalised(rows)
-    path = shared_dir(spark)
-    rows.select("id", digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), "__file", "__row").write.parquet(path)
-    arrivals = spark.read.parquet(path)
-    state = written(_streamed(arrivals, path)) if arrivals.take(1) else None
-    if state is None:
+    made = rows.select("id", digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), *PLACE)
+    made.withColumn("call", F.lit(call)).write.mode("append").partitionBy("call").parquet(f"{folder}/arrivals")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema) + ", call string"
+    arrivals = spark.read.schema(schema).parquet(f"{folder}/arrivals").where(F.col("call") == call).drop("call")
+    if not arrivals.take(1):
         return arrivals.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", F.col("__file").alias("file"), F.col("__row").alias("row"))
-    hits = state.where("group_size > 1").select("digest")
-    texts = rows.select("id", "__file", "__row", norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
+    found = written(_streamed(spark, folder, schema))
+    hits = found.where("group_size > 1").select("digest")
+    every = rows if before is None else rows.unionByName(located(before).select(*columns, *PLACE))
+    texts = every.select("id", *PLACE, normalised(every).alias("norm")).withColumn("digest", digest(F.col("norm")))
     checked = texts.select("digest", "norm").join(small(hits), "digest", "left_semi").groupBy("digest", "norm").agg(F.count("*").alias("n"))
     clash = written(checked.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"))
-    n_clash = clash.count()
-    if n_clash:
+    split = None
+    if clash.take(1):
         apart = written(texts.join(small(clash), "digest", "left_semi"))
         whole = apart.groupBy("digest", "norm").agg(F.min(_rank("id")).alias("keeper"), F.count("*").alias("group_size"))
-        split = apart.join(whole, ["digest", "norm"]).select("id", "__file", "__row", sha256(F.col("norm")).alias("text_sha256"), "keeper", "group_size")
+        split = apart.join(whole, ["digest", "norm"]).select("id", *PLACE, sha256(F.col("norm")).alias("text_sha256"), "keeper", "group_size")
+        split = split.join(arrivals.join(small(clash), "digest", "left_semi").select(*PLACE), PLACE, "left_semi")
         arrivals = arrivals.join(small(clash), "digest", "left_anti")
-    found = arrivals.join(state, "digest").select("id", "__file", "__row", "text_sha256", "keeper", "group_size")
-    found = found.unionByName(split) if n_clash else found
-    return found.select(
+    out = arrivals.join(found, "digest").select("id", *PLACE, "text_sha256", "keeper", "group_size")
+    out = out if split is None else out.unionByName(split)
+    return out.select(
         F.col("id").alias("doc_id"),
         F.col("keeper.id").alias("keep_id"),
         "group_size",
@@ -101,11 +113,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns and all other rows stay."""
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: str | None = None, before: DataFrame | None = None) -> DataFrame:
+    """docs without the rows that exact_dedup drops; all columns and all other rows stay.
+
+    With a state folder of earlier calls, a row stays if it is the smallest of all so far.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     docs = docs if file_backed(docs) else written(docs)
-    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    dropped = exact_dedup(docs, id_col, text_col, state=state, before=before).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
     return located(docs).join(small(written(dropped)), PLACE, "left_anti").select(columns)
 
 

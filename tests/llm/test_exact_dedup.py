@@ -52,3 +52,26 @@ def test_rows_from_no_file_and_empty_table(spark):
     got = exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(str(tuple(r)) for r in got) == brute(rows())
     assert exact_dedup.exact_dedup(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_a_second_arrival_goes_on_with_the_state(spark, tmp_path, weak):
+    digest = (lambda c: F.substring(F.sha2(c, 256), 1, 1)) if weak else exact_dedup.sha256
+    first, second = [(i, f"t{i % 30}") for i in range(10, 60)], [(i, f"t {i % 40}".replace(" ", "")) for i in range(100, 140)] + [(3, "t5"), (None, "t1"), (None, None)]
+    frames = []
+    for n, rows in enumerate((first, second)):
+        path = str(tmp_path / f"docs{n}")
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
+        frames.append(spark.read.parquet(path))
+    state = f"file://{tmp_path}/state"
+    one = exact_dedup.exact_dedup(frames[0], digest=digest, state=state).collect()
+    two = exact_dedup.exact_dedup(frames[1], digest=digest, state=state, before=frames[0]).collect()
+    for got, seen in ((one, first), (two, first + second)):
+        groups = {}
+        for i, t in seen:
+            groups.setdefault(t or "", []).append(i)
+        for r, t in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text_sha256)), sorted(seen[-len(got):], key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))):
+            own = groups[t[1] or ""]
+            least = min((i for i in own if i is not None), default=None)
+            assert (r.keep_id, r.group_size, r.kept) == (least, len(own), r.doc_id == least)
+    assert len(one) == len(first) and len(two) == len(second)

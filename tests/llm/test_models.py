@@ -1,6 +1,8 @@
 """Severity and quality models, on a small corpus of which each knows one half."""
 
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -109,3 +111,77 @@ def test_long_words_count_whole():
     for text in (f"short {word} words short", f"{word} {word}"):
         at, share = quality.document_features(text)
         assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-float((gain[at] * share).sum()))))
+
+
+def plain_quality(model, text):
+    """A document's score from every feature on its own: pieces of 40 characters, character n-grams, repeats."""
+    mask = (1 << 64) - 1
+
+    def bucket(h, kind):
+        h = (h + kind) * int(quality.M) & mask
+        return ((h ^ (h >> 29)) * int(quality.M) & mask) >> 32
+
+    p, words, found = int(quality.P), text.split(), []
+    for word in words:
+        word = f"<{word}>"
+        for i in range(0, len(word), 40):
+            found.append(bucket(sum(ord(c) * pow(p, k, 1 << 64) for k, c in enumerate(word[i : i + 40])) & mask, 0) % quality.BUCKETS)
+        for n in (2, 3, 4):
+            for i in range(len(word) - n + 1):
+                h = 0
+                for c in word[i : i + n]:
+                    h = (h * p + ord(c)) & mask
+                found.append(bucket(h, n) % quality.BUCKETS)
+    found += [quality.REPEAT] * 8 * sum(a == b for a, b in zip(words, words[1:])) if words else [quality.EMPTY]
+    return 1 / (1 + math.exp(-(sum(model.gain[i] for i in found) / len(found) + model.offset)))
+
+
+def test_quality_scores_as_from_every_feature_alone(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CACHE", 30)
+    monkeypatch.setattr(quality, "SLICE", 3)
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.normal(0, 30, (quality.BUCKETS + 2, quality.DIM)), rng.normal(0, 1, (quality.DIM, 2)), rng.normal(0, 1, 2))
+    letters = list("abcdeéß漢字😀")
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 12)))
+    texts = [None, "", " \n", "a", "a a a", "漢字" * 4000, "x" * 38, "x" * 39, "y " * 50 + "z" * 4001] + [" ".join(word() for _ in range(rng.integers(1, 40))) for _ in range(30)]
+    texts += texts[-3:]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double").repartition(3)
+    got = {r.doc_id: r.score for r in quality.quality(docs, model).collect()}
+    assert all(abs(got[i] - plain_quality(model, t or "")) < 1e-9 for i, t in enumerate(texts))
+    assert len({round(x, 6) for x in got.values()}) > 20
+
+
+def test_severity_as_from_every_feature_alone(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE", 10)
+    index = {f: i for i, f in enumerate(["=bad", "badl*", "badly*", "=ok", "okay*", "überm*", "übermu*"])}
+    weights, thresholds = np.array([1.0, 0.5, -0.25, 2.0, 0.75, 1.5, -3.0]), np.array([0.5, 1.75, 4.0])
+    texts = [None, "", "bad BAD, ok-okay", "badly badlybad übermut_ÜBERMUT " * 50, "nothing here", "okays " * 3000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, texts[2]])], "doc_id long, text string, severity int")
+    got = {r.doc_id: (r.p_toxic, r.severity) for r in toxicity.severity(docs, toxicity.Ordinal(index, weights, thresholds)).collect()}
+    for i, t in enumerate([*texts, texts[2]]):
+        words = re.findall(r"[^\W_]+", (t or "").lower())
+        x = 0.0
+        for f, k in index.items():
+            n = sum(w == f[1:] if f[0] == "=" else len(w) >= len(f) - 1 and w.startswith(f[:-1]) for w in words)
+            x += weights[k] * math.log1p(n)
+        above = [1 / (1 + math.exp(h - x)) for h in thresholds]
+        assert abs(got[i][0] - above[0]) < 1e-12 and abs(got[i][1] - sum(above)) < 1e-12
+
+
+def test_thresholds_and_weights_are_where_the_likelihood_is_highest():
+    """No small step in any parameter of a fitted cumulative-link model makes the sample likelier."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 3))
+    grade = np.digitize(x @ [1.5, -1.0, 0.0] + rng.logistic(0, 1, 400), [-0.5, 1.0, 2.5])
+
+    def loss(w, t):
+        below = lambda e: 1 / (1 + np.exp(-(e - x @ w)))
+        edges = np.array([*t, np.inf]), np.array([-np.inf, *t])
+        return -np.log(below(edges[0][grade]) - below(edges[1][grade])).mean() + 0.5e-4 * w @ w
+
+    w, t = toxicity.fit(x, grade, rounds=2000, rate=0.05)
+    assert list(t) == sorted(t)
+    for i in range(3):
+        for step in (-0.02, 0.02):
+            move = step * np.eye(3)[i]
+            assert loss(w + move, t) > loss(w, t) and loss(w, t + move) > loss(w, t)
