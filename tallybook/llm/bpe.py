@@ -52,11 +52,11 @@ class Vocabulary:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        library = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}))
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         end, ids = model["end_of_word_suffix"] or "", model["vocab"]
         self.special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*ids.items(), *((k.decode(), i) for k, i in self.special.items())]}

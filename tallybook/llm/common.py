@@ -34,6 +34,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH}b")
 
 
+def collected(spark: SparkSession) -> None:
+    """Has every executor collect its garbage: what a step left on the heap and in direct buffers is free before the next begins."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def file_backed(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_path", "_metadata.row_index")
@@ -76,9 +82,11 @@ def put(path: str, data: bytes) -> None:
     store.move(tmp, at)
 
 
-def mapped(path: str) -> np.ndarray:
-    """The bytes of a file: mapped into memory where the folder is mounted, else from a copy that is mapped."""
+def mapped(path: str) -> np.ndarray | None:
+    """The bytes of a file: mapped into memory where the folder is mounted, else from a copy that is mapped. None: no such file."""
     store, at = fs.FileSystem.from_uri(path)
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        return None
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(at, np.uint8, "r")
     with store.open_input_stream(at) as f, tempfile.TemporaryFile() as copy:

@@ -2,8 +2,10 @@
 the scoring workers map into memory.
 
 Counting: tasks hash the words of their documents and count pairs (word before, word) in chunks. Each chunk's pairs go,
-packed, to a shard by the word before; the pairs of very frequent words are dealt by the second word instead, so that no
-shard holds one word's whole company. A shard adds up its pairs, writes them as one file of sorted pair hashes and
+packed, to a shard by the word before; the pairs of words that would make up much of a shard are dealt by both words, so
+that no shard holds one word's whole company. There are shards in proportion to the tokens, so more words count as
+frequent as the corpus grows; if they become too many to be known to every task, all pairs are dealt by both words. A
+shard adds up its pairs, writes them as one file of sorted pair hashes and
 counts, and passes on for each word how often it occurs, after how many different words, and how many different words
 follow it once, twice or more often. A second grouping by word adds these up into the vocabulary files.
 
@@ -29,12 +31,16 @@ from xxhash import xxh64_intdigest
 
 from .common import mapped, put, shared_dir, small_batches, text_of, uri, written
 
-#: Tokens that a task counts at once, and about as many that fall to a shard.
+#: Tokens that a task counts at once.
 CHUNK = 3_000_000
+#: Tokens that fall to a shard, about.
+SHARD = 1_000_000
 #: One document in so many tells which words are frequent; that only deals out the work, no count depends on it.
 LOOK = 64
-#: A word is dealt by its followers if it makes up more than this part of a shard.
+#: A word's pairs are dealt by both words if it makes up more than this part of a shard.
 HEAVY = 0.25
+#: If more words than this do, all pairs are dealt by both words.
+MOST_HEAVY = 20_000
 #: No word holds white space.
 START, END = xxh64_intdigest(b" start"), xxh64_intdigest(b" end")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,8 +64,11 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_shard(before: np.ndarray, word: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
-    return shard_of(np.where(np.isin(before, heavy), word, before) if len(heavy) else before, shards)
+def pair_shard(before: np.ndarray, word: np.ndarray, heavy: np.ndarray | None, shards: int) -> np.ndarray:
+    """heavy: the words whose pairs are dealt by both words; None: all."""
+    if heavy is None:
+        return shard_of(pair_hash(before, word), shards)
+    return shard_of(np.where(np.isin(before, heavy), pair_hash(before, word), before) if len(heavy) else before, shards)
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -83,7 +92,7 @@ def sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 PAIRS = "shard int, before binary, runs binary, word binary, n binary"
 
 
-def _count(heavy: np.ndarray, shards: int):
+def _count(heavy: np.ndarray | None, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -116,7 +125,7 @@ def _count(heavy: np.ndarray, shards: int):
     return run
 
 
-SHARED = "shard int, kind string, h binary, a binary, b binary, c binary, path string, totals array<long>"
+SHARED = "shard int, kind string, h binary, a binary, b binary, c binary, totals array<long>"
 
 
 def _add_up(folder: str, shards: int):
@@ -133,28 +142,28 @@ def _add_up(folder: str, shards: int):
         before, word = before[at], word[at]
         name = f"{folder}/pairs-{key[0].as_py():06d}"
         put(name, np.array([len(key_)], "<u8").tobytes() + key_.tobytes() + narrow(n))
-        out = [(key[0].as_py(), "pairs", None, None, None, None, name, [int((n == i).sum()) for i in (1, 2, 3, 4)])]
+        out = [(key[0].as_py(), "pairs", None, None, None, None, [int((n == i).sum()) for i in (1, 2, 3, 4)])]
         ones = np.ones(len(n), np.uint8)
         for kind, h, values in (("before", before, (n == 1, n == 2, n > 2)), ("word", word, (n, ones, ones))):
             h, _, got = sums(h, *values)
             shard = shard_of(h, shards)
             for s in np.split(np.arange(len(h)), np.flatnonzero(np.diff(shard)) + 1):
-                out.append((int(shard[s[0]]), kind, h[s].tobytes(), *(narrow(x[s]) for x in got), None, None))
+                out.append((int(shard[s[0]]), kind, h[s].tobytes(), *(narrow(x[s]) for x in got), None))
         names = [x.split()[0] for x in SHARED.split(", ")]
-        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, [pa.int32(), pa.string(), *[pa.binary()] * 4, pa.string(), pa.list_(pa.int64())]))})
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, [pa.int32(), pa.string(), *[pa.binary()] * 4, pa.list_(pa.int64())]))})
 
     return run
 
 
-FILES = "kind string, shard int, path string, totals array<long>"
+TOTALS = "kind string, totals array<long>"
 
 
 def _vocabulary(folder: str):
-    """Of one shard of words: the file of hashes, counts and numbers of neighbours. Pair files are passed through."""
+    """Of one shard of words: the file of hashes, counts and numbers of neighbours. The totals of pairs are passed through."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard, cols = key[0].as_py(), rows.to_pydict()
-        out = [("pairs", shard, p, t) for k, p, t in zip(cols["kind"], cols["path"], cols["totals"]) if k == "pairs"]
+        out = [("pairs", t) for k, t in zip(cols["kind"], cols["totals"]) if k == "pairs"]
         found = [(k, np.frombuffer(h, "<u8"), a, b, c) for k, h, a, b, c in zip(cols["kind"], cols["h"], cols["a"], cols["b"], cols["c"]) if k != "pairs"]
         if found:
             every = np.concatenate([f[1] for f in found])
@@ -166,8 +175,8 @@ def _vocabulary(folder: str):
             name = f"{folder}/words-{shard:06d}"
             parts = [narrow(x) for x in (n, types, n1, n2, n3)]
             put(name, np.array([len(h), *map(len, parts)], "<u8").tobytes() + h.tobytes() + b"".join(parts))
-            out.append(("words", shard, name, [int(n.sum()), int((n > 0).sum()), int(types.sum()), *(int((types == i).sum()) for i in (1, 2, 3, 4))]))
-        return pa.table({"kind": [r[0] for r in out], "shard": pa.array([r[1] for r in out], pa.int32()), "path": [r[2] for r in out], "totals": pa.array([r[3] for r in out], pa.list_(pa.int64()))})
+            out.append(("words", [int(n.sum()), int((n > 0).sum()), int(types.sum()), *(int((types == i).sum()) for i in (1, 2, 3, 4))]))
+        return pa.table({"kind": [r[0] for r in out], "totals": pa.array([r[1] for r in out], pa.list_(pa.int64()))})
 
     return run
 
@@ -184,12 +193,11 @@ def discounts(n: list[int]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the files are, and the totals over all of them."""
+    """Where the files are (a shard's are named by its number), and the totals over all of them."""
 
     folder: str
     shards: int
-    heavy: tuple[int, ...]
-    files: tuple[tuple[str, int, str], ...]
+    heavy: tuple[int, ...] | None
     tokens: int
     words: int
     pair_types: int
@@ -197,40 +205,39 @@ class Model:
     type_counts: tuple[int, ...]
 
 
-def train(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK) -> Model:
+def train(docs: DataFrame, text_col: str = "text", size: int = SHARD, most_heavy: int = MOST_HEAVY) -> Model:
     """The model of the texts of docs; null and empty texts hold the end alone. Other columns are not read."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = uri(shared_dir(spark))
     texts = docs.select(text_of(docs, text_col).alias("text"))
-    size = texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    shards = max(1, round(size / 6 / chunk))
+    shards = max(1, round((texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0) / 6 / size))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 h, n = np.unique(np.concatenate([hashes(t) for t in batch.text]), return_counts=True)
-                keep = n * 1000 >= n.sum()
+                keep = 2 * n * shards > HEAVY * n.sum()
                 yield pd.DataFrame({"h": h[keep].view(np.int64), "n": n[keep], "of": np.where(np.arange(keep.sum()) == 0, n.sum(), 0)})
 
     seen = texts.where(F.pmod(F.xxhash64("text"), F.lit(LOOK)) == 0).mapInPandas(look, "h long, n long, of long")
     seen = written(seen.groupBy("h").agg(F.sum("n").alias("n"), F.sum("of").alias("of")))
     total = seen.agg(F.sum("of")).first()[0] or 0
-    heavy = np.array(sorted(r.h for r in seen.where(F.col("n") * shards > HEAVY * total).limit(4096).collect()), np.int64).view(np.uint64)
+    often = [r.h for r in seen.where(F.col("n") * shards > HEAVY * total).limit(most_heavy + 1).collect()]
+    heavy = np.array(sorted(often), np.int64).view(np.uint64) if len(often) <= most_heavy else None
     pairs = texts.mapInArrow(_count(heavy, shards), PAIRS)
     known = pairs.groupBy("shard").applyInArrow(_add_up(folder, shards), SHARED)
-    files = written(known.groupBy("shard").applyInArrow(_vocabulary(folder), FILES)).collect()  # a row a file
-    add = lambda kind: np.sum([f.totals for f in files if f.kind == kind] or [[0] * 7], axis=0).tolist()
-    w, p = add("words"), add("pairs")
-    return Model(folder, shards, tuple(heavy.tolist()), tuple((f.kind, f.shard, f.path) for f in files), w[0], w[1], w[2], tuple(p[:4]), tuple(w[3:7]))
+    files = written(known.groupBy("shard").applyInArrow(_vocabulary(folder), TOTALS))
+    sums_of = {(r.kind, r.pos): r.n for r in files.select("kind", F.posexplode("totals").alias("pos", "n")).groupBy("kind", "pos").agg(F.sum("n").alias("n")).collect()}
+    w, p = ([sums_of.get((kind, i), 0) for i in range(7)] for kind in ("words", "pairs"))
+    return Model(folder, shards, None if heavy is None else tuple(heavy.tolist()), w[0], w[1], w[2], tuple(p[:4]), tuple(w[3:7]))
 
 
 class Tables:
     """The mapped files of a model, in one worker."""
 
     def __init__(self, model: Model):
-        self.model, self.heavy = model, np.array(model.heavy, np.uint64)
-        self.at = {(kind, shard): path for kind, shard, path in model.files}
+        self.model, self.heavy = model, None if model.heavy is None else np.array(model.heavy, np.uint64)
         self.open: dict[tuple[str, int], tuple] = {}
         self.d, self.d_types = discounts(model.pair_counts), discounts(model.type_counts)
         m = model.type_counts
@@ -241,10 +248,10 @@ class Tables:
 
     def file(self, kind: str, shard: int) -> tuple | None:
         if (kind, shard) not in self.open:
-            if (path := self.at.get((kind, shard))) is None:
-                return None
-            data = mapped(path)
-            if kind == "pairs":
+            data = mapped(f"{self.model.folder}/{kind}-{shard:06d}")
+            if data is None:
+                found = None
+            elif kind == "pairs":
                 n = int(data[:8].view("<u8")[0])
                 found = (data[8 : 8 + 8 * n].view("<u8"), [wide(data[8 + 8 * n :], n)])
             else:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, located, small, small_batches, text_of, written
+from .common import PLACE, collected, located, small, small_batches, text_of, written
 from .graph import components
 from .simhash import SEED, fingerprints, links
 
@@ -166,6 +166,7 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
         return rows.join(keys, "key")
 
     links = written(with_hub(met))
+    collected(table.sparkSession)
     rest = still_open(links, met)
     for _ in range(HUBS - 1):
         rest = written(rest)
@@ -217,6 +218,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = prints(text, *often_shared(docs, id_col, text_col))
     rows = docs.select(*PLACE, F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("id"), fingerprints(text, 3).alias("fp"), found.alias("p"))
     table = written(rows.select(*PLACE, "doc_id", "id", "fp", "p.*"))
+    collected(docs.sparkSession)
     texts = docs.select(*PLACE, text.alias("text"))
     edges = []
     for name, linked in (("fp", components(links(table.select("fp").distinct()))), ("node", similar_sets(table, texts, PLACE))):

@@ -55,10 +55,10 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("chunk", [3_000_000, 300])
-def test_as_plain_counting(spark, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, most_heavy", [(3_000_000, 20_000), (300, 20_000), (300, 2)])
+def test_as_plain_counting(spark, chunk, most_heavy, monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK", chunk)
-    monkeypatch.setattr(ngram.train, "__defaults__", ("text", chunk))
+    monkeypatch.setattr(ngram.train, "__defaults__", ("text", chunk, most_heavy))
     monkeypatch.setattr(ngram, "LOOK", 1)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
