@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import bpe, exact_dedup, mixing, similar, toxicity
-from tallybook.llm.common import PLACE, small, written
+from tallybook.llm.common import PLACE, collected, small, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go; it is fitted on labelled documents of the input."""
+    collected(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space the first stays."""
+    collected(spark)
     return exact_dedup.keep_first(docs)
 
 
@@ -25,6 +27,7 @@ def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are known by their place in the files: of rows that share an id the first by place is the smallest, and rows
     without an id come after all others. Null and empty texts are similar to each other. An empty table gives an empty one.
     """
+    collected(spark)
     rows, groups = similar.near_groups(docs)
     groups = written(groups.withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", *PLACE)))
     stay = groups.groupBy("root").agg(F.min("rank").alias("first"))
@@ -34,11 +37,13 @@ def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, in the order of the mix."""
+    collected(spark)
     return mixing.mixed(docs)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and the text that they decode to."""
+    collected(spark)
     found = bpe.encode_decode(docs, keep=("source",))
     return found.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "decoded")
 
