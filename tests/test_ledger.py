@@ -1,6 +1,7 @@
 """Operators on small hand-made ledgers."""
 
-from datetime import date
+import random
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
@@ -203,3 +204,55 @@ def test_extracts_and_files(spark, tmp_path):
         export.write_csv(export.audit(tx), str(tmp_path / "audit"))
     export.write_csv(export.audit(tx), str(tmp_path / "audit"), overwrite=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "audit")).count() == 2
+
+
+def test_fiscal_quarter_months(spark):
+    got = spark.range(1, 5).select(*(periods.quarter_months(F.col("id").cast("int"), start).alias(f"m{start}") for start in (1, 10, 2))).orderBy("m1").collect()
+    assert {tuple(r.m1) for r in got} == {(1, 2, 3), (4, 5, 6), (7, 8, 9), (10, 11, 12)}
+    assert {tuple(r.m10) for r in got} == {(10, 11, 12), (1, 2, 3), (4, 5, 6), (7, 8, 9)}
+    assert {tuple(r.m2) for r in got} == {(2, 3, 4), (5, 6, 7), (8, 9, 10), (11, 12, 1)}
+
+
+@pytest.mark.parametrize("pattern", ["AB*BC", "*", "A*", "*C", "A*B*C", "ABC", "A**C", "*B*", "A.C", ""])
+def test_glob_as_parts_in_order(spark, pattern):
+    texts = ["ABC", "ABBC", "AC", "A.C", "AXBYC", "CBA", "", "A\nB\nC", "BC", "AB"]
+
+    def fits(t):
+        if "*" not in pattern:
+            return t == pattern
+        first, *middle, last = pattern.split("*")
+        at = len(first)
+        for part in filter(None, middle):
+            at = t.find(part, at)
+            if at < 0:
+                return False
+            at += len(part)
+        return t.startswith(first) and t.endswith(last)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.glob(F.col("t"), pattern).alias("fits"))
+    assert {r.t: r.fits for r in df.collect()} == {t: fits(t) for t in texts}
+
+
+def test_matching_by_parts_as_in_one_group(spark):
+    """Many rows of one merchant over two years, with gaps: pairs as one walk over the whole list gives them."""
+    rng = random.Random(7)
+    rows = []
+    for day in sorted(rng.sample([*range(0, 200), *range(320, 500), *range(620, 640)], 150)):
+        back = rng.random() < 0.3
+        rows.append((1, f"s{day // 30:03d}", day, len(rows), "SHOP", rng.choice([100, 500, 900, 1000]) + rng.randrange(3), back))
+    base = date(2020, 1, 1)
+    data = [(a, s, base + timedelta(d // 30 * 30), base + timedelta(d), n, desc, D(c) / 100, back, "Payment Reversal" if back else "Fuel", False, False, False, False, True) for a, s, d, n, desc, c, back in rows]
+    schema = "account_id int, statement_id string, statement_dt date, post_dt date, sequence int, description string, amount decimal(18,2), is_credit boolean, business_category string, is_transfer boolean, is_owner_related boolean, is_loan boolean, is_fixed_asset boolean, include_in_pnl boolean"
+    got = {(r.reversal_sequence, r.debit_sequence, r.cents) for r in pnl.match_reversals(spark.createDataFrame(data, schema).repartition(3), pnl.total_period()).collect()}
+    used, want = set(), set()
+    for _, _, day, n, _, c, back in rows:
+        if back:
+            scored = []
+            for _, _, d, k, _, x, b in rows:
+                if not b and k not in used and 0 <= day - d <= 90 and not (c < x and c / x < 0.8):
+                    scored.append((-(min(c, x) / max(c, x) - (day - d) / 36500), k, min(c, x)))
+            if scored:
+                _, k, cents = min(scored)
+                used.add(k)
+                want.add((n, k, cents))
+    assert got == want and len(want) > 15

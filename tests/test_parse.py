@@ -71,10 +71,12 @@ def test_personal_profile(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, text in (("b.txt", "same"), ("a.txt", "same"), ("c.txt", "other"), ("business_financial_report.txt", "own")):
+    for name, text in (("b.txt", "same"), ("a.TXT", "same"), ("c.Txt", "other"), ("business_financial_report.txt", "own"), ("d.pdf", "no text")):
         (tmp_path / name).write_text(text)
-    kept, dropped = texts.distinct_texts(texts.read_texts(spark, str(tmp_path)))
-    assert sorted(r.path.rsplit("/")[-1] for r in kept.collect()) == ["a.txt", "c.txt"] and dropped.first().path.endswith("b.txt")
+    read = texts.read_texts(spark, str(tmp_path))
+    assert [r.path.rsplit("/")[-1] for r in read.collect()] == ["a.TXT", "b.txt", "c.Txt"]
+    kept, dropped = texts.distinct_texts(read)
+    assert sorted(r.path.rsplit("/")[-1] for r in kept.collect()) == ["a.TXT", "c.Txt"] and dropped.first().path.endswith("b.txt")
 
 
 def test_clean(spark):
