@@ -2,7 +2,7 @@
 
 Two sets with a Jaccard similarity of 4/5 or more share, in one order of all shingles, one of the first
 n - ceil(4n/5) + 1 of each (n: its size). So only texts that share one of these keys are compared, and no pair is lost.
-What meets is told apart by size, by the key's place and by a sketch, none of which can lose a pair, and verified on the sets.
+What meets is told apart by size, by the key's place and by sketches, none of which can lose a pair, and verified on the sets.
 
 A key that many texts have is not paired out at once. Its texts are compared with one of them, and, where very many are
 in no group with that one, these with another in turn. Only where a key's texts are in several groups after this are all
@@ -52,6 +52,21 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """A sketch with about as many bits as the set has shingles, a power of two, as bytes; halves of a larger one fold to a smaller."""
+    bits = 1 << min(16, max(10, (len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; sets differ in as many shingles, or more."""
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (a, b)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefix(hashes: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order of rank (that of often, sorted; 0 for all others), then of the hash."""
     at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
@@ -76,15 +91,15 @@ def often_shared(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarra
 
 
 def prints(text: Column, often: np.ndarray, rank: np.ndarray) -> Column:
-    """Of a text's shingle set: node (its name), n (size), sketch, keys (its first shingles)."""
+    """Of a text's shingle set: node (its name), n (size), sketch, wide (sketch), keys (its first shingles)."""
 
-    @F.pandas_udf("struct<node long, n int, sketch array<long>, keys array<long>>")
+    @F.pandas_udf("struct<node long, n int, sketch array<long>, wide binary, keys array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             found = shingle_set(t)
-            out.append((set_name(found), len(found), sketch(found), prefix(found, often, rank).view(np.int64)))
-        return pd.DataFrame(out, columns=["node", "n", "sketch", "keys"])
+            out.append((set_name(found), len(found), sketch(found), wide_sketch(found), prefix(found, often, rank).view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "n", "sketch", "wide", "keys"])
 
     return of(text)
 
@@ -108,6 +123,14 @@ def _common(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+def _apart(a: Column, b: Column) -> Column:
+    @F.pandas_udf("int")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([bits_apart(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    return of(a, b)
+
+
 def _needed(a: Column, b: Column) -> Column:
     """Shingles that sets of sizes a and b must share."""
     return F.floor((4 * (a + b) + 8) / 9)
@@ -128,11 +151,11 @@ def _alike(u: str, v: str) -> Column:
 def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame:
     """(node, root) of the nodes that are linked with others.
 
-    table (written): node, n, sketch, keys and the columns at of each text; texts: at, text, of which only those are
+    table (written): node, n, sketch, wide, keys and the columns at of each text; texts: at, text, of which only those are
     tokenised again that may have a partner.
     """
     bits = [f"s{i}" for i in range(SKETCH)]
-    row = F.struct("n", "keys", *at, *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
+    row = F.struct("n", "keys", "wide", *at, *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
     nodes = written(table.groupBy("node").agg(F.min_by(row, F.struct(*at)).alias("x")).select("node", "x.*"))
     keys = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n")
     # counted with partial sums: a key that very many texts have is one row for each task
@@ -141,7 +164,9 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of pairs (u, v: nodes) that are similar enough."""
-        pairs = written(pairs.distinct())
+        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "uv")
+        near = pairs.distinct().join(a, "u").join(b, "v").select("u", "v", "nu", "nv", _apart(F.col("wu"), F.col("wv")).alias("apart"))
+        pairs = written(near.where(F.col("apart") <= F.col("nu") + F.col("nv") - 2 * _needed(F.col("nu"), F.col("nv"))).select("u", "v"))
         used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         places = nodes.join(used, "node").select(*at, F.col("node").alias("asked"))
         held = texts.join(small(places), at).select(_sets(F.col("text"), F.col("asked")).alias("s")).select("s.node", "s.hashes")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,14 @@ def test_names_and_kinds_of_docs(spark):
     assert set(found) == {1, 2, 3, 4, 5, 6} and len(set(found.values())) == 3
     assert found[1] == found[2] and found[3] == found[4] and found[5] == found[6]
     assert similar.near_groups(docs.limit(0))[1].collect() == []
+
+
+def test_sketches_never_say_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 900, 1100, 3000, 70_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        for share in (0.0, 0.02, 0.3, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 1 << 64, int(share * n) + 1, np.uint64)]))
+            differ = len(np.setxor1d(a, b))
+            assert similar.bits_apart(similar.wide_sketch(a), similar.wide_sketch(b)) <= differ
+            assert sum(int(x).bit_count() for x in np.asarray(similar.sketch(a) ^ similar.sketch(b)).view("<u8")) <= differ
