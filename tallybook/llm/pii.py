@@ -49,7 +49,8 @@ def matched(text: Column, regex: str, worth: Column) -> Column:
     """Of each match: the match, the text before it from the last match on, and the text after it up to the next."""
     found = F.when(worth, F.regexp_extract_all(text, F.lit(regex), F.lit(0))).otherwise(F.array().cast("array<string>"))
     gaps = F.split(text, regex, -1)
-    return F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("a"))
+    all_three = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("a"))
+    return F.when(F.size(found) > 0, all_three).otherwise(F.array().cast("array<struct<m:string,g:string,a:string>>"))
 
 
 def located(matches: Column) -> Column:
