@@ -10,13 +10,20 @@ from tallybook.llm.common import PLACE, collected, small, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model rejects go; it is fitted on labelled documents of the input."""
+    """Documents that the severity model rejects go; it is fitted on labelled documents of the input.
+
+    Null and empty texts stay. Without labels of both kinds all documents stay. An empty table gives an empty one.
+    """
     collected(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for white space the first stays."""
+    """Of documents that are equal but for white space the one with the smallest doc_id stays.
+
+    Of rows that repeat that id the first by place in the files stays; rows without an id come after all others. Null texts
+    are empty texts. An empty table gives an empty one.
+    """
     collected(spark)
     return exact_dedup.keep_first(docs)
 
@@ -36,13 +43,13 @@ def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, in the order of the mix."""
+    """All documents stay, in the order of the mix; null sources are one source. An empty table gives an empty one."""
     collected(spark)
     return mixing.mixed(docs)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and the text that they decode to."""
+    """doc_id, source, ids and the text that they decode to; null and empty texts have no ids. An empty table gives an empty one."""
     collected(spark)
     found = bpe.encode_decode(docs, keep=("source",))
     return found.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "decoded")
