@@ -4,9 +4,9 @@ Two sets with a Jaccard similarity of 4/5 or more share, in one order of all shi
 n - ceil(4n/5) + 1 of each (n: its size). So only texts that share one of these keys are compared, and no pair is lost.
 What meets is told apart by size, by the key's place and by sketches, none of which can lose a pair, and verified on the sets.
 
-A key that many texts have is not paired out at once. Its texts are compared with one of them, and, where very many are
-in no group with that one, these with another in turn. Only where a key's texts are in several groups after this are all
-pairs of texts in different groups compared, in tiles that are spread over the tasks.
+A key that many texts have is not paired out at once. Its texts are compared with one of them, and those of keys that very
+many have with a few more. Only where a key's texts are in several groups after this are all pairs of texts in different
+groups compared, in tiles that are spread over the tasks.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ SKETCH = 16
 #: Shingles that so many of about so many sampled texts have come last in the order, by their number of texts. The order is
 #: free; it only says how many texts meet by chance.
 OFTEN, SAMPLED = 4, 4000
-#: A key's texts are compared with so many of them in turn at most, one in each round, and only with the first where the keys
-#: that are left have few pairs for their rows.
-HUBS, PAIRS = 4, 300
+#: Texts of a key that more than HOT have are compared with about HUBS of them.
+HOT, HUBS = 256, 16
 #: Texts of a key meet in tiles of about so many; each tile meets each.
 TILE = 128
 
@@ -176,9 +175,9 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
         both = pairs.join(a, "u").join(b, "v").select("u", "v", (F.octet_length("hu") / 8 + F.octet_length("hv") / 8).alias("n"), _common(F.col("hu"), F.col("hv")).alias("same"))
         return both.where(9 * F.col("same") >= 4 * F.col("n")).select("u", "v")
 
-    def with_hub(rows: DataFrame) -> DataFrame:
-        """Links of the nodes of rows with their key's hub."""
-        pairs = rows.select(F.struct("node", "n", "pos").alias("a"), F.col("hub").alias("b")).where("a.node != b.node").where(_may("a", "b"))
+    def near(met: DataFrame) -> DataFrame:
+        """Links among the pairs a, b (node, n, pos) that share a key."""
+        pairs = met.where("a.node != b.node").where(_may("a", "b"))
         pairs = pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
         a, b = (nodes.select(F.col("node").alias(x), F.struct("n", *bits).alias(f"x{x}")) for x in "uv")
         return verified(pairs.join(a, "u").join(b, "v").where(_alike("xu", "xv")).select("u", "v"))
@@ -190,18 +189,19 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
         keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
         return rows.join(keys, "key")
 
-    links = written(with_hub(met))
+    links = written(near(met.select(F.struct("node", "n", "pos").alias("a"), F.col("hub").alias("b"))))
     collected(table.sparkSession)
     rest = still_open(links, met)
-    for _ in range(HUBS - 1):
+    hot = rest.where(F.col("many") > HOT)
+    if hot.take(1):
         rest = written(rest)
-        rows, pairs = rest.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-        if not rows or pairs <= PAIRS * rows:
-            break
-        others = rest.join(rest.where("node = hub.node").select("key", F.col("root").alias("of")), "key").where("root != of")
-        hubs = others.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("hub"))
-        links = written(links.unionByName(with_hub(others.drop("hub", "of").join(hubs, "key"))))
-        rest = still_open(links, rest.drop("hub").join(hubs, "key"))
+        # each node under its hottest key, with some of that key's nodes; the key need not be the first that they share
+        one = rest.where(F.col("many") > HOT).groupBy("node").agg(F.max(F.struct("many", "key", "n")).alias("k")).select("k.key", F.struct("node", "k.n", F.lit(0).alias("pos")).alias("a"))
+        one = written(one)
+        size = one.groupBy("key").agg(F.count("*").alias("size"))
+        hubs = one.join(size, "key").where(F.pmod(F.xxhash64("a.node", F.lit(2)), "size") < HUBS).select("key", F.col("a").alias("b"))
+        links = written(links.unionByName(near(one.join(hubs, "key"))))
+        rest = still_open(links, rest)
 
     tiles = F.ceil(F.col("many") / TILE).cast("int")
     rest = rest.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node", F.lit(1)), tiles).cast("int")}).join(nodes.select("node", *bits), "node")

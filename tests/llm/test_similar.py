@@ -64,9 +64,11 @@ def groups_found(spark, texts):
     return [got[i] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("paired", [64, 3])
-def test_interleaved_families_around_one_passage(spark, monkeypatch, paired):
+@pytest.mark.parametrize("paired, hot", [(64, 256), (3, 256), (3, 5)])
+def test_interleaved_families_around_one_passage(spark, monkeypatch, paired, hot):
     monkeypatch.setattr(similar, "TILE", paired)
+    monkeypatch.setattr(similar, "HOT", hot)
+    monkeypatch.setattr(similar, "HUBS", 2)
     rng = random.Random(13)
     base = [f"w{i}" for i in range(4000)]
     words = lambda n: [rng.choice(base) for _ in range(n)]
