@@ -20,9 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends, and any executor may be lost."""
+#: Files of a table of narrow rows for each core of the cluster at most.
+FILES = 4
+
+
+def written(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: lineage ends, and any executor may be lost.
+
+    narrow: the rows are a few numbers each, so that a few files a core are enough however many partitions there are.
+    """
     spark = df.sparkSession
+    df = df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
