@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones. Both keep the components, and the rounds end in one star for each. A node's smallest neighbour is an
     aggregate with partial sums and goes back by a join that can be split, so a node with very many links does no harm.
     """
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), narrow=True)
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         down = edges.join(least, "u")
-        edges = written(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = written(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), narrow=True)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -165,7 +165,7 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
         """Those of pairs (u, v: nodes) that are similar enough."""
         a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "uv")
         near = pairs.distinct().join(a, "u").join(b, "v").select("u", "v", "nu", "nv", _apart(F.col("wu"), F.col("wv")).alias("apart"))
-        pairs = written(near.where(F.col("apart") <= F.col("nu") + F.col("nv") - 2 * _needed(F.col("nu"), F.col("nv"))).select("u", "v"))
+        pairs = written(near.where(F.col("apart") <= F.col("nu") + F.col("nv") - 2 * _needed(F.col("nu"), F.col("nv"))).select("u", "v"), narrow=True)
         used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         places = nodes.join(used, "node").select(*at, F.col("node").alias("asked"))
         held = texts.join(small(places), at).select(_sets(F.col("text"), F.col("asked")).alias("s")).select("s.node", "s.hashes")
@@ -184,23 +184,23 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
 
     def still_open(links: DataFrame, rows: DataFrame) -> DataFrame:
         """rows with the node's root, of keys whose nodes are in several groups."""
-        found = written(components(links)).withColumnRenamed("root", "found")
-        rows = written(rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found"))
+        found = written(components(links), narrow=True).withColumnRenamed("root", "found")
+        rows = written(rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found"), narrow=True)
         keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
         return rows.join(keys, "key")
 
-    links = written(near(met.select(F.struct("node", "n", "pos").alias("a"), F.col("hub").alias("b"))))
+    links = written(near(met.select(F.struct("node", "n", "pos").alias("a"), F.col("hub").alias("b"))), narrow=True)
     collected(table.sparkSession)
     rest = still_open(links, met)
     hot = rest.where(F.col("many") > HOT)
     if hot.take(1):
-        rest = written(rest)
+        rest = written(rest, narrow=True)
         # each node under its hottest key, with some of that key's nodes; the key need not be the first that they share
         one = rest.where(F.col("many") > HOT).groupBy("node").agg(F.max(F.struct("many", "key", "n")).alias("k")).select("k.key", F.struct("node", "k.n", F.lit(0).alias("pos")).alias("a"))
-        one = written(one)
+        one = written(one, narrow=True)
         size = one.groupBy("key").agg(F.count("*").alias("size"))
         hubs = one.join(size, "key").where(F.pmod(F.xxhash64("a.node", F.lit(2)), "size") < HUBS).select("key", F.col("a").alias("b"))
-        links = written(links.unionByName(near(one.join(hubs, "key"))))
+        links = written(links.unionByName(near(one.join(hubs, "key"))), narrow=True)
         rest = still_open(links, rest)
 
     tiles = F.ceil(F.col("many") / TILE).cast("int")
@@ -251,5 +251,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         copies = table.select("id", name).join(first, name).select(F.col("id").alias("u"), "v")
         linked = linked.select(F.col("node").alias(name), F.col("root").alias("to")).join(first.select(name, F.col("v").alias("u")), name)
         edges += [copies, linked.join(first.withColumnRenamed(name, "to"), "to").select("u", "v")]
-    roots = written(components(reduce(DataFrame.unionByName, edges).where("u != v")))
+    roots = written(components(reduce(DataFrame.unionByName, edges).where("u != v")), narrow=True)
     return docs, table.select(*PLACE, "doc_id", F.col("id").alias("node")).join(roots, "node").drop("node")
