@@ -34,12 +34,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH}b")
 
 
-def collected(spark: SparkSession) -> None:
-    """Has every executor collect its garbage: what a step left on the heap and in direct buffers is free before the next begins."""
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
-
-
 def file_backed(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_path", "_metadata.row_index")
@@ -48,14 +42,31 @@ def file_backed(df: DataFrame) -> bool:
         return False
 
 
-def located(df: DataFrame) -> DataFrame:
-    """df with the place of each row, __file and __row (in the file), at the end; rows from no file are written first."""
+PLACE = ["__file", "__row"]
+
+
+def located(df: DataFrame, *columns: Column) -> DataFrame:
+    """columns of df with the place of each row, __file and __row (in the file), at the end; rows from no file are written first.
+
+    Columns of df that are not asked for are left out, whatever their names.
+    """
     if not file_backed(df):
         df = written(df)
-    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return df.select(*columns, F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
 
-PLACE = ["__file", "__row"]
+#: The name under which all columns of a row are kept as one.
+WHOLE = "__whole"
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one, so that none clashes with what is worked out beside it."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(WHOLE)
+
+
+def unfolded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that whole() put together."""
+    return df.select([F.col(WHOLE).getField(c).alias(c) for c in columns])
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,7 +76,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text column, null as empty."""
-    return F.coalesce(df[name].cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def uri(path: str) -> str:
@@ -94,3 +105,17 @@ def mapped(path: str) -> np.ndarray | None:
             copy.write(part)
         copy.flush()
         return np.memmap(copy, np.uint8, "r")  # the mapping outlives the unlinked file
+
+
+def met(left: DataFrame, right: DataFrame, on: str, rows: str) -> DataFrame:
+    """left joined with right, whose rows are unique on a column; a column of right says how many rows of left have its value.
+
+    Values that hold over a BROADCAST_ROWS-th of left's rows are so many at most, by arithmetic: these are broadcast, so
+    that none of them fills a task. The others are met by a shuffle.
+    """
+    most = right.agg(F.count("*"), F.sum(rows)).first()
+    if most[0] <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(rows)), on)
+    hot = F.col(rows) * BROADCAST_ROWS > int(most[1])
+    many, few = F.broadcast(right.where(hot).drop(rows)), right.where(~hot).drop(rows)
+    return left.join(many, on).unionByName(left.join(F.broadcast(right.where(hot).select(on)), on, "left_anti").join(few, on))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, PLACE, file_backed, located, shared_dir, small, text_of, written
+from .common import BLANKS, PLACE, file_backed, located, shared_dir, small, text_of, unfolded, whole, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -78,8 +78,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     folder, call = state or shared_dir(spark), uuid.uuid4().hex
-    columns = F.col(id_col).alias("id"), F.col(text_col).alias("text")
-    rows = located(docs).select(*columns, *PLACE)
+    columns = F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")
+    rows = located(docs, *columns)
     norm = normalised(rows)
     made = rows.select("id", digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), *PLACE)
     made.withColumn("call", F.lit(call)).write.mode("append").partitionBy("call").parquet(f"{folder}/arrivals")
@@ -89,7 +89,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return arrivals.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", F.col("__file").alias("file"), F.col("__row").alias("row"))
     found = written(_streamed(spark, folder, schema))
     hits = found.where("group_size > 1").select("digest")
-    every = rows if before is None else rows.unionByName(located(before).select(*columns, *PLACE))
+    every = rows if before is None else rows.unionByName(located(before, *columns))
     texts = every.select("id", *PLACE, normalised(every).alias("norm")).withColumn("digest", digest(F.col("norm")))
     checked = texts.select("digest", "norm").join(small(hits), "digest", "left_semi").groupBy("digest", "norm").agg(F.count("*").alias("n"))
     clash = written(checked.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"))
@@ -118,10 +118,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With a state folder of earlier calls, a row stays if it is the smallest of all so far.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    docs = docs if file_backed(docs) else written(docs)
+    columns, docs = docs.columns, docs if file_backed(docs) else written(docs)
     dropped = exact_dedup(docs, id_col, text_col, state=state, before=before).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return located(docs).join(small(written(dropped)), PLACE, "left_anti").select(columns)
+    return unfolded(located(docs, whole(docs)).join(small(written(dropped)), PLACE, "left_anti"), columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PLACE, located, written
+from .common import PLACE, located, unfolded, written
+from .common import whole as whole_rows
 
 #: Rows in a block.
 BLOCK = 64
@@ -176,12 +177,12 @@ def numbered(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _placed(docs: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """docs with PLACE, and (PLACE, __block, __slot, __position) of each of its rows."""
+    """The whole rows of docs with PLACE, and (PLACE, __block, __slot, __position) of each of them."""
     spark = docs.sparkSession
-    docs = located(docs)
+    docs = located(docs, whole_rows(docs), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{id_col}`").cast("string").alias("id"))
     # rows without an id are spread by their place
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat_ws("#", *PLACE))
-    rows = docs.select(*PLACE, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.md5(key.cast("binary")).alias("__hash"))
+    key = F.coalesce("id", F.concat_ws("#", *PLACE))
+    rows = docs.select(*PLACE, F.coalesce("source", F.lit("")).alias("__source"), F.md5(key.cast("binary")).alias("__hash"))
     sizes = {r["__source"]: r.n for r in rows.groupBy("__source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -206,19 +207,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     Texts are not read. An empty table gives an empty result. Columns of docs that have these names are replaced.
     """
     rows, at = _placed(docs, weights, source_col, id_col, block)
-    out = rows.drop("block", "slot", "position").join(at.hint("shuffle_hash"), PLACE)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "position")]
+    out = rows.drop("source", "id").join(at.hint("shuffle_hash"), PLACE)
+    kept = [F.col("__whole").getField(c).alias(c) for c in docs.columns if c not in ("block", "slot", "position")]
     return out.select(*kept, F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """docs in the order of the mix: sorted ranges of positions, one for each partition; columns as before.
 
-    The positions are worked out on narrow rows and written; the whole rows are joined to them once.
+    The positions are worked out on narrow rows and written; the whole rows are joined to them once. Null sources are the
+    source ''; rows that repeat an id, and rows without one, come in an order that their place in the files decides. An
+    empty table gives an empty one. Columns may have any names.
     """
     rows, at = _placed(docs, weights, "source", "doc_id", BLOCK)
-    out = rows.join(written(at).hint("shuffle_hash"), PLACE)
-    return out.repartitionByRange("__position").sortWithinPartitions("__position").select([F.col(f"`{c}`") for c in docs.columns])
+    out = rows.drop("source", "id").join(written(at).hint("shuffle_hash"), PLACE)
+    return unfolded(out.repartitionByRange("__position").sortWithinPartitions("__position"), docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

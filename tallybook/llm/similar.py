@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, collected, located, small, small_batches, text_of, written
+from .common import PLACE, located, small, small_batches, text_of, whole, written
 from .graph import components
 from .simhash import SEED, fingerprints, links
 
@@ -73,7 +73,7 @@ def prefix(hashes: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarra
     return hashes[np.argsort(of, kind="stable")][: len(hashes) - (4 * len(hashes) + 4) // 5 + 1]
 
 
-def often_shared(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+def often_shared(docs: DataFrame, by: list[str], text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many of a bounded sample of texts have, sorted, and the number of these texts."""
 
     def shingles(batches):
@@ -82,7 +82,7 @@ def often_shared(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarra
                 yield pd.DataFrame({"h": shingle_set(text).view(np.int64)})
 
     part = max(1, docs.count() // SAMPLED)
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(part)) == 0).select(text_of(docs, text_col).alias("text"))
+    some = docs.where(F.pmod(F.xxhash64(*by), F.lit(part)) == 0).select(text_of(docs, text_col).alias("text"))
     found = some.mapInPandas(shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).toPandas()
     h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(h)
@@ -190,7 +190,6 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
         return rows.join(keys, "key")
 
     links = written(near(met.select(F.struct("node", "n", "pos").alias("a"), F.col("hub").alias("b"))), narrow=True)
-    collected(table.sparkSession)
     rest = still_open(links, met)
     hot = rest.where(F.col("many") > HOT)
     if hot.take(1):
@@ -223,7 +222,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     small_batches(docs.sparkSession)
     given = docs.where(F.col(id_col).isNotNull())
-    rows = given.select(F.col(id_col).alias("id"), prints(text_of(given, text_col), *often_shared(given, id_col, text_col)).alias("p"))
+    rows = given.select(F.col(id_col).alias("id"), prints(text_of(given, text_col), *often_shared(given, [id_col], text_col)).alias("p"))
     table = written(rows.select("id", "p.*"))
     roots = similar_sets(table, given.select(F.col(id_col).alias("id"), text_of(given, text_col).alias("text")), ["id"])
     named = written(table.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")))
@@ -232,19 +231,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs with PLACE, and (PLACE, id, root) of the rows that are in a group with others.
+    """The whole rows of docs with PLACE, and (PLACE, doc_id, root) of those that are in a group with others.
 
     Rows joined by links of close fingerprints (operator 4) or of similar texts, or both in turn, have the same root.
     Every row takes part, with an id or without. All prints are made in one pass over the texts.
     """
     small_batches(docs.sparkSession)
-    docs = located(docs)
-    text = text_of(docs, text_col)
-    found = prints(text, *often_shared(docs, id_col, text_col))
-    rows = docs.select(*PLACE, F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("id"), fingerprints(text, 3).alias("fp"), found.alias("p"))
+    docs = located(docs, whole(docs), F.col(f"`{id_col}`").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    text = F.col("text")
+    found = prints(text, *often_shared(docs, PLACE, "text"))
+    rows = docs.select(*PLACE, "doc_id", F.monotonically_increasing_id().alias("id"), fingerprints(text, 3).alias("fp"), found.alias("p"))
     table = written(rows.select(*PLACE, "doc_id", "id", "fp", "p.*"))
-    collected(docs.sparkSession)
-    texts = docs.select(*PLACE, text.alias("text"))
+    texts = docs.select(*PLACE, "text")
     edges = []
     for name, linked in (("fp", components(links(table.select("fp").distinct()))), ("node", similar_sets(table, texts, PLACE))):
         first = table.groupBy(name).agg(F.min("id").alias("v"))
@@ -252,4 +250,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         linked = linked.select(F.col("node").alias(name), F.col("root").alias("to")).join(first.select(name, F.col("v").alias("u")), name)
         edges += [copies, linked.join(first.withColumnRenamed(name, "to"), "to").select("u", "v")]
     roots = written(components(reduce(DataFrame.unionByName, edges).where("u != v")), narrow=True)
-    return docs, table.select(*PLACE, "doc_id", F.col("id").alias("node")).join(roots, "node").drop("node")
+    return docs.drop("doc_id", "text"), table.select(*PLACE, "doc_id", F.col("id").alias("node")).join(roots, "node").drop("node")

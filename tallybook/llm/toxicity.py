@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small, small_batches, text_of, written
@@ -105,10 +105,10 @@ def sampled(labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, label): at most about bound labelled ids of each label, by a hash of the id."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     sizes = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000))
+    share, all_of = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(label)), 1), 1 << 63
     keep = F.lit(False)
     for value, n in sizes.items():
-        keep = keep | ((F.col("label") == value) & (share < int(min(1.0, bound / n) * 1_000_000)))
+        keep = keep | ((F.col("label") == value) & (share <= min(all_of, bound * all_of // n) - 1))
     return one.where(keep)
 
 
@@ -148,6 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     return Ordinal(index, *fit(x, grade))
 
 
+def scores(text: Column, model: Ordinal) -> Column:
+    """(p_toxic, severity) of a text that is not null."""
+
+    @F.pandas_udf("struct<p_toxic double, severity double>")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        above = model.above(np.array([model.score(t) for t in texts]))
+        return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1)})
+
+    return score(text)
+
+
 def severity(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """docs with p_toxic (probability of a grade above 0) and severity (expected grade) at the end.
 
@@ -155,17 +166,11 @@ def severity(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     a model both are 0. Columns of docs that have these names are replaced.
     """
     small_batches(docs.sparkSession)
-    rows = docs.drop("p_toxic", "severity")
+    rows = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("p_toxic", "severity")]
     if model is None:
-        return rows.withColumns({"p_toxic": F.lit(0.0), "severity": F.lit(0.0)})
-
-    @F.pandas_udf("struct<p_toxic double, severity double>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        above = model.above(np.array([model.score(t) for t in texts]))
-        return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1)})
-
-    found = rows.withColumn("__s", score(text_of(rows)))
-    return found.withColumns({"p_toxic": F.col("__s.p_toxic"), "severity": F.col("__s.severity")}).drop("__s")
+        return docs.select(*rows, F.lit(0.0).alias("p_toxic"), F.lit(0.0).alias("severity"))
+    found = docs.select(F.struct(*rows).alias("row"), scores(text_of(docs), model).alias("s"))
+    return found.select("row.*", "s.p_toxic", "s.severity")
 
 
 def as_json(model: Ordinal) -> str:
@@ -174,9 +179,14 @@ def as_json(model: Ordinal) -> str:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """docs without those whose probability of a grade above 0 reaches reject; columns as before."""
-    scored = severity(docs.select("*"), train(docs, labels))
-    return scored.where(F.col("p_toxic") < reject).select(docs.columns)
+    """docs without those whose probability of a grade above 0 reaches reject; all columns stay, whatever their names.
+
+    Null and empty texts have no feature, and rows that repeat a text fare alike; an empty table gives an empty one. Without
+    labels of both kinds there is no model, and all rows stay.
+    """
+    small_batches(docs.sparkSession)
+    model = train(docs, labels)
+    return docs if model is None else docs.where(scores(text_of(docs), model)["p_toxic"] < reject)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_stages_on_planted_documents(spark, tmp_path):
 
 def test_stages_named_and_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
-    assert {k.split("_")[0] for k in registry.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {k.split("_")[0] for k in registry.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
 
 
 def test_one_of_a_group_stays_whatever_links_it(spark):
@@ -50,3 +50,29 @@ def test_near_copies_without_ids_and_empty_tables(spark):
     for stage in (corpus_pipeline.near_out, corpus_pipeline.sources_mixed, corpus_pipeline.exact_out):
         assert stage(spark, docs, "").collect() == []
     assert corpus_pipeline.tokenised(spark, docs, "").collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    docs, labels = corpus(300, 5)
+    toxic = {i for i, _, t in labels if t}
+    one, two = next(i for i, _, t in labels if t), next(i for i, _, t in labels if not t)
+    rows = [(i, t, "s", 7.5, "mine", "f", 3, "w", "dot", "r", "blk", 1) for i, t, _ in docs]
+    rows += [(two, rows[two][1], *rows[0][2:]), (None, "no id, " + rows[two][1], *rows[0][2:]), (None, None, None, *[None] * 9), (None, None, None, *[None] * 9)]
+    names = ["doc_id", "text", "source", "severity", "p_toxic", "__file", "__row", "__whole", "a.b", "root", "block", "__position"]
+    kinds = "doc_id long, text string, source string, severity double, p_toxic string, `__file` string, `__row` int, `__whole` string, `a.b` string, root string, block string, `__position` int"
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.createDataFrame(rows, kinds)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, str(tmp_path))
+        assert table.columns == names
+    left = table.collect()
+    assert {tuple(r)[3:] for r in left} <= {r[3:] for r in rows}
+    assert one not in {r.doc_id for r in left} and len(toxic & {r.doc_id for r in left}) <= 3
+    assert [r.doc_id for r in left].count(two) == 1 and sum(r.text is None for r in left) == 1
+
+
+def test_without_labels_nothing_is_toxic(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(1, "x", 1.0), (1, "x", 1.0), (None, None, None)], "doc_id long, text string, severity double")
+    for table in (docs, docs.limit(0)):
+        assert sorted(map(str, corpus_pipeline.toxic_out(spark, table, str(tmp_path)).collect())) == sorted(map(str, table.collect()))

@@ -112,7 +112,7 @@ def test_names_and_kinds_of_docs(spark):
     rows = [(None, None, 1), (None, "", 2), (3, "one two", 3), (3, "one two", 4), (4, "a " * 30_000, 5), (5, "a " * 29_000, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node int").withColumn("key", F.col("node"))
     rows, groups = similar.near_groups(docs)
-    found = {r.node: r.root for r in rows.join(groups, ["__file", "__row"]).collect()}
+    found = {r["__whole"].node: r.root for r in rows.join(groups, ["__file", "__row"]).collect()}
     assert set(found) == {1, 2, 3, 4, 5, 6} and len(set(found.values())) == 3
     assert found[1] == found[2] and found[3] == found[4] and found[5] == found[6]
     assert similar.near_groups(docs.limit(0))[1].collect() == []
