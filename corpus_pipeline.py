@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import bpe, exact_dedup, mixing, similar, toxicity
-from tallybook.llm.common import PLACE, collected, small, written
+from tallybook.llm.common import PLACE, small, unfolded, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,6 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay. Without labels of both kinds all documents stay. An empty table gives an empty one.
     """
-    collected(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -24,7 +23,6 @@ def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat that id the first by place in the files stays; rows without an id come after all others. Null texts
     are empty texts. An empty table gives an empty one.
     """
-    collected(spark)
     return exact_dedup.keep_first(docs)
 
 
@@ -34,23 +32,20 @@ def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are known by their place in the files: of rows that share an id the first by place is the smallest, and rows
     without an id come after all others. Null and empty texts are similar to each other. An empty table gives an empty one.
     """
-    collected(spark)
     rows, groups = similar.near_groups(docs)
     groups = written(groups.withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", *PLACE)))
     stay = groups.groupBy("root").agg(F.min("rank").alias("first"))
     dropped = written(groups.join(small(stay), "root").where(F.col("rank") != F.col("first")).select(*PLACE))
-    return rows.join(small(dropped), PLACE, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    return unfolded(rows.join(small(dropped), PLACE, "left_anti"), docs.columns)
 
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, in the order of the mix; null sources are one source. An empty table gives an empty one."""
-    collected(spark)
     return mixing.mixed(docs)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and the text that they decode to; null and empty texts have no ids. An empty table gives an empty one."""
-    collected(spark)
     found = bpe.encode_decode(docs, keep=("source",))
     return found.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "decoded")
 
