@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -82,6 +82,11 @@ def merchant(description: Column) -> Column:
     return F.when(out == "", F.substring(description, 1, 80)).otherwise(out)
 
 
+def merchant_of(tx: DataFrame) -> Column:
+    """The merchant that tx carries, from a dictionary of descriptions, else the one that its description gives."""
+    return F.col("merchant") if "merchant" in tx.columns else merchant(F.col("description"))
+
+
 def literal(text: str) -> str:
     """A pattern for text itself."""
     return re.sub(r"([^\w\s])", r"\\\1", text)

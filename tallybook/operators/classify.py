@@ -9,9 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.literals import required
 from ..functions.personal_values import BANK_FEES_FIRST, PERSONAL, SUBSCRIPTIONS_FIRST
 from ..functions.rule_values import EXPENSE, INCOME, NON_PNL, TAX_CATEGORY
-from ..functions.scalars import glob
+from ..functions.scalars import glob, merchant
+from ..sources.shared import written
 
 # Categories with a meaning of their own.
 TRANSFERS = ("Account Transfer", "Credit Card Payment")
@@ -119,14 +121,29 @@ def _upper_pattern(pattern: str) -> str:
     return f"(?i){pattern}" if re.search(r"[a-z]", re.sub(r"\\.|\(\?[:!=<]*", "", pattern)) else pattern
 
 
-def first_rule(text: Column, is_credit: Column, rules: list[Rule]) -> Column:
-    """rule_id of the first rule that fits, null if none does. The direction is settled first, so a row only tries its own."""
+def may_match(upper: Column, pattern: str) -> Column | None:
+    """Whether a text in capital letters holds what the pattern can't match without; None if there is no such literal.
+
+    A search for a few bytes takes a small part of the time that a pattern takes, so only texts that pass are tried.
+    """
+    held = [upper.contains(x) for x in required(pattern)]
+    return reduce(Column.__or__, held) if held else None
+
 
-    def chain(direction: str) -> Column:
-        own = [(i, r) for i, r in enumerate(rules, 1) if r.direction in ("either", direction)]
-        return reduce(lambda c, x: c.when(text.rlike(_upper_pattern(x[1].pattern)), x[0]), own, F.when(F.lit(False), 0))
+def _fits(upper: Column, text: Column, pattern: str, tried: str) -> Column:
+    may = may_match(upper, pattern)
+    return text.rlike(tried) if may is None else may & text.rlike(tried)
 
-    return F.when(is_credit, chain("credit")).otherwise(chain("debit"))
+
+def rule_of(text: Column, rules: list[Rule], direction: str) -> Column:
+    """rule_id of the first rule of a direction that is found in a text in capital letters, 0 if none is."""
+    own = [(i, r) for i, r in enumerate(rules, 1) if r.direction in ("either", direction)]
+    return reduce(lambda c, x: c.when(_fits(text, text, x[1].pattern, _upper_pattern(x[1].pattern)), x[0]), own, F.when(F.lit(False), 0)).otherwise(0)
+
+
+def first_rule(text: Column, is_credit: Column, rules: list[Rule]) -> Column:
+    """rule_id of the first rule that fits, 0 if none does. The direction is settled first, so a row only tries its own."""
+    return F.when(is_credit, rule_of(text, rules, "credit")).otherwise(rule_of(text, rules, "debit"))
 
 
 def with_aliases(description: Column, aliases: dict[str, str]) -> Column:
@@ -138,20 +155,43 @@ def with_aliases(description: Column, aliases: dict[str, str]) -> Column:
     return description if out is None else out.otherwise(description)
 
 
+def dictionary(descriptions: DataFrame, rules: list[Rule], aliases: dict[str, str] | None = None, own: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """One row per distinct description, written: text_id, description, merchant, credit_rule, debit_rule (0: none), personal.
+
+    Whatever is worked out from a description alone is worked out here once, however many rows have it.
+    """
+    seen = F.upper(with_aliases(F.col("description"), aliases or {}))
+    return written(
+        descriptions.select("description").distinct().select(
+            F.monotonically_increasing_id().alias("text_id"), "description", merchant(F.col("description")).alias("merchant"),
+            rule_of(seen, rules, "credit").alias("credit_rule"), rule_of(seen, rules, "debit").alias("debit_rule"), personal_category(F.col("description"), own).alias("personal"),
+        )
+    )
+
+
+def with_dictionary(tx: DataFrame, words: DataFrame) -> DataFrame:
+    """tx with text_id, merchant, rule_id (0: none) and category (of the personal profile) of its descriptions; null ones have none."""
+    found = tx.drop("text_id", "merchant", "rule_id", "category").join(words, "description", "left")
+    rule = F.coalesce(F.when(F.col("is_credit"), F.col("credit_rule")).otherwise(F.col("debit_rule")), F.lit(0))
+    return found.withColumns({"rule_id": rule, "category": F.col("personal")}).drop("credit_rule", "debit_rule", "personal")
+
+
 def categorise(tx: DataFrame, rules: list[Rule], aliases: dict[str, str] | None = None) -> DataFrame:
     """tx (description, is_credit, ...) with the attributes of the rule that decides.
 
     Rules are tried on distinct descriptions and joined back: a ledger has far fewer of them than rows.
     """
     keys = tx.select("description", "is_credit").distinct()
-    # rule 0 stands for no rule: no null that a filter could push down as the whole chain
-    rule_id = F.coalesce(first_rule(F.upper(with_aliases(F.col("description"), aliases or {})), F.col("is_credit"), rules), F.lit(0))
+    keys = keys.withColumn("rule_id", first_rule(F.upper(with_aliases(F.col("description"), aliases or {})), F.col("is_credit"), rules))
+    return ruled(tx.drop("rule_id").join(keys, ["description", "is_credit"]), rules).drop("rule_id")
+
+
+def ruled(tx: DataFrame, rules: list[Rule]) -> DataFrame:
+    """tx (rule_id, ...) with the attributes of its rules, which are as many as the options have."""
     attributes = rules_frame(tx.sparkSession, [NO_RULE, *rules], 0).drop("pattern", "direction", "priority", "is_income")
-    ruled = keys.withColumn("rule_id", rule_id).join(F.broadcast(attributes), "rule_id")
     known, review = F.col("rule_id") > 0, F.col("category").isin(*REVIEWED) | (F.col("tax_category") == "non-pl")
-    ruled = ruled.select(
-        "description",
-        "is_credit",
+    found = attributes.select(
+        "rule_id",
         F.col("category").alias("business_category"),
         "tax_category",
         "deductibility",
@@ -163,8 +203,7 @@ def categorise(tx: DataFrame, rules: list[Rule], aliases: dict[str, str] | None
         review.alias("cpa_review"),
         F.when(~known, "No category rule matched").when(review, F.concat(F.lit("Matched '"), "category", F.lit("' rule — requires CPA verification"))).otherwise("").alias("review_reason"),
     )
-    old = [f for f in ruled.columns if f in tx.columns and f not in ("description", "is_credit")]
-    return tx.drop(*old).join(ruled, ["description", "is_credit"])
+    return tx.drop(*(c for c in found.columns if c != "rule_id")).join(F.broadcast(found), "rule_id")
 
 
 def mark_deposits(tx: DataFrame) -> DataFrame:
@@ -185,7 +224,8 @@ def personal_patterns(own: dict[str, tuple[str, ...]] | None = None) -> list[tup
 
 
 def personal_category(description: Column, own: dict[str, tuple[str, ...]] | None = None) -> Column:
-    chain = reduce(lambda c, x: c.when(description.rlike(f"(?i){x[0]}"), x[1]), personal_patterns(own), F.when(F.lit(False), ""))
+    upper = F.upper(description)
+    chain = reduce(lambda c, x: c.when(_fits(upper, description, x[0], f"(?i){x[0]}"), x[1]), personal_patterns(own), F.when(F.lit(False), ""))
     return chain.otherwise("Other")
 
 

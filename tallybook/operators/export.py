@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MONEY, csv_safe, merchant, month_label, signed, yes_no
+from ..functions.scalars import MONEY, csv_safe, merchant_of, month_label, signed, yes_no
 from .insights import is_asset_candidate, upper_has
 
 DATE = "MM/dd/yyyy"
@@ -27,7 +27,7 @@ def audit(tx: DataFrame, text: Column | None = None) -> DataFrame:
         csv_safe(F.col("tax_category")).alias("TaxCategory"),
         csv_safe(F.col("deductibility")).alias("Deductibility"),
         csv_safe(F.col("review_reason")).alias("ReviewReason"),
-        csv_safe(merchant(F.col("description"))).alias("Merchant"),
+        csv_safe(merchant_of(tx)).alias("Merchant"),
         csv_safe(F.col("statement_id")).alias("SourceStatement"),
         *(yes_no(F.col(c)).alias(name) for name, c in flags.items()),
     )
@@ -53,7 +53,7 @@ def extracts(tx: DataFrame) -> dict[str, DataFrame]:
     return {
         "revenue_detail": tx.where(credit & pnl).select("account_id", date, text, category, amount),
         "expense_detail": tx.where(~credit & pnl).select("account_id", date, text, category, F.col("tax_category").alias("TaxCategory"), amount, F.col("deductibility").alias("Deductibility"), yes_no(F.col("cpa_review")).alias("CPAReview")),
-        "fixed_assets": tx.where(is_asset_candidate()).select("account_id", date, csv_safe(merchant(F.col("description"))).alias("Vendor"), text, amount),
+        "fixed_assets": tx.where(is_asset_candidate()).select("account_id", date, csv_safe(merchant_of(tx)).alias("Vendor"), text, amount),
         "loan_activity": tx.where(F.col("is_loan") | upper_has("LOAN")).select("account_id", date, text, category, amount, kind),
         "owner_activity": tx.where(F.col("is_owner_related") | F.col("business_category").isin("Owner Contribution", "Owner Draw or Distribution")).select("account_id", date, text, category, amount, F.when(credit, "Contribution").otherwise("Draw").alias("Type")),
         "uncategorized": tx.where(F.col("cpa_review")).select("account_id", date, text, amount, kind, csv_safe(F.col("review_reason")).alias("ReviewReason")),

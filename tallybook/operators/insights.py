@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.document_values import DOCUMENTS, STATUS
-from ..functions.scalars import MONEY, divided, dollars, iso_week, merchant, month_label, percent, ratio, share_label
+from ..functions.scalars import MONEY, divided, dollars, iso_week, merchant_of, month_label, percent, ratio, share_label
 
 VEHICLE = ("Fuel", "Vehicle Expense", "Equipment Maintenance", "Repairs and Maintenance", "Tolls and Scale Fees")
 STAFF = ("Payroll", "Payroll Taxes", "Employee Benefits", "Contract Labor", "Subcontractors")
@@ -125,7 +125,7 @@ def by_tax_category(tx: DataFrame) -> DataFrame:
 
 
 def merchant_totals(tx: DataFrame, kept: Column) -> DataFrame:
-    return tx.where(kept).groupBy("account_id", merchant(F.col("description")).alias("merchant")).agg(F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("total"))
+    return tx.where(kept).groupBy("account_id", merchant_of(tx).alias("merchant")).agg(F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("total"))
 
 
 def income_sources(tx: DataFrame, k: int = 20) -> DataFrame:
@@ -138,7 +138,7 @@ def vendors(tx: DataFrame, k: int = 20) -> DataFrame:
 
 def merchant_template(tx: DataFrame) -> DataFrame:
     first = F.struct("month", "sequence")
-    rows = tx.groupBy("account_id", merchant(F.col("description")).alias("merchant")).agg(F.min_by("business_category", first).alias("category"), F.min_by("tax_category", first).alias("tax_category"), F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("total"))
+    rows = tx.groupBy("account_id", merchant_of(tx).alias("merchant")).agg(F.min_by("business_category", first).alias("category"), F.min_by("tax_category", first).alias("tax_category"), F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("total"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("total"), "merchant")))
 
 
@@ -213,7 +213,7 @@ def large_deposits(tx: DataFrame) -> DataFrame:
 
 
 def deductions(tx: DataFrame) -> DataFrame:
-    return top(tx.where(~F.col("is_credit") & F.col("include_in_pnl") & (F.col("amount") > 0)), 100, [F.desc("amount")]).withColumns({"merchant": merchant(F.col("description")), "review_note": F.when(F.col("cpa_review"), F.substring("review_reason", 1, 30)).otherwise("")})
+    return top(tx.where(~F.col("is_credit") & F.col("include_in_pnl") & (F.col("amount") > 0)), 100, [F.desc("amount")]).withColumns({"merchant": merchant_of(tx), "review_note": F.when(F.col("cpa_review"), F.substring("review_reason", 1, 30)).otherwise("")})
 
 
 def purchase_reason() -> Column:
@@ -288,7 +288,7 @@ def transaction_detail(tx: DataFrame, k: int | None = 50) -> DataFrame:
 
 def personal_payees(tx: DataFrame, k: int = 15, by: tuple[str, ...] = ("account_id",)) -> DataFrame:
     kept = tx.where(~F.col("is_credit") & ~F.col("category").isin(*PERSONAL_OUT))
-    rows = kept.groupBy(*by, merchant(F.col("description")).alias("merchant")).agg(F.sum("amount").cast(MONEY).alias("total"))
+    rows = kept.groupBy(*by, merchant_of(tx).alias("merchant")).agg(F.sum("amount").cast(MONEY).alias("total"))
     return top(rows, k, [F.desc("total")], by=by, tail=("merchant",))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rule_values import EXPENSE, INCOME
-from ..functions.scalars import MONEY, merchant, percent, ratio
+from ..functions.scalars import MONEY, merchant_of, percent, ratio
+from ..sources.shared import written
 
 # The sections' categories and the names of what lies outside profit and loss.
 OTHER_INCOME = ("Interest Income", "Other Income")
@@ -63,81 +64,86 @@ def route(tx: DataFrame) -> DataFrame:
     })
 
 
-def _greedy(cents: np.ndarray, day: np.ndarray, back: np.ndarray) -> list[tuple[int, int]]:
-    """(reversal, debit) pairs of one group in list order: each reversal takes the unused debit of highest score."""
-    debits, out = np.flatnonzero(~back), []
-    debits = debits[np.argsort(day[debits], kind="stable")]
-    amount, when = cents[debits].astype(float), day[debits]
-    used = np.zeros(len(debits), bool)
-    for r in np.flatnonzero(back):
-        near = slice(*np.searchsorted(when, (day[r] - DAYS, day[r] + 1)))
-        of = amount[near]
-        high = np.maximum(of, cents[r])
-        part = np.where((of == 0) | (cents[r] == 0), 0.0, np.minimum(of, cents[r]) / np.where(high == 0, 1, high))
-        ok = ~used[near] & ~((cents[r] < of) & (part < LEAST_RATIO))
-        if ok.any():
-            score = np.where(ok, part - (day[r] - when[near]) / 36500, -np.inf)
-            i = near.start + min(np.flatnonzero(score == score.max()), key=lambda k: debits[near][k])  # the first in the list of several
-            used[i] = True
-            out.append((int(r), int(debits[i])))
-    return out
-
-
-KEY = ["account_id", "period", "merchant", "part"]
+class Debits:
+    """The debits of a group by amount, to find the best one for a reversal near its own amount.
 
+    The score is the ratio of the smaller amount to the larger, less a little for each day between them. No debit scores
+    above its ratio, so the search goes outward from the reversal's amount and ends where ratios are below the best score.
+    """
 
-def _matched(rows: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of rows sorted by group and list order."""
+    STEP = 32
+
+    def __init__(self, place: np.ndarray, cents: np.ndarray, day: np.ndarray):
+        order = np.argsort(cents, kind="stable")
+        self.place, self.cents, self.day = place[order], cents[order].astype(float), day[order]
+        self.used = np.zeros(len(order), bool)
+        self.looked_at = 0
+
+    def scores(self, near: np.ndarray, cents: float, day: int) -> np.ndarray:
+        of, days = self.cents[near], day - self.day[near]
+        high = np.maximum(of, cents)
+        part = np.where((of == 0) | (cents == 0), 0.0, np.minimum(of, cents) / np.where(high == 0, 1, high))
+        ok = ~self.used[near] & (days >= 0) & (days <= DAYS) & ~((cents < of) & (part < LEAST_RATIO))
+        self.looked_at += len(near)
+        return np.where(ok, part - days / 36500, -np.inf)
+
+    def best(self, cents: float, day: int) -> int | None:
+        """Index of the debit of highest score, the first in the list of several; None if none may be undone."""
+        n = len(self.cents)
+        low = high = int(np.searchsorted(self.cents, cents))
+        if n and (cents <= 0 or self.cents[0] <= 0):  # ratios do not fall from here on both ways: all are looked at
+            low, high, step = 0, 0, n
+        else:
+            step = self.STEP
+        top, found, first = -np.inf, None, 0
+        while low > 0 or high < n:
+            near = np.concatenate([np.arange(max(0, low - step), low), np.arange(high, min(n, high + step))])
+            score = self.scores(near, cents, day)
+            if (most := score.max()) >= top and most > -np.inf:
+                i = near[score == most]
+                i = i[np.argmin(self.place[i])]
+                if most > top or self.place[i] < first:
+                    top, found, first = most, int(i), self.place[i]
+            low, high, step = max(0, low - step), min(n, high + step), 2 * step
+            if high < n and cents / self.cents[high] < LEAST_RATIO:
+                high = n
+            if max(self.cents[low - 1] / cents if low else -1.0, cents / self.cents[high] if high < n else -1.0) < top:
+                break
+        return found
+
+
+KEY = ["account_id", "period", "merchant"]
+PART, STRETCH = [*KEY, "part"], [*KEY, "stretch"]
+
+
+def _found(rows: pd.DataFrame, key: list[str], once: bool) -> pd.DataFrame:
+    """A row per reversal that finds a debit, of rows sorted by group and list order. once: a debit is found once at most."""
     same = np.ones(len(rows), bool)
-    for c in KEY:
+    for c in key:
         x = rows[c].to_numpy()
         same[1:] &= x[1:] == x[:-1]
-    same[0] = False
+    same[:1] = False
     edges = [*np.flatnonzero(~same), len(rows)]
     cents, day, back = (rows[c].to_numpy() for c in ("cents", "day", "is_reversal"))
-    pairs = [(a + r, a + d) for a, b in zip(edges, edges[1:]) if not back[a:b].all() for r, d in _greedy(cents[a:b], day[a:b], back[a:b])]
+    pairs, scores = [], []
+    for a, b in zip(edges, edges[1:]):
+        place = a + np.flatnonzero(~back[a:b])
+        debits = Debits(place, cents[place], day[place])
+        for r in a + np.flatnonzero(back[a:b]) if len(place) else ():
+            if (i := debits.best(float(cents[r]), int(day[r]))) is not None:
+                scores.append(debits.scores(np.array([i]), float(cents[r]), int(day[r]))[0])
+                debits.used[i] = once
+                pairs.append((r, debits.place[i]))
     r, d = (rows.iloc[[p[k] for p in pairs]].reset_index(drop=True) for k in (0, 1))
-    out = r[["account_id", "period", "merchant", "statement_id", "sequence"]].rename(columns={"statement_id": "reversal_statement", "sequence": "reversal_sequence"})
-    return out.assign(debit_statement=d.statement_id, debit_sequence=d.sequence, debit_category=d.business_category, cents=np.minimum(r.cents, d.cents))
-
+    out = r[[*KEY, "statement_id", "sequence"]].rename(columns={"statement_id": "reversal_statement", "sequence": "reversal_sequence"})
+    return out.assign(debit_statement=d.statement_id, debit_sequence=d.sequence, debit_category=d.business_category, cents=np.minimum(r.cents, d.cents), score=scores, debit_dt=d.statement_dt)
 
-MATCH = "account_id int, period string, merchant string, reversal_statement string, reversal_sequence int, debit_statement string, debit_sequence int, debit_category string, cents long"
-
-
-def _reversals(tx: DataFrame, period: Column) -> DataFrame:
-    """Reversals and the debits they may undo: only groups of account, period and merchant that have a reversal.
-
-    tx has statement_dt. A group is one merchant of one account within one period.
-    """
-    back = F.col("is_credit") & (F.col("business_category") == "Payment Reversal") & ~F.col("is_transfer") & ~F.col("is_owner_related") & ~(F.col("is_loan") & ~F.col("include_in_pnl"))
-    rows = tx.where(back | (~F.col("is_credit") & ~F.col("is_transfer"))).withColumns({"period": period, "merchant": merchant(F.col("description")), "is_reversal": back})
-    rows = rows.select("account_id", "period", "merchant", "statement_id", "statement_dt", "sequence", "business_category", "is_reversal", F.unix_date("post_dt").alias("day"), (F.col("amount") * 100).cast("long").alias("cents"))
-    span = rows.where("is_reversal").groupBy("account_id", "period", "merchant").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    near = rows.join(span, ["account_id", "period", "merchant"])
-    return near.where(F.col("is_reversal") | F.col("day").between(F.col("first") - DAYS, F.col("last"))).drop("first", "last")
 
+FOUND = "account_id int, period string, merchant string, reversal_statement string, reversal_sequence int, debit_statement string, debit_sequence int, debit_category string, cents long, score double, debit_dt string"
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """rows with part: within a group a new one begins after DAYS without any row, which no match can cross.
 
-    Such a gap lies between months, so first and last days of a group's months tell them.
-    """
-    key = ["account_id", "period", "merchant"]
-    month = F.trunc(F.date_from_unix_date("day"), "MM")
-    rows = rows.withColumn("month", month)
-    days = rows.groupBy(*key, "month").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    order = Window.partitionBy(*key).orderBy("month")
-    new = F.when(F.col("first") - F.lag("last").over(order) > DAYS, 1).otherwise(0)
-    parts = days.withColumn("new", new).select(*key, "month", F.sum("new").over(order).alias("part"))
-    return rows.join(parts, [*key, "month"]).drop("month")
-
-
-def match_reversals(tx: DataFrame, period: Column) -> DataFrame:
-    """One row per reversal that finds a debit: both, the debit's category and the amount applied. No debit is used twice.
-
-    Rows are dealt by parts of groups and sorted, so that a task goes through its parts one after the other and holds one
-    at a time.
-    """
+def _by_group(rows: DataFrame, key: list[str], once: bool) -> DataFrame:
+    """Rows are dealt by groups and sorted, so that a task goes through its groups one after the other and holds one at a time."""
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -145,47 +151,88 @@ def match_reversals(tx: DataFrame, period: Column) -> DataFrame:
             if not len(batch):
                 continue
             last = np.ones(len(batch), bool)
-            for c in KEY:
+            for c in key:
                 last &= batch[c].to_numpy() == batch[c].iloc[-1]
             n = len(batch) - int(last.sum())
-            goes_on = not held or all(held[-1][c].iloc[-1] == batch[c].iloc[0] for c in KEY)
+            goes_on = not held or all(held[-1][c].iloc[-1] == batch[c].iloc[0] for c in key)
             if n or not goes_on:
-                yield _matched(pd.concat([*held, batch.iloc[:n]], ignore_index=True))
+                yield _found(pd.concat([*held, batch.iloc[:n]], ignore_index=True), key, once)
                 held = []
             held.append(batch.iloc[n:])
         if held:
-            yield _matched(pd.concat(held, ignore_index=True))
+            yield _found(pd.concat(held, ignore_index=True), key, once)
 
-    rows = _parts(_reversals(tx, period)).withColumn("statement_dt", F.col("statement_dt").cast("string"))
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "statement_dt", "statement_id", "sequence").mapInPandas(run, MATCH)
+    rows = rows.withColumn("statement_dt", F.col("statement_dt").cast("string"))
+    return rows.repartition(*key).sortWithinPartitions(*key, "statement_dt", "statement_id", "sequence").mapInPandas(run, FOUND)
+
+
+def with_periods(tx: DataFrame, period: Column) -> DataFrame:
+    """tx with its period; an array of periods gives a row for each."""
+    many = tx.select(period.alias("p")).schema["p"].dataType.typeName() == "array"
+    return tx.withColumn("period", F.explode(period) if many else period)
+
+
+def in_reach(tx: DataFrame, period: Column) -> DataFrame:
+    """Reversals and the debits that they may undo, with part: what lies in different parts of a group can't meet.
+
+    tx has statement_dt. A group is one merchant of one account within one period. Each reversal reaches DAYS back; debits
+    in no reach, or well above the largest amount that reaches them, go. Where no debit before a day is in reach of a reversal
+    from that day on, a new part begins. Reach and parts come from the days of a group, of which there are as many as the
+    calendar has, and go back to the rows by day, so that a group with very many rows is in no task as a whole.
+    """
+    credit = F.col("is_credit")
+    back = credit & (F.col("business_category") == "Payment Reversal") & ~F.col("is_transfer") & ~F.col("is_owner_related") & ~(F.col("is_loan") & ~F.col("include_in_pnl"))
+    rows = with_periods(tx.where(back | (~credit & ~F.col("is_transfer"))).withColumns({"merchant": merchant_of(tx), "is_reversal": back}), period)
+    rows = rows.select(*KEY, "statement_id", "statement_dt", "sequence", "business_category", "is_reversal", F.unix_date("post_dt").alias("day"), (F.col("amount") * 100).cast("long").alias("cents"))
+    groups = rows.where("is_reversal").select(*KEY).distinct()
+    back, cents = F.col("is_reversal"), F.col("cents")
+    days = rows.join(groups, KEY, "left_semi").groupBy(*KEY, "day").agg(F.max(F.when(back, cents)).alias("most"), F.min(F.when(~back, cents)).alias("least"))
+    by = Window.partitionBy(*KEY).orderBy("day")
+    can = lambda debit: (F.col("reach") < 0) | (F.col(debit) * LEAST_RATIO <= F.col("reach") * 1.000001 + 1)
+    days = days.withColumn("reach", F.max("most").over(by.rangeBetween(0, DAYS))).withColumn("debit", F.col("least").isNotNull() & F.coalesce(can("least"), F.lit(False)))
+    days = days.where(F.col("debit") | F.col("most").isNotNull())
+    last = F.max(F.when(F.col("debit"), F.col("day"))).over(by.rangeBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(F.col("most").isNotNull(), F.col("day"))).over(by.rangeBetween(0, Window.unboundedFollowing))
+    days = days.withColumns({"last": last, "following": following})
+    new = F.when(F.col("following") - F.col("last") <= DAYS, 0).otherwise(1)
+    parts = written(days.select(*KEY, "day", "reach", F.sum(new).over(by).alias("part")))
+    return rows.join(parts, [*KEY, "day"]).where(back | can("cents")).drop("reach")
+
+
+def match_reversals(tx: DataFrame, period: Column) -> DataFrame:
+    """One row per reversal that finds a debit: both, the debit's category and the amount applied. No debit is used twice.
+
+    Reversals choose in list order. A part is in one task, which holds one part at a time.
+    """
+    return _by_group(in_reach(tx, period), PART, True).drop("score", "debit_dt")
 
 
 def best_candidates(tx: DataFrame, period: Column) -> DataFrame:
     """The debit of highest score for each reversal, whether or not another takes it too.
 
-    Rows meet by stretches of days, so that a reversal only meets debits of its own stretch and the one before.
+    Rows meet by stretches of days, so that a reversal only meets debits of its own stretch and the one before, near its own
+    amount; the better of both stretches stays.
     """
-    rows = _reversals(tx, period)
-    key = ["account_id", "period", "merchant"]
     stretch = F.floor(F.col("day") / (DAYS + 1))
-    rows = rows.withColumn("stretch", F.explode(F.when(F.col("is_reversal"), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))))
-    back = rows.where("is_reversal").select(*key, "stretch", F.col("statement_id").alias("r_statement"), F.col("sequence").alias("r_sequence"), F.col("day").alias("r_day"), F.col("cents").alias("r_cents"))
-    debit = rows.where("not is_reversal").select(*key, "stretch", "statement_id", "sequence", "statement_dt", "day", "cents", "business_category")
-    days = F.col("r_day") - F.col("day")
-    part = F.when((F.col("cents") == 0) | (F.col("r_cents") == 0), 0.0).otherwise(F.least("cents", "r_cents") / F.greatest("cents", "r_cents"))
-    pairs = back.join(debit, [*key, "stretch"]).where(days.between(0, DAYS)).where(~((F.col("r_cents") < F.col("cents")) & (part < LEAST_RATIO)))
-    best = F.max_by(F.struct("statement_id", "sequence", "business_category", "cents"), F.struct((part - days / 36500).alias("score"), -F.unix_date("statement_dt"), -F.col("sequence")))
-    found = pairs.groupBy(*key, "r_statement", "r_sequence", "r_cents").agg(best.alias("d"))
-    return found.select(*key, "r_statement", "r_sequence", F.col("d.statement_id").alias("d_statement"), F.col("d.sequence").alias("d_sequence"), F.col("d.business_category").alias("d_category"), F.least("r_cents", "d.cents").alias("applied_cents"))
+    rows = in_reach(tx, period).withColumn("stretch", F.explode(F.when(F.col("is_reversal"), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))))
+    best = F.max_by(F.struct("debit_statement", "debit_sequence", "debit_category", "cents"), F.struct("score", -F.unix_date(F.to_date("debit_dt")), -F.col("debit_sequence")))
+    found = _by_group(rows, STRETCH, False).groupBy(*KEY, "reversal_statement", "reversal_sequence").agg(best.alias("d"))
+    return found.select(*KEY, F.col("reversal_statement").alias("r_statement"), F.col("reversal_sequence").alias("r_sequence"), F.col("d.debit_statement").alias("d_statement"), F.col("d.debit_sequence").alias("d_sequence"), F.col("d.debit_category").alias("d_category"), F.col("d.cents").alias("applied_cents"))
+
+
+#: What lines() reads of a classified ledger that carries its merchants.
+READ = ("account_id", "statement_id", "statement_dt", "month", "sequence", "post_dt", "merchant", "amount", "is_credit", "business_category", "include_in_pnl", "is_transfer", "is_owner_related", "is_fixed_asset", "is_loan", "cpa_review")
 
 
 def lines(tx: DataFrame, period: Column, matched: bool = True) -> DataFrame:
     """account_id, period, section, category, amount: every line of profit and loss and every bucket outside it.
 
-    matched: reversals reduce the lines of the debits they undo (needs statement_dt); else they all are a bucket.
+    period: one, or an array of them, so that one pass over tx gives several grains, each with its reversals matched within
+    its own periods. matched: reversals reduce the lines of the debits they undo (needs statement_dt); else they all are a
+    bucket.
     """
     key = ["account_id", "period", "section", "category"]
-    rows = route(tx).withColumn("period", period).groupBy("account_id", "period", "section", F.col("line").alias("category")).agg(F.sum("moved").cast(MONEY).alias("amount"))
+    rows = with_periods(route(tx).select("account_id", "post_dt", "section", "line", "moved"), period).groupBy("account_id", "period", "section", F.col("line").alias("category")).agg(F.sum("moved").cast(MONEY).alias("amount"))
     if matched:
         found = match_reversals(tx, period).withColumns({"s": section_of(F.col("debit_category")), "x": (F.col("cents") / 100).cast(MONEY)}).where(F.col("s").isin("revenue", "direct_costs", "operating_expenses"))
         undone = found.select("account_id", "period", F.col("s").alias("section"), F.col("debit_category").alias("category"), (-F.col("x")).alias("amount"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.rule_values import EXPENSE, INCOME
 from ..functions.scalars import MERCHANT_NOISE
@@ -18,22 +19,33 @@ def rules() -> list[classify.Rule]:
 
 
 class Book:
-    """Frames over one folder of tables. What several reports or steps read is worked out once and written."""
+    """Frames over one folder of tables. What a query reads more than once is worked out once and written, nothing else."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def words(self) -> DataFrame:
+        """The dictionary of descriptions."""
+        return classify.dictionary(adapters.texts(self.spark, self.sf_dir), rules())
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The ledger without balances, with what the dictionary says."""
+        return classify.with_dictionary(adapters.raw_ledger(self.spark, self.sf_dir), self.words)
+
     @cached_property
     def raw(self) -> DataFrame:
         return written(adapters.raw_ledger(self.spark, self.sf_dir))
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return written(adapters.transactions(self.spark, self.sf_dir, self.raw))
+        """The ledger with balances, for which its rows are read twice."""
+        return classify.with_dictionary(adapters.transactions(self.spark, self.sf_dir, self.raw), self.words)
 
     @cached_property
     def st(self) -> DataFrame:
-        return adapters.statements(self.spark, self.sf_dir, self.raw)
+        return adapters.statements(self.spark, self.sf_dir, self.__dict__.get("raw"))
 
     @cached_property
     def db(self) -> DataFrame:
@@ -45,15 +57,22 @@ class Book:
 
     @cached_property
     def tx(self) -> DataFrame:
-        return written(classify.mark_deposits(classify.categorise(self.ledger, rules())))
+        """The classified ledger, without balances."""
+        return classify.mark_deposits(classify.ruled(self.rows.drop("category"), rules())).withColumn("statement_dt", F.last_day("month"))
+
+    @cached_property
+    def audited(self) -> DataFrame:
+        """The classified ledger with balances."""
+        return classify.mark_deposits(classify.ruled(self.ledger.drop("category"), rules())).withColumn("statement_dt", F.last_day("month"))
 
     @cached_property
     def dated(self) -> DataFrame:
-        return self.tx.join(self.st.select("statement_id", "statement_dt"), "statement_id")
+        """The classified ledger, written: what matches reversals reads it several times."""
+        return written(self.tx.select(*pnl.READ))
 
     @cached_property
     def personal(self) -> DataFrame:
-        return classify.categorise_personal(self.ledger)
+        return self.rows
 
     def pl(self, period=None, rows: DataFrame | None = None) -> DataFrame:
         """Lines of profit and loss, reversals matched within each period."""
@@ -127,7 +146,7 @@ def _matched_sql(rows: str, period: str) -> str:
   FROM (SELECT c.grp, c.n, run.used, c.r_statement, c.r_sequence, list_filter(c.cands, lambda x: NOT list_contains(run.used, x))[1] AS pick FROM run JOIN cand c ON c.grp = run.grp AND c.n = run.n + 1)
 ), hit AS (
   SELECT r.account_id, r.period, r.merchant, r.statement_id AS reversal_statement, r.sequence AS reversal_sequence, d.statement_id AS debit_statement, d.sequence AS debit_sequence, d.business_category AS debit_category, least(r.cents, d.cents) AS cents
-  FROM run JOIN rev r ON r.statement_id = run.r_statement AND r.sequence = run.r_sequence JOIN rev d ON d.statement_id || '#' || d.sequence = run.pick
+  FROM run JOIN rev r ON r.statement_id = run.r_statement AND r.sequence = run.r_sequence AND r.account_id || '|' || r.period || '|' || r.merchant = run.grp JOIN rev d ON d.statement_id || '#' || d.sequence = run.pick AND d.period = r.period
 )"""
 
 
@@ -138,11 +157,11 @@ def hit_sql(period: str) -> str:
 _HIT_SECTION = f"CASE WHEN debit_category IN {names(pnl.REVENUE)} THEN 'revenue' WHEN debit_category IN {names(pnl.DIRECT)} THEN 'direct_costs' WHEN debit_category IN {names(pnl.OPERATING)} THEN 'operating_expenses' END"
 
 
-def pl_sql(period: str = "'total'", where: str = "true") -> str:
+def pl_sql(period: str = "'total'", where: str = "true", source: str = "tx") -> str:
     """CTEs up to pl(account_id, period, section, category, amount) and wide; matched reversals are off the lines of their debits."""
     totals = ", ".join(f"coalesce(sum(amount) FILTER (section = '{s}'), 0) AS total_{s}" for s in pnl.SECTIONS)
     buckets = ", ".join(f"coalesce(sum(amount) FILTER (section = '{b}'), 0) AS {b}" for b in pnl.BUCKETS)
-    return f"""RECURSIVE {TX}, used_tx AS (SELECT * FROM tx WHERE {where}
+    return f"""RECURSIVE {TX}, used_tx AS (SELECT * FROM {source} WHERE {where}
 ), routed AS (
   SELECT *, {_SECTION} AS known,
     CASE WHEN is_transfer THEN CASE WHEN is_credit THEN 'account_transfers_credits' WHEN business_category = 'Credit Card Payment' THEN 'credit_card_transfers' ELSE 'account_transfers_debits' END

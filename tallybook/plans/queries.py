@@ -92,7 +92,7 @@ def _(b):
 
 @query("f08_merchant", LEDGER, f"SELECT account_id, {M('description')} AS merchant, count(*) AS n, sum(CASE WHEN is_credit THEN amount ELSE -amount END) AS net FROM led GROUP BY ALL", "net")
 def _(b):
-    return b.ledger.groupBy("account_id", S.merchant(F.col("description")).alias("merchant")).agg(F.count("*").alias("n"), F.sum(S.signed(F.col("amount"), F.col("is_credit"))).alias("net"))
+    return b.rows.groupBy("account_id", "merchant").agg(F.count("*").alias("n"), F.sum(S.signed(F.col("amount"), F.col("is_credit"))).alias("net"))
 
 
 @query("f09_alias_glob", None, "SELECT p_partkey, CASE WHEN p_name LIKE 'red%' THEN 'RED' WHEN p_name LIKE '%l%g' THEN 'L..G' WHEN p_name = 'old rod' THEN 'ROD' ELSE 'NONE' END AS alias FROM part")
@@ -129,12 +129,12 @@ def _(b):
 
 @query("f13_pseudonyms", LEDGER, f"SELECT account_id, key, printf('Vendor %03d', row_number() OVER (PARTITION BY account_id ORDER BY first, key)) AS pseudonym FROM (SELECT account_id, lower({M('description')}) AS key, min({{'m': month, 's': sequence}}) AS first FROM led GROUP BY ALL)")
 def _(b):
-    return redact.pseudonyms(b.ledger, S.merchant(F.col("description")), [F.col("month"), F.col("sequence")], "Vendor")
+    return redact.pseudonyms(b.rows, F.col("merchant"), [F.col("month"), F.col("sequence")], "Vendor")
 
 
 @query("f14_mask_personal", LEDGER, f"SELECT {KEYS}, regexp_replace(description, '\\bX{{2,}}\\d{{4}}\\b', '[ID REDACTED]', 'g') AS masked, CASE WHEN length(description) > 45 THEN substr(description, 1, 45) || '...' ELSE description END AS short FROM led")
 def _(b):
-    return b.ledger.select(*PICK, redact.mask_personal(F.col("description"), ["NOBODY"]).alias("masked"), S.shortened(F.col("description"), 45).alias("short"))
+    return b.rows.select(*PICK, redact.mask_personal(F.col("description"), ["NOBODY"]).alias("masked"), S.shortened(F.col("description"), 45).alias("short"))
 
 
 _NAMED = "regexp_replace(regexp_replace(description || ' 4500 N MAIN ST XX1234', '(?i)pilot travel', '[NAME REDACTED]', 'g'), '(?i)old', '[NAME REDACTED]', 'g')"
@@ -143,7 +143,7 @@ _NAMED = "regexp_replace(regexp_replace(description || ' 4500 N MAIN ST XX1234',
 @query("f14_mask_names", LEDGER, f"SELECT {KEYS}, regexp_replace(regexp_replace({_NAMED}, '" + redact.STREET.replace("'", "''") + "', '[ADDRESS REDACTED]', 'g'), '\\bX{2,}\\d{4}\\b', '[ID REDACTED]', 'g') AS masked FROM led")
 def _(b):
     text = F.concat("description", F.lit(" 4500 N MAIN ST XX1234"))
-    return b.ledger.select(*PICK, redact.mask_personal(text, ["Pilot Travel", "old"]).alias("masked"))
+    return b.rows.select(*PICK, redact.mask_personal(text, ["Pilot Travel", "old"]).alias("masked"))
 
 
 # Periods
@@ -183,14 +183,14 @@ def _(b):
     out = None
     for start in (1, 4, 10):
         y, q = pnl.fiscal(F.col("post_dt"), start)
-        one = b.ledger.groupBy("account_id", F.lit(start).alias("fs"), y.alias("fy"), q.alias("fq")).agg(F.count("*").alias("n"))
+        one = b.rows.groupBy("account_id", F.lit(start).alias("fs"), y.alias("fy"), q.alias("fq")).agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query("w09_search", LEDGER, f"SELECT {KEYS}, rank, count(*) OVER (PARTITION BY account_id) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY post_dt, statement_id, sequence) AS rank FROM led WHERE lower(description) LIKE '%old%') QUALIFY rank <= 500")
 def _(b):
-    found = periods.search(b.ledger, "old")
+    found = periods.search(b.rows, "old")
     return found.select(*PICK, F.col("n").alias("rank"), "matches")
 
 
@@ -208,8 +208,7 @@ def _(b):
 
 @query("c01_rules", f"{TX}", "SELECT rule_id, category, r_tax AS tax_category, r_ded AS deductibility, r_pnl AS include_in_pnl, r_transfer AS is_transfer, r_owner AS is_owner_related, r_asset AS is_fixed_asset, r_loan AS is_loan, coalesce(texts, 0) AS texts FROM rules LEFT JOIN (SELECT rule_id, count(*) AS texts FROM ruled GROUP BY ALL) USING (rule_id)")
 def _(b):
-    found = F.coalesce(classify.first_rule(F.upper("description"), F.col("is_credit"), rules()), F.lit(0))
-    used = b.ledger.select("description", "is_credit").distinct().groupBy(found.alias("rule_id")).agg(F.count("*").alias("texts"))
+    used = b.rows.select("text_id", "is_credit", "rule_id").distinct().groupBy("rule_id").agg(F.count("*").alias("texts"))
     every = classify.rules_frame(b.spark, rules()).join(used, "rule_id", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     return every.drop("pattern", "is_income", "direction", "priority")
 
@@ -225,7 +224,7 @@ _ALIASED = "CASE WHEN upper(description) LIKE '%ACME CO' THEN 'OFFICE DEPOT' WHE
 
 @query("c04_aliases", TX.replace("upper(description) AS u", f"upper({_ALIASED}) AS u"), f"SELECT {KEYS}, description, business_category, tax_category, review_reason FROM tx")
 def _(b):
-    return classify.mark_deposits(classify.categorise(b.ledger, rules(), _ALIASES)).select(*PICK, "description", "business_category", "tax_category", "review_reason")
+    return classify.mark_deposits(classify.categorise(b.rows, rules(), _ALIASES)).select(*PICK, "description", "business_category", "tax_category", "review_reason")
 
 
 @query("c06_personal", personal_sql(), f"SELECT {KEYS}, category FROM ptx")
@@ -246,11 +245,6 @@ def _(b):
     return b.pl()
 
 
-@query("a01_pnl_matched", pl_sql(), "SELECT * FROM pl", "amount")
-def _(b):
-    return b.pl()
-
-
 _MONTH = "strftime(post_dt, '%Y-%m')"
 
 
@@ -288,19 +282,26 @@ def _(b):
     return b.wide(pnl.month_period())
 
 
-@query("a04_monthly_pnl_matched", pl_sql("strftime(post_dt, '%Y-%m')"), f"SELECT {_WIDE} FROM wide", _WIDE_MONEY)
-def _(b):
-    return b.wide(pnl.month_period())
+_FQ = "'FY' || year(post_dt - INTERVAL 9 MONTH) || ' Q' || quarter(date_trunc('month', post_dt) - INTERVAL 9 MONTH)"
 
 
-_FQ = "'FY' || year(post_dt - INTERVAL 9 MONTH) || ' Q' || quarter(date_trunc('month', post_dt) - INTERVAL 9 MONTH)"
+_FQ_DAY = "'FY' || year(date_trunc('month', post_dt) - INTERVAL 9 MONTH) || ' Q' || quarter(date_trunc('month', post_dt) - INTERVAL 9 MONTH)"
 
 
-@query("a05_quarterly_pnl", pl_sql("'FY' || year(date_trunc('month', post_dt) - INTERVAL 9 MONTH) || ' Q' || quarter(date_trunc('month', post_dt) - INTERVAL 9 MONTH)"), f"SELECT {_WIDE} FROM wide", _WIDE_MONEY)
+@query("a05_quarterly_pnl", pl_sql(_FQ_DAY), f"SELECT {_WIDE} FROM wide", _WIDE_MONEY)
 def _(b):
     return b.wide(pnl.quarter_period(10))
 
 
+_GRAINS = f"(SELECT tx.*, unnest(['total', {_MONTH}, {_FQ_DAY}]) AS grain FROM tx)"
+
+
+@query("a00_three_grains", pl_sql("grain", source=_GRAINS), f"SELECT {_WIDE} FROM wide", _WIDE_MONEY)
+def _(b):
+    """The report's run: total, months and fiscal quarters from one routing and one matching."""
+    return b.wide(F.array(pnl.total_period(), pnl.month_period(), pnl.quarter_period(10)))
+
+
 _MONTHS = [f"1999-{m:02d}" for m in range(1, 7)]
 _M6 = ", ".join(f"coalesce(sum(amount) FILTER (period = '{m}'), 0) AS m_{m.replace('-', '_')}" for m in _MONTHS) + f", coalesce(sum(amount) FILTER (period IN {names(_MONTHS)}), 0) AS total"
 _M6_MONEY = " ".join(f"m_{m.replace('-', '_')}" for m in _MONTHS)
@@ -348,17 +349,17 @@ _REC = f"""{LEDGER}, parsed AS (
 
 @query("a09_reconcile", _REC, "SELECT account_id, statement_id, label, nc AS parsed_credit_count, nd AS parsed_debit_count, pc AS parsed_credits, pd AS parsed_debits, calculated_ending, credits_ok, debits_ok, balance_ok, passed, array_to_string(warnings, '; ') AS warnings FROM rec", "parsed_credits parsed_debits calculated_ending")
 def _(b):
-    return reconcile.reconcile(b.st, b.ledger).select("account_id", "statement_id", "label", "parsed_credit_count", "parsed_debit_count", "parsed_credits", "parsed_debits", "calculated_ending", "credits_ok", "debits_ok", "balance_ok", "passed", F.array_join("warnings", "; ").alias("warnings"))
+    return reconcile.reconcile(b.st, b.rows).select("account_id", "statement_id", "label", "parsed_credit_count", "parsed_debit_count", "parsed_credits", "parsed_debits", "calculated_ending", "credits_ok", "debits_ok", "balance_ok", "passed", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query("a10_status", _REC, "SELECT account_id, count(*) AS results, count(*) FILTER (passed) AS passed_count, bool_and(passed) AS all_passed, NOT bool_and(passed) AS forced, CASE WHEN bool_and(passed) THEN 'PASSED' ELSE 'FORCED' END AS status FROM (SELECT account_id, passed FROM rec UNION ALL SELECT account_id, false FROM brk) GROUP BY ALL")
 def _(b):
-    return reconcile.status(reconcile.reconcile(b.st, b.ledger), reconcile.continuity(b.st), allow_mismatch=True)
+    return reconcile.status(reconcile.reconcile(b.st, b.rows), reconcile.continuity(b.st), allow_mismatch=True)
 
 
 @query("a11_reconcile_personal", _REC, "SELECT account_id, statement_id, nc + nd AS parsed_count, credit_count + debit_count AS expected_count, nc + nd = credit_count + debit_count AND pc = total_credits AND pd = total_debits AS passed FROM rec")
 def _(b):
-    return reconcile.reconcile_personal(b.st, b.ledger)
+    return reconcile.reconcile_personal(b.st, b.rows)
 
 
 @query("j04_continuity", _REC, "SELECT * FROM brk", "prev_ending beginning_balance gap")
@@ -368,7 +369,7 @@ def _(b):
 
 @query("j05_statement_status", _REC, "SELECT account_id, statement_id, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status FROM rec")
 def _(b):
-    return reconcile.statement_status(b.st, reconcile.reconcile(b.st, b.ledger))
+    return reconcile.statement_status(b.st, reconcile.reconcile(b.st, b.rows))
 
 
 @query("n03_missing_months", _REC, "SELECT * FROM gaps", "", "prev_dt statement_dt")
@@ -378,17 +379,17 @@ def _(b):
 
 @query("k14_reconciliation_detail", _REC, "SELECT account_id, label AS item, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, unnest(CASE WHEN passed THEN ['All counts and balances match'] ELSE warnings END) AS detail FROM rec UNION ALL SELECT account_id, label, 'FAIL', warning FROM brk UNION ALL SELECT account_id, label, 'GAP', 'Missing statement(s) detected' FROM gaps")
 def _(b):
-    return reconcile.detail(reconcile.reconcile(b.st, b.ledger), reconcile.continuity(b.st), reconcile.missing_months(b.st))
+    return reconcile.detail(reconcile.reconcile(b.st, b.rows), reconcile.continuity(b.st), reconcile.missing_months(b.st))
 
 
 @query("k15_data_quality", _REC, "SELECT account_id, statement_id, label, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN nc = credit_count THEN 'Yes' ELSE 'No' END AS credits, CASE WHEN nd = debit_count THEN 'Yes' ELSE 'No' END AS debits, CASE WHEN balance_ok THEN 'Yes' ELSE 'No' END AS balance, substr(array_to_string(warnings, '; '), 1, 80) AS warnings FROM rec")
 def _(b):
-    return reconcile.data_quality(reconcile.reconcile(b.st, b.ledger))
+    return reconcile.data_quality(reconcile.reconcile(b.st, b.rows))
 
 
 @query("x7_reconciliation", _REC, "SELECT account_id, label AS Statement, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS Status, nc AS parsed_credit_count, credit_count, nd AS parsed_debit_count, debit_count, pc AS parsed_credits, total_credits, pd AS parsed_debits, total_debits, beginning_balance, ending_balance, calculated_ending, CASE WHEN balance_ok THEN 'Yes' ELSE 'No' END AS BalanceOK, array_to_string(warnings, '; ') AS Warnings FROM rec", "parsed_credits total_credits parsed_debits total_debits beginning_balance ending_balance calculated_ending")
 def _(b):
-    return export.reconciliation(reconcile.reconcile(b.st, b.ledger))
+    return export.reconciliation(reconcile.reconcile(b.st, b.rows))
 
 
 # Figures
@@ -493,7 +494,7 @@ def _(b):
 
 @query("a33_count_totals", LEDGER, "SELECT account_id, credits, debits, expected, parsed FROM (SELECT account_id, sum(total_credits) AS credits, sum(total_debits) AS debits, sum(credit_count + debit_count)::BIGINT AS expected FROM st GROUP BY ALL) JOIN (SELECT account_id, count(*) AS parsed FROM led GROUP BY ALL) USING (account_id)", "credits debits")
 def _(b):
-    return insights.count_totals(b.st, b.ledger)
+    return insights.count_totals(b.st, b.rows)
 
 
 @query("a25_weekly_balance", LEDGER, "SELECT account_id, strftime(bal_dt, '%G-W%V') AS week, round(sum(balance)::DOUBLE / count(*), 4) AS avg_balance FROM db GROUP BY ALL")
@@ -521,7 +522,7 @@ def _(b):
 
 @query("w10_gates", _TXQ + _REC.removeprefix(LEDGER) + f", q AS ({_QUALITY}), n AS (SELECT account_id, count(*) AS statements FROM st GROUP BY ALL), g AS (SELECT account_id, bool_and(passed) AS all_passed FROM (SELECT account_id, passed FROM rec UNION ALL SELECT account_id, false FROM brk) GROUP BY ALL)", "SELECT account_id, all_passed AS may_report, CASE WHEN total_revenue = 0 THEN 'no revenue' WHEN review > 5 * statements THEN 'too much to review' ELSE '' END AS projections_held FROM g JOIN q USING (account_id) JOIN n USING (account_id) JOIN wide USING (account_id)")
 def _(b):
-    status = reconcile.status(reconcile.reconcile(b.st, b.ledger), reconcile.continuity(b.st))
+    status = reconcile.status(reconcile.reconcile(b.st, b.rows), reconcile.continuity(b.st))
     quality = insights.classification(b.tx).select("account_id", F.col("review").alias("review_count")).join(b.st.groupBy("account_id").agg(F.count("*").alias("statements")), "account_id")
     return periods.gates(status, quality, b.wide().select("account_id", "total_revenue"))
 
@@ -593,12 +594,12 @@ _DETAIL = f"SELECT account_id, statement_id, row_number() OVER (PARTITION BY sta
 
 @query("k10_detail", TX, f"{_DETAIL} QUALIFY rank <= 50")
 def _(b):
-    return insights.transaction_detail(b.tx)
+    return insights.transaction_detail(b.audited)
 
 
 @query("k10_detail_all", TX, _DETAIL)
 def _(b):
-    return insights.transaction_detail(b.tx, None)
+    return insights.transaction_detail(b.audited, None)
 
 
 # Personal profile
@@ -685,7 +686,7 @@ _SAFE = "CASE WHEN regexp_matches({0}, '^[=+\\-@]') THEN '''' || {0} ELSE {0} EN
 
 @query("s06_audit", TX, f"SELECT account_id, strftime(last_day(month), '%B %Y') AS Statement, strftime(post_dt, '%m/%d/%Y') AS PostDate, description AS Description, (CASE WHEN is_credit THEN amount ELSE -amount END)::DOUBLE AS Amount, CASE WHEN is_credit THEN 'Credit' ELSE 'Debit' END AS Type, balance::DOUBLE AS Balance, business_category AS BusinessCategory, tax_category AS TaxCategory, deductibility AS Deductibility, review_reason AS ReviewReason, {M('description')} AS Merchant, statement_id AS SourceStatement, " + ", ".join(_YN.format(c, f'"{n}"') for n, c in (("P&LIncluded", "include_in_pnl"), ("CPAReview", "cpa_review"), ("IsTransfer", "is_transfer"), ("IsOwnerRelated", "is_owner_related"), ("IsFixedAsset", "is_fixed_asset"), ("IsLoan", "is_loan"))) + " FROM tx")
 def _(b):
-    return export.audit(b.dated)
+    return export.audit(b.audited)
 
 
 @query("s07_profit_and_loss", _TXQ, "SELECT account_id, CASE section WHEN 'revenue' THEN 1 WHEN 'direct_costs' THEN 2 ELSE 3 END AS ord, category, CASE section WHEN 'revenue' THEN 'Revenue' WHEN 'direct_costs' THEN 'COGS/Direct Cost' ELSE 'Operating Expense' END AS type, amount FROM pl WHERE section IN ('revenue', 'direct_costs', 'operating_expenses') UNION ALL " + " UNION ALL ".join(f"SELECT account_id, {i}, '{n}', '{t}', {c} FROM wide" for i, (n, t, c) in enumerate((("Total Revenue", "Revenue", "total_revenue"), ("Total COGS", "COGS", "total_direct_costs"), ("Gross Profit", "Profit", "gross_profit"), ("Total OpEx", "Expense", "total_operating_expenses"), ("Operating Profit", "Profit", "operating_profit"), ("Net Profit", "Profit", "net_profit")), 11)), "amount")
@@ -784,7 +785,7 @@ def _(b):
 
 @query("s10_personal_audit", _PTX, "SELECT account_id, strftime(last_day(month), '%B %Y') AS Statement, strftime(post_dt, '%m/%d/%Y') AS PostDate, regexp_replace(description, '\\bX{2,}\\d{4}\\b', '[ID REDACTED]', 'g') AS Description, (CASE WHEN is_credit THEN amount ELSE -amount END)::DOUBLE AS Amount, CASE WHEN is_credit THEN 'Credit' ELSE 'Debit' END AS Type, balance::DOUBLE AS Balance, category AS Category FROM ptx")
 def _(b):
-    tx = b.personal.join(b.st.select("statement_id", "statement_dt"), "statement_id")
+    tx = b.personal.withColumn("statement_dt", F.last_day("month"))
     return insights.personal_audit(tx, redact.mask_personal(F.col("description")))
 
 

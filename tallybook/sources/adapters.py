@@ -6,7 +6,7 @@ some months are left out and some totals are wrong, so that the checks on them h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MONEY, signed
@@ -24,6 +24,19 @@ CUSTOM = (
     {"pattern": r"\bWIDGET\b", "category": "Materials and Supplies", "tax_category": "Materials & Supplies", "deductibility": "likely-deductible", "direction": "debit", "priority": 2},
     {"pattern": r"\bROD\b", "category": "Loan Interest", "tax_category": "Interest", "direction": "debit", "priority": 3},
 )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """description of every part: all that the ledger can have."""
+    part = table(spark, sf_dir, "part")
+    return part.select(described("p_partkey", "p_name").alias("description")).distinct()
+
+
+def described(number: str, name: str) -> Column:
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col(number) % len(PHRASES) + 1).cast("int"))
+    return F.concat(F.lit(CARD), F.upper(name), F.lit(" "), phrase)
+
+
 ORDER = ("post_dt", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -37,7 +50,6 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("account_id"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("l_partkey") % len(PHRASES) + 1).cast("int"))
     rows = line.join(part, "l_partkey").join(orders, "l_orderkey").join(customer, "o_custkey")
     rows = rows.withColumns({"post_dt": F.to_date("l_shipdate"), "month": F.trunc(F.to_date("l_shipdate"), "MM")})
     return rows.select(
@@ -46,7 +58,7 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "month",
         F.row_number().over(Window.partitionBy("account_id", "month").orderBy(*ORDER)).alias("sequence"),
         "post_dt",
-        F.concat(F.lit(CARD), F.upper("p_name"), F.lit(" "), phrase).alias("description"),
+        described("l_partkey", "p_name").alias("description"),
         F.col("l_extendedprice").cast(MONEY).alias("amount"),
         (F.col("l_linestatus") == "O").alias("is_credit"),
     )
@@ -89,13 +101,12 @@ def statements(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None
 
 
 def transactions(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger's rows with the balance after each, of the months that have a statement."""
+    """The ledger's rows with the balance after each. Months without a statement have their rows all the same."""
     ledger = raw_ledger(spark, sf_dir) if ledger is None else ledger
     months = month_totals(ledger).select("statement_id", "beginning_balance")
-    number = F.year("month") * 12 + F.month("month") + F.col("account_id")
     inside = Window.partitionBy("statement_id").orderBy("sequence")
     moved = F.sum(signed(F.col("amount"), F.col("is_credit"))).over(inside)
-    return ledger.where(number % 17 != 0).withColumn("moved", moved).join(months, "statement_id").withColumn("balance", (F.col("beginning_balance") + F.col("moved")).cast(MONEY)).drop("moved", "beginning_balance")
+    return ledger.withColumn("moved", moved).join(months, "statement_id").withColumn("balance", (F.col("beginning_balance") + F.col("moved")).cast(MONEY)).drop("moved", "beginning_balance")
 
 
 def daily_balances(tx: DataFrame) -> DataFrame:
@@ -126,7 +137,7 @@ raw AS (
 ), led AS (
   SELECT r.account_id, r.statement_id, r.month, r.sequence, r.post_dt, r.description, r.amount, r.is_credit,
          m.true_ending - m.total_credits + m.total_debits + sum(CASE WHEN is_credit THEN amount ELSE -amount END) OVER (PARTITION BY r.statement_id ORDER BY r.sequence) AS balance
-  FROM raw2 r JOIN months m USING (statement_id) WHERE NOT r.missing
+  FROM raw2 r JOIN months m USING (statement_id)
 ), db AS (
   SELECT account_id, statement_id, post_dt AS bal_dt, arg_max(balance, sequence) AS balance FROM led GROUP BY ALL
 )"""
