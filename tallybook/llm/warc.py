@@ -313,14 +313,16 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     Of rows with equal payloads of at least `least` bytes that with the largest id becomes a response, the others
     revisits of it; of rows that repeat that id the last by place in the input, and a null id is smaller than all
     others. Null pages are empty payloads, null URLs are about:blank; blanks and control characters of URLs are written
-    as %XX. Other columns are not read. An empty table gives no archive. The dictionary is trained on at most
-    TRAINED_PAGES pages, picked by a hash of the id, which changes no record.
+    as %XX. Other columns are not read. An empty table gives no archive. The dictionary is trained on about
+    TRAINED_PAGES pages, twice as many at most, picked by a hash of their place, which changes no record.
     """
     spark = pages.sparkSession
     small_batches(spark)
     folder = uri(folder or shared_dir(spark))
-    texts = pages.select(F.substring(text_of(pages, html_col), 1, TRAINED_CHARS).alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("of"))
-    sample = trained([record({"WARC-Type": "response", "WARC-Record-ID": "<urn:page:0:>", "WARC-Date": date, "Content-Type": HTTP}, http_header(0) + r.text.encode()) for r in texts.orderBy("of").limit(TRAINED_PAGES).collect()])
+    n = pages.count()
+    some = located(pages, F.substring(text_of(pages, html_col), 1, TRAINED_CHARS).alias("text"))
+    some = some.where(F.shiftrightunsigned(F.xxhash64(*PLACE), 1) < min((1 << 63) - 1, TRAINED_PAGES * (1 << 63) // max(1, n))).limit(2 * TRAINED_PAGES)
+    sample = trained([record({"WARC-Type": "response", "WARC-Record-ID": "<urn:page:0:>", "WARC-Date": date, "Content-Type": HTTP}, http_header(0) + r.text.encode()) for r in some.collect()])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = zstandard.ZstdCompressionDict(sample) if sample else None
