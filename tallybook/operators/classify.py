@@ -100,6 +100,16 @@ def option_issues(options: dict) -> list[str]:
     return out
 
 
+def rule_issues(rules: DataFrame) -> DataFrame:
+    """rule_id, issue for each thing that is wrong with rows of rules (rule_id, pattern, direction, deductibility)."""
+    wrong = F.array_compact(F.array(
+        F.when(F.trim(F.coalesce("pattern", F.lit(""))) == "", "no pattern"),
+        F.when(~F.coalesce("direction", F.lit("either")).isin("credit", "debit", "either"), F.concat(F.lit("unknown direction: "), "direction")),
+        F.when(~F.coalesce("deductibility", F.lit("unknown")).isin(*DEDUCTIBILITY), F.concat(F.lit("unknown deductibility: "), "deductibility")),
+    ))
+    return rules.select("rule_id", F.explode(wrong).alias("issue"))
+
+
 def ordered(custom: list[Rule] = (), defaults: list[Rule] | None = None) -> list[Rule]:
     """All custom rules before all default ones, each by priority; rules of one priority stay in order."""
     by = lambda r: r.priority

@@ -65,5 +65,5 @@ def reconciliation(results: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One folder of CSV files; an existing one is only replaced if asked for, and a failed write leaves none."""
+    """One folder of CSV files; an existing one is only replaced if asked for, and a failed write leaves none: to replace one only by a whole one, publish it (sources.publish)."""
     df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.document_values import DOCUMENTS, STATUS
 from ..functions.scalars import MONEY, divided, dollars, iso_week, merchant_of, month_label, percent, ratio, share_label
+from .ranks import falling, numbered
 
+# Categories with lists and figures of their own.
 VEHICLE = ("Fuel", "Vehicle Expense", "Equipment Maintenance", "Repairs and Maintenance", "Tolls and Scale Fees")
 STAFF = ("Payroll", "Payroll Taxes", "Employee Benefits", "Contract Labor", "Subcontractors")
 LOANS = ("Loan Proceeds", "Loan Principal Payment", "Loan Interest", "Credit Card Payment")
@@ -139,7 +141,7 @@ def vendors(tx: DataFrame, k: int = 20) -> DataFrame:
 def merchant_template(tx: DataFrame) -> DataFrame:
     first = F.struct("month", "sequence")
     rows = tx.groupBy("account_id", merchant_of(tx).alias("merchant")).agg(F.min_by("business_category", first).alias("category"), F.min_by("tax_category", first).alias("tax_category"), F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("total"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("total"), "merchant")))
+    return numbered(rows, ["account_id"], falling(F.col("total")), [F.desc("total"), "merchant"], "rank")
 
 
 def top_with_other(lines: DataFrame, k: int, other: str = "Other") -> DataFrame:
@@ -276,9 +278,8 @@ def newest(tx: DataFrame, k: int | None = 50) -> DataFrame:
 
 def transaction_detail(tx: DataFrame, k: int | None = 50) -> DataFrame:
     """The rows as they are listed for a statement, newest first; k None: all."""
-    order = Window.partitionBy("statement_id").orderBy(F.desc("post_dt"), "sequence")
-    rows = tx.withColumn("rank", F.row_number().over(order))
-    rows = rows if k is None else rows.where(F.col("rank") <= k)
+    order = [F.desc("post_dt"), "sequence"]
+    rows = numbered(tx, ["statement_id"], -F.unix_date("post_dt"), order, "rank") if k is None else top(tx, k, order[:1], by=("statement_id",), tail=("sequence",))
     amount = F.concat(F.when(F.col("is_credit"), "+").otherwise("-"), dollars(F.col("amount")))
     return rows.select("account_id", "statement_id", "rank", F.date_format("post_dt", "MM/dd/yyyy").alias("date"), F.substring("description", 1, 50).alias("description"), F.substring("business_category", 1, 18).alias("category"), amount.alias("amount"), dollars(F.col("balance")).alias("balance"), F.when(F.col("cpa_review"), "Yes").otherwise("").alias("review"))
 
@@ -303,10 +304,17 @@ def category_pie(tx: DataFrame) -> DataFrame:
     return rows.withColumn("category", F.when(share >= 0.03, F.col("category")).otherwise("Other (<3% each)")).groupBy("account_id", "category").agg(F.sum("total").cast(MONEY).alias("total"))
 
 
+def category_cells(tx: DataFrame, k: int = 8) -> DataFrame:
+    """account_id, category, period, amount: an account's k largest categories by each of its months, 0 where nothing was paid."""
+    sums = tx.where(~F.col("is_credit")).groupBy("account_id", "category", F.date_format("post_dt", "yyyy-MM").alias("period")).agg(F.sum("amount").alias("amount"))
+    largest = top(sums.groupBy("account_id", "category").agg(F.sum("amount").alias("total")), k, [F.desc("total")], tail=("category",)).select("account_id", "category")
+    grid = largest.join(sums.select("account_id", "period").distinct(), "account_id")
+    return grid.join(sums, ["account_id", "category", "period"], "left").withColumn("amount", F.coalesce("amount", F.lit(0)).cast(MONEY))
+
+
 def category_by_month(tx: DataFrame, months: list[str], k: int = 8) -> DataFrame:
-    debit = tx.where(~F.col("is_credit"))
-    largest = top(debit.groupBy("account_id", "category").agg(F.sum("amount").alias("total")), k, [F.desc("total")], tail=("category",)).select("account_id", "category")
-    wide = debit.join(largest, ["account_id", "category"], "left_semi").groupBy("account_id", "category").pivot("period", months).agg(F.sum("amount"))
+    """category_cells as columns, for given months."""
+    wide = category_cells(tx, k).groupBy("account_id", "category").pivot("period", months).agg(F.sum("amount"))
     return wide.select("account_id", "category", *(F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast(MONEY).alias(f"m_{m.replace('-', '_')}") for m in months))
 
 

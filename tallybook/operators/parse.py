@@ -18,7 +18,7 @@ BUSINESS_STARTS = (r"^[A-Z\s]+LLC\s+X+", r"^(?:CLASSIC|BASIC|BUSINESS)\s+CHECKIN
 UNSIGNED = r"\$[\d,]+\.\d{2}"
 DATED = r"^\d{2}/\d{2}/\d{4}"
 HEADER_LINES = 15
-#: What is taken out of a description, in this order.
+# What is taken out of a description, in this order.
 DESCRIPTION_NOISE = ((r"\d\s+\d{2}/\d{2}", ""), (r"\s+\d{1,2}\s*$", ""), (r"\b\w{50,}\b", ""), (r"\b([A-Za-z]+)\d{1,2}\b", "$1"), (r"\s+", " "))
 
 any_of = lambda tests: reduce(Column.__or__, tests)

@@ -290,6 +290,25 @@ def month_matrix(pl: DataFrame, months: list[str]) -> DataFrame:
     return wide.select("account_id", "section", "category", *(x.alias(f"m_{m.replace('-', '_')}") for x, m in zip(filled, months)), reduce(Column.__add__, filled).cast(MONEY).alias("total"))
 
 
+def month_cells(pl: DataFrame) -> DataFrame:
+    """The month matrix as cells, for whatever periods an account has: account_id, section, category, period, amount, total.
+
+    Every category of an account has a cell for each of its periods, 0 where nothing moved, and each section a TOTAL line.
+    """
+    line = ["account_id", "section", "category"]
+    kept = pl.where(F.col("section").isin(*SECTIONS)).select(*line, "period", "amount")
+    kept = kept.unionByName(kept.groupBy("account_id", "section", "period").agg(F.sum("amount").alias("amount")).withColumn("category", F.lit("TOTAL")))
+    grid = kept.select(*line).distinct().join(kept.select("account_id", "period").distinct(), "account_id")
+    cells = grid.join(kept, [*line, "period"], "left").groupBy(*line, "period").agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("amount"))
+    return cells.withColumn("total", F.sum("amount").over(Window.partitionBy(*line)).cast(MONEY))
+
+
+def quarter_cells(wide: DataFrame) -> DataFrame:
+    """The quarter matrix as cells: account_id, metric, period, amount, total."""
+    cell = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("amount")) for m in QUARTER_METRICS))).alias("x")
+    return wide.select("account_id", "period", cell).select("account_id", "x.metric", "period", "x.amount").withColumn("total", F.sum("amount").over(Window.partitionBy("account_id", "metric")).cast(MONEY))
+
+
 QUARTER_METRICS = ("total_revenue", "total_direct_costs", "gross_profit", "total_operating_expenses", "operating_profit", "net_profit")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 from ..functions.scalars import literal
 
 # What is masked in descriptions.
@@ -38,10 +40,14 @@ def redact(value: Column, names: list[str] = (), addresses: list[str] = (), phon
 
 
 def pseudonyms(df: DataFrame, value: Column, order: list[Column], prefix: str, by: tuple[str, ...] = ("account_id",)) -> DataFrame:
-    """(by, key, pseudonym): distinct values in any case, numbered per group by where they come first."""
-    keys = df.groupBy(*by, F.lower(value).alias("key")).agg(F.min(F.struct(*order)).alias("first"))
-    n = F.row_number().over(Window.partitionBy(*by).orderBy("first", "key"))
-    return keys.where("key != ''").select(*by, "key", F.format_string(f"{prefix} %03d", n).alias("pseudonym"))
+    """(by, key, pseudonym): distinct values in any case, numbered per group by where they come first.
+
+    A group is numbered in parts by the first column of order.
+    """
+    keys = df.groupBy(*by, F.lower(value).alias("key")).agg(F.min(F.struct(*order)).alias("first")).where("key != ''")
+    parts = keys.withColumn("part", F.col("first").getField(keys.schema["first"].dataType.names[0]))
+    found = numbered(parts, list(by), F.col("part"), ["first", "key"])
+    return found.select(*by, "key", F.format_string(f"{prefix} %03d", "n").alias("pseudonym"))
 
 
 def mask_personal(value: Column, names: list[str] = ()) -> Column:

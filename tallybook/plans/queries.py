@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions.document_values import DOCUMENTS
-from ..operators import classify, export, insights, parse, periods, pnl, project, reconcile, redact
-from ..sources import adapters, texts
+from ..operators import classify, export, insights, parse, periods, pnl, project, reconcile, redact, search
+from ..sources import adapters, loads, publish, texts
+from ..sources.shared import shared_dir
 from .book import LEDGER, TX, Book, hit_sql, merchant_sql, names, personal_sql, pl_sql, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,7 +192,7 @@ def _(b):
 
 @query("w09_search", LEDGER, f"SELECT {KEYS}, rank, count(*) OVER (PARTITION BY account_id) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY post_dt, statement_id, sequence) AS rank FROM led WHERE lower(description) LIKE '%old%') QUALIFY rank <= 500")
 def _(b):
-    found = periods.search(b.rows, "old")
+    found = periods.search(search.holding(b.rows, b.words, search.index(b.words), "old"), "old")
     return found.select(*PICK, F.col("n").alias("rank"), "matches")
 
 
@@ -282,9 +284,6 @@ def _(b):
     return b.wide(pnl.month_period())
 
 
-_FQ = "'FY' || year(post_dt - INTERVAL 9 MONTH) || ' Q' || quarter(date_trunc('month', post_dt) - INTERVAL 9 MONTH)"
-
-
 _FQ_DAY = "'FY' || year(date_trunc('month', post_dt) - INTERVAL 9 MONTH) || ' Q' || quarter(date_trunc('month', post_dt) - INTERVAL 9 MONTH)"
 
 
@@ -302,22 +301,18 @@ def _(b):
     return b.wide(F.array(pnl.total_period(), pnl.month_period(), pnl.quarter_period(10)))
 
 
-_MONTHS = [f"1999-{m:02d}" for m in range(1, 7)]
-_M6 = ", ".join(f"coalesce(sum(amount) FILTER (period = '{m}'), 0) AS m_{m.replace('-', '_')}" for m in _MONTHS) + f", coalesce(sum(amount) FILTER (period IN {names(_MONTHS)}), 0) AS total"
-_M6_MONEY = " ".join(f"m_{m.replace('-', '_')}" for m in _MONTHS)
+_CELLS = """, cell AS (SELECT account_id, section, coalesce(category, 'TOTAL') AS category, period, sum(amount) AS amount FROM pl WHERE section IN {} GROUP BY GROUPING SETS ((account_id, section, category, period), (account_id, section, period))
+), grid AS (SELECT * FROM (SELECT DISTINCT account_id, section, category FROM cell) JOIN (SELECT DISTINCT account_id, period FROM cell) USING (account_id))"""
 
 
-@query("a06_month_matrix", pl_sql("strftime(post_dt, '%Y-%m')"), f"SELECT account_id, section, coalesce(category, 'TOTAL') AS category, {_M6} FROM pl WHERE section IN {names(pnl.SECTIONS)} GROUP BY GROUPING SETS ((account_id, section, category), (account_id, section))", _M6_MONEY + " total")
+@query("a06_month_matrix", pl_sql(_MONTH) + _CELLS.format(names(pnl.SECTIONS)), "SELECT account_id, section, category, period, coalesce(amount, 0) AS amount, sum(coalesce(amount, 0)) OVER (PARTITION BY account_id, section, category) AS total FROM grid LEFT JOIN cell USING (account_id, section, category, period)", "amount total")
 def _(b):
-    return pnl.month_matrix(b.pl(pnl.month_period()), _MONTHS)
-
+    return pnl.month_cells(b.pl(pnl.month_period()))
 
-_QS = ["FY1998 Q1", "FY1998 Q2", "FY1998 Q3", "FY1998 Q4"]
 
-
-@query("a07_quarter_matrix", pl_sql("'FY' || year(post_dt) || ' Q' || quarter(post_dt)") + f", long AS (UNPIVOT (SELECT account_id, period, {', '.join(pnl.QUARTER_METRICS)} FROM (SELECT account_id, period, " + ", ".join(f"{m}::DECIMAL(38,2) AS {m}" for m in pnl.QUARTER_METRICS) + " FROM wide)) ON " + ", ".join(pnl.QUARTER_METRICS) + " INTO NAME metric VALUE v)", "SELECT account_id, metric, " + ", ".join(f"coalesce(sum(v) FILTER (period = '{q}'), 0) AS {q.lower().replace(' ', '_')}" for q in _QS) + f", coalesce(sum(v) FILTER (period IN {names(_QS)}), 0) AS total FROM long GROUP BY ALL", " ".join(q.lower().replace(" ", "_") for q in _QS) + " total")
+@query("a07_quarter_matrix", pl_sql("'FY' || year(post_dt) || ' Q' || quarter(post_dt)") + f", long AS (UNPIVOT (SELECT account_id, period, {', '.join(f'{m}::DECIMAL(38,2) AS {m}' for m in pnl.QUARTER_METRICS)} FROM wide) ON " + ", ".join(pnl.QUARTER_METRICS) + " INTO NAME metric VALUE amount)", "SELECT account_id, metric, period, amount, sum(amount) OVER (PARTITION BY account_id, metric) AS total FROM long", "amount total")
 def _(b):
-    return pnl.quarter_matrix(b.wide(pnl.quarter_period()), _QS)
+    return pnl.quarter_cells(b.wide(pnl.quarter_period()))
 
 
 @query("a08_statement_lines", pl_sql("strftime(post_dt, '%Y-%m')"), f"SELECT account_id, period, section, category, amount, {pct('amount', 'coalesce(total_revenue, 0)')} AS of_revenue FROM pl JOIN wide USING (account_id, period) WHERE section IN {names(pnl.SECTIONS)} AND amount <> 0", "amount")
@@ -631,9 +626,9 @@ def _(b):
     return insights.category_pie(b.personal)
 
 
-@query("a24_category_by_month", _PTX + f", c AS ({_CAT}), t AS (SELECT account_id, category FROM c QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY total DESC, category) <= 8)", "SELECT account_id, category, " + ", ".join(f"coalesce(sum(amount) FILTER (strftime(post_dt, '%Y-%m') = '{m}'), 0) AS m_{m.replace('-', '_')}" for m in _MONTHS) + " FROM ptx SEMI JOIN t USING (account_id, category) WHERE NOT is_credit GROUP BY ALL", _M6_MONEY)
+@query("a24_category_by_month", _PTX + f", c AS ({_CAT}), t AS (SELECT account_id, category FROM c QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY total DESC, category) <= 8), debit AS (SELECT *, {_MONTH} AS period FROM ptx WHERE NOT is_credit), grid AS (SELECT * FROM t JOIN (SELECT DISTINCT account_id, period FROM debit) USING (account_id))", "SELECT account_id, category, period, coalesce(sum(amount), 0) AS amount FROM grid LEFT JOIN debit USING (account_id, category, period) GROUP BY ALL", "amount")
 def _(b):
-    return insights.category_by_month(b.personal.withColumn("period", pnl.month_period()), _MONTHS)
+    return insights.category_cells(b.personal)
 
 
 # Projections
@@ -726,7 +721,7 @@ def _(b):
     return parse.statements(_texts(b))[0]
 
 
-@query("p03_transactions", LEDGER, f"SELECT statement_id AS doc_id, sequence, strftime(post_dt, '%m/%d/%Y') AS post_date, {_clean_sql('description')} || CASE WHEN sequence % 3 = 2 THEN ' REF TEXT' ELSE '' END AS description, amount, is_credit, balance FROM led", "amount balance")
+@query("p03_transactions", LEDGER, f"SELECT statement_id AS doc_id, sequence, strftime(post_dt, '%m/%d/%Y') AS post_date, {_clean_sql('description')} || CASE WHEN sequence % 3 = 2 THEN ' REF TEXT' ELSE '' END AS description, amount, is_credit, balance FROM led SEMI JOIN st USING (statement_id)", "amount balance")
 def _(b):
     return parse.statements(_texts(b))[1]
 
@@ -753,7 +748,7 @@ def _(b):
     return parse.checks(parse.lines_of(_texts(b))).drop("n")
 
 
-@query("p12_daily", LEDGER, "SELECT statement_id AS doc_id, bal_dt, balance FROM db", "balance", "bal_dt")
+@query("p12_daily", LEDGER, "SELECT statement_id AS doc_id, bal_dt, balance FROM db SEMI JOIN st USING (statement_id)", "balance", "bal_dt")
 def _(b):
     return parse.daily(parse.lines_of(_texts(b))).drop("n", "i")
 
@@ -763,9 +758,17 @@ def _(b):
     return parse.fees(parse.lines_of(_texts(b)))
 
 
-@query("p14_validate", LEDGER, "SELECT statement_id AS doc_id, '' AS errors, CASE WHEN beginning_balance = 0 AND ending_balance = 0 THEN 'Summary balances not found (beginning/ending)' ELSE '' END AS warnings, 'accepted' AS outcome FROM st")
+_BAD_DATE = "'13' || substr(strftime({}, '%m/%d/%Y'), 3)"
+_ERRORS = {1: "'Missing statement date'", 2: "'Missing account number'", 3: f"'Invalid statement date: ' || {_BAD_DATE.format('statement_dt')}", 6: "'Invalid transaction date: 13/45/' || year(month)", 8: "'Missing statement date; Missing account number'"}
+_NO_BALANCES, _NO_COUNTS = "'Summary balances not found (beginning/ending)'", "'Credit/debit counts not found in summary'"
+_DAMAGE = "(year(month) * 12 + month(month) + account_id) % 13"
+
+
+@query("p14_validate", f"{LEDGER}, k AS (SELECT *, {_DAMAGE} AS kind, date_diff('day', DATE '1970-01-01', month) % 2 = 1 AS turned FROM st)", "SELECT statement_id AS doc_id, CASE kind " + " ".join(f"WHEN {k} THEN {e}" for k, e in _ERRORS.items()) + f" ELSE '' END AS errors, CASE WHEN kind = 5 THEN '' WHEN kind = 4 THEN CASE WHEN beginning_balance = 0 AND ending_balance = 0 THEN {_NO_BALANCES} || '; ' ELSE '' END || {_NO_COUNTS} WHEN kind = 7 AND (NOT turned OR beginning_balance = 0) OR kind <> 7 AND beginning_balance = 0 AND ending_balance = 0 THEN {_NO_BALANCES} ELSE '' END AS warnings, CASE WHEN kind = 5 THEN 'empty' WHEN kind IN (1, 2, 3, 6, 8) THEN 'rejected' ELSE 'accepted' END AS outcome FROM k")
 def _(b):
-    parsed, tx = parse.statements(_texts(b))
+    kinds = b.st.select(F.col("statement_id").alias("doc_id"), ((F.year("month") * 12 + F.month("month") + F.col("account_id")) % 13).alias("kind"))
+    docs = texts.damaged(_texts(b).join(kinds, "doc_id"), F.col("kind")).drop("kind")
+    parsed, tx = parse.statements(docs)
     return parse.validate(parsed, tx).select("doc_id", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "outcome")
 
 
@@ -775,6 +778,49 @@ def _(b):
     return texts.distinct_texts(files)[0].select(F.col("path").cast("long").alias("doc_id"), "hash")
 
 
+@query("s01_statement_files", None, "SELECT doc_id FROM documents WHERE doc_id % 4 < 2 AND doc_id % 7 <> 3")
+def _(b):
+    suffix = F.element_at(F.array(*map(F.lit, (".txt", ".TXT", ".pdf", ".txt.bak"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("in/"), F.when(F.col("doc_id") % 7 == 3, "Personal_Financial_Report_").otherwise("statement_"), F.col("doc_id").cast("string"), suffix)
+    return adapters.table(b.spark, b.sf_dir, "documents").where(texts.statement_file(path)).select("doc_id")
+
+
+@query("s03_two_loads", None, "WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id < (SELECT count(*) FROM documents) // 2 THEN 'a' ELSE 'b' END AS load FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY load, doc_id) AS n FROM d) SELECT doc_id, load, CASE WHEN n = 1 THEN 'kept' ELSE 'dropped' END AS outcome FROM r")
+def _(b):
+    docs = adapters.table(b.spark, b.sf_dir, "documents")
+    files = docs.select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    half, folder, out = docs.count() // 2, shared_dir(b.spark), []
+    for name, part in (("a", files.where(F.col("doc_id") < half)), ("b", files.where(F.col("doc_id") >= half))):
+        for outcome, rows in zip(("kept", "dropped"), loads.load(part.select("path", "text"), folder, name)):
+            out.append(rows.select(F.col("path").cast("long").alias("doc_id"), F.lit(name).alias("load"), F.lit(outcome).alias("outcome")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query("s05_rule_issues", None, "SELECT p_partkey AS rule_id, unnest(list_filter([CASE WHEN p_size % 4 = 3 THEN 'unknown direction: up' END, CASE WHEN p_size % 6 = 5 THEN 'unknown deductibility: maybe' END], lambda x: x IS NOT NULL)) AS issue FROM part")
+def _(b):
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_size") % len(values) + 1).cast("int"))
+    part = adapters.table(b.spark, b.sf_dir, "part")
+    return classify.rule_issues(part.select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("pattern"), of(("credit", "debit", "either", "up")).alias("direction"), of((*classify.DEDUCTIBILITY, "maybe")).alias("deductibility")))
+
+
+@query("s11_publish", f"{TX}", " UNION ALL ".join(f"SELECT '{key}' AS output, account_id, count(*) AS n FROM ({sql}) GROUP BY ALL" for key, sql in _EXTRACTS.values()))
+def _(b):
+    """All extracts published together, twice, and read back as published."""
+    target, out = shared_dir(b.spark), []
+    for overwrite in (False, True):
+        publish.publish(export.extracts(b.tx), target, overwrite)
+    publish.prune(b.spark, target)
+    for key, _ in _EXTRACTS.values():
+        out.append(publish.published(b.spark, target, key).groupBy(F.col("account_id").cast("int").alias("account_id")).agg(F.count("*").alias("n")).select(F.lit(key).alias("output"), "account_id", "n"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query("s12_formula_guard", None, "SELECT event_id, CASE event_id % 6 WHEN 0 THEN '''=' WHEN 1 THEN '''+' WHEN 2 THEN '''-' WHEN 3 THEN '''@' WHEN 4 THEN ' =' ELSE '' END || event_type AS cell FROM events")
+def _(b):
+    sign = F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", " =", ""))), (F.col("event_id") % 6 + 1).cast("int"))
+    return adapters.table(b.spark, b.sf_dir, "events").select("event_id", S.csv_safe(F.concat(sign, "event_type")).alias("cell"))
+
+
 # The rest of the personal profile, documents, calendars
 
 
@@ -785,7 +831,7 @@ def _(b):
 
 @query("s10_personal_audit", _PTX, "SELECT account_id, strftime(last_day(month), '%B %Y') AS Statement, strftime(post_dt, '%m/%d/%Y') AS PostDate, regexp_replace(description, '\\bX{2,}\\d{4}\\b', '[ID REDACTED]', 'g') AS Description, (CASE WHEN is_credit THEN amount ELSE -amount END)::DOUBLE AS Amount, CASE WHEN is_credit THEN 'Credit' ELSE 'Debit' END AS Type, balance::DOUBLE AS Balance, category AS Category FROM ptx")
 def _(b):
-    tx = b.personal.withColumn("statement_dt", F.last_day("month"))
+    tx = b.ledger.withColumn("statement_dt", F.last_day("month"))
     return insights.personal_audit(tx, redact.mask_personal(F.col("description")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dollars
@@ -17,6 +17,11 @@ def read_texts(spark: SparkSession, folder: str, glob: str = "*.[tT][xX][tT]") -
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike(OWN_REPORTS)).orderBy("path")
 
 
+def statement_file(path: Column) -> Column:
+    """Whether a path is one of an extracted statement: its suffix in any case, and not the name of an own report."""
+    return path.rlike(r"(?i)\.txt$") & ~path.rlike(OWN_REPORTS)
+
+
 def distinct_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) of files (path, text): of equal contents the first path stays."""
     first = Window.partitionBy("hash").orderBy("path")
@@ -24,18 +29,53 @@ def distinct_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("n = 1").drop("n"), rows.where("n > 1").select("path", F.lit("Duplicate file content").alias("message"))
 
 
+#: Lines of page heads and feet.
+PAGE_LINES = ("Page 2 of 2", "12345678  Checking Account Statements", "RETURN SERVICE REQUESTED", "#55 12", "Account Activity (continued)", "0123456789ABCDEF0123456789ABCDEF", "7", "IA 52001")
+
+#: How damaged() spoils a text, by number; other numbers leave it as it is.
+DAMAGE = {
+    1: (("Statement Ending ", "Statement of "),),
+    2: (("XXXXXXXXXX", "ACCOUNT "),),
+    3: (("Statement Ending \\d\\d", "Statement Ending 13"),),
+    4: (("(?m)^.*This Period.*$", ""),),
+    5: (("(?s)Account Activity.*Checks Cleared", "Checks Cleared"),),
+    6: (("(?m)^\\d\\d/\\d\\d/(\\d{4})  ", "13/45/$1  "),),
+    7: (("(?m)^(Beginning|Ending) Balance.*$", "Balance"),),
+    8: (("Statement Ending ", "Statement of "), ("XXXXXXXXXX", "ACCOUNT ")),
+}
+
+
+def damaged(docs: DataFrame, kind: Column) -> DataFrame:
+    """docs (doc_id, text) with texts spoilt by a number of DAMAGE, so that a load has rows to reject."""
+    text = F.col("text")
+    for k, steps in DAMAGE.items():
+        spoilt = F.col("text")
+        for pattern, by in steps:
+            spoilt = F.regexp_replace(spoilt, pattern, by)
+        text = F.when(kind == k, spoilt).otherwise(text)
+    return docs.withColumn("text", text)
+
+
 def printed(statements: DataFrame, tx: DataFrame, daily: DataFrame) -> DataFrame:
     """doc_id (statement_id), text: a statement in the layout that the parser reads.
 
-    By sequence, descriptions stand on the row, before it, or on it with a reference line after it.
+    By sequence, descriptions stand on the row, before it, or on it with a reference line after it. Every second statement has
+    pages within its activity: heads and feet between the rows, references with a date, a line of balance alone, and a
+    balance brought forward after text that belongs to no row.
     """
+    paged = F.pmod(F.unix_date(F.trunc("post_dt", "MM")), F.lit(2)) == 1
     us = lambda c: F.date_format(c, "MM/dd/yyyy")
     row = lambda text: F.format_string("%s  %-60s%18s%18s%22s", us("post_dt"), text, F.when(F.col("is_credit"), "").otherwise(dollars(F.col("amount"))), F.when(F.col("is_credit"), dollars(F.col("amount"))).otherwise(""), dollars(F.col("balance")))
     third = F.col("sequence") % 3
-    lines = F.when(third == 1, F.concat_ws("\n", "description", row(F.lit("")))).when(third == 2, F.concat_ws("\n", row(F.col("description")), F.lit("REF TEXT"))).otherwise(row(F.col("description")))
+    lines = F.when(third == 1, F.concat_ws("\n", "description", row(F.lit("")))).when(third == 2, F.concat_ws("\n", row(F.col("description")), F.when(paged, F.concat(us("post_dt"), F.lit("  REF TEXT"))).otherwise("REF TEXT"))).otherwise(row(F.col("description")))
+    head = F.element_at(F.array(*map(F.lit, PAGE_LINES)), (F.pmod(F.col("sequence"), F.lit(len(PAGE_LINES))) + 1).cast("int"))
+    lines = F.when(paged & (third == 0), F.concat_ws("\n", lines, head)).otherwise(lines)
     body = tx.groupBy("statement_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", lines.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     days = daily.groupBy("statement_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bal_dt", F.concat_ws(" ", us("bal_dt"), dollars(F.col("balance"))).alias("l")))), lambda x: x["l"]), "   ").alias("days"))
     d = lambda c: dollars(F.col(c))
+    turned = F.pmod(F.unix_date(F.trunc("statement_dt", "MM")), F.lit(2)) == 1
+    forward = F.concat(F.lit("TEXT OF NO ROW\n"), us("statement_dt"), F.lit(" Beginning Balance "), d("beginning_balance"), F.lit("\n"))
+    alone = F.concat(F.lit("\n"), F.format_string("%-127s%s", us("statement_dt"), d("ending_balance")))
     parts = [
         F.concat(F.lit("FIRST BANK   Statement Ending "), us("statement_dt")),
         F.concat(F.lit("BUSINESS CHECKING XXXXXXXXXX"), F.lpad(F.col("account_id").cast("string"), 4, "0")),
@@ -46,7 +86,7 @@ def printed(statements: DataFrame, tx: DataFrame, daily: DataFrame) -> DataFrame
         F.concat(F.lit("Ending Balance "), d("ending_balance")),
         F.lit("Account Activity"),
         F.format_string("%-12s%-60s%18s%18s%22s", F.lit("Post Date"), F.lit("Description"), F.lit("Debits"), F.lit("Credits"), F.lit("Balance")),
-        F.col("body"),
+        F.when(turned, F.concat(forward, F.col("body"), alone)).otherwise(F.col("body")),
         F.lit("Page 1 of 2"),
         F.lit("Checks Cleared"),
         F.concat(F.lit("   101  "), us("statement_dt"), F.lit("  "), d("total_debits")),
