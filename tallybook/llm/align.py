@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -36,10 +37,11 @@ ENCODED, SLICE = 1 << 18, 1 << 20
 UNITS = 120_000
 #: Id pairs whose document counts a task holds before it passes them on.
 COUNTED = 500_000
-#: ASCII white space and the word after it; white space alone at the end of a text.
-UNIT = re.compile(r"[ \t-\r]+[^ \t-\r]*")
-#: What some tables take for white space and others do not, or a tokenizer for a blank: texts with it stay whole.
-ODD = re.compile("[" + r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u2581\u3000\ufeff" + "]")
+#: Blanks and line ends and the word after them; alone at the end of a text. In front of them cuts are certain.
+UNIT = re.compile(r"[ \t-\f]+[^ \t-\f]*")
+#: What some tables take for white space and others do not, or a tokenizer for a blank, or that stands behind others in a
+#: piece: texts with it stay whole.
+ODD = re.compile("[" + r"\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u2581\u3000\ufeff" + "]")
 
 
 def byte_level() -> dict[str, int]:
@@ -56,9 +58,9 @@ class Side:
         self.bytes, self.lengths = pa.array(tokens, pa.binary()), pa.array(list(map(len, tokens)), pa.int64())
         self.decimal = pa.array(map(str, range(len(tokens))), pa.string())
 
-    def joined(self, ids: list[int]) -> bytes:
-        taken = self.bytes.take(pa.array(ids, pa.int32()))
-        return taken.buffers()[2].to_pybytes()[: np.frombuffer(taken.buffers()[1], "i4")[len(ids)]] if ids else b""
+    def joined(self, ids: np.ndarray) -> bytes:
+        taken = self.bytes.take(pa.array(ids))
+        return taken.buffers()[2].to_pybytes()[: np.frombuffer(taken.buffers()[1], "i4")[len(ids)]] if len(ids) else b""
 
 
 class ByteSide(Side):
@@ -93,7 +95,7 @@ class PieceSide(Side):
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         #: Whether white space stands behind another character in no piece, so that a cut before it is certain.
-        self.certain = not any(re.search(r"[^ \t-\r][ \t-\r]", t.decode()) for i, t in enumerate(self.bytes.to_pylist()) if not self.library.is_byte(i))
+        self.certain = not any(re.search(r"[^ \t-\f][ \t-\f]", t.decode()) for i, t in enumerate(self.bytes.to_pylist()) if not self.library.is_byte(i))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text that begins with the blank that the model puts there."""
@@ -137,19 +139,15 @@ class Units:
     def __init__(self, a: str, b: str):
         self.a, self.b, self.young, self.old = ByteSide(a), PieceSide(b), {}, {}
 
-    def ids(self, side: Side, text: str, units: list[str]) -> list[list[int]] | None:
-        """Ids of each of units, which make up text; None if the tokens' bytes are not the text's."""
-        ids = side.encode(text)
+    def ids(self, side: Side, text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of text and how many each unit has, by the byte offsets where units end; None if the tokens' bytes are not the text's."""
+        ids = np.array(side.encode(text), np.int32)
         if side.joined(ids) != text.encode():
             return None
-        if len(units) == 1:
-            return [ids]
-        ends = np.cumsum(np.asarray(side.lengths.take(pa.array(ids, pa.int32()))))
-        at = np.searchsorted(ends, np.cumsum([len(u.encode()) for u in units]))
-        bounds = [0, *(at + 1).tolist()]
-        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
-
-    def encoded(self, units: list[str]) -> tuple[list[str], list[list[int]], list[list[int]]]:
+        at = np.searchsorted(np.cumsum(np.asarray(side.lengths)[ids]), ends) + 1
+        return ids, np.diff(at, prepend=0)
+
+    def encoded(self, units: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
         """units whose bytes both sides keep, and their ids; units are joined where cuts between them are certain."""
         kept, a, b = [], [], []
         parts, size = [[]], 0
@@ -159,32 +157,38 @@ class Units:
             parts[-1].append(u)
             size += len(u)
         for part in filter(None, parts):
-            text = "".join(part)
-            found = self.ids(self.a, text, part), self.ids(self.b, text, part)
-            for some, own in [(part, found)] if None not in found else [([u], (self.ids(self.a, u, [u]), self.ids(self.b, u, [u]))) for u in part]:
-                if None not in own:
-                    kept += some
-                    a += own[0]
-                    b += own[1]
+            self._encoded(part, kept, a, b)
         return kept, a, b
 
+    def _encoded(self, part: list[str], kept: list, a: list, b: list) -> None:
+        # B's own blank has to be the text's first character, so a word goes before what begins otherwise
+        lead = [] if part[0][0] == " " else [" ."]
+        text, ends = "".join([*lead, *part]), np.cumsum([len(u.encode()) for u in [*lead, *part]])
+        found = [self.ids(side, text, ends) for side in (self.a, self.b)]
+        if lead:
+            found = [x and (x[0][x[1][0] :], x[1][1:]) for x in found]
+        if all(x is not None for x in found):
+            kept += part
+            a.append(found[0])
+            b.append(found[1])
+        elif len(part) > 1:
+            for half in (part[: len(part) // 2], part[len(part) // 2 :]):
+                self._encoded(half, kept, a, b)
+
     def make(self, units: list[str], alone: list[str]) -> dict[str, tuple | None]:
         """units may be joined to be encoded, what is alone may not."""
         made: dict[str, tuple | None] = dict.fromkeys([*units, *alone])
         kept, a, b = self.encoded(units)
         for u in alone:
-            own = self.ids(self.a, u, [u]), self.ids(self.b, u, [u])
-            if None not in own:
-                kept.append(u)
-                a += own[0]
-                b += own[1]
+            self._encoded([u], kept, a, b)
         if kept:
-            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype="i4"), np.array([i for ids in x for i in ids], "i4")) for x in (a, b)]
+            each = [np.concatenate([x[1] for x in side]) for side in (a, b)]
+            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype("i4"), np.concatenate([x[0] for x in side])) for n, side in zip(each, (a, b))]
             links, groups, texts = aligned(*lists, self.a, self.b)
             links = links.sort_by([("of", "ascending")])
-            bounds = np.searchsorted(np.asarray(links["of"]), np.arange(len(kept) + 1)).tolist()
-            pairs = np.stack([np.asarray(links[c]).astype(np.int64) for c in ("a", "b", "n")], axis=1)
-            made.update((u, (len(a[i]), len(b[i]), int(groups[i]), t, pairs[bounds[i] : bounds[i + 1]].tobytes())) for i, (u, t) in enumerate(zip(kept, texts.to_pylist())))
+            bounds = (24 * np.searchsorted(np.asarray(links["of"]), np.arange(len(kept) + 1))).tolist()
+            pairs = np.stack([np.asarray(links[c]).astype(np.int64) for c in ("a", "b", "n")], axis=1).tobytes()
+            made.update(zip(kept, zip(each[0].tolist(), each[1].tolist(), groups.tolist(), texts.to_pylist(), (pairs[i:j] for i, j in zip(bounds, bounds[1:])))))
         return made
 
     def split(self, text: str) -> list[str] | None:
@@ -202,7 +206,8 @@ class Units:
         table |= fresh
         young |= {u: table[u] for u in wanted if u in fresh or u not in young}
         # a unit whose bytes are not kept: the bytes of the whole text decide
-        whole = [i for i, d in enumerate(docs) if d is None or any(table[u] is None for u in d)]
+        lost = {u for u in wanted if table[u] is None}
+        whole = [i for i, d in enumerate(docs) if d is None or lost and not lost.isdisjoint(d)]
         for i in whole:
             docs[i] = [f" {texts[i]}"]
         table |= self.make([], list({docs[i][0] for i in whole}))
@@ -221,12 +226,14 @@ def _units(a: str, b: str) -> Units:
 
 def put_together(docs: list[list[str]], table: dict) -> tuple[list[np.ndarray], list[str], pa.Table]:
     """Per document: tokens of A and of B, groups; digest of its groups; (doc, a, b, n) of all documents in order."""
-    number = {u: i for i, u in enumerate(set().union(*docs))} if docs else {}
+    number = {u: i for i, u in enumerate(set().union(*docs))}
     units = [table[u] for u in number]
-    lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, docs)], dtype="i4"), np.array([number[u] for d in docs for u in d], "i8"))
+    n = [len(d) for d in docs]
+    lists = pa.ListArray.from_arrays(np.cumsum([0, *n], dtype="i4"), np.fromiter(map(number.__getitem__, chain.from_iterable(docs)), np.int64, sum(n)))
     doc, unit = np.asarray(pc.list_parent_indices(lists)).astype(np.int64), np.asarray(pc.list_flatten(lists))
     sums = [np.bincount(doc, np.array([u[k] for u in units], np.float64)[unit] if units else None, len(docs)).astype(np.int64) for k in range(3)]
-    digests = [hashlib.sha256(";".join([table[u][3] for u in d]).encode()).hexdigest() if d else "" for d in docs]
+    shown = {u: table[u][3] for u in number}.__getitem__
+    digests = [hashlib.sha256(";".join(map(shown, d)).encode()).hexdigest() if d else "" for d in docs]
     pairs = np.frombuffer(b"".join([u[4] for u in units]), np.int64).reshape(-1, 3)
     held = pa.table({"unit": np.repeat(np.arange(len(units)), [len(u[4]) // 24 for u in units]), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2]})
     used = pa.table({"doc": doc, "unit": unit}).group_by(["doc", "unit"], use_threads=False).aggregate([([], "count_all")])
