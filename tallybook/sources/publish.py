@@ -37,11 +37,13 @@ def manifest(spark: SparkSession, target: str) -> dict[str, str]:
     return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
-def _switch(spark: SparkSession, target: str, to: dict[str, str]) -> None:
-    jvm, at, files = _files(spark, f"{target}/{MANIFEST}")
-    staged = jvm.org.apache.hadoop.fs.Path(f"{target}/_{uuid.uuid4().hex}.json")
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small file in place by one rename: readers see the file before or the whole new one."""
+    jvm, at, files = _files(spark, path)
+    folder, _, name = path.rpartition("/")
+    staged = jvm.org.apache.hadoop.fs.Path(f"{folder}/_{uuid.uuid4().hex}-{name}")
     out = files.create(staged)
-    out.write(bytearray(json.dumps(to, sort_keys=True).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -67,7 +69,7 @@ def publish(outputs: dict[str, DataFrame], target: str, overwrite: bool = False,
     for name, df in outputs.items():
         df.write.mode("errorifexists").option("header", True).format(form).save(f"{target}/{run}/{name}")
     after = {**before, **{name: f"{run}/{name}" for name in outputs}}
-    _switch(spark, target, after)
+    put_text(spark, f"{target}/{MANIFEST}", json.dumps(after, sort_keys=True))
     return after
 
 
