@@ -41,6 +41,8 @@ LOOK = 64
 HEAVY = 0.25
 #: If more words than this do, all pairs are dealt by both words.
 MOST_HEAVY = 20_000
+#: Files that a worker has open at most. The one that was opened first is let go, with the copy that it may have needed.
+OPEN = 256
 #: No word holds white space.
 START, END = xxh64_intdigest(b" start"), xxh64_intdigest(b" end")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -224,7 +226,9 @@ def train(docs: DataFrame, text_col: str = "text", size: int = SHARD, most_heavy
     seen = written(seen.groupBy("h").agg(F.sum("n").alias("n"), F.sum("of").alias("of")))
     total = seen.agg(F.sum("of")).first()[0] or 0
     often = [r.h for r in seen.where(F.col("n") * shards > HEAVY * total).limit(most_heavy + 1).collect()]
-    heavy = np.array(sorted(often), np.int64).view(np.uint64) if len(often) <= most_heavy else None
+    # every document has a first word, so the start is before as many pairs as there are documents
+    often = sorted({*often, int(np.uint64(START).astype(np.int64))})
+    heavy = np.array(often, np.int64).view(np.uint64) if len(often) <= most_heavy else None
     pairs = texts.mapInArrow(_count(heavy, shards), PAIRS)
     known = pairs.groupBy("shard").applyInArrow(_add_up(folder, shards), SHARED)
     files = written(known.groupBy("shard").applyInArrow(_vocabulary(folder), TOTALS))
@@ -258,6 +262,8 @@ class Tables:
                 n, *sizes = map(int, data[:48].view("<u8"))
                 edges = 48 + 8 * n + np.cumsum([0, *sizes])
                 found = (data[48 : 48 + 8 * n].view("<u8"), [wide(data[a:b], n) for a, b in zip(edges, edges[1:])])
+            if len(self.open) >= OPEN:
+                self.open.pop(next(iter(self.open)))
             self.open[kind, shard] = found
         return self.open[kind, shard]
 

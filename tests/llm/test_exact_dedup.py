@@ -54,24 +54,64 @@ def test_rows_from_no_file_and_empty_table(spark):
     assert exact_dedup.exact_dedup(docs.limit(0)).collect() == []
 
 
+def told(got):
+    return sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got)
+
+
+def expected(seen, last):
+    """What the last rows of all seen get."""
+    groups, out = {}, []
+    for i, t in seen:
+        groups.setdefault(norm(t), []).append(i)
+    for i, t in last:
+        own = groups[norm(t)]
+        least = min((x for x in own if x is not None), default=None)
+        out.append((str(i), str(least), len(own), i == least, hashlib.sha256(norm(t).encode()).hexdigest()))
+    return sorted(out)
+
+
+PARTS = [
+    [(i, f"t{i % 30}") for i in range(10, 60)],
+    [(i, f"t {i % 40}".replace(" ", "")) for i in range(100, 140)] + [(3, "t5"), (None, "t1"), (200, None)],
+    [(i, f"u{i}") for i in range(300, 340)] + [(1, "t5"), (2, "u2"), (400, "t39"), (401, "")],
+]
+
+
+def frames(spark, folder):
+    for n, rows in enumerate(PARTS):
+        path = f"{folder}/docs{n}"
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
+        yield spark.read.parquet(path)
+
+
 @pytest.mark.parametrize("weak", [False, True])
-def test_a_second_arrival_goes_on_with_the_state(spark, tmp_path, weak):
+def test_later_calls_go_on_with_the_state(spark, tmp_path, weak):
     digest = (lambda c: F.substring(F.sha2(c, 256), 1, 1)) if weak else exact_dedup.sha256
-    first, second = [(i, f"t{i % 30}") for i in range(10, 60)], [(i, f"t {i % 40}".replace(" ", "")) for i in range(100, 140)] + [(3, "t5"), (None, "t1"), (None, None)]
-    frames = []
-    for n, rows in enumerate((first, second)):
-        path = str(tmp_path / f"docs{n}")
-        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
-        frames.append(spark.read.parquet(path))
-    state = f"file://{tmp_path}/state"
-    one = exact_dedup.exact_dedup(frames[0], digest=digest, state=state).collect()
-    two = exact_dedup.exact_dedup(frames[1], digest=digest, state=state, before=frames[0]).collect()
-    for got, seen in ((one, first), (two, first + second)):
-        groups = {}
-        for i, t in seen:
-            groups.setdefault(t or "", []).append(i)
-        for r, t in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text_sha256)), sorted(seen[-len(got):], key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))):
-            own = groups[t[1] or ""]
-            least = min((i for i in own if i is not None), default=None)
-            assert (r.keep_id, r.group_size, r.kept) == (least, len(own), r.doc_id == least)
-    assert len(one) == len(first) and len(two) == len(second)
+    state, seen, got = f"file://{tmp_path}/state", [], []
+    for n, (docs, rows) in enumerate(zip(frames(spark, tmp_path), PARTS)):
+        seen += rows
+        got.append(told(exact_dedup.exact_dedup(docs, digest=digest, state=state, call=f"c{n}").collect()))
+        assert got[-1] == expected(seen, rows)
+    for n in (1, 2):  # a call that ended gives the same again
+        docs = spark.read.parquet(f"{tmp_path}/docs{n}")
+        assert told(exact_dedup.exact_dedup(docs, digest=digest, state=state, call=f"c{n}").collect()) == got[n]
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(docs, state=state)
+
+
+def test_a_failed_call_is_repeated(spark, tmp_path, monkeypatch):
+    state, seen = f"file://{tmp_path}/state", []
+    for n, (docs, rows) in enumerate(zip(frames(spark, tmp_path), PARTS)):
+        seen += rows
+        run = lambda name: exact_dedup.exact_dedup(docs, state=state, call=name)  # noqa: B023, E731
+        with monkeypatch.context() as broken:  # once before the stream runs, once after it
+            broken.setattr(exact_dedup, "_streamed", lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                run(f"c{n}")
+            with pytest.raises(ValueError, match="has not ended"):
+                run("another")
+        with monkeypatch.context() as broken:
+            broken.setattr(exact_dedup, "small", lambda df: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                run(f"c{n}")
+        assert told(run(f"c{n}").collect()) == expected(seen, rows)

@@ -78,3 +78,13 @@ def test_nothing_to_learn_and_empty(spark):
     (row,) = ngram.language_scores(docs).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, 0.0)
     assert ngram.language_scores(docs.limit(0)).collect() == []
+
+
+def test_short_documents_fill_no_shard(spark, monkeypatch):
+    """Every document begins with another word, so the start stands before more pairs than any word."""
+    monkeypatch.setattr(ngram, "LOOK", 1)
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, f"a{i} b{rng.randrange(3000)} c{rng.randrange(3000)}") for i in range(8000)], "doc_id long, text string")
+    model = ngram.train(docs, size=1000)
+    sizes = [int(x.view("<u8")[0]) for x in (ngram.mapped(f"{model.folder}/pairs-{k:06d}")[:8] for k in range(model.shards))]
+    assert model.shards > 15 and max(sizes) < 2 * sum(sizes) / len(sizes)
