@@ -5,8 +5,9 @@ like an identifier (words with digits or an at sign, side by side) is an instanc
 front of it (`name=`) are its lexical patterns. Seeds are the instances that a base pattern finds, and, for secrets, those
 that have the shape of a key in hexadecimal digits; by their shape alone these are no finds. Patterns and instances form a
 graph that is scored in rounds: a pattern's confidence in a kind is the mean score of its distinct instances in that kind;
-an instance's score is one minus the product of what its trusted patterns leave. Instances that trusted patterns find
-beyond the base patterns are added as spans of the patterns' kind, key-shaped ones included.
+an instance's score is one minus the product of what its trusted patterns leave. Instances of a high score, of whatever
+shape, join the known ones, whose patterns may be trusted in the next round; the rounds end when none joins. What trusted
+patterns find beyond the base patterns is added as spans of the patterns' kind, key-shaped instances included.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ INSTANCE = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+(?:\x20[^{WS}0-9]*+[0-9][^
 TRUSTED, SUPPORT = 0.9, 5
 #: An instance is added from this score on.
 ADDED = 0.9
-ROUNDS = 3
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -157,22 +157,27 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return one.join(over, ["rid", "start"], "left").select("rid", "start", "end", "instance", F.col("over").isNotNull().alias("base"), kind.alias("kind"), "patterns")
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, trusted: float = TRUSTED, support: int = SUPPORT, added: float = ADDED) -> DataFrame:
-    """(rid, kind, start, end) of the instances that trusted patterns find and no base pattern does."""
+def bootstrap(occurrences: DataFrame, trusted: float = TRUSTED, support: int = SUPPORT, added: float = ADDED) -> DataFrame:
+    """(rid, kind, start, end) of the instances that trusted patterns find and no base pattern does.
+
+    Known instances only grow, by at least one a round, so the rounds come to an end.
+    """
     edges = written(occurrences.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
     seeds = written(edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
     size = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
-    known, scored = seeds, None
-    for _ in range(rounds):
-        per = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count_if(F.col("score") >= 0.5).alias("m"))
+    known = seeds
+    while True:
+        per = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("m"))
         sure = per.where(F.col("m") >= support).join(size, "pattern").withColumn("confidence", F.col("s") / F.col("n")).where(F.col("confidence") >= trusted)
         found = edges.join(sure.select("pattern", F.col("kind").alias("k"), "confidence"), "pattern")
-        scored = written(found.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))).alias("score"), F.max_by("k", F.struct("confidence", -F.col("k"))).alias("kind")))
-        more = scored.join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind", "score")
+        score = 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))
+        scored = found.groupBy("instance").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("kind"), score.alias("score"))
+        more = written(scored.where(F.col("score") >= added).join(known.select("instance"), "instance", "left_anti"), narrow=True)
         if not more.take(1):
             break
-        known = written(seeds.unionByName(more))
-    new = scored.where(F.col("score") >= added).select("instance", F.col("kind").alias("k"))
+        known = written(known.unionByName(more), narrow=True)
+    # a seed by its shape alone is a find where a trusted pattern has it
+    new = scored.where(F.col("score") >= added).select("instance").join(known, "instance").select("instance", F.col("kind").alias("k"))
     return occurrences.where("not base").join(new, "instance").select("rid", F.col("k").alias("kind"), "start", "end")
 
 

@@ -72,7 +72,7 @@ def test_secrets_of_a_trusted_context(spark):
     assert all(got[i].base == [] for i in range(len(rows)))
 
 
-def graph_by_hand(occurrences, rounds, trusted, support, added):
+def graph_by_hand(occurrences, trusted, support, added):
     """Spans that bootstrapping adds, from (rid, start, end, instance, base, kind, patterns)."""
     edges, seeds = {}, {}
     for _, _, _, instance, _, kind, patterns in occurrences:
@@ -80,23 +80,21 @@ def graph_by_hand(occurrences, rounds, trusted, support, added):
             edges.setdefault(p, set()).add(instance)
         if kind is not None and patterns:
             seeds[instance] = min(kind, seeds.get(instance, 99))
-    known, scored = {i: (k, 1.0) for i, k in seeds.items()}, {}
-    for _ in range(rounds):
-        scored, sure = {}, {}
+    known = {i: (k, 1.0) for i, k in seeds.items()}
+    while True:
+        scored = {}
         for p, instances in edges.items():
             for kind in {known[i][0] for i in instances if i in known}:
                 own = [known[i][1] for i in instances if i in known and known[i][0] == kind]
-                if sum(x >= 0.5 for x in own) >= support and sum(own) / len(instances) >= trusted:
-                    sure.setdefault(p, []).append((sum(own) / len(instances), -kind))
-        for p, found in sure.items():
-            for i in edges[p]:
-                scored.setdefault(i, []).extend(found)
+                if len(own) >= support and sum(own) / len(instances) >= trusted:
+                    for i in instances:
+                        scored.setdefault(i, []).append((sum(own) / len(instances), -kind))
         scored = {i: (-max(f)[1], 1 - math.prod(max(1e-12, 1 - c) for c, _ in f)) for i, f in scored.items()}
-        more = {i: x for i, x in scored.items() if i not in seeds}
+        more = {i: x for i, x in scored.items() if i not in known and x[1] >= added}
         if not more:
             break
-        known = {i: (k, 1.0) for i, k in seeds.items()} | more
-    return {(rid, scored[i][0], a, b) for rid, a, b, i, base, _, _ in occurrences if not base and i in scored and scored[i][1] >= added}
+        known |= more
+    return {(rid, known[i][0], a, b) for rid, a, b, i, base, _, _ in occurrences if not base and i in scored and scored[i][1] >= added}
 
 
 def test_bootstrap_as_by_hand(spark):
@@ -111,12 +109,36 @@ def test_bootstrap_as_by_hand(spark):
             own = {f"p{rng.randrange(30)}"} | ({f"k{kind_of[i]}"} if rng.random() < 0.5 else set())
             rows.append((rid, 0, 3, i, kind is not None and kind < 4, kind, sorted(own)))
         docs = spark.createDataFrame(rows, "rid long, start int, end int, instance string, base boolean, kind int, patterns array<string>")
-        got = {(r.rid, r.kind, r.start, r.end) for r in pii.bootstrap(docs, 3, 0.6, 2, 0.7).collect()}
-        assert got == graph_by_hand(rows, 3, 0.6, 2, 0.7)
+        got = {(r.rid, r.kind, r.start, r.end) for r in pii.bootstrap(docs, 0.6, 2, 0.7).collect()}
+        assert got == graph_by_hand(rows, 0.6, 2, 0.7)
         sizes.add(len(got))
     assert max(sizes) > 10
 
 
+def test_unseen_shapes_from_context_to_context(spark):
+    """Telephone numbers that no pattern describes, each context learned from the one before; decoys share words and shapes."""
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    cues = ["ring me on", "our hotline is", "fax it to", "mobile number is", "call back at", "reach us via"]
+    shapes = [lambda: f"+44 20 {digits(4)} {digits(4)}", lambda: f"0{digits(2)} {digits(3)} {digits(4)}", lambda: f"{digits(3)}-{digits(4)}x{digits(2)}", lambda: f"(0{digits(3)}) {digits(5)}", lambda: f"{digits(3)}/{digits(6)}", lambda: f"t{digits(3)}.{digits(4)}"]
+    rows, right, pool = [], [], [(shapes[0](), False) for _ in range(60)]
+    for k, cue in enumerate(cues):  # what the contexts before have taught, and a few numbers of the next shape
+        new = [(shapes[(k + 1) % 5 + 1](), True) for _ in range(6)]
+        rows += [(f"{word()} {word()} {cue} ", value, unseen) for value, unseen in [*pool[-60:], *new]]
+        pool += new
+    rows += [(f"{word()} {rng.choice(['order', 'page', 'is', 'to', 'at'])} {word()} ", rng.choice(shapes[1:])(), None) for _ in range(200)]
+    texts = [f"{before}{value} {word()}" for before, value, _ in rows]
+    for i, (before, value, unseen) in enumerate(rows):
+        if unseen:
+            right.append((i, len(before), len(before) + len(value)))
+    found = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = {(r.doc_id, a, b) for r in found for k, a, b in set(map(tuple, r.spans)) - set(map(tuple, r.base))}
+    hit = {(i, a) for i, a, _ in added} & {(i, a) for i, a, _ in right}
+    precision, recall = len({x for x in added if x[0] in {i for i, _, _ in right}}) / max(1, len(added)), len(hit) / len(right)
+    assert precision > 0.95 and recall > 0.8
+
+
 def test_many_matches_in_a_text(spark):
     text = "é 1.2.3.4 a@b.c, " * 3000
     docs = spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")
