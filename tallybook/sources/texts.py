@@ -23,9 +23,9 @@ def statement_file(path: Column) -> Column:
 
 
 def distinct_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of files (path, text): of equal contents the first path stays."""
+    """(kept, dropped) of files (path, text): of equal contents the first path stays; no text is an empty one."""
     first = Window.partitionBy("hash").orderBy("path")
-    rows = files.withColumn("hash", F.sha2("text", 256)).withColumn("n", F.row_number().over(first))
+    rows = files.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("n", F.row_number().over(first))
     return rows.where("n = 1").drop("n"), rows.where("n > 1").select("path", F.lit("Duplicate file content").alias("message"))
 
 
