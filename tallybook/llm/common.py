@@ -12,9 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir, written
+from ..sources.shared import passing, shared_dir, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["passing", "shared_dir", "written"]
 
 #: ASCII white space, as the contracts of the text operators have it.
 BLANKS = r"[\x20\x09-\x0D]+"

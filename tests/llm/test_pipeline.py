@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import public_tokenizers
@@ -76,3 +77,14 @@ def test_without_labels_nothing_is_toxic(spark, tmp_path):
     docs = spark.createDataFrame([(1, "x", 1.0), (1, "x", 1.0), (None, None, None)], "doc_id long, text string, severity double")
     for table in (docs, docs.limit(0)):
         assert sorted(map(str, corpus_pipeline.toxic_out(spark, table, str(tmp_path)).collect())) == sorted(map(str, table.collect()))
+
+
+def test_tables_of_a_stage_are_removed(spark, tmp_path, monkeypatch):
+    docs, labels = corpus(120, 3)
+    spark.createDataFrame([(i, t, "s") for i, t, _ in docs], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr("tallybook.sources.shared.uuid.uuid4", lambda names=iter(range(10**6)): type("Name", (), {"hex": f"stage-test-{next(names)}"}))
+    got = corpus_pipeline.run(spark, str(tmp_path)).count()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    left = [p.name for p in pathlib.Path(base).glob("stage-test-*")]
+    assert got > 60 and len(left) == 1
