@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import bpe, exact_dedup, mixing, similar, toxicity
-from tallybook.llm.common import PLACE, small, unfolded, written
+from tallybook.llm.common import PLACE, passing, shared_dir, small, unfolded, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents, each to the written table of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to the documents, each to the written table of the one before.
+
+    Tables that a stage works with are removed when its own is written, and a stage's table when the next one's is.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = shared_dir(spark)
+        with passing(spark) as made:
+            stage(spark, docs, sf_dir).write.parquet(path)
+            made += [last] if last else []
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
