@@ -1,4 +1,4 @@
-"""Statement text to rows: every line of every document is a row, and sections and stitched texts are windows over them."""
+"""Statement text to rows: what holds for a document is read off its lines as an array, what holds for a line where it is."""
 
 from __future__ import annotations
 
@@ -90,24 +90,39 @@ def summary(lines: DataFrame, personal: bool = False) -> DataFrame:
     return rows.groupBy("doc_id").agg(money("beginning").alias("beginning_balance"), money("ending").alias("ending_balance"), money("credit").alias("total_credits"), money("debit").alias("total_debits"), count("credit", "Credit").alias("credit_count"), count("debit", "Debit").alias("debit_count"))
 
 
-def activity(lines: DataFrame, balances: DataFrame, personal: bool = False) -> DataFrame:
-    """doc_id, sequence, post_date (text), description, amount, is_credit, balance of the account activity.
+def _laid_out(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, line) of the lines after the first "Account Activity", with head (line of the columns' names) and the columns' places.
+
+    What holds for a whole document is read off the array of its lines, before they become rows.
+    """
+    n = lambda found: F.when(found > 0, (found - 1).cast("int"))
+    columns = ("Debits", "Credits", "Balance")
+    rows = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    rows = rows.withColumn("start", n(F.array_position(F.transform("lines", lambda x: x.contains("Account Activity")), True))).where("start is not null")
+    heads = F.transform("lines", lambda x, i: (i > F.col("start")) & x.contains("Post Date") & any_of(x.contains(w) for w in columns))
+    rows = rows.withColumn("head", n(F.array_position(heads, True))).withColumn("named", F.get("lines", F.col("head")))
+    place = lambda w: F.when(F.instr("named", w) > 0, F.instr("named", w) - 1).alias(f"{w.lower()}_at")
+    rows = rows.select("doc_id", "start", "head", *map(place, columns), F.posexplode("lines").alias("n", "line"))
+    names = F.col("line").contains("Post Date") & (F.col("head").isNull() | (F.col("n") <= F.col("head")))
+    return rows.where((F.col("n") > F.col("start")) & (strip(F.col("line")) != "") & ~names)
+
+
+def activity(docs: DataFrame, balances: DataFrame, personal: bool = False) -> DataFrame:
+    """doc_id, sequence, post_date (text), description, amount, is_credit, balance of the account activity of docs (doc_id, text).
 
     balances: doc_id, beginning_balance. Text lines between two transactions belong to the earlier one if the later has
     a text of its own, else to the later; before a heading they belong to the last one; at the end of the text they go.
+    Lines are told apart where they are; one shuffle by document then orders them, and a document's segments, each a
+    transaction with the text before it, are what is left for the second pass.
     """
     line, n = F.col("line"), F.col("n")
-    rows = lines.withColumn("start", _first_after(lines, line.contains("Account Activity"))).where((n > F.col("start")) & (strip(line) != ""))
-    position = lambda w: F.when(F.instr(line, w) > 0, F.instr(line, w) - 1)
-    heads = line.contains("Post Date") & any_of(line.contains(w) for w in ("Debits", "Credits", "Balance"))
-    doc = Window.partitionBy("doc_id")
-    rows = rows.withColumn("head", F.min(F.when(heads, n)).over(doc))
-    rows = rows.withColumns({f"{w.lower()}_at": F.max(F.when(n == F.col("head"), position(w))).over(doc) for w in ("Debits", "Credits", "Balance")})
-    rows = rows.where(~(line.contains("Post Date") & (F.col("head").isNull() | (n <= F.col("head")))))
+    rows = _laid_out(docs)
     headed = F.col("head").isNotNull() & (n > F.col("head"))
     money = UNSIGNED if personal else AMOUNT
-    rows = rows.withColumns({"dated": line.rlike(DATED), "amounts": F.regexp_extract_all(line, F.lit(money), F.lit(0)), "gaps": F.split(line, money, -1), "ends": line.contains("Checks Cleared") if personal else section_ending(line)})
-    size, length = F.size("amounts"), F.length
+    rows = rows.withColumns({"dated": line.rlike(DATED), "ends": line.contains("Checks Cleared") if personal else section_ending(line)})
+    some = F.col("dated")
+    rows = rows.withColumns({"amounts": F.when(some, F.regexp_extract_all(line, F.lit(money), F.lit(0))), "gaps": F.when(some, F.split(line, money, -1))})
+    size, length = F.coalesce(F.size("amounts"), F.lit(0)), F.length
     at = lambda c, back: F.try_element_at(c, F.when(size > back, size - back + (1 if c == "gaps" else 0)))
     last_at = length(line) - length(at("gaps", 0)) - length(at("amounts", 0))
     rows = rows.withColumn("single_at", last_at).withColumn("amount_at", F.col("single_at") - length(at("gaps", 1)) - length(at("amounts", 1)))
@@ -115,31 +130,32 @@ def activity(lines: DataFrame, balances: DataFrame, personal: bool = False) -> D
     skip_single = F.lit(True) if personal else headed & (F.col("single_at") >= F.coalesce("balance_at", F.lit(9999)) - 3)
     stops = F.col("ends") if personal else F.col("ends") & ~F.col("dated")
     kind = F.when(stops, "END").when(F.col("dated") & marker, "CLEAR").when(F.col("dated") & (size == 0), "BUF").when(F.col("dated") & (size == 1), F.when(skip_single, "SKIP").otherwise("BUF")).when(F.col("dated"), "TX").when(page_artifact(line, personal), "SKIP").otherwise("BUF")
-    rows = rows.withColumn("kind", kind)
     text = F.when(F.col("kind") == "TX", strip(F.expr("substring(line, 11, greatest(0, amount_at - 10))"))).when(F.col("dated") & (size == 1), strip(F.expr("substring(line, 11, greatest(0, single_at - 10))"))).when(F.col("dated"), strip(F.expr("substring(line, 11)"))).otherwise(strip(line))
-    rows = rows.withColumn("said", text)
-    rows = rows.withColumn("stop", F.min(F.when((F.col("kind") == "END") | (F.col("ends") & (F.col("kind") == "TX")), n)).over(doc)).where(F.col("stop").isNull() | (n <= F.col("stop")))
+    rows = rows.withColumn("kind", kind).where("kind != 'SKIP'").withColumn("said", text)
+    event = F.struct("kind", "said", F.substring("line", 1, 10).alias("post_date"), parse_amount(at("amounts", 1)).alias("amount"), parse_amount(at("amounts", 0)).alias("balance"), "amount_at", headed.alias("headed"), "credits_at", "debits_at")
+    stop = (F.col("kind") == "END") | (F.col("ends") & (F.col("kind") == "TX"))
+    rows = rows.select("doc_id", "n", "kind", stop.alias("stop"), F.when(F.col("kind").isin("TX", "END"), event).alias("event"), F.when((F.col("kind") == "BUF") & (F.col("said") != ""), F.col("said")).alias("said"))
     before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("seg", F.coalesce(F.sum(F.when(F.col("kind").isin("TX", "CLEAR"), 1).otherwise(0)).over(before), F.lit(0)))
-    whole = Window.partitionBy("doc_id", "seg").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("buffer", F.trim(F.array_join(F.collect_list(F.when((F.col("kind") == "BUF") & (F.col("said") != ""), F.col("said"))).over(whole), " ")))
-    events = rows.where(F.col("kind").isin("TX", "END"))
-    order = Window.partitionBy("doc_id").orderBy("n")
+    rows = rows.withColumns({"stopped": F.max("stop").over(before), "seg": F.coalesce(F.sum(F.when(F.col("kind").isin("TX", "CLEAR"), 1).otherwise(0)).over(before), F.lit(0))})
+    rows = rows.where(~F.coalesce("stopped", F.lit(False)))
+    texts = F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("n", "said"))))
+    segs = rows.groupBy("doc_id", "seg").agg(F.trim(F.array_join(F.transform(texts, lambda x: x["said"]), " ")).alias("buffer"), F.first("event", ignorenulls=True).alias("event"))
+    events = segs.where("event is not null").select("doc_id", "seg", "buffer", "event.*")
+    order = Window.partitionBy("doc_id").orderBy("seg")
     following = lambda c: F.lead(c).over(order)
-    events = events.withColumns({"next_kind": following("kind"), "next_said": following("said"), "next_buffer": following("buffer")})
-    tx = events.where("kind = 'TX'")
+    events = events.withColumns({"next_kind": following("kind"), "next_said": following("said"), "next_buffer": following("buffer"), "prev": F.lag("balance").over(order), "sequence": F.row_number().over(order)})
+    tx = events.where("kind = 'TX'").join(balances, "doc_id", "left")
     own = F.when(F.col("said") != "", clean(F.col("said"))).otherwise(clean(F.col("buffer")))
     extra = F.when((F.col("next_kind") == "TX") & (F.col("next_said") != ""), F.col("next_buffer")).when(F.col("next_kind") == "END", clean(F.col("next_buffer"))).otherwise("")
     tx = tx.withColumns({"own": own, "extra": F.coalesce(extra, F.lit(""))}).withColumn("description", F.when(F.col("extra") != "", clean(F.concat_ws(" ", "own", "extra"))).otherwise(F.col("own")))
-    tx = tx.withColumns({"amount": parse_amount(at("amounts", 1)), "balance": parse_amount(at("amounts", 0)), "headed": headed}).join(balances, "doc_id", "left")
-    tx = tx.withColumn("prev", F.lag("balance").over(order)).withColumn("from", F.coalesce("prev", "beginning_balance", F.lit(0).cast(MONEY)))
+    tx = tx.withColumn("from", F.coalesce("prev", "beginning_balance", F.lit(0).cast(MONEY)))
     near = lambda x: F.abs(x - F.col("balance")) <= F.lit("0.01").cast(MONEY)
     credited, debited = near(F.col("from") + F.col("amount")), near(F.col("from") - F.col("amount"))
     rising = F.when(F.col("prev").isNotNull() | (F.coalesce("beginning_balance", F.lit(0)) != 0), F.col("balance") > F.col("from")).otherwise(False)
     credits_at, debits_at = F.coalesce("credits_at", F.lit(9999)), F.coalesce("debits_at", F.lit(0))
     placed = F.when(F.col("headed") & (F.col("amount_at") >= credits_at - 2), True).when(F.col("headed") & (F.col("amount_at") < debits_at + 10) & (F.col("amount_at") + 6 < credits_at), False).otherwise(rising)
     is_credit = placed if personal else F.when(credited & ~debited, True).when(debited & ~credited, False).otherwise(placed)
-    return tx.select("doc_id", F.row_number().over(order).alias("sequence"), F.substring("line", 1, 10).alias("post_date"), "description", "amount", is_credit.alias("is_credit"), "balance")
+    return tx.select("doc_id", "sequence", "post_date", "description", "amount", is_credit.alias("is_credit"), "balance")
 
 
 def _section(lines: DataFrame, heading: str, stops: Column) -> DataFrame:
@@ -182,7 +198,7 @@ def statements(docs: DataFrame, personal: bool = False) -> tuple[DataFrame, Data
     sums = summary(lines, personal)
     top = docs.select("doc_id").join(header(lines, personal), "doc_id", "left").join(sums, "doc_id", "left")
     zeros = {c: F.coalesce(c, F.lit(0)).cast(t) for c, t in (("beginning_balance", MONEY), ("ending_balance", MONEY), ("total_credits", MONEY), ("total_debits", MONEY), ("credit_count", "int"), ("debit_count", "int"))}
-    return top.withColumns(zeros), activity(lines, sums.select("doc_id", "beginning_balance"), personal)
+    return top.withColumns(zeros), activity(docs, sums.select("doc_id", "beginning_balance"), personal)
 
 
 def validate(parsed: DataFrame, tx: DataFrame) -> DataFrame:
