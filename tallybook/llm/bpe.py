@@ -27,7 +27,7 @@ from .words import RecentWords
 #: Fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
 FRAGMENTS = 60_000
 #: Words in a generation of a worker's recent words.
-WORDS = 120_000
+WORDS = 60_000
 #: Characters from this one on are told apart by the library's own tables, whose age decides what they are.
 LATIN_END = "\u0250"
 #: Rows that a task encodes at a time.

@@ -33,7 +33,7 @@ BEGINNINGS = (4, 5, 6)
 TELLING = 0.95
 #: A document is rejected from this probability of a grade above 0.
 REJECT = 0.5
-CACHE = 250_000
+CACHE = 100_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -55,7 +55,7 @@ class Ordinal:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, thresholds: np.ndarray):
         self.index, self.weights, self.thresholds = index, weights, thresholds
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def above(self, x: np.ndarray) -> np.ndarray:
         """P(grade > g) for each threshold g, from w.x."""
@@ -69,7 +69,7 @@ class Ordinal:
             if found is None:
                 if len(self.words) >= CACHE:
                     self.words.clear()
-                found = self.words[word] = [self.index[f] for f in word_features(word) if f in self.index]
+                found = self.words[word] = tuple([self.index[f] for f in word_features(word) if f in self.index])
             for i in found:
                 counts[i] = counts.get(i, 0) + 1
         return float(sum(self.weights[i] * np.log1p(n) for i, n in counts.items()))
