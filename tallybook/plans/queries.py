@@ -167,7 +167,7 @@ def _(b):
     return one.unionByName(periods.of_year(b.st, None, 5).select("account_id", "statement_id", F.lit("month").alias("kind")))
 
 
-_W4 = f"{LEDGER}, k AS (SELECT * FROM led WHERE post_dt BETWEEN DATE '1998-02-10' AND DATE '1998-05-20')"
+_W4 = f"{LEDGER}, k AS (SELECT * FROM led SEMI JOIN st USING (statement_id) WHERE post_dt BETWEEN DATE '1998-02-10' AND DATE '1998-05-20')"
 
 
 @query("w04_between", _W4, "SELECT account_id, statement_id, sum(CASE WHEN is_credit THEN amount ELSE 0 END) AS total_credits, sum(CASE WHEN is_credit THEN 0 ELSE amount END) AS total_debits, count(*) FILTER (is_credit) AS credit_count, count(*) FILTER (NOT is_credit) AS debit_count, arg_min(balance - CASE WHEN is_credit THEN amount ELSE -amount END, sequence) AS beginning_balance, arg_max(balance, sequence) AS ending_balance FROM k GROUP BY ALL", "total_credits total_debits beginning_balance ending_balance")
