@@ -26,12 +26,12 @@ BROADCAST_ROWS = 200_000
 BATCH = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on Arrow batches to BATCH; a lower one stays."""
+def small_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """Lowers the session's bound on Arrow batches to so many bytes; a lower one stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     given = spark.conf.get(name).rstrip("b")
-    if not given.isdigit() or int(given) > BATCH:
-        spark.conf.set(name, f"{BATCH}b")
+    if not given.isdigit() or int(given) > most:
+        spark.conf.set(name, f"{most}b")
 
 
 def file_backed(df: DataFrame) -> bool:

@@ -31,6 +31,8 @@ SKETCH = 16
 OFTEN, SAMPLED = 4, 4000
 #: Texts of a key that more than HOT have are compared with about HUBS of them.
 HOT, HUBS = 256, 16
+#: Bytes of a batch of texts, whose shingles take many times as many.
+PRINTED = 1 << 20
 #: Texts of a key meet in tiles of about so many; each tile meets each.
 TILE = 128
 
@@ -236,7 +238,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows joined by links of close fingerprints (operator 4) or of similar texts, or both in turn, have the same root.
     Every row takes part, with an id or without. All prints are made in one pass over the texts.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, PRINTED)
     docs = located(docs, whole(docs), F.col(f"`{id_col}`").alias("doc_id"), text_of(docs, text_col).alias("text"))
     text = F.col("text")
     found = prints(text, *often_shared(docs, PLACE, "text"))
