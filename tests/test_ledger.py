@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions import scalars as S
+from tallybook.plans.book import Book
 from tallybook.operators import classify, export, insights, periods, pnl, project, reconcile, redact
 
 D = Decimal
@@ -56,6 +57,16 @@ def test_reversals(spark, name, rows, category, left, over):
     assert got.get(("payment_reversal_credits", ""), D(0)) == over
 
 
+def test_lines_are_worked_out_once(spark, tmp_path):
+    """A report that reads the lines of profit and loss several times reads them as written, not as a plan of its own each time."""
+    ledger(spark, cost(900, J(1)), back(150, J(3))).withColumn("merchant", F.lit("M")).write.parquet(str(tmp_path / "tx"))
+    b = Book(spark, str(tmp_path))
+    b.dated = spark.read.parquet(str(tmp_path / "tx"))
+    pl = b.pl()
+    plan = export.profit_and_loss(pl, pnl.summary(pl))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "Join" not in plan
+
+
 def pnl_section(category):
     return "direct_costs" if category in pnl.DIRECT else "operating_expenses"
 
