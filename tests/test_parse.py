@@ -70,6 +70,17 @@ def test_personal_profile(spark):
     assert parse.fees(lines).first().overdraft_fees == Decimal("12.50")
 
 
+def test_documents_that_lie_by_number_are_not_shuffled(spark, tmp_path):
+    """Reading statements moves no line: what is read off a few lines is read off the array, rows are told apart where they are."""
+    spark.createDataFrame([("d", HEAD + "Account Activity\n" + COLUMNS + row("01/02/2023", "A", "$50.00", "$50.00"))], "doc_id string, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    st, tx = parse.statements(docs)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (st, parse.checks(parse.lines_of(docs)), parse.daily(parse.lines_of(docs)), parse.fees(parse.lines_of(docs)))]
+    assert [p.count("Exchange") for p in plans] == [0, 0, 0, 0]
+    plan = parse.statements(docs.repartition(3, "doc_id"))[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and st.first().beginning_balance == 100 and [r.description for r in tx.collect()] == ["A"]
+
+
 def test_files(spark, tmp_path):
     for name, text in (("b.txt", "same"), ("a.TXT", "same"), ("c.Txt", "other"), ("business_financial_report.txt", "own"), ("d.pdf", "no text")):
         (tmp_path / name).write_text(text)
