@@ -66,6 +66,15 @@ def test_redaction_next_to_other_letters(spark):
     assert [(r.got, r.want) for r in rows.select(redact.redact(F.col("text"), ["licensed"]).alias("got"), "want").collect() if r.got != r.want] == []
 
 
+def test_statements_from_the_ledger_that_is_written(spark, tmp_path):
+    """A query that has written its classified ledger takes statements and daily balances from it; no table is read again."""
+    ledger(spark, cost(900, J(1)), back(150, J(3))).withColumn("merchant", F.lit("M")).write.parquet(str(tmp_path / "tx"))
+    b = Book(spark, str(tmp_path))
+    b.dated = spark.read.parquet(str(tmp_path / "tx"))
+    assert (b.st.first().total_debits, b.st.first().ending_balance) == (900, -750)
+    assert [r.balance for r in b.db.orderBy("bal_dt").collect()] == [-900, -750]
+
+
 def test_lines_are_worked_out_once(spark, tmp_path):
     """A report that reads the lines of profit and loss several times reads them as written, not as a plan of its own each time."""
     ledger(spark, cost(900, J(1)), back(150, J(3))).withColumn("merchant", F.lit("M")).write.parquet(str(tmp_path / "tx"))
