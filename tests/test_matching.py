@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tallybook.functions.literals import required
 from tallybook.functions.scalars import merchant
 from tallybook.operators import classify, pnl
+from tallybook.plans import queries
+from tallybook.plans.book import Book
+from tallybook.sources import adapters
 
 SCHEMA = "account_id int, statement_id string, statement_dt date, post_dt date, sequence int, description string, amount decimal(18,2), is_credit boolean, business_category string, is_transfer boolean, is_owner_related boolean, is_loan boolean, is_fixed_asset boolean, include_in_pnl boolean"
 BASE = date(2010, 1, 1)
@@ -88,6 +91,54 @@ def test_the_search_as_over_all(debits, day, cents, step):
     assert (None if got is None else found.place[got]) == (want and want[1])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 200), st.sampled_from([1, 79, 80, 100, 101, 125, 126, 1000]) | st.integers(1, 2000), st.booleans()), max_size=90), st.booleans())
+def test_in_turn_as_by_the_search(rows, once):
+    """Reversals in the order of days find what a search over all debits of the group finds for each."""
+    rows = sorted(rows, key=lambda r: r[0])
+    day, cents, back = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((int, int, bool)))
+    place = np.arange(len(rows))
+    debits, want = pnl.Debits(place[~back], cents[~back], day[~back]), []
+    for r in place[back]:
+        if (i := debits.best(float(cents[r]), int(day[r]))) is not None:
+            want.append((r, debits.place[i], debits.scores(np.array([i]), float(cents[r]), int(day[r]))[0]))
+            debits.used[i] = once
+    got = pnl.in_turn(list(zip(day[~back].tolist(), (-place[~back]).tolist(), cents[~back].astype(float).tolist())), list(zip(place[back].tolist(), cents[back].astype(float).tolist(), day[back].tolist())), once)
+    assert got == want
+
+
+def test_profit_and_loss_without_numbers(spark):
+    """Lines of the ledger before its rows are numbered are those of the numbered one; numbering, and its shuffle, is left out."""
+    b = Book(spark, "/root/testdata/sf0.001")
+    numbered = sorted(map(tuple, pnl.lines(b.dated, F.array(pnl.total_period(), pnl.month_period())).collect()))
+    plain = Book(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, plain.pl(F.array(pnl.total_period(), pnl.month_period())).collect())) == numbered and "dated" not in plain.__dict__
+    plan = adapters.unnumbered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and len(numbered) > 100
+
+
+def test_only_merchants_with_reversals_are_matched(spark, ten_years):
+    """Debits of other merchants are left out before periods and days are worked out for them."""
+    tx = ledger(spark, ten_years[:300]).withColumn("merchant", F.when(F.col("sequence") % 2 == 0, F.lit("A")).otherwise(F.lit("B")))
+    tx = tx.where((F.col("merchant") == "A") | ~F.col("is_credit"))
+    found = pnl.in_reach(tx, F.array(pnl.total_period(), pnl.month_period()))
+    assert {r.merchant for r in found.select("merchant").distinct().collect()} == {"A"}
+    scans = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in scans and scans.index("LeftSemi") > scans.index("Generate")
+
+
+def test_aliases_read_the_ledger_once(spark):
+    """The rules are tried on the texts of the parts, so that the lines are not read and joined a second time for theirs."""
+    plan = queries.QUERIES["c04_aliases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and len(re.findall(r"Relation \[[^\]]*l_linenumber", plan)) == 1
+
+
+def test_numbering_shuffles_no_texts(spark):
+    """Rows are numbered by what their order needs; statement ids and descriptions are made afterwards."""
+    plan = adapters.raw_ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("statement_id") < plan.index("Window [") and "concat" not in plan[plan.index("Window [") :]
+
+
 def test_grains_in_one_run_as_alone(spark, ten_years):
     tx = ledger(spark, ten_years[:900])
     grains = [pnl.total_period(), pnl.month_period(), pnl.quarter_period(10)]
