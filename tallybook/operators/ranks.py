@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def numbered(df: DataFrame, by: list[str], coarse: Column, order: list, name: str = "n") -> DataFrame:
     """df with the place of each row, from 1, in its group's order.
 
     coarse never falls in that order. Rows are numbered for each of its values alone, and moved on by the counts of the values
-    before, so a group is in as many tasks as coarse has values; only the counts of a group meet in one.
+    before, so a group is in as many tasks as coarse has values; only the counts of a group meet in one. The counts are written,
+    so that the numbered rows are not shuffled once more to meet them where they are few.
     """
     rows = df.withColumn("__part", coarse)
     sizes = rows.groupBy(*by, "__part").agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.sum("__size").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__size")).drop("__size")
+    before = written(before, narrow=True)
     inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
     return rows.withColumn("__in", inside).join(before, [*by, "__part"]).withColumn(name, (F.col("__before") + F.col("__in")).cast("int")).drop("__part", "__in", "__before")
 
