@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import kept, small_batches, text_of
 from .words import RecentWords
 
 #: Fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
@@ -143,6 +143,7 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+@kept
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """Read once in each Python worker."""

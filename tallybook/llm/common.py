@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -34,6 +35,24 @@ def small_batches(spark: SparkSession, most: int = BATCH) -> None:
         spark.conf.set(name, f"{most}b")
 
 
+#: Caches, by lru_cache, that a Python worker keeps from task to task.
+_kept: list = []
+
+
+def kept(cache):
+    """Marks a cache that tasks of the same operator share, and that let_go() empties."""
+    _kept.append(cache)
+    return cache
+
+
+def let_go() -> None:
+    """Empties what other operators' tasks have left in this worker: Spark hands its workers on from one to the next."""
+    if full := [cache for cache in _kept if cache.cache_info().currsize]:
+        for cache in full:
+            cache.cache_clear()
+        gc.collect()
+
+
 def file_backed(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_path", "_metadata.row_index")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, located, small, small_batches, text_of, whole, written
+from .common import PLACE, let_go, located, small, small_batches, text_of, whole, written
 from .graph import components
 from .simhash import SEED, fingerprints, links
 
@@ -79,6 +79,7 @@ def often_shared(docs: DataFrame, by: list[str], text_col: str) -> tuple[np.ndar
     """Shingles that many of a bounded sample of texts have, sorted, and the number of these texts."""
 
     def shingles(batches):
+        let_go()
         for batch in batches:
             for text in batch["text"]:
                 yield pd.DataFrame({"h": shingle_set(text).view(np.int64)})
@@ -96,6 +97,7 @@ def prints(text: Column, often: np.ndarray, rank: np.ndarray) -> Column:
 
     @F.pandas_udf("struct<node long, n int, sketch array<long>, wide binary, keys array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
+        let_go()
         out = []
         for t in texts:
             found = shingle_set(t)
@@ -110,6 +112,7 @@ def _sets(text: Column, asked: Column) -> Column:
 
     @F.pandas_udf("struct<node long, hashes binary>")
     def of(texts: pd.Series, asked: pd.Series) -> pd.DataFrame:
+        let_go()
         found = [shingle_set(t) for t in texts]
         return pd.DataFrame({"node": [set_name(f) for f in found], "hashes": [f.astype("<u8").tobytes() for f in found]})
 

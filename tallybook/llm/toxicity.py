@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, small_batches, text_of, written
+from .common import let_go, small, small_batches, text_of, written
 
 #: The model is fitted on at most about so many labelled documents of either label, taken by a hash of the id.
 SAMPLE = 3000
@@ -116,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     """The model, from docs (doc_id, text) that labels (doc_id, toxic) marks; None if either label is absent."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             rows = [(d, y, f, n) for d, y, t in zip(batch.doc_id, batch.label, batch.text) for f, n in text_features(t).items()]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "feature", "n"])
@@ -153,6 +154,7 @@ def scores(text: Column, model: Ordinal) -> Column:
 
     @F.pandas_udf("struct<p_toxic double, severity double>")
     def score(texts: pd.Series) -> pd.DataFrame:
+        let_go()
         above = model.above(np.array([model.score(t) for t in texts]))
         return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1)})
 

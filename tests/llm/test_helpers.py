@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from tallybook.llm import common, graph, words
+from tallybook.llm import bpe, common, graph, words
 
 
 @pytest.mark.parametrize("kind", ["random", "chain", "star", "none"])
@@ -57,3 +58,13 @@ def test_files(tmp_path):
 
 def test_a_shared_folder_is_asked_for(spark):
     assert common.shared_dir(spark) != common.shared_dir(spark)
+
+
+def test_what_another_operator_left_in_a_worker_goes():
+    """Workers are handed on with their caches: the tokens of one stage are not held through the next one's tasks."""
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    bpe.vocabulary(path).encode(["some words"])
+    assert bpe.vocabulary.cache_info().currsize
+    common.let_go()
+    assert not bpe.vocabulary.cache_info().currsize
+    assert bpe.vocabulary(path).decode(bpe.vocabulary(path).encode(["some words"])[0])
