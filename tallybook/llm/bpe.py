@@ -2,8 +2,9 @@
 
 Two neighbouring symbols of a word that stand side by side inside no token of the vocabulary can never be merged over,
 so the place between them is a certain cut. Each word is cut there, the fragments are encoded on their own with the
-merge ranks, and their ids are put one after the other. Fragments recur far more often than words do, so a bounded
-cache per Python worker holds their ids.
+merge ranks, and their ids are put one after the other. The fragments of many new words lie side by side in numpy arrays,
+and each step merges one pair of every fragment. Long words, and those beyond Latin letters, go one by one; fragments recur
+far more often than words do, so a bounded cache per Python worker holds those of these words.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, small_batches, text_of
-from .words import RecentWords
+from .words import WESTERN, RecentWords
 
 #: Fragments that a worker's cache holds at most; it is emptied when full, which changes no result.
 FRAGMENTS = 60_000
 #: Words in a generation of a worker's recent words.
-WORDS = 60_000
+WORDS = 30_000
 #: Characters from this one on are told apart by the library's own tables, whose age decides what they are.
 LATIN_END = "\u0250"
 #: Rows that a task encodes at a time.
 SLICE = 500
+#: New words that are merged side by side at most, and the bytes that each of them has at most.
+TOGETHER, SHORT = 8192, 64
+#: More than the rank of any merge.
+NO_RANK = 1 << 30
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -80,7 +85,14 @@ class Vocabulary:
                     symbols[-1] = ids[body[-1] + end]
                 self.inside.update(a << 20 | b for a, b in zip(symbols, symbols[1:]))
         self.fragments: dict[tuple[int, ...], list[int]] = {}
-        self.recent = RecentWords(lambda new: [self.word(w) for w in new], WORDS)
+        self.recent = RecentWords(self.words, WORDS)
+        # the same for arrays; a byte that ends its piece counts 256 more
+        self.lines = regex.compile(rf"\n|{self.pieces.pattern}")
+        self.symbols = np.array([*self.plain, *self.last])
+        self.joined = np.array([[a << 20 | b in self.inside for b in (*self.plain, *self.last)] for a in self.plain])
+        ranked = sorted(self.ranks)
+        self.codes, self.rank = np.array([*ranked, 1 << 60]), np.array([*map(self.ranks.get, ranked), NO_RANK])
+        self.merged = np.array(self.made)
 
     def cut(self, symbols: list[int]) -> Iterator[list[int]]:
         """The fragments between the certain cuts."""
@@ -136,6 +148,68 @@ class Vocabulary:
                     out += self.piece(piece)
         return array("i", out).tobytes()
 
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of symbols, NO_RANK where they are never merged."""
+        pairs = a << 20 | b
+        at = np.searchsorted(self.codes, pairs)
+        return np.where(self.codes[at] == pairs, self.rank[at], NO_RANK)
+
+    def merge(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """fragment() of all fragments, which begin at begins: merges within symbols and says which of them are left."""
+        left = np.ones(len(symbols), bool)
+        place, first, lengths = np.arange(len(symbols)), begins, np.diff(begins, append=len(symbols))
+        ranks = np.full(len(symbols), NO_RANK)
+        ranks[:-1] = self.rank_of(symbols[:-1], symbols[1:])
+        ranks[begins[1:] - 1] = NO_RANK
+        while len(first):
+            least = np.minimum.reduceat(ranks << 32 | np.arange(len(ranks)), first)
+            go_on = least < NO_RANK << 32
+            at, rank = least[go_on] & 0xFFFFFFFF, least[go_on] >> 32
+            symbols[place[at]], left[place[at + 1]] = self.merged[rank], False
+            stay = np.repeat(go_on, lengths)
+            stay[at + 1] = False
+            at = at - np.cumsum(~stay)[at]
+            place, ranks, lengths = place[stay], ranks[stay], lengths[go_on] - 1
+            first = np.cumsum(lengths) - lengths
+            ranks[at] = NO_RANK
+            after, before = at[at < first + lengths - 1], at[at > first]
+            ranks[after] = self.rank_of(symbols[place[after]], symbols[place[after + 1]])
+            ranks[before - 1] = self.rank_of(symbols[place[before - 1]], symbols[place[before]])
+        return left
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """word() of each."""
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            found, plain = {}, {}
+            for word in words[i : i + TOGETHER]:
+                text = "" if len(word) > SHORT or b"<" in word else word.decode()
+                text = text.lower() if WESTERN.fullmatch(text) else self.normal(text)
+                if text and (text.isascii() or max(text) < LATIN_END):
+                    plain[word] = text
+                else:
+                    found[word] = self.word(word)
+            found.update(zip(plain, self.side_by_side(list(plain.values()))))
+            out += map(found.__getitem__, words[i : i + TOGETHER])
+        return out
+
+    def side_by_side(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts in normal form, Latin letters at most, without line feeds and special tokens."""
+        pieces = [piece.encode() for piece in self.lines.findall("".join(f"{t}\n" for t in texts))]
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([*map(len, pieces)]) - 1
+        kinds = data.astype(np.int64)
+        kinds[ends] += 256
+        cut = np.ones(len(data), bool)
+        cut[1:] = ~self.joined[data[:-1], kinds[1:]]
+        cut[ends[:-1] + 1] = True
+        symbols = self.symbols[kinds]
+        left = self.merge(symbols, np.flatnonzero(cut))
+        ids, over = symbols[left].astype("<i4").tobytes(), 4 * (np.cumsum(left) - 1)[data == 10]
+        return [ids[i:j] for i, j in zip([0, *(over + 4).tolist()], over.tolist())]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.recent.encode(texts)
 

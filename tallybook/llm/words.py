@@ -11,6 +11,8 @@ import numpy as np
 GENERATION = 300_000
 #: A stop or comma between a letter and white space is a piece of its own.
 STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
+#: Texts whose normal form only has other letters than they have where a capital is put in lower case.
+WESTERN = re.compile("[\x00-\x7f\u00c0-\u00ff]*")
 
 
 def word_keys(text: str) -> list[bytes]:

@@ -59,6 +59,18 @@ def test_cuts_are_where_no_token_has_the_pair():
     assert not any("zq" in t for t in v.tokens.values()) and any("qa" in t for t in v.tokens.values())
 
 
+def test_new_words_are_merged_side_by_side(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeinrstzqx\u00e9\u00df\u00c8'&$.5", k=rng.randrange(1, 30))) for _ in range(5000)]
+    words += ["abba" * 15, "abba" * 17, "<", "x<|endoftext|>", "\u0436", "\u00aa1", "\x1c", "a\x1cb"]
+    alone = []
+    v = bpe.Vocabulary(PATH)
+    monkeypatch.setattr(v, "piece", lambda piece, one=v.piece: alone.append(piece) or one(piece))
+    want = [x.ids for x in LIBRARY.encode_batch(words, add_special_tokens=False)]
+    assert [x.tolist() for x in v.encode(words)] == want
+    assert len(alone) < 20 and v.side_by_side([]) == [] and v.side_by_side([" ", "a"]) == [b"", np.array(v.last[97], "<i4").tobytes()]
+
+
 def test_decode_undoes_encode_on_spark(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "")], "doc_id long, text string")
     got = bpe.decode(bpe.encode(docs, PATH), PATH).orderBy("doc_id").collect()
