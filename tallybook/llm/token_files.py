@@ -17,6 +17,8 @@ and ids; the sum over the files before gives each document's place in the whole
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import mapped, put, shared_dir, small_batches, text_of, uri, written
 from .words import RecentWords
 
@@ -37,6 +40,8 @@ BLOCK = 8192
 FILE_IDS = 4_000_000
 #: Documents that a task encodes at a time.
 SLICE = 1000
+#: Letters, then stops and signs: the normal form is the word itself, and its pieces are these two.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-/:-@\[-`{-~]*)")
 NULL_ID = np.iinfo(np.int64).min
 END = 1
 
@@ -94,7 +99,10 @@ class TokenFile:
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> RecentWords:
-    """The tokenizers library behind a bounded memory of words: new words are encoded together, with marks in between."""
+    """The tokenizers library behind a bounded memory of words: new words are encoded together, with marks in between.
+
+    Of words whose pieces are certain only the pieces are handed over, straight to the library's model.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -105,9 +113,20 @@ def _encoder(path: str) -> RecentWords:
     def ids(text: str) -> np.ndarray:
         return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    mark = ids("\x00")
+    mark, symbols = ids("\x00"), dict(enumerate(byte_symbols()))
+    tokenize = library.model.tokenize
 
     def make(words: list[bytes]) -> list[bytes]:
+        done, rest = {}, []
+        for word in words:
+            if found := PLAIN.fullmatch(word):
+                done[word] = array("I", [x.id for piece in found.groups() if piece for x in tokenize(piece.decode("latin-1").translate(symbols))]).tobytes()
+            else:
+                rest.append(word)
+        done.update(zip(rest, together(rest)))
+        return [*map(done.__getitem__, words)]
+
+    def together(words: list[bytes]) -> list[bytes]:
         if len(mark) != 1:
             return [ids(w.decode()).tobytes() for w in words]
         plain = [w for w in words if b"\x00" not in w]

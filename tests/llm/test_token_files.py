@@ -39,3 +39,11 @@ def test_query_rows(spark, most, monkeypatch):
     assert sorted((r.start, r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in got) == sorted((s, i, n, c) for i, s, n, c in want)
     none = docs.limit(0)
     assert token_files.read_tokens(token_files.write_tokens(none)).collect() == []
+
+
+def test_certain_pieces_go_straight_to_the_model():
+    words = [b"abc", "\u00e9t\u00e9&&&".encode(), b"...", b"'s", b"<|", b"a'", b"x1", b"n'est", "\u00c9a".encode(), "\u00f7a".encode(), b"\x00", b"<|endoftext|>"]
+    assert [bool(token_files.PLAIN.fullmatch(w)) for w in words] == [True] * 3 + [False] + [True] * 2 + [False] * 6
+    encoder = token_files._encoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.make(words)]
+    assert got == [LIBRARY.encode(w.decode(), add_special_tokens=False).ids for w in words]
