@@ -162,8 +162,8 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
     row = F.struct("n", "keys", "wide", *at, *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
     nodes = written(table.groupBy("node").agg(F.min_by(row, F.struct(*at)).alias("x")).select("node", "x.*"))
     keys = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n")
-    # counted with partial sums: a key that very many texts have is one row for each task
-    shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n", "pos")).alias("hub")).where("many > 1")
+    # counted with partial sums: a key that very many texts have is one row for each task; numbers alone are summed by hashing, without a sort
+    shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("hub")).where("many > 1")
     met = written(keys.join(shared, "key"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -194,7 +194,8 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
         keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
         return rows.join(keys, "key")
 
-    links = written(near(met.select(F.struct("node", "n", "pos").alias("a"), F.col("hub").alias("b"))), narrow=True)
+    hub = met.where("node = hub").select("key", F.struct("node", "n", "pos").alias("b"))
+    links = written(near(met.select("key", F.struct("node", "n", "pos").alias("a")).join(hub, "key")), narrow=True)
     rest = still_open(links, met)
     hot = rest.where(F.col("many") > HOT)
     if hot.take(1):

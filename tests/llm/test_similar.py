@@ -127,3 +127,12 @@ def test_sketches_never_say_more_than_the_sets():
             differ = len(np.setxor1d(a, b))
             assert similar.bits_apart(similar.wide_sketch(a), similar.wide_sketch(b)) <= differ
             assert sum(int(x).bit_count() for x in np.asarray(similar.sketch(a) ^ similar.sketch(b)).view("<u8")) <= differ
+
+
+def test_shared_keys_are_counted_without_a_sort(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(similar, "written", lambda df, narrow=False, put=similar.written: plans.setdefault(tuple(df.columns), df._jdf.queryExecution().executedPlan().toString()) and put(df, narrow))
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()}
+    met = next(plan for columns, plan in plans.items() if columns[0] == "key" and "hub" in columns)
+    assert got == {1: 1, 2: 1, 3: 3} and "HashAggregate" in met and "SortAggregate" not in met
