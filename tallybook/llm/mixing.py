@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,7 +157,9 @@ def schedule(spark: SparkSession, names: list[str], rows: list[int], a: list[int
                     yield pd.DataFrame([(names[s], *x) for s, *x in found], columns=["__source", "__block", "__slot", "__first"])
 
     numbers = [(p, -(-phase.slots // size)) for p, phase in enumerate(plan)]
-    todo = spark.createDataFrame(numbers, "phase int, n long").select("phase", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    # from an Arrow table, as a list would start a second set of Python workers on the executors
+    table = pa.table({"phase": pa.array((p for p, _ in numbers), pa.int32()), "n": pa.array((n for _, n in numbers), pa.int64())})
+    todo = spark.createDataFrame(table).select("phase", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     if (n := sum(n for _, n in numbers)) > 1:
         todo = todo.repartition(min(n, 10_000), "phase", "i")
     return todo.mapInPandas(run, "__source string, __block long, __slot long, __first long")

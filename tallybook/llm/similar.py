@@ -107,16 +107,20 @@ def prints(text: Column, often: np.ndarray, rank: np.ndarray) -> Column:
     return of(text)
 
 
-def _sets(text: Column, asked: Column) -> Column:
-    """Name and hashes of the text's set. asked, a column of the join's other side, keeps the work from being done before the join."""
+def _sets(rows: DataFrame) -> DataFrame:
+    """node and hashes of the sets of rows (text, asked) that have the name that is asked for.
 
-    @F.pandas_udf("struct<node long, hashes binary>")
-    def of(texts: pd.Series, asked: pd.Series) -> pd.DataFrame:
+    A function over rows, as a filter on what a function of columns gives would have each text tokenised once more, in
+    a second Python worker for each task.
+    """
+
+    def run(batches):
         let_go()
-        found = [shingle_set(t) for t in texts]
-        return pd.DataFrame({"node": [set_name(f) for f in found], "hashes": [f.astype("<u8").tobytes() for f in found]})
+        for batch in batches:
+            found = [(asked, f) for asked, f in zip(batch["asked"], map(shingle_set, batch["text"])) if set_name(f) == asked]
+            yield pd.DataFrame({"node": [asked for asked, _ in found], "hashes": [f.astype("<u8").tobytes() for _, f in found]})
 
-    return of(text, asked)
+    return rows.mapInPandas(run, "node long, hashes binary")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -173,9 +177,8 @@ def similar_sets(table: DataFrame, texts: DataFrame, at: list[str]) -> DataFrame
         pairs = written(near.where(F.col("apart") <= F.col("nu") + F.col("nv") - 2 * _needed(F.col("nu"), F.col("nv"))).select("u", "v"), narrow=True)
         used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         places = nodes.join(used, "node").select(*at, F.col("node").alias("asked"))
-        held = texts.join(small(places), at).select(_sets(F.col("text"), F.col("asked")).alias("s")).select("s.node", "s.hashes")
         # what a place stands for may be several texts: only the sets that are asked for, once each
-        held = written(held.join(used, "node", "left_semi").dropDuplicates(["node"]))
+        held = written(_sets(texts.join(small(places), at).select("text", "asked")).dropDuplicates(["node"]))
         a, b = (held.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
         both = pairs.join(a, "u").join(b, "v").select("u", "v", (F.octet_length("hu") / 8 + F.octet_length("hv") / 8).alias("n"), _common(F.col("hu"), F.col("hv")).alias("same"))
         return both.where(9 * F.col("same") >= 4 * F.col("n")).select("u", "v")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         return None
     index = {r.feature: i for i, r in enumerate(top)}
     share = np.array([(r.a / one) / (r.a / one + r.b / none) for r in top])
-    picked = docs.sparkSession.createDataFrame(list(index.items()), "feature string, i int")
+    # from an Arrow table, as a list would start a second set of Python workers on the executors
+    picked = docs.sparkSession.createDataFrame(pa.table({"feature": list(index), "i": pa.array(range(len(index)), pa.int32())}))
     held = counts.join(F.broadcast(picked), "feature").select("doc_id", "i", "n").toPandas()
     ids = counts.select("doc_id", "label").distinct().toPandas().sort_values("doc_id", ignore_index=True)
     x = np.zeros((len(ids), len(index)))

@@ -2,6 +2,7 @@ import pathlib
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -88,3 +89,14 @@ def test_tables_of_a_stage_are_removed(spark, tmp_path, monkeypatch):
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     left = [p.name for p in pathlib.Path(base).glob("stage-test-*")]
     assert got > 60 and len(left) == 1
+
+
+def test_no_stage_starts_other_python_workers(spark, tmp_path, monkeypatch):
+    """A frame made of a list is an RDD of pickled rows, for which executors start a daemon with workers of its own."""
+    docs, labels = corpus(120, 3)
+    table = spark.createDataFrame([(i, t, "s") for i, t, _ in docs], "doc_id long, text string, source string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *_: pytest.fail("a frame made of a list"))
+    toxic = corpus_pipeline.toxic_out(spark, table, str(tmp_path)).count()
+    assert 0 < toxic < 120 and corpus_pipeline.sources_mixed(spark, table, str(tmp_path)).count() == 120
+    assert corpus_pipeline.sources_mixed(spark, table.limit(0), str(tmp_path)).count() == 0

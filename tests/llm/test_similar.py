@@ -136,3 +136,16 @@ def test_shared_keys_are_counted_without_a_sort(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()}
     met = next(plan for columns, plan in plans.items() if columns[0] == "key" and "hub" in columns)
     assert got == {1: 1, 2: 1, 3: 3} and "HashAggregate" in met and "SortAggregate" not in met
+
+
+def test_sets_are_made_once_by_one_python_worker(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(similar, "written", lambda df, narrow=False, put=similar.written: plans.setdefault(tuple(df.columns), df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]) and put(df, narrow))
+    # two texts of one id, both asked for, and repeated rows of one of them
+    rows = [(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (1, "k l m n o p q r s t"), (2, "a b c d e f g h i j k"), (3, "k l m n o p q r s t u"), (4, "x")]
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = plans["node", "hashes"]
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert sum("Python" in x or "InPandas" in x for x in held.split("\n")) == 1
+    for columns, plan in plans.items():
+        assert sum("ArrowEvalPython" in x for x in plan.split("\n")) <= 1, columns
