@@ -93,3 +93,63 @@ def test_files(spark, tmp_path):
 def test_clean(spark):
     got = spark.range(1).select(parse.clean(F.lit("CARD 5 01/02 SHOP12  x 7 ")).alias("x")).first().x
     assert got == "CARD SHOP x"
+
+
+def in_parts(spark, *docs):
+    """doc_id, part, text of whole texts, in parts of several lengths."""
+    rows = []
+    for doc, text in docs:
+        lines, at = text.split("\n"), 0
+        for part, size in enumerate((3, 1, 2, 1, 9, 1, 4, 2) * len(lines)):
+            if at < len(lines):
+                rows.append((doc, part, "\n".join(lines[at : at + size])))
+                at += size
+    return spark.createDataFrame(rows, "doc_id string, part long, text string").repartition(3)
+
+
+LONG = HEAD + "Account Activity\n" + COLUMNS + "01/01/2023 Beginning Balance $100.00\n" + row("01/02/2023", "A", "$50.00", "$50.00") + "more of a\n" + row("01/03/2023", "", "($5.00)", "-$5.00", 58) + "Account Activity (continued)\nPage 2 of 2\nChecks Cleared\n  7  01/04/2023  $5.00\nDaily Balances\n01/02/2023 $50.00   01/03/2023 -$5.00\nTotal Overdraft Fees $12.50"
+
+
+def test_texts_in_parts_give_what_whole_ones_give(spark):
+    """No task holds a whole statement, and what is read is that of the whole one, signs, summary and order included."""
+    late = "x\n" * 13 + HEAD + "Account Activity\n" + COLUMNS + row("01/02/2023", "B", "$50.00", "$50.00") + "Daily Balances"
+    given = [("long", LONG), ("late", late), ("none", ""), ("headless", row("01/02/2023", "C", "$1.00", "$1.00"))]
+    docs, parts = spark.createDataFrame(given, "doc_id string, text string"), in_parts(spark, *given)
+    for personal in (False, True):
+        whole, apart = parse.statements(docs, personal), parse.statements_of(parts, personal)
+        for a, b in zip(whole, apart):
+            assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
+    lines = parse.lines_of_parts(parts)
+    for read, matters in ((parse.checks, parse.check_line), (parse.daily, parse.daily_line), (parse.fees, parse.fee_line)):
+        whole, apart = read(parse.lines_of(docs)).drop("n", "i"), read(parse.gathered(lines, matters(F.col("line")))).drop("n", "i")
+        assert [r for r in sorted(map(tuple, apart.collect()), key=str) if r[0] == "long"] == [r for r in sorted(map(tuple, whole.collect()), key=str) if r[0] == "long"]
+
+
+def test_damage_of_parts_is_that_of_the_whole(spark):
+    import re
+
+    given = [(f"{k}-{i}", text) for k in range(10) for i, text in enumerate((LONG, "Account Activity\nChecks Cleared Account Activity x\ny", "Checks Cleared\nAccount Activity", "a Account Activity b Checks Cleared c Checks Cleared d\nCheck"))]
+    kind = F.split("doc_id", "-")[0].cast("int")
+    lines = parse.lines_of_parts(texts.damaged(in_parts(spark, *given), kind)).orderBy("doc_id", "n").collect()
+    for doc, text in given:
+        k = int(doc[0])
+        for pattern, by in texts.DAMAGE.get(k, ()):
+            text = re.sub(pattern, by.replace("$1", r"\1"), text)
+        if k in texts.CUT:
+            start, end = texts.CUT[k]
+            text = re.sub(f"(?s){start}.*{end}", end, text)
+        assert "\n".join(r.line for r in lines if r.doc_id == doc) == text, doc
+
+
+def test_methods_of_the_parser_are_short_enough_to_be_compiled(spark):
+    """Methods of more than 8,000 bytes are never compiled, so that each line would take several times as long."""
+    parts = in_parts(spark, ("long", LONG))
+    st = spark.sql("SELECT 's' AS statement_id, 1 AS account_id, date'2023-01-31' AS statement_dt, 1.00BD AS beginning_balance, 1.00BD AS ending_balance, 1.00BD AS total_credits, 1.00BD AS total_debits, 1 AS credit_count, 1 AS debit_count")
+    tx = spark.sql("SELECT 's' AS statement_id, 1L AS sequence, date'2023-01-05' AS post_dt, 'x' AS description, 1.00BD AS amount, true AS is_credit, 1.00BD AS balance FROM range(3)")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (*parse.statements_of(parts), parse.statements_of(parts, True)[1], texts.printed(st, tx)):
+            made = df._jdf.queryExecution().debug().codegenToSeq()
+            assert max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
