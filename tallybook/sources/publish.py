@@ -51,12 +51,13 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(files.makeQualified(staged), files.makeQualified(at), how)
 
 
-def publish(outputs: dict[str, DataFrame], target: str, overwrite: bool = False, form: str = "csv") -> dict[str, str]:
+def publish(outputs: dict[str, DataFrame], target: str, overwrite: bool = False, form: str = "csv", **options: str) -> dict[str, str]:
     """Writes all outputs and then makes them the published ones; returns the manifest.
 
     Before anything is written, each name is looked up: one that is published already is an error unless overwrite. If an
     output fails, what was published stays as it was, and so does everything that a reader may be in the middle of.
-    Outputs of earlier runs that this run does not name stay published.
+    Outputs of earlier runs that this run does not name stay published. options: of the writer, such as compression; as both
+    the run before and this one are on disk until the end, and CSV takes many times the room of the tables, large ones want it.
     """
     if not outputs:
         raise ValueError("nothing to publish")
@@ -67,7 +68,7 @@ def publish(outputs: dict[str, DataFrame], target: str, overwrite: bool = False,
             raise Exists(f"published already: {', '.join(taken)}")
     run = f"run-{uuid.uuid4().hex}"
     for name, df in outputs.items():
-        df.write.mode("errorifexists").option("header", True).format(form).save(f"{target}/{run}/{name}")
+        df.write.mode("errorifexists").option("header", True).options(**options).format(form).save(f"{target}/{run}/{name}")
     after = {**before, **{name: f"{run}/{name}" for name in outputs}}
     put_text(spark, f"{target}/{MANIFEST}", json.dumps(after, sort_keys=True))
     return after

@@ -108,3 +108,22 @@ def test_statement_names(spark):
     names = ["a/b.txt", "a/B.TXT", "a/b.pdf", "a/my_Personal_Financial_Report.txt", "business_financial_report_2.txt", "b.txt.bak"]
     got = [r.v for r in frame(spark, *names).where(texts.statement_file(F.col("v"))).collect()]
     assert got == names[:2] and adapters.described("n", "m") is not None
+
+
+def test_outputs_take_little_room(spark, tmp_path):
+    """What is published stays beside what it replaces until the end: compressed, and read back as it was."""
+    rows = spark.range(20000).select(F.concat(F.lit("a cell as in every other row "), F.col("id").cast("string")).alias("v"))
+    size = lambda at: sum(p.stat().st_size for p in at.rglob("part-*"))
+    publish.publish({"a": rows}, f"file://{tmp_path}/plain")
+    publish.publish({"a": rows}, f"file://{tmp_path}/small", compression="gzip")
+    assert size(tmp_path / "small") < size(tmp_path / "plain") / 3
+    assert publish.published(spark, f"file://{tmp_path}/small", "a").exceptAll(rows).isEmpty() and publish.published(spark, f"file://{tmp_path}/small", "a").count() == 20000
+
+
+def test_extracts_are_published_compressed(spark, tmp_path, monkeypatch):
+    from tallybook.plans import queries
+
+    monkeypatch.setattr(queries, "shared_dir", lambda _: f"file://{tmp_path}/out")
+    assert queries.QUERIES["s11_publish"](spark, "/root/testdata/sf0.001").count() > 0
+    names = [p.name for p in (tmp_path / "out").rglob("part-*")]
+    assert names and all(n.endswith(".csv.gz") for n in names)
